@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A plain column used several times is copied into every use, and the copies
+    multiply when such columns nest; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_token(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
@@ -64,7 +74,9 @@ def strip_accents(c: Column) -> Column:
 
 def normalized_words(c: Column) -> Column:
     """Percent- and entity-decoded, unaccented, camel-split, lower-case words."""
-    decoded = decode_html_entities(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c))
+    decoded = decode_html_entities(
+        let(c, lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
+    )
     spaced = F.regexp_replace(strip_accents(decoded), "([a-z0-9])([A-Z])", "$1 $2")
     return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -81,8 +93,8 @@ def file_stem(c: Column) -> Column:
 
 
 def file_name_hint(family: Column, style: Column) -> Column:
-    left, right = file_stem(family), file_stem(style)
-    return F.when((left != "") & (right != ""), F.concat(left, F.lit("-"), right))
+    parts = F.array(file_stem(family), file_stem(style))
+    return let(parts, lambda p: F.when((p[0] != "") & (p[1] != ""), F.array_join(p, "-")))
 
 
 def base_name(path: Column) -> Column:

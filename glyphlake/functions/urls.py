@@ -12,6 +12,7 @@ from glyphlake.functions.text import (
     any_contains,
     blank_to_null,
     decode_html_entities,
+    let,
     normalize_space,
     normalize_token,
     normalized_words,
@@ -48,12 +49,8 @@ def fragment_of(u: Column) -> Column:
 def host_of(u: Column) -> Column:
     """Lower-case host with a non-default port; '' when the URL has none."""
     bare = F.lower(F.regexp_replace(authority_of(u), r"^.*@", ""))
-    scheme = scheme_of(u)
-    return (
-        F.when(scheme == "http", F.regexp_replace(bare, ":80$", ""))
-        .when(scheme == "https", F.regexp_replace(bare, ":443$", ""))
-        .otherwise(bare)
-    )
+    port = F.when(u.rlike("(?i)^http:"), ":80$").when(u.rlike("(?i)^https:"), ":443$").otherwise("^$")
+    return F.regexp_replace(bare, port, "")
 
 
 def hostname_of(u: Column) -> Column:
@@ -63,28 +60,33 @@ def hostname_of(u: Column) -> Column:
 
 def percent_encode(c: Column) -> Column:
     """Escape only what may not stand in a path or query."""
-    escaped = F.array_join(
-        F.transform(
-            F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)),
-            lambda ch: F.when(ch.rlike(UNSAFE), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(c.rlike(UNSAFE), escaped).otherwise(c)
+
+    def escaped(v: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)),
+                lambda ch: F.when(ch.rlike(UNSAFE), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch),
+            ),
+            "",
+        )
+
+    return let(c, lambda v: F.when(v.rlike(UNSAFE), escaped(v)).otherwise(v))
 
 
 def remove_dot_segments(path: Column) -> Column:
     """Fold ``.`` and ``..`` out of a rooted path."""
-    segments = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
-    kept = F.aggregate(
-        F.slice(segments, 2, F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    folded = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), folded).otherwise(path)
+
+    def folded(v: Column) -> Column:
+        kept = F.aggregate(
+            F.filter(F.split(F.regexp_replace(v, r"/\.{1,2}$", "$0/"), "/"), lambda s, i: i > 0),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+    return let(path, lambda v: F.when(v.rlike(r"/\.{1,2}(/|$)"), folded(v)).otherwise(v))
 
 
 def is_web_url(u: Column) -> Column:
@@ -93,114 +95,108 @@ def is_web_url(u: Column) -> Column:
 
 def canonical_href(u: Column) -> Column:
     """Canonical form of an absolute http(s) URL, NULL for anything else."""
-    path = path_of(u)
-    rooted = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when(
-        is_web_url(u),
-        F.concat(
-            scheme_of(u),
+
+    def spelled(v: Column) -> Column:
+        rooted = F.regexp_replace(path_of(v), "^$", "/")
+        return F.concat(
+            scheme_of(v),
             F.lit("://"),
-            host_of(u),
-            percent_encode(remove_dot_segments(rooted)),
-            percent_encode(query_of(u)),
-            percent_encode(fragment_of(u)),
-        ),
-    )
+            host_of(v),
+            percent_encode(F.concat(remove_dot_segments(rooted), query_of(v), fragment_of(v))),
+        )
+
+    return let(u, lambda v: F.when(is_web_url(v), spelled(v)))
 
 
 def normalize_input_url(c: Column) -> Column:
-    trimmed = trim_all(c)
-    full = F.when(trimmed.rlike("(?i)^https?://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
-    return F.when(trimmed != "", canonical_href(full))
+    def full(v: Column) -> Column:
+        return F.when(v.rlike("(?i)^https?://"), v).when(v != "", F.concat(F.lit("https://"), v))
+
+    return canonical_href(let(trim_all(c), full))
+
+
+def resolve_url(ref: Column, base: Column) -> Column:
+    """``ref`` resolved against ``base`` (RFC 3986); NULL unless http(s)."""
+
+    def joined(x: Column) -> Column:
+        r, b = x["r"], x["b"]
+        origin = F.concat(scheme_of(b), F.lit("://"), authority_of(b))
+        page = F.concat(origin, path_of(b))
+        folder = F.regexp_replace(F.regexp_extract(path_of(b), r"^(.*/)", 1), "^$", "/")
+        return (
+            F.when(r.rlike(ABSOLUTE), r)
+            .when(r.rlike(SCHEME), F.lit(None))
+            .when(r.startswith("//"), F.concat(scheme_of(b), F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(origin, r))
+            .when((r == "") | r.startswith("#"), F.concat(page, query_of(b), r))
+            .when(r.startswith("?"), F.concat(page, r))
+            .otherwise(F.concat(origin, folder, r))
+        )
+
+    pair = F.struct(trim_all(F.regexp_replace(ref, r"\\/", "/")).alias("r"), base.alias("b"))
+    return canonical_href(let(pair, joined))
 
 
 def with_resolved_url(df: DataFrame, ref: str, base: str, out: str) -> DataFrame:
-    """Add ``out``: ``ref`` resolved against ``base`` (RFC 3986), http(s) only.
-
-    Done in two projections so that the optimiser keeps each regex once.
-    """
-    r = trim_all(F.regexp_replace(F.col(ref), r"\\/", "/"))
-    staged = df.withColumns(
-        {
-            "_ref": r,
-            "_origin": F.concat(scheme_of(F.col(base)), F.lit("://"), authority_of(F.col(base))),
-            "_path": path_of(F.col(base)),
-        }
-    )
-    ref_col = F.col("_ref")
-    plain_path = F.regexp_extract(ref_col, r"^([^?#]*)", 1)
-    tail = F.regexp_extract(ref_col, r"^[^?#]*(.*)$", 1)
-    folder = F.regexp_extract(F.col("_path"), r"^(.*/)", 1)
-    joined = (
-        F.when(ref_col.rlike(ABSOLUTE), ref_col)
-        .when(ref_col.rlike(SCHEME), F.lit(None))
-        .when(ref_col.startswith("//"), F.concat(F.regexp_extract(F.col("_origin"), r"^([^:]*:)", 1), ref_col))
-        .when(ref_col.startswith("/"), F.concat(F.col("_origin"), ref_col))
-        .when(ref_col == "", F.concat(F.col("_origin"), F.col("_path"), query_of(F.col(base))))
-        .when(ref_col.startswith("#"), F.concat(F.col("_origin"), F.col("_path"), query_of(F.col(base)), ref_col))
-        .when(ref_col.startswith("?"), F.concat(F.col("_origin"), F.col("_path"), ref_col))
-        .otherwise(
-            F.concat(
-                F.col("_origin"),
-                F.when(folder == "", F.lit("/")).otherwise(folder),
-                plain_path,
-                tail,
-            )
-        )
-    )
-    return (
-        staged.withColumn("_joined", joined)
-        .withColumn(out, canonical_href(F.col("_joined")))
-        .drop("_ref", "_origin", "_path", "_joined")
-    )
+    return df.withColumn(out, resolve_url(F.col(ref), F.col(base)))
 
 
 def _form_encode(c: Column) -> Column:
     """Form serialisation keeps letters, digits and ``*-._``; blank is ``+``."""
-    raw = F.coalesce(F.try_url_decode(c), c)
-    return F.when(c.rlike(r"[^A-Za-z0-9*\-._+]"), F.url_encode(raw)).otherwise(c)
+    return let(
+        c,
+        lambda v: F.when(
+            v.rlike(r"[^A-Za-z0-9*\-._+]"), F.url_encode(F.coalesce(F.try_url_decode(v), v))
+        ).otherwise(v),
+    )
 
 
 def normalize_crawl_url(c: Column) -> Column:
     """No fragment; query parameters sorted by key, ties in their given order."""
-    parts = F.filter(F.split(F.substring(query_of(c), 2, 1_000_000), "&"), lambda p: p != "")
-    keyed = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            _form_encode(F.substring_index(p, "=", 1)).alias("k"),
-            i.alias("i"),
-            F.concat(
-                _form_encode(F.substring_index(p, "=", 1)),
-                F.lit("="),
-                _form_encode(F.when(F.contains(p, F.lit("=")), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise("")),
-            ).alias("kv"),
-        ),
-    )
-    query = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["kv"]), "&")
-    href = canonical_href(c)
-    sortless = F.regexp_replace(href, r"[?#].*$", "")
-    return F.when(
-        href.isNotNull(), F.when(query != "", F.concat(sortless, F.lit("?"), query)).otherwise(sortless)
-    ).otherwise(trim_all(c))
+
+    def parameter(p: Column, i: Column) -> Column:
+        key = F.regexp_extract(p, "^([^=]*)", 1)
+        value = F.regexp_extract(p, "^[^=]*=(.*)$", 1)
+        return F.struct(
+            _form_encode(key).alias("k"), i.alias("i"), _form_encode(value).alias("v")
+        )
+
+    def sorted_query(q: Column) -> Column:
+        parts = F.filter(F.split(F.regexp_replace(q, r"^\?", ""), "&"), lambda p: p != "")
+        return F.array_join(
+            F.transform(F.array_sort(F.transform(parts, parameter)), lambda s: F.concat(s["k"], F.lit("="), s["v"])), "&"
+        )
+
+    def spelled(v: Column) -> Column:
+        bare = F.regexp_replace(v, r"[?#].*$", "")
+        query = query_of(v)
+        return F.when(
+            query != "", F.concat(bare, F.regexp_replace(F.concat(F.lit("?"), sorted_query(query)), r"^\?$", ""))
+        ).otherwise(bare)
+
+    return F.coalesce(let(canonical_href(c), lambda v: F.when(v.isNotNull(), spelled(v))), trim_all(c))
 
 
 def is_private_url(c: Column) -> Column:
     """True for local, private-range, non-http(s) or unreadable URLs."""
-    host = hostname_of(c)
-    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("int"))
-    a, b = octets[0], octets[1]
-    in_range = (
-        (a == 10)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 169) & (b == 254))
-        | ((a == 100) & b.between(64, 127))
-    )
-    return (
-        ~is_web_url(c)
-        | host.isin("localhost", "127.0.0.1", "::1", "0.0.0.0")
-        | F.when(host.rlike(r"^\d+\.\d+\.\d+\.\d+$"), in_range).otherwise(F.lit(False))
-    )
+
+    def private_range(o: Column) -> Column:
+        a, b = o[0], o[1]
+        return (
+            (a == 10)
+            | ((a == 172) & b.between(16, 31))
+            | ((a == 192) & (b == 168))
+            | ((a == 169) & (b == 254))
+            | ((a == 100) & b.between(64, 127))
+        )
+
+    def local(host: Column) -> Column:
+        octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("int"))
+        return host.isin("localhost", "127.0.0.1", "::1", "0.0.0.0") | F.when(
+            host.rlike(r"^\d+\.\d+\.\d+\.\d+$"), let(octets, private_range)
+        ).otherwise(F.lit(False))
+
+    return ~is_web_url(c) | let(hostname_of(c), local)
 
 
 def has_skip_extension(path: Column) -> Column:
@@ -268,18 +264,17 @@ def slug_words(u: Column) -> Column:
     """Word lists of the last path segment and of every segment after a marker."""
     markers = F.array(*[F.lit(m) for m in fv.SLUG_MARKERS])
     segments = F.filter(F.split(path_of(u), "/"), lambda s: s != "")
-    last = F.when(F.size(segments) > 0, F.array(normalized_words(F.element_at(segments, -1)))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
-    decoded = F.transform(segments, lambda s: normalize_token(F.coalesce(F.try_url_decode(s), s)))
-    after = F.transform(
-        F.filter(
-            F.transform(segments, lambda s, i: F.struct(F.try_element_at(decoded, i).alias("marker"), s.alias("s"))),
-            lambda x: F.array_contains(markers, x["marker"]),
-        ),
-        lambda x: normalized_words(x["s"]),
-    )
-    return F.concat(last, after)
+
+    def sequences(seg: Column) -> Column:
+        marks = F.transform(seg, lambda s: normalize_token(F.coalesce(F.try_url_decode(s), s)))
+        after = F.filter(F.arrays_zip(F.slice(seg, 2, 10_000).alias("s"), marks.alias("m")), lambda x: x["s"].isNotNull())
+        marked = F.filter(after, lambda x: F.array_contains(markers, x["m"]))
+        return F.concat(
+            F.transform(F.slice(F.reverse(seg), 1, 1), normalized_words),
+            F.transform(marked, lambda x: normalized_words(x["s"])),
+        )
+
+    return let(segments, sequences)
 
 
 def with_canonical_asset_url(df: DataFrame, raw: str, base: str, out: str) -> DataFrame:
