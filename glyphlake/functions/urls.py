@@ -267,7 +267,7 @@ def slug_words(u: Column) -> Column:
 
     def sequences(seg: Column) -> Column:
         marks = F.transform(seg, lambda s: normalize_token(F.coalesce(F.try_url_decode(s), s)))
-        after = F.filter(F.arrays_zip(F.slice(seg, 2, 10_000).alias("s"), marks.alias("m")), lambda x: x["s"].isNotNull())
+        after = F.filter(F.arrays_zip(F.slice(seg, F.lit(2), F.size(seg)).alias("s"), marks.alias("m")), lambda x: x["s"].isNotNull())
         marked = F.filter(after, lambda x: F.array_contains(markers, x["m"]))
         return F.concat(
             F.transform(F.slice(F.reverse(seg), 1, 1), normalized_words),

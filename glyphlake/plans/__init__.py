@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls",)
+MODULES = ("urls", "normalize")
 
 
 def load_all() -> None:
