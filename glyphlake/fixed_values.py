@@ -185,6 +185,12 @@ SCRIPT_NAMES = [
     "japanese", "chinese", "devanagari",
 ]
 
+# Classes of files that anchors lead to.
+LEGAL_DOCUMENT = r"(?:eula|license|licen[cs]e|terms|agreement|privacy)"
+SPECIMEN_DOCUMENT = r"(?:specimen|technical|glyph|character\s*set|brochure|catalog(?:ue)?|type\s*specimen)"
+TRIAL_ASSET = r"(?:trial|demo|test|free)"
+PREVIEW_HOST = "firebasestorage.googleapis.com"
+
 # Challenge-page phrases (two soft ones or a strong one mark a page).
 BLOCKED_SOFT = [
     "access denied", "request blocked", "forbidden", "verify (that )?you are human",

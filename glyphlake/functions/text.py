@@ -43,9 +43,18 @@ def title_words(c: Column) -> Column:
     return F.initcap(normalize_space(F.regexp_replace(c, "[-_]+", " ")))
 
 
+def ascii_bounds(pattern: str) -> str:
+    """Spell word boundaries out over ASCII letters and digits.
+
+    What ``\\b`` means next to an accented letter depends on the Java version;
+    style and licence words must be found there as well ("éBold").
+    """
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def rewrite(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Apply a list of (pattern, replacement) in order."""
-    return reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), rules, c)
+    return reduce(lambda acc, rule: F.regexp_replace(acc, ascii_bounds(rule[0]), rule[1]), rules, c)
 
 
 def decode_html_entities(c: Column) -> Column:

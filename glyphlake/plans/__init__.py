@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "normalize")
+MODULES = ("urls", "normalize", "pages", "faces")
 
 
 def load_all() -> None:
