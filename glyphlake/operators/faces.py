@@ -245,7 +245,8 @@ def family_usage(faces: DataFrame, docs: DataFrame) -> DataFrame:
     return total.select("page", "family", F.when(C("direct") > 0, C("direct")).otherwise(C("by_token")).alias("usage"))
 
 
-ORDER = [C("doc_pos"), C("pos")]
+def document_order() -> list[Column]:
+    return [C("doc_pos"), C("pos")]
 
 
 def collapse_aliases(faces: DataFrame, usage: DataFrame) -> DataFrame:
@@ -253,13 +254,13 @@ def collapse_aliases(faces: DataFrame, usage: DataFrame) -> DataFrame:
     then a declared one, then the longest."""
     known = faces.join(usage, ["page", "family"], "left")
     order = [
-        -F.coalesce("usage", F.lit(0)), F.when(C("discovery") == "font-face", 0).otherwise(1), -F.length("family"), *ORDER,
+        -F.coalesce("usage", F.lit(0)), F.when(C("discovery") == "font-face", 0).otherwise(1), -F.length("family"), *document_order(),
     ]
     return first_by(known, ["page", C("source.url"), "label", "weight", "style"], order).drop("usage")
 
 
 def dedupe_faces(faces: DataFrame) -> DataFrame:
-    return first_by(faces, ["page", "family", "label", C("source.url")], ORDER)
+    return first_by(faces, ["page", "family", "label", C("source.url")], document_order())
 
 
 def with_display_family(faces: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def pick_style_source(faces: DataFrame) -> DataFrame:
         F.when(C("discovery") == "font-face", 0).otherwise(1),
         C("source.variable"),
         C("source.url"),
-        *ORDER,
+        *document_order(),
     ]
     return first_by(faces, ["page", normalize_token(C("family")), normalize_token(C("label")), "style"], order)
 
@@ -282,12 +283,12 @@ def pick_style_source(faces: DataFrame) -> DataFrame:
 def pick_subset_seed(faces: DataFrame) -> DataFrame:
     """Of several range shards per style: the core one, then one with a
     payload, then the first."""
-    order = [~C("core_range"), C("source.url").isNull(), *ORDER]
+    order = [~C("core_range"), C("source.url").isNull(), *document_order()]
     return first_by(faces, ["page", "family", "label", "style"], order)
 
 
 def pick_by_format_rank(faces: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    order = [-rank_of(C("source.format"), ranks), C("source.url"), *ORDER]
+    order = [-rank_of(C("source.format"), ranks), C("source.url"), *document_order()]
     return first_by(faces, ["page", "family", "label", "style", C("source.variable")], order)
 
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake import fixed_values as fv
 from glyphlake.functions import files
+from glyphlake.functions.styles import quality_style_token
+from glyphlake.functions.text import let, normalize_token
+from glyphlake.operators.picking import dedupe_first, first_by, top_k
 
 C = F.col
 
 
+# --- file state ----------------------------------------------------------
+
+
 def with_italic_state(metrics: DataFrame) -> DataFrame:
     """Add what the file name, the names inside and the flags say about slope."""
     declared = F.when(C("is_valid"), files.declared_italic(C("subfamily_name"), C("full_name"), C("postscript_name")))
@@ -20,3 +28,280 @@ def with_italic_state(metrics: DataFrame) -> DataFrame:
         .withColumn("effective_italic", files.effective_italic(C("declared_italic"), C("file_italic"), C("flag_italic")))
         .withColumn("italic_mismatch", F.coalesce(C("file_italic") != C("effective_italic"), F.lit(False)))
     )
+
+
+def matched_tokens(tokens: Column) -> Column:
+    """Target tokens found in a file's names; NULL for files that do not open."""
+    names = F.lower(
+        F.concat_ws(
+            " ",
+            "filename",
+            *[F.coalesce(c, F.lit("")) for c in ("family_name", "subfamily_name", "full_name", "postscript_name")],
+        )
+    )
+
+    def found(hay: Column) -> Column:
+        collapsed = normalize_token(hay)
+        return let(
+            F.struct(hay.alias("h"), collapsed.alias("c"), F.replace(collapsed, F.lit("ll"), F.lit("")).alias("w")),
+            lambda x: F.filter(
+                tokens, lambda t: F.contains(x["h"], t) | F.contains(x["c"], t) | F.contains(x["w"], t)
+            ),
+        )
+
+    return F.when(C("is_valid"), let(names, found))
+
+
+def with_file_state(metrics: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """All derived columns the summaries need, in one pass and no shuffle."""
+    state = with_italic_state(metrics)
+    issues = files.name_issues(C("family_name"), C("subfamily_name"), C("full_name"), C("postscript_name"))
+    target = F.lit(None).cast("boolean") if tokens is None else F.size(matched_tokens(tokens)) > 0
+    if tokens is not None:
+        target = F.when(C("is_valid"), target)
+    return (
+        state.withColumn("mismatch", files.signature_mismatch(C("ext"), C("signature")))
+        .withColumn("is_subset", F.size(files.subset_evidence(C("glyph_count"), C("cmap_entries"))) > 0)
+        .withColumn("name_ok", F.when(C("is_valid"), F.size(issues) == 0))
+        .withColumn("tags", F.filter(F.split(F.coalesce("feature_tags", F.lit("")), ","), lambda t: t != ""))
+        .withColumn("target_matched", target)
+    )
+
+
+def contamination_split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean, contaminated); files that do not open are not contamination."""
+    dirty = F.coalesce(~C("target_matched"), F.lit(False))
+    return state.filter(~dirty), state.filter(dirty)
+
+
+def trial_assets(log: DataFrame) -> DataFrame:
+    return log.filter(
+        reduce(lambda a, b: a | b, [C(c).rlike(r"(?i)\btrial\b") for c in ("source_url", "filename", "name")])
+    )
+
+
+# --- inventories ---------------------------------------------------------
+
+
+def format_inventory(metrics: DataFrame, limited: DataFrame, required: list[str] = fv.CORE_FORMATS) -> DataFrame:
+    """Files per format and missing formats of each package.
+
+    ``limited``: (package, limited) with the formats the source does not offer.
+    One aggregate; the format list is fixed, so no pivot discovery pass.
+    """
+    counts = metrics.groupBy("package").agg(
+        *[F.count_if(C("ext") == f).alias(f"n_{f}") for f in fv.CORE_FORMATS],
+        F.count_if(~C("ext").isin(fv.CORE_FORMATS)).alias("n_other"),
+    )
+    absent = F.array_compact(F.array(*[F.when(C(f"n_{f}") == 0, F.lit(f)) for f in required]))
+    none = F.array().cast("array<string>")
+    return counts.join(limited, "package", "left").withColumn(
+        "missing", F.array_except(absent, F.coalesce("limited", none))
+    )
+
+
+def format_groups(metrics: DataFrame, limited: DataFrame) -> DataFrame:
+    """Formats and names of each style (files sharing a stem), with issues."""
+    grouped = metrics.groupBy("package", files.group_key(C("filename")).alias("key")).agg(
+        F.count("*").alias("files"),
+        F.array_sort(F.collect_set("ext")).alias("formats"),
+        F.count_distinct(F.when(C("family_name") != "", C("family_name"))).alias("family_names"),
+        F.count_distinct(F.when(C("subfamily_name") != "", C("subfamily_name"))).alias("subfamily_names"),
+    )
+    none = F.array().cast("array<string>")
+    wanted = grouped.join(limited, "package", "left").withColumn(
+        "expected", files.expected_formats(C("key"), F.coalesce("limited", none))
+    )
+    missing = wanted.withColumn("missing", F.array_except("expected", "formats"))
+    issues = F.array_compact(
+        F.array(
+            F.when(C("family_names") > 1, F.lit("family_name_mismatch")),
+            F.when(C("subfamily_names") > 1, F.lit("subfamily_name_mismatch")),
+            F.when(F.size("missing") > 0, F.lit("format_incomplete")),
+        )
+    )
+    return missing.withColumn("issues", issues).drop("limited")
+
+
+def validation_summary(state: DataFrame) -> DataFrame:
+    """Counts, averages and pass/warn/fail of each package, in one aggregate."""
+    valid = C("is_valid")
+    desktop = valid & C("ext").isin("ttf", "otf")
+    out = state.groupBy("package").agg(
+        F.count("*").alias("total_files"),
+        F.count_if(valid).alias("valid_fonts"),
+        F.count_if(~valid).alias("invalid_fonts"),
+        F.count_if(valid & C("is_subset")).alias("subsetted_fonts"),
+        F.count_if(valid & ~C("is_subset")).alias("full_fonts"),
+        F.count_if(valid & C("name_ok")).alias("name_table_ok_fonts"),
+        F.count_if(valid & ~C("name_ok")).alias("name_table_bad_fonts"),
+        F.count_if(valid & C("italic_mismatch")).alias("italic_mismatches"),
+        F.count_if("mismatch").alias("ext_signature_mismatches"),
+        F.lit(0).cast("long").alias("os2_italic_mismatches"),
+        F.lit(0).cast("long").alias("mono_fixed_pitch_mismatches"),
+        F.count_if(desktop).alias("desktop_fonts"),
+        F.count_if(desktop & C("name_ok")).alias("desktop_name_ok"),
+        F.count_if(desktop & ~C("is_subset")).alias("desktop_full_fonts"),
+        F.count_if("target_matched").alias("target_matched_fonts"),
+        F.count_if(~C("target_matched")).alias("contamination_fonts"),
+        (F.sum(F.when(valid, C("glyph_count")).otherwise(0)) / F.greatest(F.lit(1), F.count_if(valid))).alias("average_glyphs"),
+        (F.sum(F.when(valid, F.size("tags")).otherwise(0)) / F.greatest(F.lit(1), F.count_if(valid))).alias("average_feature_count"),
+    )
+    defects = (
+        C("invalid_fonts")
+        + C("name_table_bad_fonts")
+        + C("italic_mismatches")
+        + C("ext_signature_mismatches")
+        + C("contamination_fonts")
+    )
+    return out.withColumn(
+        "status", F.when(C("valid_fonts") == 0, "fail").when(defects > 0, "warn").otherwise("pass")
+    )
+
+
+def feature_histogram(state: DataFrame, k: int = fv.FEATURE_TAGS_SHOWN) -> DataFrame:
+    counts = (
+        state.filter("is_valid")
+        .select("package", F.explode("tags").alias("tag"))
+        .groupBy("package", "tag")
+        .agg(F.count("*").alias("count"))
+    )
+    return top_k(counts, ["package"], [C("count").desc(), C("tag")], k)
+
+
+def technical_qa(metrics: DataFrame, limited: DataFrame, strict_groups: bool = False) -> DataFrame:
+    """Package verdict from the inventory and the format groups."""
+    inventory = format_inventory(metrics, limited).select("package", "missing")
+    invalid = metrics.groupBy("package").agg(F.count_if(~C("is_valid")).alias("invalid_files"))
+    mismatch = F.exists("issues", lambda i: i.endswith("_name_mismatch"))
+    groups = format_groups(metrics, limited).groupBy("package").agg(
+        F.count("*").alias("groups_total"),
+        F.count_if(F.size("missing") > 0).alias("groups_incomplete"),
+        F.count_if(mismatch).alias("group_name_mismatch_count"),
+    )
+    joined = inventory.join(invalid, "package").join(groups, "package")
+    reasons = F.array_compact(
+        F.array(
+            F.when(C("invalid_files") > 0, F.concat(F.lit("invalid_fonts="), C("invalid_files"))),
+            F.when(F.size("missing") > 0, F.concat(F.lit("missing_global_formats="), F.array_join("missing", ","))),
+            F.when(F.lit(strict_groups) & (C("groups_incomplete") > 0), F.lit("incomplete_format_groups")),
+            F.when(
+                C("group_name_mismatch_count") > 0,
+                F.concat(F.lit("group_name_mismatch="), C("group_name_mismatch_count")),
+            ),
+        )
+    )
+    return joined.withColumn("reasons", reasons).withColumn(
+        "status", F.when(F.size("reasons") == 0, "pass").otherwise("warn")
+    )
+
+
+# --- ranking -------------------------------------------------------------
+
+
+def candidate_score(filename: Column, ext: Column) -> Column:
+    low = F.lower(filename)
+    by_format = reduce(
+        lambda acc, kv: F.when(ext == kv[0], kv[1]) if acc is None else acc.when(ext == kv[0], kv[1]),
+        fv.RECOVERY_FORMAT_SCORE.items(),
+        None,
+    ).otherwise(0)
+    return (
+        F.when(F.contains(low, F.lit("variable")), 100).otherwise(0)
+        + by_format
+        - F.when(F.contains(low, F.lit("italic")), 1).otherwise(0)
+    )
+
+
+def rank_candidates(metrics: DataFrame, k: int = fv.MAX_RECOVERY_CANDIDATES) -> DataFrame:
+    """Best recovery sources of each package, stable by input order."""
+    scored = metrics.withColumn("score", candidate_score(C("filename"), C("ext")))
+    return top_k(scored, ["package"], [C("score").desc(), C("pos")], k)
+
+
+def recovery_plan(metrics: DataFrame, limited: DataFrame, required: list[str] = fv.CORE_FORMATS) -> DataFrame:
+    """Missing formats per package and, where some are, the ranked sources.
+
+    Complete packages are filtered out before any ranking.
+    """
+    inventory = format_inventory(metrics, limited, required).select("package", "missing")
+    needed = inventory.filter(F.size("missing") > 0)
+    ranked = rank_candidates(metrics.join(needed.select("package"), "package", "left_semi"))
+    sources = ranked.select("package", "filename", "score", "pos")
+    return (
+        inventory.join(sources, "package", "left")
+        .withColumn("status", F.when(F.size("missing") == 0, "noop").otherwise("needed"))
+    )
+
+
+def best_metrics(state: DataFrame) -> DataFrame:
+    """Best file per package and style: most mapped characters, then glyphs."""
+    keyed = state.withColumn("style_token", quality_style_token(C("subfamily_name"))).filter("style_token <> ''")
+    return first_by(keyed, ["package", "style_token"], [-C("cmap_entries"), -C("glyph_count"), C("pos")])
+
+
+def dedupe_content(docs: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, skipped) by content hash.
+
+    Only (key, hash) is shuffled, combined before the shuffle; the skipped
+    rows come from an anti-join on the unique key, so a payload copied a
+    million times makes no hot partition.
+    """
+    hashed = docs.select(key, F.sha2(payload, 256).alias("digest"))
+    kept = hashed.groupBy("digest").agg(F.min(key).alias(key))
+    skipped = hashed.join(kept.select(key), key, "left_anti").withColumn("reason", F.lit("Duplicate payload hash"))
+    return kept, skipped
+
+
+def dedupe_labels(labels: DataFrame) -> DataFrame:
+    keyed = labels.withColumn("token", quality_style_token(C("style_label"))).filter("token <> ''")
+    return dedupe_first(keyed, ["package", "token"])
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, chunk: int = 100_000) -> DataFrame:
+    """Add ``n``: 1, 2, ... per key by a whole-number order column.
+
+    A key may hold a large share of the rows, so rows are numbered inside
+    chunks of the order column and the chunk counts, few per key, are summed
+    up ahead of them.
+    """
+    chunked = df.withColumn("_chunk", F.floor(C(order) / chunk))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        chunked.groupBy(*keys, "_chunk")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .drop("_rows")
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
+    return (
+        chunked.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn("n", C("_inside") + C("_offset"))
+        .drop("_chunk", "_inside", "_offset")
+    )
+
+
+def unique_names(rows: DataFrame, group: str, name: str, order: str, limit: int = 999) -> DataFrame:
+    """Add ``unique_name``: repeats get -1, -2, ... before the extension,
+    stepping over numbers that names of the group already use."""
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    ext = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    taken = (
+        rows.select(
+            group,
+            F.concat(F.regexp_extract(stem, r"^(.*)-(\d{1,3})$", 1), ext).alias(name),
+            F.regexp_extract(stem, r"^(.*)-(\d{1,3})$", 2).try_cast("int").alias("t"),
+        )
+        .filter("t > 0")
+        .groupBy(group, name)
+        .agg(F.array_sort(F.collect_set("t")).alias("_taken"))
+    )
+    numbered = number_rows(rows, [group, name], order).join(taken, [group, name], "left")
+    free = F.aggregate(
+        F.coalesce("_taken", F.array().cast("array<int>")),
+        (C("n") - 1).cast("int"),
+        lambda k, t: F.when(t <= k, k + 1).otherwise(k),
+    )
+    renamed = F.concat(stem, F.lit("-"), F.least(free, F.lit(limit)), ext)
+    return numbered.withColumn("unique_name", F.when(C("n") == 1, C(name)).otherwise(renamed)).drop("_taken", "n")

@@ -56,13 +56,18 @@ FACES_CTE = f""", {SUFFIX_RULES}, blocks AS (SELECT url AS page, generate_subscr
   f3 AS (SELECT *, CASE WHEN h2 IS NOT NULL AND ct <> '' AND {d.token('h2.family')} <> '' AND (contains(ct, {d.token('h2.family')}) OR contains({d.token('h2.family')}, ct)) AND {SCORE_OF('h2')} >= {SCORE_OF('c2')} THEN h2 ELSE c2 END AS c3 FROM f2),
   faces AS (SELECT page, pos, {alias_sql('f3.c3.family', 'f3.c3.label')} AS family, c3.label AS label, c3.weight AS weight, c3.style AS style, 'font-face' AS discovery, u, fmt, preload, var, core FROM f3)"""
 
-FLAT = ["page", C("pos").cast("long").alias("pos"), "family", "label", "weight", "style", "discovery", C("source.url").alias("u"), C("source.format").alias("fmt"), C("source.preload").alias("preload"), C("source.variable").alias("var")]
-FLAT_SQL = "page, CAST(pos AS BIGINT) AS pos, family, label, weight, style, discovery, u, fmt, preload, var"
+def flat(with_pos: bool = True) -> list:
+    head = ["page", C("pos").cast("long").alias("pos")] if with_pos else ["page"]
+    source = [C("source.url").alias("u"), C("source.format").alias("fmt"), C("source.preload").alias("preload"), C("source.variable").alias("var")]
+    return [*head, "family", "label", "weight", "style", *source]
+
+
+FLAT_SQL = "page, CAST(pos AS BIGINT) AS pos, family, label, weight, style, u, fmt, preload, var"
 
 
 @query("extract_faces", with_fixtures("css") + FACES_CTE + f" SELECT {FLAT_SQL} FROM faces")
 def _(spark, sf):
-    return fc.extract_faces(css_docs(spark, sf)).select(*FLAT)
+    return fc.extract_faces(css_docs(spark, sf)).select(*flat())
 
 
 @query("pick_face_source", with_fixtures("css") + FACES_CTE + " SELECT page, CAST(pos AS BIGINT) AS pos, u, vface FROM pick WHERE rn = 1")
@@ -78,7 +83,7 @@ INFERRED_CTE = font_urls_cte("css", "url", "css", "url") + f""", i0 AS (SELECT u
 
 @query("infer_face_from_url", with_fixtures("css") + f", {SUFFIX_RULES}" + INFERRED_CTE + " SELECT page, u, family, label, weight, style, fmt, preload, var FROM inferred")
 def _(spark, sf):
-    return fc.inferred_faces(css_docs(spark, sf)).select("page", *[c for c in FLAT[2:] if c != "discovery"])
+    return fc.inferred_faces(css_docs(spark, sf)).select(*flat(with_pos=False))
 
 
 def count_sql(text: str, needle: str) -> str:

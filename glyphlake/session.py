@@ -18,6 +18,8 @@ def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # rows here are small and cost much CPU each: keep small shuffles parallel
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.driver.memory", os.environ.get("GLYPHLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
