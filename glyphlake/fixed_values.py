@@ -185,6 +185,17 @@ SCRIPT_NAMES = [
     "japanese", "chinese", "devanagari",
 ]
 
+# Shop products.
+NOISE_HANDLE = r"^option-set-\d+-select-\d+$"
+BUNDLE_LABEL = (
+    r"(?i)\b(?:font\s*family|family\s*\+\s*variable|full\s*font\s*family|complete\s*family|all\s*styles?|family\s*pack)\b"
+)
+AXIS_LABEL = r"(?i)^(?:font\s*style|style|font\s*weight|weight|title)$"
+WEIGHT_WORDS = (
+    r"(?i)^regular(?:\s+(?:italic|oblique|slanted))?$|\b(?:italic|oblique|slanted|hairline|thin|extra\s*light|ultra\s*light"
+    r"|light|book|medium|semi\s*bold|demi\s*bold|extra\s*bold|ultra\s*bold|bold|heavy|black)\b"
+)
+
 # Classes of files that anchors lead to.
 LEGAL_DOCUMENT = r"(?:eula|license|licen[cs]e|terms|agreement|privacy)"
 SPECIMEN_DOCUMENT = r"(?:specimen|technical|glyph|character\s*set|brochure|catalog(?:ue)?|type\s*specimen)"

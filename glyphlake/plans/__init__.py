@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "normalize", "pages", "faces", "packages", "coverage")
+MODULES = ("urls", "normalize", "pages", "faces", "packages", "coverage", "products")
 
 
 def load_all() -> None:

@@ -87,14 +87,14 @@ GROUP BY p_brand, blk, odd
 
 PRODUCTS = """
 SELECT p_partkey, concat('{"id":', CAST(p_partkey AS VARCHAR(20)), ',"handle":"',
-  CASE WHEN p_partkey%50=0 THEN 'gift-card-' ELSE '' END, replace(p_name,' ','-'), '-', CAST(p_partkey AS VARCHAR(20)),
+  CASE WHEN p_partkey%50=0 THEN 'option-set-' ELSE '' END, CASE WHEN p_partkey%50=0 THEN concat(CAST(p_partkey AS VARCHAR(20)), '-select-1') ELSE concat(replace(p_name,' ','-'), '-', CAST(p_partkey AS VARCHAR(20))) END,
   '","title":"', p_name, '","vendor":"', p_brand, '","product_type":"', CASE WHEN p_size%3=0 THEN 'Font' WHEN p_size%3=1 THEN 'Typeface' ELSE p_type END,
   '","tags":[', CASE WHEN p_size%2=0 THEN '"font","new"' ELSE '"merch"' END, '],"options":[{"name":"',
-  CASE WHEN p_partkey%2=0 THEN 'License' ELSE 'Licence type' END, '","values":["Desktop","Web","App"]},{"name":"',
+  CASE WHEN p_partkey%2=0 THEN 'Font License' ELSE 'Usage' END, '","values":["Desktop","Web","App"]},{"name":"',
   CASE WHEN p_partkey%3=0 THEN 'Style' WHEN p_partkey%3=1 THEN 'Weight' ELSE 'Pack' END, '","values":["Regular","Bold"]},{"name":"Slope","values":["Upright","Italic"]}],"variants":[',
   '{"id":', CAST(p_partkey*10+1 AS VARCHAR(20)), ',"title":"Desktop / Regular","option1":"Desktop","option2":"Regular","option3":"Upright","price":"', CAST(p_size AS VARCHAR(10)), '.00","available":true},',
   '{"id":', CAST(p_partkey*10+2 AS VARCHAR(20)), ',"title":"Web / Bold","option1":"Web","option2":"', CASE WHEN p_size%4=0 THEN 'Bold' ELSE 'Semi Bold' END, '","option3":"Italic","price":"9.50","available":false},',
-  '{"id":', CAST(p_partkey*10+3 AS VARCHAR(20)), ',"title":"App / Family","option1":"App","option2":"', CASE WHEN p_size%5=0 THEN 'Full Family' ELSE 'Black' END, '","option3":"Upright","price":"99.00"}',
+  '{"id":', CAST(p_partkey*10+3 AS VARCHAR(20)), ',"title":"App / Family","option1":"App","option2":"', CASE WHEN p_size%5=0 THEN 'Complete Family' ELSE 'Black' END, '","option3":"Upright","price":"99.00"}',
   CASE WHEN p_partkey%7=0 THEN ',{"id":null,"title":"broken"}' ELSE '' END, ']}') AS payload
 FROM part
 """
