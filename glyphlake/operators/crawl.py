@@ -24,6 +24,8 @@ def expand_link_graph(
     needed; each level is checkpointed, and pages seen before are removed by
     an anti-join.
     """
+    # edges are read once per level: written out, their extraction runs once
+    links = cut_lineage(links.select("url", "link", "pos"))
     matched = urls.matches_patterns(C("url"), include, exclude)
     queued = cut_lineage(
         seeds.groupBy("url").agg(F.min("pos").alias("pos"))

@@ -161,6 +161,13 @@ def suite_throughput(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window("ts", width).alias("w")).agg(F.count_if(C("event") == "case_result").alias("finished"))
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds on the wall clock; no time zone enters for zone-free stamps."""
+    day = F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("long") * 60_000_000
+    return day + minutes + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 # --- caches --------------------------------------------------------------
 
 
@@ -178,7 +185,7 @@ def ttl_cache(puts: DataFrame, gets: DataFrame, ttl_seconds: int, cap: int) -> D
     the running number of puts is counted per bucket and offset by the buckets
     before it.
     """
-    micros = F.unix_micros("ts")
+    micros = wall_micros(C("ts"))
     width = ttl_seconds * 1_000_000
     p = puts.select(C("put_id").alias("id"), "token", micros.alias("t"), F.lit(True).alias("is_put"))
     g = gets.select(C("get_id").alias("id"), "token", micros.alias("t"), F.lit(False).alias("is_put"))
@@ -210,21 +217,29 @@ def ttl_cache(puts: DataFrame, gets: DataFrame, ttl_seconds: int, cap: int) -> D
 # --- rate windows --------------------------------------------------------
 
 
-def rate_limit(events: DataFrame, limit: int = fv.RATE_LIMIT_EVENTS, seconds: int = fv.RATE_LIMIT_SECONDS, slice_windows: int = 60) -> DataFrame:
+def rate_limit(
+    events: DataFrame,
+    limit: int = fv.RATE_LIMIT_EVENTS,
+    seconds: int = fv.RATE_LIMIT_SECONDS,
+    hot_rows: int = 5_000_000,
+    slice_windows: int = 1440,
+) -> DataFrame:
     """Mark events (event_id, key, ts) beyond ``limit`` in windows that open at
     a key's first event and reopen at the first event after they close.
 
-    The windows chain through time, so they are found in three steps that
-    never hold a whole key: every (key, time slice) works out where each
-    possible entry leads, one short list per key is followed slice by slice,
-    and each slice then names the window of its events.
+    Most keys are walked in time order as their partition streams by.  A key
+    with more than ``hot_rows`` events would keep one task busy: its windows
+    are found in three steps that never hold the whole key.  Every (key, time
+    slice) works out where each possible entry leads, one short list per key
+    is followed slice by slice, and each slice then names the window of its
+    events.  At most rows / hot_rows keys are hot.
     """
     import numpy as np
     import pandas as pd
 
     width = seconds * 1_000_000
     span = width * slice_windows
-    rows = events.select("event_id", "key", F.unix_micros("ts").alias("t")).withColumn("slice", F.floor(C("t") / span))
+    rows = events.select("event_id", "key", wall_micros(C("ts")).alias("t")).withColumn("slice", F.floor(C("t") / span))
 
     def exits(_, part):
         t = np.unique(part["t"].to_numpy())
@@ -269,12 +284,26 @@ def rate_limit(events: DataFrame, limit: int = fv.RATE_LIMIT_EVENTS, seconds: in
             at = end
         return pd.DataFrame({"event_id": part["event_id"], "key": part["key"], "t": part["t"], "anchor": anchor})
 
-    steps = rows.groupBy("key", "slice").applyInPandas(exits, "key long, slice long, entry long, exit long")
+    def walk(batches):
+        key = opened = None
+        for part in batches:
+            anchors = []
+            for k, t in zip(part["key"].tolist(), part["t"].tolist()):
+                if k != key or t > opened + width:
+                    key, opened = k, t
+                anchors.append(opened)
+            yield part[["event_id", "key", "t"]].assign(anchor=anchors)
+
+    schema = "event_id long, key long, t long, anchor long"
+    hot_keys = rows.groupBy("key").count().filter(C("count") > hot_rows).select("key")
+    calm = rows.join(hot_keys, "key", "left_anti").select("event_id", "key", "t")
+    walked = calm.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(walk, schema)
+    hot = rows.join(hot_keys, "key", "left_semi")
+    steps = hot.groupBy("key", "slice").applyInPandas(exits, "key long, slice long, entry long, exit long")
     opened = steps.groupBy("key").applyInPandas(follow, "key long, slice long, opened long")
-    named = rows.join(opened, ["key", "slice"]).groupBy("key", "slice").applyInPandas(
-        windows, "event_id long, key long, t long, anchor long"
-    )
+    sliced = hot.join(opened, ["key", "slice"]).groupBy("key", "slice").applyInPandas(windows, schema)
+    named = walked.unionAll(sliced)
     number = F.row_number().over(Window.partitionBy("key", "anchor").orderBy("t", "event_id"))
     return named.withColumn("n", number).select(
-        "event_id", "key", F.timestamp_micros("anchor").alias("opened_at"), "n", (C("n") > limit).alias("limited")
+        "event_id", "key", C("anchor").alias("opened_us"), "n", (C("n") > limit).alias("limited")
     )

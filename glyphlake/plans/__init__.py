@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "normalize", "pages", "faces", "packages", "coverage", "products")
+MODULES = ("urls", "normalize", "pages", "faces", "packages", "coverage", "products", "ops")
 
 
 def load_all() -> None:
