@@ -19,6 +19,7 @@ from glyphlake.functions.text import (
 )
 from glyphlake.operators.documents import CSS_FONT_URL, all_matches, font_urls
 from glyphlake.operators.picking import first_by
+from glyphlake.session import cut_lineage
 
 C = F.col
 FACE_BLOCK = r"(?is)@font-face\s*\{(.*?)\}"
@@ -332,12 +333,15 @@ def family_rank(faces: DataFrame, usage: DataFrame, tokens: DataFrame) -> DataFr
 
 def scan_pages(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The whole passive scan: declared and inferred faces of every page,
-    cleaned, one file per style, families selected."""
-    declared, inferred = extract_faces(docs), inferred_faces(docs)
-    both = declared.unionByName(inferred)
+    cleaned, one file per style, families selected.
+
+    Faces feed several later steps and are tiny next to the texts they come
+    from, so they are written out twice rather than extracted again each time.
+    """
+    both = cut_lineage(extract_faces(docs).unionByName(inferred_faces(docs)))
     usage = family_usage(both, docs)
     named = dedupe_faces(with_display_family(dedupe_faces(collapse_aliases(both, usage))))
-    kept = pick_style_source(named).filter(F.length(normalize_token(C("family"))) >= 3)
+    kept = cut_lineage(pick_style_source(named).filter(F.length(normalize_token(C("family"))) >= 3))
     families = family_rank(kept, family_usage(kept, docs), tokens).filter("selected")
     selected = kept.join(families.select("page", "family", "score"), ["page", "family"])
     return selected.withColumn("file_name_hint", file_name_hint(C("family"), C("label")))

@@ -14,6 +14,7 @@ from glyphlake.plans.normalize import SUFFIX_RULES, alias_sql, css_label_sql, hu
 from glyphlake.plans.pages import font_urls_cte
 from glyphlake.plans.registry import query
 from glyphlake.plans.urls import target_tokens_sql
+from glyphlake.session import cut_lineage
 
 C = F.col
 
@@ -101,7 +102,7 @@ USAGE_CTE = f""", fams AS (SELECT DISTINCT page, family FROM faces), uses AS (SE
 )
 def _(spark, sf):
     docs_ = css_docs(spark, sf)
-    faces = fc.extract_faces(docs_)
+    faces = cut_lineage(fc.extract_faces(docs_))
     out = fc.collapse_aliases(faces, fc.family_usage(faces, docs_))
     return out.select("page", C("pos").cast("long").alias("pos"), "family", "label", C("source.url").alias("u"))
 
@@ -138,7 +139,7 @@ def _ranked(ranks) -> str:
     SELECT 'web' AS dialect, page, family, label, style, var, u FROM w WHERE rn = 1 UNION ALL SELECT 'desktop', page, family, label, style, var, u FROM k WHERE rn = 1""",
 )
 def _(spark, sf):
-    faces = fc.extract_faces(css_docs(spark, sf))
+    faces = cut_lineage(fc.extract_faces(css_docs(spark, sf)))
     pick = lambda ranks, name: fc.pick_by_format_rank(faces, ranks).select(
         F.lit(name).alias("dialect"), "page", "family", "label", "style", C("source.variable").alias("var"), C("source.url").alias("u")
     )
@@ -177,7 +178,7 @@ RANK_CTE = USAGE_CTE + f""", st AS (SELECT page, family, count(*) AS faces, coun
 @query("family_rank", with_fixtures("css") + FACES_CTE + RANK_CTE + " SELECT page, family, faces, faces AS declared, usage, preload, boost, score, selected FROM ranks")
 def _(spark, sf):
     docs_ = css_docs(spark, sf)
-    faces = fc.extract_faces(docs_)
+    faces = cut_lineage(fc.extract_faces(docs_))
     tokens = docs_.select("page", urls.target_tokens(C("url"), C("text")).alias("tokens"))
     return fc.family_rank(faces, fc.family_usage(faces, docs_), tokens).drop("inferred")
 
@@ -202,6 +203,6 @@ def _(spark, sf):
     pages = fixture(spark, sf, "html")
     tokens = pages.select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
     documents = page_docs(spark, sf)
-    faces = fc.extract_faces(documents).unionByName(fc.inferred_faces(documents))
+    faces = cut_lineage(fc.extract_faces(documents).unionByName(fc.inferred_faces(documents)))
     candidates = docs.top_resources(docs.best_resources(docs.score_resources(docs.resource_candidates(pages))))
     return fc.scan_summary(documents, faces, fc.scan_pages(documents, tokens), candidates)
