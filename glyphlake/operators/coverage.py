@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from glyphlake.functions.styles import quality_style_token, specimen_style_token
 from glyphlake.functions.text import let, normalize_space, trim_all, without_extension
 from glyphlake.operators.documents import spelled_style, style_candidates
-from glyphlake.operators.picking import dedupe_first, first_by
+from glyphlake.operators.picking import computed, dedupe_first, first_by
 
 C = F.col
 
 
 def styles_of(rows: DataFrame, label: str, token: Column, *extra: str) -> DataFrame:
     """(package, token, label, pos, ...): first label per style key."""
-    keyed = rows.select("package", token.alias("token"), C(label).alias("label"), "pos", *extra)
+    keyed = computed(rows, token=token).select("package", "token", C(label).alias("label"), "pos", *extra)
     return dedupe_first(keyed.filter(C("token") != ""), ["package", "token"])
 
 

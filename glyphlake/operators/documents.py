@@ -18,7 +18,7 @@ from glyphlake.functions.text import (
     normalize_token,
     trim_all,
 )
-from glyphlake.operators.picking import first_by, top_k
+from glyphlake.operators.picking import computed, first_by, top_k
 
 C = F.col
 
@@ -216,17 +216,16 @@ def resource_candidates(pages: DataFrame) -> DataFrame:
         F.posexplode(tags).alias("pos", "tag"),
     )
     is_link = C("tag").rlike("(?i)^<link")
-    read = rows.select(
-        "page_id",
-        "page_url",
-        "tokens",
-        "pos",
-        urls.resolve_url(F.when(is_link, attribute(C("tag"), "href")).otherwise(attribute(C("tag"), "src")), C("page_url")).alias("url"),
-        F.when(is_link, F.lower(normalize_space(attribute(C("tag"), "rel")))).otherwise("script").alias("rel"),
-        F.lower(attribute(C("tag"), "as")).alias("as_attr"),
-        F.lower(attribute(C("tag"), "type")).alias("type_attr"),
-        is_link.alias("is_link"),
-    )
+    read = computed(
+        rows,
+        url=urls.resolve_url(
+            F.when(is_link, attribute(C("tag"), "href")).otherwise(attribute(C("tag"), "src")), C("page_url")
+        ),
+        rel=F.when(is_link, F.lower(normalize_space(attribute(C("tag"), "rel")))).otherwise("script"),
+        as_attr=F.lower(attribute(C("tag"), "as")),
+        type_attr=F.lower(attribute(C("tag"), "type")),
+        is_link=is_link,
+    ).drop("tag")
     kinds = read.withColumn(
         "kind",
         F.when(C("is_link"), resource_kind(C("url"), C("rel"), C("as_attr"), C("type_attr"))).otherwise("js"),
@@ -278,14 +277,14 @@ def anchor_assets(pages: DataFrame) -> DataFrame:
         "url",
         F.posexplode(all_matches(C("html"), r"(?is)<a\b[^>]*>.*?</a>", 0)).alias("pos", "tag"),
     )
-    read = anchors.select(
-        "page_id",
-        "pos",
-        urls.resolve_url(decode_html_entities(attribute(F.regexp_extract("tag", r"(?is)^(<a\b[^>]*>)", 1), "href")), C("url")).alias("asset_url"),
-        normalize_space(
-            decode_html_entities(F.regexp_replace(F.regexp_extract("tag", r"(?is)^<a\b[^>]*>(.*)</a>$", 1), "<[^>]+>", " "))
-        ).alias("label"),
-    ).filter(C("asset_url").isNotNull() & C("asset_url").rlike(r"(?i)\.(?:woff2?|ttf|otf|zip|pdf)(?:$|[?#])"))
+    head, body = r"(?is)^(<a\b[^>]*>)", r"(?is)^<a\b[^>]*>(.*)</a>$"
+    read = computed(
+        anchors,
+        asset_url=urls.resolve_url(decode_html_entities(attribute(F.regexp_extract("tag", head, 1), "href")), C("url")),
+        label=normalize_space(
+            decode_html_entities(F.regexp_replace(F.regexp_extract("tag", body, 1), "<[^>]+>", " "))
+        ),
+    ).drop("tag", "url").filter(C("asset_url").isNotNull() & C("asset_url").rlike(r"(?i)\.(?:woff2?|ttf|otf|zip|pdf)(?:$|[?#])"))
     return read.withColumn("asset_class", anchor_class(C("asset_url"), C("label")))
 
 

@@ -18,7 +18,7 @@ from glyphlake.functions.text import (
     strip_quotes,
 )
 from glyphlake.operators.documents import CSS_FONT_URL, all_matches, font_urls
-from glyphlake.operators.picking import first_by
+from glyphlake.operators.picking import computed, first_by
 from glyphlake.session import cut_lineage
 
 C = F.col
@@ -77,17 +77,15 @@ def raw_faces(docs: DataFrame) -> DataFrame:
         "preload",
         F.posexplode(all_matches(C("text"), FACE_BLOCK, 1)).alias("pos", "block"),
     )
-    read = blocks.select(
-        "page",
-        C("url").alias("doc_url"),
-        "doc_pos",
-        "pos",
-        strip_quotes(declaration(C("block"), "font-family")).alias("css_family"),
-        F.coalesce(blank_to_null(declaration(C("block"), "font-weight")), F.lit("400")).alias("raw_weight"),
-        F.coalesce(blank_to_null(declaration(C("block"), "font-style")), F.lit("normal")).alias("raw_style"),
-        F.contains(C("block"), F.lit("U+0000-00FF")).alias("core_range"),
-        face_sources(C("block"), C("url"), C("preload")).alias("sources"),
-    ).filter((C("css_family") != "") & (F.size("sources") > 0))
+    block = C("block")
+    read = computed(
+        blocks.withColumnRenamed("url", "doc_url"),
+        css_family=strip_quotes(declaration(block, "font-family")),
+        raw_weight=F.coalesce(blank_to_null(declaration(block, "font-weight")), F.lit("400")),
+        raw_style=F.coalesce(blank_to_null(declaration(block, "font-style")), F.lit("normal")),
+        core_range=F.contains(block, F.lit("U+0000-00FF")),
+        sources=face_sources(block, C("doc_url"), C("preload")),
+    ).drop("block", "preload").filter((C("css_family") != "") & (F.size("sources") > 0))
     variable = (
         F.contains(normalize_token(C("css_family")), F.lit("variable"))
         | C("raw_weight").rlike(styles.RANGE)
@@ -151,7 +149,7 @@ def extract_faces(docs: DataFrame) -> DataFrame:
         ),
         by_file_name,
     )
-    return faces.withColumn("face", second).select(
+    return computed(faces, face=second).select(
         "page",
         "doc_url",
         "doc_pos",
@@ -203,7 +201,7 @@ def inferred_faces(docs: DataFrame) -> DataFrame:
         F.posexplode(font_urls(C("text"), C("url"))).alias("pos", "asset_url"),
     )
     once = first_by(found, ["page", "asset_url"], [C("doc_pos"), C("pos")])
-    faces = once.withColumn("face", infer_face(C("asset_url"), C("preload"))).filter(C("face").isNotNull())
+    faces = computed(once, face=infer_face(C("asset_url"), C("preload"))).filter(C("face").isNotNull())
     return faces.select(
         "page", "doc_url", "doc_pos", (C("pos") + 100_000).alias("pos"),
         "face.family", "face.label", "face.weight", "face.style",

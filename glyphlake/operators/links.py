@@ -17,17 +17,16 @@ ANCHOR_HREF = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']"
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, link, pos): distinct crawl-normal links in page order.
 
-    References that cannot become http(s) URLs are dropped inside the array,
-    before the explode; ``html`` does not travel past it.
+    References become links inside the array, before the explode: each is
+    resolved once, however many filters follow, and ``html`` goes no further.
     """
-    hrefs = F.filter(
+    found = F.transform(
         F.regexp_extract_all("html", F.lit(ANCHOR_HREF), F.lit(1)),
-        lambda h: ~h.rlike("(?i)^(mailto|javascript|tel|data):"),
+        lambda h: urls.normalize_crawl_url(urls.resolve_url(h, F.col("url"))),
     )
-    exploded = pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
-    resolved = urls.with_resolved_url(exploded, "href", "url", "target").filter(F.col("target").isNotNull())
+    exploded = pages.select("page_id", "url", F.posexplode(found).alias("pos", "link"))
     return (
-        resolved.withColumn("link", urls.normalize_crawl_url(F.col("target")))
+        exploded.filter(F.col("link").isNotNull())
         .groupBy("page_id", "url", "link")
         .agg(F.min("pos").alias("pos"))
     )

@@ -11,7 +11,7 @@ from glyphlake import fixed_values as fv
 from glyphlake.functions import files
 from glyphlake.functions.styles import quality_style_token
 from glyphlake.functions.text import let, normalize_token
-from glyphlake.operators.picking import dedupe_first, first_by, top_k
+from glyphlake.operators.picking import computed, dedupe_first, first_by, top_k
 
 C = F.col
 
@@ -236,7 +236,7 @@ def recovery_plan(metrics: DataFrame, limited: DataFrame, required: list[str] =
 
 def best_metrics(state: DataFrame) -> DataFrame:
     """Best file per package and style: most mapped characters, then glyphs."""
-    keyed = state.withColumn("style_token", quality_style_token(C("subfamily_name"))).filter("style_token <> ''")
+    keyed = computed(state, style_token=quality_style_token(C("subfamily_name"))).filter("style_token <> ''")
     return first_by(keyed, ["package", "style_token"], [-C("cmap_entries"), -C("glyph_count"), C("pos")])
 
 
@@ -254,7 +254,7 @@ def dedupe_content(docs: DataFrame, key: str, payload: str) -> tuple[DataFrame,
 
 
 def dedupe_labels(labels: DataFrame) -> DataFrame:
-    keyed = labels.withColumn("token", quality_style_token(C("style_label"))).filter("token <> ''")
+    keyed = computed(labels, token=quality_style_token(C("style_label"))).filter("token <> ''")
     return dedupe_first(keyed, ["package", "token"])
 
 

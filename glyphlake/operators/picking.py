@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are evaluated once per row.
+
+    A filter on a plain computed column is pushed below the projection, with a
+    copy of the expression; it cannot be pushed below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """The least row per key in the given order.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions.styles import quality_style_token, target_style_token
 from glyphlake.operators import coverage as cv
 from glyphlake.operators import packages as pk
+from glyphlake.operators.picking import computed, dedupe_first, first_by
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import quality_token_sql, specimen_token_sql, target_token_sql
@@ -38,9 +39,7 @@ def observed_metrics(spark, sf):
     rows = full_fonts(spark, sf).withColumn(
         "label", F.when(C("package").endswith("0"), C("full_name")).otherwise(C("subfamily_name"))
     )
-    keyed = rows.withColumn("token", quality_style_token(C("label"))).filter("token <> ''")
-    from glyphlake.operators.picking import first_by
-
+    keyed = computed(rows, token=quality_style_token(C("label"))).filter("token <> ''")
     return first_by(keyed, ["package", "token"], [-C("cmap_entries"), -C("glyph_count"), C("pos")])
 
 
@@ -69,9 +68,7 @@ def _(spark, sf):
 
 def names(spark, sf, fonts):
     """(package, token, name, pos) of postscript names, first per token."""
-    rows = fonts.filter("postscript_name <> ''").withColumn("token", target_style_token(C("postscript_name")))
-    from glyphlake.operators.picking import dedupe_first
-
+    rows = computed(fonts.filter("postscript_name <> ''"), token=target_style_token(C("postscript_name")))
     return dedupe_first(rows.select("package", "token", C("postscript_name").alias("name"), "pos"), ["package", "token"])
 
 

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake import fixed_values as fv
+from glyphlake.session import spread
 
 SQ, NL = "chr(39)", "chr(10)"
 
@@ -248,7 +249,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived input as a lazy DataFrame over the driver's parquet files."""
     text = _PLAIN[name] if name in _PLAIN else _AGGREGATED[name](SPARK_AGG)
     text = re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", text)
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({BASE_TABLES})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", text))
+    frame = spark.sql(re.sub(rf"\b(FROM|JOIN) ({BASE_TABLES})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", text))
+    return spread(frame) if name in ("html", "css", "products", "file_metrics") else frame
 
 
 def with_fixtures(*names: str) -> str:

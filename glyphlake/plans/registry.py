@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphlake.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+# tables of long texts, where a row may take a millisecond
+TEXT_TABLES = ("pages", "documents")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,4 +32,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in TEXT_TABLES else frame

@@ -23,10 +23,26 @@ def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("GLYPHLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
+        # expressions here are large: do not record a call site for each node
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input whose rows cost much CPU.
+
+    A table smaller than one full scan split per core may sit in a single
+    file and would then keep one core busy; only such a table is shuffled.
+    Anything larger already has splits enough and passes through untouched.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 * 1024 * 1024
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a fresh local one only if unset."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
