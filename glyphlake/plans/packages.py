@@ -117,11 +117,16 @@ def _(spark, sf):
 
 @query(
     "recovery_plan",
-    FX + INVENTORY_CTE + CANDIDATES_CTE + """ SELECT i.package, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN 'noop' ELSE 'needed' END AS status, t.filename, t.score
-    FROM inv AS i LEFT JOIN top AS t ON t.package = i.package AND len(missing) > 0""",
+    FX + """, fine AS (SELECT package || '/' || coalesce(full_name, '?') AS package, filename, ext, pos FROM file_metrics),
+    mi AS (SELECT package, list_filter([CASE WHEN count(*) FILTER (WHERE ext = 'woff') = 0 THEN 'woff' END, CASE WHEN count(*) FILTER (WHERE ext = 'woff2') = 0 THEN 'woff2' END, CASE WHEN count(*) FILTER (WHERE ext = 'otf') = 0 THEN 'otf' END], lambda x: x IS NOT NULL) AS missing FROM fine GROUP BY package),
+    sc AS (SELECT package, filename, pos, CASE WHEN contains(lower(filename), 'variable') THEN 100 ELSE 0 END + CASE ext WHEN 'woff2' THEN 40 WHEN 'woff' THEN 25 WHEN 'ttf' THEN 20 WHEN 'otf' THEN 15 ELSE 0 END - CASE WHEN contains(lower(filename), 'italic') THEN 1 ELSE 0 END AS score FROM fine),
+    rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY score DESC, pos) AS rn FROM sc) AS q WHERE rn <= 24)
+    SELECT m.package, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN 'noop' ELSE 'needed' END AS status, r.filename, r.score FROM mi AS m LEFT JOIN rk AS r ON r.package = m.package AND len(missing) > 0""",
 )
 def _(spark, sf):
-    out = pk.recovery_plan(metrics(spark, sf), limited_formats(spark, sf))
+    # one package per full name, so that some lack a format
+    fine = metrics(spark, sf).withColumn("package", F.concat_ws("/", "package", F.coalesce("full_name", F.lit("?"))))
+    out = pk.recovery_plan(fine, limited_formats(spark, sf), ["woff", "woff2", "otf"])
     return out.select("package", F.array_join("missing", ",").alias("missing"), "status", "filename", "score")
 
 
