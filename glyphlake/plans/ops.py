@@ -18,6 +18,7 @@ from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import REASON_CASE
 from glyphlake.plans.registry import query, table
+from glyphlake.plans.urls import _ADMITTED_CTE
 from glyphlake.session import checkpoint_root
 from glyphlake.sources import sinks
 from glyphlake.sources.asset_files import sfnt_metrics
@@ -179,12 +180,18 @@ def crawl_inputs(spark, sf):
     return seeds, edges, stored
 
 
-@query("expand_link_graph")
+@query(
+    "expand_link_graph",
+    with_fixtures("html").replace("WITH ", "WITH RECURSIVE ", 1) + _ADMITTED_CTE + f""", edges AS (SELECT DISTINCT {d.crawl_url("url")} AS url, link FROM admitted), stored AS (SELECT page_id, {d.crawl_url("url")} AS url FROM html),
+    walk AS (SELECT url, 0 AS depth FROM stored WHERE page_id%50 = 0 UNION SELECT e.link, w.depth + 1 FROM walk AS w JOIN edges AS e ON e.url = w.url WHERE w.depth < 4), seen AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
+    SELECT s.url, s.depth, s.url IN (SELECT url FROM stored) AS ok, (SELECT count(*) FROM edges AS e WHERE e.url = s.url) AS discovered,
+      regexp_matches(s.url, '(?i)/typefaces/|/fonts/|/font/|/family/') AND NOT regexp_matches(s.url, '(?i)/cart|/checkout|/login|/account|/privacy|/terms|/cdn-cgi/') AS matched FROM seen AS s""",
+)
 def _(spark, sf):
     """Seeds are every fiftieth page; the whole corpus may be reached."""
     seeds, edges, stored = crawl_inputs(spark, sf)
     out = cr.expand_link_graph(seeds, edges, stored, max_depth=4, max_pages=1_000_000)
-    return out.select("url", "depth", "ok", "discovered", "enqueued", "matched")
+    return out.select("url", "depth", "ok", "discovered", "matched")
 
 
 @query("crawl_summary")

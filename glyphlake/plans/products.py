@@ -333,13 +333,12 @@ def _(spark, sf):
     )
     wanted = fixture(spark, sf, "profiles").select(
         F.lower(F.replace(F.regexp_extract("package", r"^(.*)-\d+$", 1), F.lit("#"), F.lit(""))).alias("brand"), F.regexp_extract("package", r"-(\d+)$", 1).alias("blk"),
-        C("pos").alias("style_pos"), C("style_label").alias("style"), C("style_label").rlike("(?i)italic|oblique").alias("style_italic"),
-        F.when(F.lower("style_label").rlike("bold"), 700.0).otherwise(400.0).alias("style_weight"),
+        C("pos").alias("style_pos"), C("style_label").alias("style"), C("style_label").rlike("(?i)italic|oblique").alias("italic"),
+        F.when(F.lower("style_label").rlike("bold"), 700.0).otherwise(400.0).alias("weight"),
         F.filter(F.split(F.lower("style_label"), " "), lambda t: t != "").alias("tokens"),
     )
-    pairs = wanted.join(faces, ["brand", "blk"])
-    scored = pairs.withColumn("score", pr.face_match_score(C("style_italic"), C("face_italic"), C("style_weight"), C("face_weight"), C("tokens"), C("stem")).cast("long"))
-    return pr.assign_best(scored.filter("score > 0").select(F.concat_ws("/", "brand", "blk", "fam").alias("family"), "style_pos", "style", "face", "face_pos", "score"))
+    named = faces.withColumn("family", F.concat_ws("/", "brand", "blk", "fam"))
+    return pr.assign_best(pr.score_candidates(named, wanted, ["brand", "blk"]))
 
 
 @query(
