@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import exact_dedup, mixing, quality_rules, sharding
+from glyphlake.llm import exact_dedup, mixing, quality_rules, sharding, simhash
 from glyphlake.llm.common import documents
 
 SHARDS = 40
@@ -32,11 +32,16 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(documents(spark, sf_dir), SHARDS, SHARD_SEED)
 
 
+def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivotal_mixture": op4_pivotal_mixture,
     "op5_digest_tree": op5_digest_tree,
     "op7_quality_rules": op7_quality_rules,
     "op8_interleaved_shards": op8_interleaved_shards,
+    "op10_simhash_anchors": op10_simhash_anchors,
 }
 
 ORACLES: dict[str, str] = {}
