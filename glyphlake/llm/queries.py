@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import exact_dedup, mixing, quality_rules, sharding, simhash
+from glyphlake.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash
 from glyphlake.llm.common import documents
 
 SHARDS = 40
@@ -32,6 +33,11 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(documents(spark, sf_dir), SHARDS, SHARD_SEED)
 
 
+def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_digest_tree": op5_digest_tree,
     "op7_quality_rules": op7_quality_rules,
     "op8_interleaved_shards": op8_interleaved_shards,
+    "op9_word_table_bpe": op9_word_table_bpe,
     "op10_simhash_anchors": op10_simhash_anchors,
 }
 
