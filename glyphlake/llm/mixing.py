@@ -140,9 +140,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     all its columns; documents the mix does not take are left out.
 
     Documents without a word weigh nothing in any mix; they are taken once.
+    Rows that repeat an id share its copies evenly, rounded up.
     """
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))
-    taken = mixture(docs).select(F.col("doc_id").alias("_id"), copies.cast("int").alias("_copies")).filter("_copies > 0")
+    plan = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg(copies)).cast("int").alias("_copies"))
+    taken = plan.filter("_copies > 0")
     named = docs.columns
     found = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named)

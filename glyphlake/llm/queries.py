@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash
-from glyphlake.llm.common import documents
+from glyphlake.llm import bpe, exact_dedup, mixing, quality, quality_rules, sharding, simhash
+from glyphlake.llm.common import documents, held_out
 
 SHARDS = 40
 SHARD_SEED = 8
 
 
+def op3_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.scored(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    predicted = (F.col("_score") >= quality.THRESHOLD).cast("int")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+
+
 def op4_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -43,6 +50,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_random_index_quality": op3_random_index_quality,
     "op4_pivotal_mixture": op4_pivotal_mixture,
     "op5_digest_tree": op5_digest_tree,
     "op7_quality_rules": op7_quality_rules,
