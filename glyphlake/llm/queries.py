@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, mixing, quality, quality_rules, sharding, simhash
+from glyphlake.llm import bpe, exact_dedup, lang_id, mixing, quality, quality_rules, sharding, simhash
 from glyphlake.llm.common import documents, held_out
 
 SHARDS = 40
 SHARD_SEED = 8
 
 
+def op2_gated_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = lang_id.identified(docs.select("doc_id", "text"), docs)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_language").alias("lang_pred"), F.col("_sure").alias("score"))
+
+
 def op3_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = quality.scored(documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -50,6 +56,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_gated_byte_network": op2_gated_byte_network,
     "op3_random_index_quality": op3_random_index_quality,
     "op4_pivotal_mixture": op4_pivotal_mixture,
     "op5_digest_tree": op5_digest_tree,
