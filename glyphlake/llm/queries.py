@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, lang_id, mixing, quality, quality_rules, sharding, simhash
+from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, quality, quality_rules, sharding, simhash
 from glyphlake.llm.common import documents, held_out
 
 SHARDS = 40
 SHARD_SEED = 8
 
 
+def op1_aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_common_blocks(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "earlier_ids", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_gated_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = lang_id.identified(docs.select("doc_id", "text"), docs)
@@ -56,6 +61,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_aligned_blocks": op1_aligned_blocks,
     "op2_gated_byte_network": op2_gated_byte_network,
     "op3_random_index_quality": op3_random_index_quality,
     "op4_pivotal_mixture": op4_pivotal_mixture,
