@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, quality, quality_rules, sharding, simhash
-from glyphlake.llm.common import documents, held_out
+from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, quality, quality_rules, sharding, simhash, token_files
+from glyphlake.llm.common import documents, held_out, new_folder
 
 SHARDS = 40
 SHARD_SEED = 8
@@ -41,6 +41,12 @@ def op5_digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-ids")
+    token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_random_index_quality": op3_random_index_quality,
     "op4_pivotal_mixture": op4_pivotal_mixture,
     "op5_digest_tree": op5_digest_tree,
+    "op6_context_mixing_files": op6_context_mixing_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_interleaved_shards": op8_interleaved_shards,
     "op9_word_table_bpe": op9_word_table_bpe,
