@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphlake.llm.common import written
+from glyphlake.llm.common import sliced, written
 
-BLOCK_BYTES = 32 << 20
-TOKENS_AT_ONCE = 1 << 19
+BLOCK_BYTES = 16 << 20
+TOKENS_AT_ONCE = 1 << 18
 
 # fixed values: letters and other characters of European texts whose classes
 # are the same in all engines and versions; texts with any other character are
@@ -96,20 +96,19 @@ class _Places(dict):
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**24: the low 16 bits of all, then the next 8, compressed."""
-    low, high = (numbers & 0xFFFF).astype("<u2"), (numbers >> 16).astype(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(low.tobytes() + high.tobytes())
+    """32-bit numbers, compressed: all lowest bytes, then all next ones, ..."""
+    planes = np.ascontiguousarray(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack_numbers(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    n = len(raw) // 3
-    return np.frombuffer(raw, "<u2", n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
-WORD_PACKS = pa.list_(pa.struct([("pack", pa.int32()), ("places", pa.binary()), ("words", pa.list_(pa.string()))]))
+WORD_PACKS = pa.list_(pa.struct([("pack", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("spelt", pa.binary())]))
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.list_(pa.binary())), ("packs", WORD_PACKS)])
-BLOCKS_DDL = "block long, doc_ids array<long>, counts binary, codes array<binary>, packs array<struct<pack int, places binary, words array<string>>>"
+BLOCKS_DDL = "block long, doc_ids array<long>, counts binary, codes array<binary>, packs array<struct<pack int, places binary, lengths binary, spelt binary>>"
 
 
 def _blocks(path: str, packs: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -121,16 +120,19 @@ def _blocks(path: str, packs: int, block_bytes: int) -> Callable[[Iterator[pa.Re
         def close() -> pa.RecordBatch:
             if waiting:
                 codes.append(pack_numbers(np.concatenate(waiting)))
-            owners: dict[int, tuple[list[int], list[str]]] = {}
+            owners: dict[int, tuple[list[int], list[bytes]]] = {}
             for word, place in places.items():
-                spots, words = owners.setdefault(crc32(word.encode("utf-8", "surrogatepass")) % packs, ([], []))
+                spelt = word.encode("utf-8", "surrogatepass")
+                spots, words = owners.setdefault(crc32(spelt) % packs, ([], []))
                 spots.append(place)
-                words.append(word)
-            sent = [{"pack": k, "places": np.array(s, "<u4").tobytes(), "words": w} for k, (s, w) in owners.items()]
+                words.append(spelt)
+            press = zstandard.ZstdCompressor(level=3).compress
+            # places rise, so their differences are small
+            sent = [{"pack": k, "places": pack_numbers(np.diff(s, prepend=0)), "lengths": pack_numbers(np.fromiter(map(len, w), np.int64, len(w))), "spelt": press(b"".join(w))} for k, (s, w) in owners.items()]
             return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "counts": np.array(counts, "<u4").tobytes(), "codes": codes, "packs": sent}], schema=BLOCKS)
 
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = split(text) if text else []
                 ids.append(doc_id)
@@ -155,21 +157,22 @@ def _encode_packs(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """Encode the words of one owner; each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
-        known: dict[str, bytes] = {}
+        encoder, open_up = tokenizer(path), zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for block, places, words in zip(batch.column("block").to_pylist(), batch.column("places"), batch.column("words").to_pylist(), strict=True):
+            for row in batch.to_pylist():
+                ends = np.cumsum(unpack_numbers(row["lengths"]))
+                spelt = open_up(row["spelt"])
+                words = [spelt[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 4096):
                     some = new[at : at + 4096]
-                    for word, found in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                        known[word] = np.array(found.ids, "<u2" if encoder.get_vocab_size() <= 65536 else "<u4").tobytes()
+                    for word, found in zip(some, encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False), strict=True):
+                        known[word] = np.array(found.ids, "<u4")
                 pieces = [known[w] for w in words]
-                width = 2 if encoder.get_vocab_size() <= 65536 else 4
-                lengths = np.fromiter(map(len, pieces), np.uint32, len(pieces)) // width
                 yield pa.record_batch(
-                    [pa.array([block], pa.int64()), pa.array([places.as_py()], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(pieces)], pa.binary()), pa.array([width], pa.int32())],
-                    names=["block", "places", "lengths", "ids", "width"],
+                    [pa.array([row["block"]], pa.int64()), pa.array([row["places"]], pa.binary()), pa.array([pack_numbers(np.fromiter(map(len, pieces), np.int64, len(pieces)))], pa.binary()), pa.array([pack_numbers(np.concatenate(pieces))], pa.binary())],
+                    names=["block", "places", "lengths", "ids"],
                 )
 
     return run
@@ -186,13 +189,13 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picked: np
 
 def _join_back(key: tuple, block: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of the documents of one block: those of its words, by position."""
-    places = [np.frombuffer(x.as_py(), "<u4") for x in words.column("places")]
-    lengths = [np.frombuffer(x.as_py(), "<u4") for x in words.column("lengths")]
+    places = [np.cumsum(unpack_numbers(x.as_py())) for x in words.column("places")]
+    lengths = [unpack_numbers(x.as_py()) for x in words.column("lengths")]
     count = sum(map(len, places))
     length, start = np.zeros(count, np.int64), np.zeros(count, np.int64)
     flat, base = [], 0
-    for spot, size, width, ids in zip(places, lengths, words.column("width").to_pylist(), words.column("ids").to_pylist(), strict=True):
-        part = np.frombuffer(ids, f"<u{width}").astype("<u4")
+    for spot, size, ids in zip(places, lengths, words.column("ids").to_pylist(), strict=True):
+        part = unpack_numbers(ids).astype("<u4")
         ends = np.cumsum(size)
         length[spot], start[spot] = size, base + ends - size
         flat.append(part)
@@ -230,9 +233,10 @@ def encoded(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataF
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packs = max(64, 2 * source.rdd.getNumPartitions())
-    blocks = written(source.mapInArrow(_blocks(path, packs, block_bytes), BLOCKS_DDL), "blocks")
+    # bucketed by block, so that documents stay where they are when ids come back
+    blocks = written(source.mapInArrow(_blocks(path, packs, block_bytes), BLOCKS_DDL), "blocks", buckets=packs, by="block")
     owned = blocks.select("block", F.explode("packs").alias("p")).select("block", "p.*").repartitionById(packs, F.col("pack"))
-    words = owned.select("block", "places", "words").mapInArrow(_encode_packs(path), "block long, places binary, lengths binary, ids binary, width int")
+    words = owned.select("block", "places", "lengths", "spelt").mapInArrow(_encode_packs(path), "block long, places binary, lengths binary, ids binary")
     bodies = blocks.select("block", "doc_ids", "counts", "codes")
     return bodies.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back, "doc_id long, n_tokens long, ids binary")
 
@@ -259,14 +263,12 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _decode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, lengths = pieces(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = []
-                for ids in part.column("ids"):
-                    spelt, _ = gather(flat, starts, lengths, np.frombuffer(ids.as_py() or b"", "<u4"))
-                    texts.append(spelt.tobytes().decode("utf-8", "replace"))
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+        for part in sliced(batches):
+            texts = []
+            for ids in part.column("ids"):
+                spelt, _ = gather(flat, starts, lengths, np.frombuffer(ids.as_py() or b"", "<u4"))
+                texts.append(spelt.tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return run
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ SPACES = r"[\x20\x09-\x0D]+"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: rows of text that a task turns into Python objects at once
+ROWS_AT_ONCE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -44,11 +57,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """As ``staged``, but as a compressed Parquet table: for large rows."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, codec: str = "zstd", buckets: int | None = None, by: str | None = None) -> DataFrame:
+    """As ``staged``, but as a compressed Parquet table: for large rows.
+
+    With ``buckets`` the files are bucketed ``by`` a column, so that grouping
+    by it later needs no shuffle; the name in the catalog is taken back at once.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    if not buckets:
+        df.write.option("compression", codec).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", codec).option("path", path).bucketBy(buckets, by).saveAsTable(table, format="parquet")
+    found = spark.table(table).select("*")
+    found.schema  # resolved now; the files outlive the name
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until the table has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def whole(text: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import SPACES, staged, whole
+from glyphlake.llm.common import SPACES, fresh, staged, whole
 
 FAN_IN = 8
 ROWS_PER_LANE = 1 << 18
@@ -107,5 +107,6 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     Only the ids to drop travel; a document without a copy is never touched.
     """
-    copies = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    copies = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import held_out
+from glyphlake.llm.common import fresh, held_out, sliced
 
 STRETCH = 64
 STATE = 8
@@ -178,7 +178,7 @@ def train(stretches: np.ndarray, used: np.ndarray, labels: np.ndarray, languages
 
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of each text, from places all over it that its hash decides."""
-    for batch in batches:
+    for batch in sliced(batches):
         ids, langs, found = [], [], []
         for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -249,18 +249,16 @@ def distributions(texts: list[str | None], net: Network) -> np.ndarray:
 def _predict(model: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column("text").to_pylist()
-                spoken = np.fromiter(map(has_letter, texts), bool, len(texts))
-                if net is None:
-                    best, sure = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-                else:
-                    share = distributions([t if s else None for t, s in zip(texts, spoken, strict=True)], net)
-                    best, sure = np.array(net.languages, object)[share.argmax(axis=1)], share.max(axis=1).clip(0, 1)
-                best[~spoken], sure[~spoken] = UNKNOWN, 1.0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.tolist(), pa.string()), pa.array(sure.astype(np.float64))], names=[*part.schema.names, "_language", "_sure"])
+        for part in sliced(batches):
+            texts = part.column("text").to_pylist()
+            spoken = np.fromiter(map(has_letter, texts), bool, len(texts))
+            if net is None:
+                best, sure = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            else:
+                share = distributions([t if s else None for t, s in zip(texts, spoken, strict=True)], net)
+                best, sure = np.array(net.languages, object)[share.argmax(axis=1)], share.max(axis=1).clip(0, 1)
+            best[~spoken], sure[~spoken] = UNKNOWN, 1.0
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.tolist(), pa.string()), pa.array(sure.astype(np.float64))], names=[*part.schema.names, "_language", "_sure"])
 
     return run
 
@@ -270,9 +268,11 @@ def identified(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFram
 
     Null texts and texts without a letter are ``und`` (probability 1), and so,
     with probability 0, is everything if nothing could be learnt.  Repeated
-    rows are judged alike.  All columns of the table stay, whatever their
-    names; an empty table gives no rows.
+    rows are judged alike.  All columns of the table stay; it must
+    not have columns of these two names.  An empty table gives no rows.
     """
+    if fresh(docs, "_language", "_sure") != ["_language", "_sure"]:
+        raise ValueError("the table already has a column _language or _sure")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predict(model), f"{fields}, _language string, _sure double")

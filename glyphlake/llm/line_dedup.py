@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import written
+from glyphlake.llm.common import sliced, written
 
 #: shorter common blocks are left where they are
 BLOCK_WORDS = 8
@@ -39,20 +39,18 @@ def filled_lines(text: str | None) -> list[bytes]:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document and different line: hash, words, and places."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids, hashes, words, places = [], [], [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found: dict[bytes, list[int]] = {}
-                for place, line in enumerate(filled_lines(text)):
-                    found.setdefault(line, []).append(place)
-                for line, where in found.items():
-                    ids.append(doc_id)
-                    hashes.append(xxhash.xxh3_128_digest(line))
-                    words.append(line.count(b" ") + 1)
-                    places.append(where)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "_line", "_words", "_places"])
+    for part in sliced(batches):
+        ids, hashes, words, places = [], [], [], []
+        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            found: dict[bytes, list[int]] = {}
+            for place, line in enumerate(filled_lines(text)):
+                found.setdefault(line, []).append(place)
+            for line, where in found.items():
+                ids.append(doc_id)
+                hashes.append(xxhash.xxh3_128_digest(line))
+                words.append(line.count(b" ") + 1)
+                places.append(where)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "_line", "_words", "_places"])
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,7 +117,7 @@ def common_blocks(shared: list[tuple[int, list[int], list[int]]], block_words: i
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         places = [common_blocks([(s["words"], s["later"], s["earlier"]) for s in shared]) for shared in batch.column("_shared").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), batch.column("_first"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "earlier_id", "places"])
 
@@ -139,28 +137,26 @@ def aligned_pairs(docs: DataFrame) -> DataFrame:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts, lines, gone, words = [], [], [], []
-            for text, places in zip(part.column("_text").to_pylist(), part.column("_places").to_pylist(), strict=True):
-                deleted, kept, place, dropped = set(places or ()), [], -1, 0
-                for line in text.split("\n") if text else []:
-                    count = len(line.encode("utf-8", "surrogatepass").split())
-                    place += count > 0
-                    if count and place in deleted:
-                        dropped += count
-                    else:
-                        kept.append(line)
-                texts.append(text if not deleted else "\n".join(kept))
-                lines.append(place + 1)
-                gone.append(len(deleted))
-                words.append(dropped)
-            names = [n for n in part.schema.names if n not in ("_places", "_text")]
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(n) for n in names], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64())],
-                names=[*names, "_kept_text", "_lines", "_gone", "_words_gone"],
-            )
+    for part in sliced(batches):
+        texts, lines, gone, words = [], [], [], []
+        for text, places in zip(part.column("_text").to_pylist(), part.column("_places").to_pylist(), strict=True):
+            deleted, kept, place, dropped = set(places or ()), [], -1, 0
+            for line in text.split("\n") if text else []:
+                count = len(line.encode("utf-8", "surrogatepass").split())
+                place += count > 0
+                if count and place in deleted:
+                    dropped += count
+                else:
+                    kept.append(line)
+            texts.append(text if not deleted else "\n".join(kept))
+            lines.append(place + 1)
+            gone.append(len(deleted))
+            words.append(dropped)
+        names = [n for n in part.schema.names if n not in ("_places", "_text")]
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(n) for n in names], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64())],
+            names=[*names, "_kept_text", "_lines", "_gone", "_words_gone"],
+        )
 
 
 def without_common_blocks(docs: DataFrame) -> DataFrame:

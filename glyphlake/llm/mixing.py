@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import staged, uniform, word_count
+from glyphlake.llm.common import fresh, staged, uniform, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -143,8 +143,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Rows that repeat an id share its copies evenly, rounded up.
     """
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))
-    plan = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg(copies)).cast("int").alias("_copies"))
-    taken = plan.filter("_copies > 0")
-    named = docs.columns
-    found = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named)
+    key, times, copy = fresh(docs, "_key", "_times", "_copy")
+    plan = mixture(docs).groupBy(F.col("doc_id").alias(key)).agg(F.ceil(F.avg(copies)).cast("int").alias(times))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.join(plan.filter(F.col(times) > 0), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*named)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import held_out
+from glyphlake.llm.common import fresh, held_out, sliced
 
 WORD_UNITS, ENDING_UNITS = 1 << 13, 1 << 12
 UNITS = WORD_UNITS + ENDING_UNITS
@@ -37,7 +37,7 @@ SAMPLE = 8192
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-4
 THRESHOLD = 0.7
 SEED = 3
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -130,7 +130,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Context sums of this task's texts: one row per unit it has seen."""
     index, units = index_vectors(), Units()
     total = np.zeros((UNITS, DIMENSIONS), np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for owner, word, ending in words_of(batch.column("text").to_pylist(), units):
             own = index[word] + index[ending]
             near = np.zeros_like(own)
@@ -239,21 +239,21 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
 def _features(vectors: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = pooled(batch.column("text").to_pylist(), vectors.value, units).astype("<f8")
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "x"])
 
     return run
 
 
-def _scores(model: Broadcast) -> Callable:
+def _scores(model: Broadcast, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = model.value
         units = Units()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             score = net.scores(pooled(texts, vectors, units))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return run
 
@@ -279,17 +279,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return vectors, train(x, rows.column("label").to_numpy().astype(np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with a column ``_score``: the probability of label 1.
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "_score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1.
 
     Null and empty texts are scored as a text without words.  All columns of
     the table stay, whatever their names; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scores(model), f"{fields}, _score double")
+    return docs.mapInArrow(_scores(model, name), f"{fields}, `{name}` double")
 
 
 def keep_high_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, all columns kept."""
-    return scored(docs, labels).filter(F.col("_score") >= threshold).select(*docs.columns)
+    (name,) = fresh(docs, "_score")
+    return scored(docs, labels, name=name).filter(F.col(name) >= threshold).drop(name)

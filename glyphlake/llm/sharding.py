@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import staged, whole
+from glyphlake.llm.common import fresh, staged, whole
 
 ROWS_PER_BUCKET = 50_000
 
@@ -96,7 +96,10 @@ def interleaved(docs: DataFrame, shards: int, seed: int = 0, rows_per_bucket: in
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0) -> None:
-    """Write the documents themselves, one folder per shard, in slot order."""
-    plan = interleaved(docs, shards, seed).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    placed = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    """Write the documents themselves, one folder per shard, in slot order.
+
+    Rows that repeat an id go to one place; columns shard and slot are new."""
+    (key,) = fresh(docs, "_key")
+    plan = interleaved(docs.dropDuplicates(["doc_id"]), shards, seed).select(F.col("doc_id").alias(key), "shard", "slot")
+    placed = docs.drop("shard", "slot").join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).drop(key)
     placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import staged
+from glyphlake.llm.common import fresh, staged
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -295,5 +295,6 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
 
     Only the ids of documents that go are joined with the table.
     """
-    gone = near_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
