@@ -36,9 +36,10 @@ HEADLINE = [
     "read_api_items",
     "retry_triage",
     "job_status",
-    "ttl_cache",
+    "latest_within",
     "rate_limit",
     "expand_link_graph",
+    "scan_pages",
 ]
 
 

@@ -11,14 +11,6 @@ FAMILY_STOPWORDS = [
     "systemui", "uimonospace", "emoji", "math", "fangsong",
 ]
 
-# Page-level limits.
-MAX_RESOURCES_PER_PAGE = 18
-MAX_RESOURCE_CHARS = 500_000
-MAX_INLINE_SCRIPT_CHARS = 250_000
-MEMORY_ROWS_PER_HOST = 48
-MEMORY_HOSTS = 120
-RESEARCH_SOURCES_SHOWN = 12
-
 # Patterns over documents.
 FONT_URL = r"\.(?:woff2|woff|otf|ttf)(?:\?[^\"'()\s<>]+)?$"
 TEXT_RESOURCE = r"(?i)\.(?:css|js|mjs|cjs|json|webmanifest|txt|xml)(?:\?[^\"'()\s<>]+)?$"
@@ -146,10 +138,8 @@ STYLE_SOURCE_RANK = {"woff2": 4, "woff": 3, "otf": 2, "ttf": 1}
 WEB_FORMAT_RANK = {"woff2": 100, "otf": 95, "ttf": 90, "woff": 80}
 DESKTOP_FORMAT_RANK = {"otf": 10, "ttf": 9, "woff2": 7, "woff": 6, "eot": 1}
 RECOVERY_FORMAT_SCORE = {"woff2": 40, "woff": 25, "ttf": 20, "otf": 15}
-MAX_RECOVERY_CANDIDATES = 24
 PREVIEW_PRIORITY = {"otf": 4, "ttf": 4, "woff2": 3, "woff": 2, "zip": 1}
 SUBSET_LIMIT = 50
-FEATURE_TAGS_SHOWN = 24
 
 # Licences whose id counts as open.
 OPEN_LICENSES = ["OFL-1.1", "APACHE-2.0", "MIT", "CC0-1.0", "UFL", "PUBLIC-DOMAIN"]
@@ -160,18 +150,18 @@ VALIDATION_STOPWORDS = [
     "superfamily", "variable", "trial",
 ]
 
-# Words that describe a specimen document rather than a family.
-SPECIMEN_DESCRIPTORS = [
+# Words that describe a sample sheet rather than a family.
+SHEET_DESCRIPTORS = [
     "font", "fonts", "guide", "fontguide", "specimen", "brochure", "catalog", "catalogue", "trial",
     "manual", "technical", "tech", "doc", "techdoc", "documentation", "character", "characters",
     "charset", "set", "glyph", "glyphs", "preview", "booklet", "sheet", "pdf", "download", "file",
 ]
 SLUG_MARKERS = ["font", "fonts", "typeface", "typefaces", "family", "families", "product", "products"]
-SPECIMEN_STYLE_WORDS = (
+SHEET_STYLE_WORDS = (
     "air|thin|extralight|extra light|ultralight|ultra light|light|regular|book|retina|medium|semibold"
     "|semi bold|demibold|demi bold|bold|extrabold|extra bold|black|heavy|super"
 )
-SPECIMEN_WIDTH_WORDS = "condensed|narrow|normal|text|display|mono|soft|extended"
+SHEET_WIDTH_WORDS = "condensed|narrow|normal|text|display|mono|soft|extended"
 COMPACT_STYLE = (
     r"\b(?:Condensed|Narrow|Normal|Text|Display|Mono|Soft|Extended)?"
     r"(?:Thin|Extralight|Light|Regular|Book|Medium|Semibold|Bold|Extrabold|Black|Heavy)(?:Italic|Oblique)?\b"
@@ -198,7 +188,7 @@ WEIGHT_WORDS = (
 
 # Classes of files that anchors lead to.
 LEGAL_DOCUMENT = r"(?:eula|license|licen[cs]e|terms|agreement|privacy)"
-SPECIMEN_DOCUMENT = r"(?:specimen|technical|glyph|character\s*set|brochure|catalog(?:ue)?|type\s*specimen)"
+SHEET_DOCUMENT = r"(?:specimen|technical|glyph|character\s*set|brochure|catalog(?:ue)?|type\s*specimen)"
 TRIAL_ASSET = r"(?:trial|demo|test|free)"
 PREVIEW_HOST = "firebasestorage.googleapis.com"
 
@@ -211,7 +201,6 @@ BLOCKED_STRONG = [
     "cf-challenge", "challenge-platform", "ray id", "perimeterx", "datadome", "hcaptcha", "recaptcha",
     "turnstile",
 ]
-BLOCKED_SAMPLE_CHARS = 30_000
 
 # Reasons of skipped or failed items: substring, code; first hit wins.
 REASON_CODES = [
@@ -251,11 +240,9 @@ API_LICENSE_PATHS = ["license", "license_id", "licenseId", "license_type"]
 # File names that say nothing about the file.
 OPAQUE_STEM_PREFIXES = ["lineto-font", "pangram-font", "abcdinamo-font", "klim-font"]
 
-# Cache and rate limits.
+# Rate windows.
 RATE_LIMIT_EVENTS = 10
 RATE_LIMIT_SECONDS = 60
-CACHE_TTL_SECONDS = 7200
-CACHE_ENTRIES = 512
 
 # Routing rules in registry order: id, part of the URL tested, pattern.
 ROUTING_RULES = [

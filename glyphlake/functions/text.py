@@ -92,7 +92,7 @@ def normalized_words(c: Column) -> Column:
 
 def safe_file_name(c: Column) -> Column:
     kept = normalize_space(F.regexp_replace(c, "[^a-zA-Z0-9 _-]+", ""))
-    return F.coalesce(blank_to_null(F.trim(F.substring(kept, 1, 140))), F.lit("font-file"))
+    return F.coalesce(blank_to_null(F.trim(kept)), F.lit("font-file"))
 
 
 def file_stem(c: Column) -> Column:

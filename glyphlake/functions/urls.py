@@ -221,11 +221,11 @@ def resource_signature(u: Column) -> Column:
     for pattern, to in (("[0-9a-f]{8,}", ":hash"), (r"\d+", ":num"), ("/{2,}", "/"), ("/$", "")):
         path = F.regexp_replace(path, pattern, to)
     query = F.regexp_replace(F.regexp_replace(query_of(u), "[0-9a-f]{8,}", ":hash"), r"\d+", ":num")
-    return F.when(is_web_url(u), F.concat(path, F.substring(query, 1, 48))).otherwise(normalize_space(F.lower(u)))
+    return F.when(is_web_url(u), F.concat(path, query)).otherwise(normalize_space(F.lower(u)))
 
 
 def memory_key(u: Column, kind: Column, rel: Column) -> Column:
-    token = F.substring(normalize_token(rel), 1, 24)
+    token = normalize_token(rel)
     return F.concat_ws("|", kind, F.coalesce(blank_to_null(token), F.lit("none")), resource_signature(u))
 
 

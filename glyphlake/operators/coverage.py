@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.functions.styles import quality_style_token, specimen_style_token
+from glyphlake.functions.styles import quality_style_token, sheet_style_token
 from glyphlake.functions.text import let, normalize_space, trim_all, without_extension
 from glyphlake.operators.documents import spelled_style, style_candidates
 from glyphlake.operators.picking import computed, dedupe_first, first_by
@@ -426,14 +426,14 @@ def target_audit(
 
 
 def coverage_tokens(label: Column) -> Column:
-    """All keys a label may be found under in a specimen text."""
+    """All keys a label may be found under in a sample-sheet text."""
 
     def tokens(x: Column) -> Column:
         spelled = x["s"]
         every = F.concat(
             F.array(spelled, x["l"]), style_candidates(F.when(spelled != "", spelled).otherwise(x["l"]))
         )
-        return F.array_distinct(F.filter(F.transform(every, specimen_style_token), lambda t: t != ""))
+        return F.array_distinct(F.filter(F.transform(every, sheet_style_token), lambda t: t != ""))
 
     return let(F.struct(spelled_style(label).alias("s"), label.alias("l")), tokens)
 
@@ -445,14 +445,14 @@ def label_entries(rows: DataFrame, label: str) -> DataFrame:
     return once.withColumn("tokens", coverage_tokens(C("label")))
 
 
-def specimen_coverage(expected: DataFrame, observed: DataFrame, specimen: DataFrame) -> DataFrame:
-    """How many expected and observed labels share a token with the specimens.
+def sample_coverage(expected: DataFrame, observed: DataFrame, sheet: DataFrame) -> DataFrame:
+    """How many expected and observed labels share a token with the sample sheets.
 
-    Tokens are exploded and semi-joined: the specimen side is one row per
+    Tokens are exploded and semi-joined: the sheet side is one row per
     (package, token).
     """
-    specimen_entries = label_entries(specimen, "label")
-    tokens = specimen_entries.select("package", F.explode("tokens").alias("token")).distinct()
+    sheet_entries = label_entries(sheet, "label")
+    tokens = sheet_entries.select("package", F.explode("tokens").alias("token")).distinct()
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         entries = label_entries(rows, "label")
@@ -474,11 +474,11 @@ def specimen_coverage(expected: DataFrame, observed: DataFrame, specimen: DataFr
             )
         )
 
-    counted = specimen_entries.groupBy("package").agg(F.count("*").alias("specimen_styles"))
+    counted = sheet_entries.groupBy("package").agg(F.count("*").alias("sheet_styles"))
     out = side(expected, "expected").join(side(observed, "observed"), "package", "full_outer").join(counted, "package", "left")
     out = out.na.fill(0)
     status = (
-        F.when(C("specimen_styles") == 0, "fail")
+        F.when(C("sheet_styles") == 0, "fail")
         .when((C("expected_styles") > C("expected_matched")) & (C("expected_styles") > 0), "warn")
         .otherwise("pass")
     )

@@ -13,13 +13,14 @@ C = F.col
 
 
 def expand_link_graph(
-    seeds: DataFrame, links: DataFrame, stored: DataFrame, max_depth: int = 3, max_pages: int = 120,
+    seeds: DataFrame, links: DataFrame, stored: DataFrame, max_depth: int = 3, max_pages: int | None = None,
     include: list[str] = fv.CRAWL_INCLUDE, exclude: list[str] = fv.CRAWL_EXCLUDE,
 ) -> DataFrame:
     """Visit ``seeds`` (url, pos) and what they link to, breadth first.
 
     ``links``: admitted (url, link, pos) of stored pages; ``stored``: (url).
-    The page cap counts every page ever queued.  A page's place in the order
+    All pages within ``max_depth`` links are reached; a caller who asks for the
+    first ``max_pages`` of them in crawl order gets these.  A page's place in the order
     is the list of link positions that led to it, so no global numbering is
     needed; each level is checkpointed, and pages seen before are removed by
     an anti-join.
@@ -30,12 +31,13 @@ def expand_link_graph(
     queued = cut_lineage(
         seeds.groupBy("url").agg(F.min("pos").alias("pos"))
         .select("url", F.array(C("pos").cast("long")).alias("place"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
-        .orderBy("place").limit(max_pages)
     )
+    if max_pages is not None:
+        queued = cut_lineage(queued.orderBy("place").limit(max_pages))
     seen, total = queued, queued.count()
     frontier = queued
     for depth in range(1, max_depth + 1):
-        if total >= max_pages:
+        if max_pages is not None and total >= max_pages:
             break
         reached = frontier.select("url", "place").join(links, "url").select(
             C("link").alias("url"), F.concat("place", F.array(C("pos").cast("long"))).alias("place"), C("url").alias("parent")
@@ -47,9 +49,9 @@ def expand_link_graph(
         found = fresh.count()
         if found == 0:
             break
-        if total + found > max_pages:
-            fresh = cut_lineage(fresh.orderBy("place").limit(max_pages - total))
-        frontier, seen, total = fresh, seen.unionByName(fresh), min(max_pages, total + found)
+        if max_pages is not None and total + found > max_pages:
+            fresh, found = cut_lineage(fresh.orderBy("place").limit(max_pages - total)), max_pages - total
+        frontier, seen, total = fresh, seen.unionByName(fresh), total + found
     discovered = links.groupBy("url").agg(F.count_distinct("link").alias("discovered"))
     enqueued = seen.filter("parent is not null").groupBy(C("parent").alias("url")).agg(F.count("*").alias("enqueued"))
     return (

@@ -54,6 +54,10 @@ def all_matches(text: Column, pattern: str, group: int) -> Column:
 # --- documents -----------------------------------------------------------
 
 
+# positions in a page are below 2**31, so kinds that come later never collide
+SCRIPTS_AFTER, FETCHED_AFTER = 1 << 32, 1 << 33
+
+
 def extract_inline_docs(pages: DataFrame) -> DataFrame:
     """(page_id, url, kind, text, pos): style sheets, JSON and font scripts in a page."""
     html = C("html")
@@ -71,11 +75,11 @@ def extract_inline_docs(pages: DataFrame) -> DataFrame:
         "url",
         F.regexp_extract("tag", r"(?is)^(<script\b[^>]*>)", 1).alias("head"),
         trim_all(F.regexp_extract("tag", r"(?is)^<script\b[^>]*>(.*)</script>$", 1)).alias("text"),
-        (C("pos") + 100_000).alias("pos"),
+        (C("pos") + SCRIPTS_AFTER).alias("pos"),
     )
     inline = scripts.filter(~C("head").rlike(r"(?i)\bsrc\s*=")).withColumn("id", attribute(C("head"), "id"))
     is_json = F.contains(F.lower(attribute(C("head"), "type")), F.lit("json")) | (C("id") == "__NEXT_DATA__")
-    is_script = (F.length("text") <= fv.MAX_INLINE_SCRIPT_CHARS) & C("text").rlike(fv.FONT_HINT)
+    is_script = C("text").rlike(fv.FONT_HINT)
     named = inline.select(
         "page_id",
         F.concat(
@@ -97,7 +101,7 @@ def union_documents(pages: DataFrame, fetched: DataFrame | None = None) -> DataF
     )
     out = own.unionByName(extract_inline_docs(pages))
     if fetched is not None:
-        out = out.unionByName(fetched.select("page_id", "url", "kind", "text", (C("pos") + 200_000).alias("pos")))
+        out = out.unionByName(fetched.select("page_id", "url", "kind", "text", (C("pos") + FETCHED_AFTER).alias("pos")))
     return out
 
 
@@ -254,7 +258,7 @@ def best_resources(scored: DataFrame) -> DataFrame:
     return first_by(scored, ["page_id", "url"], [-C("score"), C("pos")])
 
 
-def top_resources(best: DataFrame, k: int = fv.MAX_RESOURCES_PER_PAGE) -> DataFrame:
+def top_resources(best: DataFrame, k: int) -> DataFrame:
     return top_k(best, ["page_id"], [C("score").desc(), C("url")], k)
 
 
@@ -293,7 +297,7 @@ def anchor_class(url: Column, label: Column) -> Column:
     said = F.lower(F.concat_ws(" ", url, label))
     return (
         F.when((ext == "pdf") & said.rlike(fv.LEGAL_DOCUMENT), "legal-pdf")
-        .when((ext == "pdf") & said.rlike(fv.SPECIMEN_DOCUMENT), "specimen-pdf")
+        .when((ext == "pdf") & said.rlike(fv.SHEET_DOCUMENT), "sheet-pdf")
         .when(ext == "pdf", "pdf")
         .when((ext == "zip") & said.rlike(fv.TRIAL_ASSET), "trial-zip")
         .when(ext == "zip", "zip")
@@ -310,7 +314,7 @@ def feature_tags(text: Column) -> Column:
 
 
 def spelled_style(c: Column) -> Column:
-    """Specimen spelling of a style phrase: folded compounds, capitalised words."""
+    """Sample-sheet spelling of a style phrase: folded compounds, capitalised words."""
     folded = reduce(
         lambda acc, r: F.regexp_replace(acc, r[0], r[1]),
         [
@@ -326,10 +330,10 @@ def spelled_style(c: Column) -> Column:
 
 
 def style_candidates(text: Column) -> Column:
-    """Style phrases of a specimen text, normalised, distinct, sorted."""
+    """Style phrases of a sample-sheet text, normalised, distinct, sorted."""
     plain = F.regexp_replace(F.regexp_replace(text, r"[/|]+", " "), r"\s+", " ")
     phrase = ascii_bounds(
-        rf"(?i)\b(?:(?:{fv.SPECIMEN_WIDTH_WORDS})\s+)?(?:{fv.SPECIMEN_STYLE_WORDS})(?:\s+(?:italic|oblique))?\b"
+        rf"(?i)\b(?:(?:{fv.SHEET_WIDTH_WORDS})\s+)?(?:{fv.SHEET_STYLE_WORDS})(?:\s+(?:italic|oblique))?\b"
     )
 
     def found(t: Column) -> Column:
@@ -360,7 +364,7 @@ def language_hints(text: Column) -> Column:
 
 def blocked_page(status: Column, title: Column, html: Column, blocked_status: list[int]) -> Column:
     """Struct(blocked, signals, reason) of a stored page that is a challenge page."""
-    sample = F.lower(F.concat(title, F.lit("\n"), F.substring(html, 1, fv.BLOCKED_SAMPLE_CHARS)))
+    sample = F.lower(F.concat(title, F.lit("\n"), html))
 
     def hits(text: Column, patterns: list[str], tag: str) -> Column:
         return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(f"{tag}:{p}")) for p in patterns]))

@@ -203,7 +203,7 @@ def inferred_faces(docs: DataFrame) -> DataFrame:
     once = first_by(found, ["page", "asset_url"], [C("doc_pos"), C("pos")])
     faces = computed(once, face=infer_face(C("asset_url"), C("preload"))).filter(C("face").isNotNull())
     return faces.select(
-        "page", "doc_url", "doc_pos", (C("pos") + 100_000).alias("pos"),
+        "page", "doc_url", "doc_pos", (C("pos") + (1 << 32)).alias("pos"),
         "face.family", "face.label", "face.weight", "face.style",
         F.lit("inferred-url").alias("discovery"), "face.source", F.lit(False).alias("core_range"),
     )
@@ -360,7 +360,7 @@ def scan_summary(docs: DataFrame, faces: DataFrame, selected: DataFrame, candida
     sources = docs.groupBy("page").agg(
         F.count_if(C("kind") != "html").alias("documents"),
         F.array_join(
-            F.slice(F.transform(F.array_sort(F.collect_list(F.struct("doc_pos", "kind"))), lambda x: x["kind"]), 1, fv.RESEARCH_SOURCES_SHOWN),
+            F.transform(F.array_sort(F.collect_list(F.struct("doc_pos", "kind"))), lambda x: x["kind"]),
             ",",
         ).alias("sources"),
     )

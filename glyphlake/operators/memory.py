@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake import fixed_values as fv
 from glyphlake.functions import urls
 from glyphlake.operators.picking import top_k
 
@@ -15,8 +14,7 @@ C = F.col
 def apply_memory(candidates: DataFrame, memory: DataFrame) -> DataFrame:
     """Add ``boost`` from rows of the page's host that earned a score.
 
-    Pruned memory holds at most 120 x 48 rows, but it is not assumed pruned:
-    the join strategy is the optimiser's.
+    The memory is not assumed pruned: the join strategy is the optimiser's.
     """
     boosts = memory.filter(C("score") >= 3).select(
         "host", C("key").alias("memory_key"), F.greatest(F.lit(1), F.least(F.lit(40), F.floor(C("score") + 0.5))).cast("int").alias("boost")
@@ -62,12 +60,10 @@ def update_memory(memory: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFr
     )
 
 
-def prune_memory(
-    memory: DataFrame, per_host: int = fv.MEMORY_ROWS_PER_HOST, hosts: int = fv.MEMORY_HOSTS
-) -> DataFrame:
+def prune_memory(memory: DataFrame, per_host: int, hosts: int) -> DataFrame:
     """Best rows of each host, and only the most recently touched hosts."""
     kept = top_k(memory, ["host"], [C("score").desc(), C("updated_at").desc(), C("key")], per_host)
     recent = (
         kept.groupBy("host").agg(F.max("updated_at").alias("u")).orderBy(C("u").desc(), "host").limit(hosts).select("host")
     )
-    return kept.join(F.broadcast(recent), "host", "left_semi")
+    return kept.join(recent, "host", "left_semi")

@@ -168,50 +168,32 @@ def wall_micros(ts: Column) -> Column:
     return day + minutes + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
-# --- caches --------------------------------------------------------------
+# --- newest and latest entries -------------------------------------------
 
 
-def lru_cap(entries: DataFrame, cap: int = fv.CACHE_ENTRIES) -> DataFrame:
-    """The newest entries; a sort with a limit keeps only ``cap`` rows per task."""
-    return entries.orderBy(C("created").desc(), C("token").desc()).limit(cap)
+def newest(entries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest entries; a sort with a limit keeps ``k`` rows per task."""
+    return entries.orderBy(C("created").desc(), C("token").desc()).limit(k)
 
 
-def ttl_cache(puts: DataFrame, gets: DataFrame, ttl_seconds: int, cap: int) -> DataFrame:
-    """Hit or miss of every read (get_id, token, ts) against puts (put_id, token, ts).
+def latest_within(entries: DataFrame, reads: DataFrame, seconds: int) -> DataFrame:
+    """As-of lookup: for each read (get_id, token, ts) the token's latest entry
+    (put_id, token, ts) before it and less than ``seconds`` old.
 
-    A read sees the token's latest put not older than the time to live, unless
-    ``cap`` newer entries pushed it out.  Puts are copied to their own and the
-    next time bucket, one time to live wide, so a hot token is split by time;
-    the running number of puts is counted per bucket and offset by the buckets
-    before it.
+    Entries are copied to their own and the next time bucket, one ``seconds``
+    wide, so a busy token is split by time and no window holds all of it.
     """
     micros = wall_micros(C("ts"))
-    width = ttl_seconds * 1_000_000
-    p = puts.select(C("put_id").alias("id"), "token", micros.alias("t"), F.lit(True).alias("is_put"))
-    g = gets.select(C("get_id").alias("id"), "token", micros.alias("t"), F.lit(False).alias("is_put"))
-    rows = p.unionByName(g).withColumn("bucket", F.floor(C("t") / width))
-    # number of puts so far, over all tokens
-    slot = F.floor(C("t") / 60_000_000)
-    slotted = rows.withColumn("_slot", slot)
-    in_slot = Window.partitionBy("_slot").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("_day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    per_slot = slotted.groupBy("_slot").agg(F.count_if("is_put").alias("n")).withColumn("_day", F.floor(C("_slot") / 1440))
-    days = per_slot.groupBy("_day").agg(F.sum("n").alias("n"))
-    before_day = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    offsets = per_slot.withColumn("_in_day", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
-        days.select("_day", F.coalesce(F.sum("n").over(before_day), F.lit(0)).alias("_before")), "_day"
-    ).select("_slot", (C("_in_day") + C("_before")).alias("_offset"))
-    counted = slotted.withColumn("_run", F.sum(C("is_put").cast("long")).over(in_slot)).join(offsets, "_slot").select(
-        "id", "token", "t", "is_put", "bucket", (C("_run") + C("_offset")).alias("n")
-    )
-    spread = counted.withColumn(
-        "bucket", F.explode(F.when(C("is_put"), F.array(C("bucket"), C("bucket") + 1)).otherwise(F.array("bucket")))
-    )
+    width = seconds * 1_000_000
+    p = entries.select(C("put_id").alias("id"), "token", micros.alias("t"), F.lit(True).alias("is_put"))
+    g = reads.select(C("get_id").alias("id"), "token", micros.alias("t"), F.lit(False).alias("is_put"))
+    bucket = F.floor(C("t") / width)
+    rows = p.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).unionByName(g.withColumn("bucket", bucket))
     order = Window.partitionBy("token", "bucket").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    entry = F.last(F.when(C("is_put"), F.struct("id", "t", "n")), ignorenulls=True).over(order)
-    read = spread.withColumn("e", entry).filter(~C("is_put"))
-    alive = C("e").isNotNull() & (C("t") < C("e.t") + width) & (C("n") - C("e.n") < cap)
-    return read.select(C("id").alias("get_id"), "token", F.when(alive, C("e.id")).alias("put_id"), F.coalesce(alive, F.lit(False)).alias("hit"))
+    entry = F.last(F.when(C("is_put"), F.struct("id", "t")), ignorenulls=True).over(order)
+    found = rows.withColumn("e", entry).filter(~C("is_put"))
+    fresh = C("e").isNotNull() & (C("t") < C("e.t") + width)
+    return found.select(C("id").alias("get_id"), "token", F.when(fresh, C("e.id")).alias("put_id"), F.coalesce(fresh, F.lit(False)).alias("found"))
 
 
 # --- rate windows --------------------------------------------------------

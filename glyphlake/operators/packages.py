@@ -68,10 +68,10 @@ def with_file_state(metrics: DataFrame, tokens: Column | None = None) -> DataFra
     )
 
 
-def contamination_split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean, contaminated); files that do not open are not contamination."""
-    dirty = F.coalesce(~C("target_matched"), F.lit(False))
-    return state.filter(~dirty), state.filter(dirty)
+def contamination_side(state: DataFrame) -> DataFrame:
+    """Add ``side``, clean or contaminated; files that do not open are not
+    contamination.  One pass: filter it for either half."""
+    return state.withColumn("side", F.when(C("target_matched"), "clean").when(C("target_matched").isNull(), "clean").otherwise("contaminated"))
 
 
 def trial_assets(log: DataFrame) -> DataFrame:
@@ -159,14 +159,16 @@ def validation_summary(state: DataFrame) -> DataFrame:
     )
 
 
-def feature_histogram(state: DataFrame, k: int = fv.FEATURE_TAGS_SHOWN) -> DataFrame:
+def feature_histogram(state: DataFrame, k: int | None = None) -> DataFrame:
+    """Valid files per package and feature tag: all of them, or the ``k`` most
+    frequent of each package."""
     counts = (
         state.filter("is_valid")
         .select("package", F.explode("tags").alias("tag"))
         .groupBy("package", "tag")
         .agg(F.count("*").alias("count"))
     )
-    return top_k(counts, ["package"], [C("count").desc(), C("tag")], k)
+    return counts if k is None else top_k(counts, ["package"], [C("count").desc(), C("tag")], k)
 
 
 def technical_qa(metrics: DataFrame, limited: DataFrame, strict_groups: bool = False) -> DataFrame:
@@ -213,10 +215,11 @@ def candidate_score(filename: Column, ext: Column) -> Column:
     )
 
 
-def rank_candidates(metrics: DataFrame, k: int = fv.MAX_RECOVERY_CANDIDATES) -> DataFrame:
-    """Best recovery sources of each package, stable by input order."""
+def rank_candidates(metrics: DataFrame, k: int | None = None) -> DataFrame:
+    """Recovery sources of each package with their score: all of them, or the
+    ``k`` best, stable by input order."""
     scored = metrics.withColumn("score", candidate_score(C("filename"), C("ext")))
-    return top_k(scored, ["package"], [C("score").desc(), C("pos")], k)
+    return scored if k is None else top_k(scored, ["package"], [C("score").desc(), C("pos")], k)
 
 
 def recovery_plan(metrics: DataFrame, limited: DataFrame, required: list[str] = fv.CORE_FORMATS) -> DataFrame:
@@ -258,14 +261,17 @@ def dedupe_labels(labels: DataFrame) -> DataFrame:
     return dedupe_first(keyed, ["package", "token"])
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, chunk: int = 100_000) -> DataFrame:
-    """Add ``n``: 1, 2, ... per key by a whole-number order column.
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = 100_000) -> DataFrame:
+    """Add ``name``: 1, 2, ... per key by a whole-number order column.
 
     A key may hold a large share of the rows, so rows are numbered inside
     chunks of the order column and the chunk counts, few per key, are summed
-    up ahead of them.
+    up ahead of them.  Chunks are as wide as to hold about ``chunk`` rows of
+    the table, however sparse the order column is.
     """
-    chunked = df.withColumn("_chunk", F.floor(C(order) / chunk))
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * chunk // max(rows, 1))
+    chunked = df.withColumn("_chunk", F.floor((C(order) - F.lit(low or 0)) / F.lit(width)))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(*keys, "_chunk")
@@ -277,31 +283,38 @@ def number_rows(df: DataFrame, keys: list[str], order: str, chunk: int = 100_000
     return (
         chunked.withColumn("_inside", inside)
         .join(offsets, [*keys, "_chunk"])
-        .withColumn("n", C("_inside") + C("_offset"))
+        .withColumn(name, C("_inside") + C("_offset"))
         .drop("_chunk", "_inside", "_offset")
     )
 
 
-def unique_names(rows: DataFrame, group: str, name: str, order: str, limit: int = 999) -> DataFrame:
-    """Add ``unique_name``: repeats get -1, -2, ... before the extension,
-    stepping over numbers that names of the group already use."""
+def unique_names(rows: DataFrame, group: str, name: str, order: str, first: int = 1) -> DataFrame:
+    """Add ``unique_name``: the second row of a name gets ``-first`` before the
+    extension, the next one the next number, stepping over numbers that names
+    of the group already use.
+
+    Only names that repeat are numbered; all others pass through.
+    """
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     ext = F.regexp_extract(name, r".(\.[^.]*)$", 1)
     taken = (
         rows.select(
             group,
-            F.concat(F.regexp_extract(stem, r"^(.*)-(\d{1,3})$", 1), ext).alias(name),
-            F.regexp_extract(stem, r"^(.*)-(\d{1,3})$", 2).try_cast("int").alias("t"),
+            F.concat(F.regexp_extract(stem, r"^(.*)-(\d+)$", 1), ext).alias(name),
+            F.regexp_extract(stem, r"^(.*)-(\d+)$", 2).try_cast("long").alias("_number"),
         )
-        .filter("t > 0")
+        .filter(C("_number") >= first)
         .groupBy(group, name)
-        .agg(F.array_sort(F.collect_set("t")).alias("_taken"))
+        .agg(F.array_sort(F.collect_set("_number")).alias("_taken"))
     )
-    numbered = number_rows(rows, [group, name], order).join(taken, [group, name], "left")
+    repeated = rows.groupBy(group, name).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(group, name)
+    again = number_rows(rows.join(repeated, [group, name]), [group, name], order, "_place").join(taken, [group, name], "left")
     free = F.aggregate(
-        F.coalesce("_taken", F.array().cast("array<int>")),
-        (C("n") - 1).cast("int"),
+        F.coalesce("_taken", F.array().cast("array<long>")),
+        C("_place") - 2 + first,
         lambda k, t: F.when(t <= k, k + 1).otherwise(k),
     )
-    renamed = F.concat(stem, F.lit("-"), F.least(free, F.lit(limit)), ext)
-    return numbered.withColumn("unique_name", F.when(C("n") == 1, C(name)).otherwise(renamed)).drop("_taken", "n")
+    renamed = F.concat(stem, F.lit("-"), free, ext)
+    numbered = again.withColumn("unique_name", F.when(C("_place") == 1, C(name)).otherwise(renamed)).drop("_taken", "_place")
+    single = rows.join(repeated, [group, name], "left_anti").withColumn("unique_name", C(name))
+    return numbered.unionByName(single)

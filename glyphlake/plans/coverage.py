@@ -10,7 +10,7 @@ from glyphlake.operators import packages as pk
 from glyphlake.operators.picking import computed, dedupe_first, first_by
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
-from glyphlake.plans.normalize import quality_token_sql, specimen_token_sql, target_token_sql
+from glyphlake.plans.normalize import quality_token_sql, sheet_token_sql, target_token_sql
 from glyphlake.plans.packages import FX, STATE_CTE, SUMMARY_CTE, state
 from glyphlake.plans.pages import candidates_sql, flat_sql, seeded_documents, spelled_sql, _SEED
 from glyphlake.plans.registry import query
@@ -261,22 +261,22 @@ def _(spark, sf):
 
 def tokens_sql(label: str) -> str:
     sp = spelled_sql(label)
-    return f"list_filter(list_distinct(list_transform(list_concat([{sp}, {label}], {candidates_sql(flat_sql(sp))}), lambda c: {specimen_token_sql('c')})), lambda t: t <> '')"
+    return f"list_filter(list_distinct(list_transform(list_concat([{sp}, {label}], {candidates_sql(flat_sql(sp))}), lambda c: {sheet_token_sql('c')})), lambda t: t <> '')"
 
 
 
 
 @query(
-    "specimen_coverage",
+    "sample_coverage",
     FX + STATE_CTE + f""", pkgs AS (SELECT package, row_number() OVER (ORDER BY package) - 1 AS n FROM (SELECT DISTINCT package FROM profiles) AS q),
-    sp0 AS (SELECT p.package, doc_id AS pos, unnest({candidates_sql('t')}) AS label FROM (SELECT doc_id, {flat_sql('text || ' + _SEED)} AS t FROM documents) AS x JOIN pkgs AS p ON p.n = x.doc_id % 40),
+    sp0 AS (SELECT p.package, doc_id AS pos, unnest({candidates_sql('t')}) AS label FROM (SELECT doc_id, {flat_sql('text || ' + _SEED)} AS t FROM documents) AS x JOIN pkgs AS p ON p.n = x.doc_id % (SELECT count(*) FROM pkgs)),
     sp AS (SELECT package, arg_min(label, pos) AS label FROM sp0 GROUP BY package, lower(label)), st AS (SELECT DISTINCT package, unnest({tokens_sql('label')}) AS token FROM sp),
     exl AS (SELECT package, arg_min(label, pos) AS label, min(pos) AS pos FROM (SELECT package, pos, {d.space('style_label')} AS label FROM profiles) AS q GROUP BY package, lower(label)),
     obl AS (SELECT package, arg_min(label, pos) AS label, min(pos) AS pos FROM (SELECT package, pos, {d.space('subfamily_name')} AS label FROM state WHERE is_valid AND NOT subset) AS q WHERE label <> '' GROUP BY package, lower(label)),
     eh AS (SELECT e.package, e.label, e.pos, EXISTS (SELECT 1 FROM st AS s WHERE s.package = e.package AND list_contains({tokens_sql('e.label')}, s.token)) AS hit FROM exl AS e),
     oh AS (SELECT e.package, e.label, e.pos, EXISTS (SELECT 1 FROM st AS s WHERE s.package = e.package AND list_contains({tokens_sql('e.label')}, s.token)) AS hit FROM obl AS e),
     ea AS (SELECT package, count(*) AS n, count(*) FILTER (WHERE hit) AS m, string_agg(label, ',' ORDER BY pos) FILTER (WHERE NOT hit) AS miss FROM eh GROUP BY package), oa AS (SELECT package, count(*) AS n, count(*) FILTER (WHERE hit) AS m FROM oh GROUP BY package), sa AS (SELECT package, count(*) AS n FROM sp GROUP BY package)
-    SELECT ea.package, ea.n AS expected_styles, coalesce(oa.n, 0) AS observed_styles, coalesce(sa.n, 0) AS specimen_styles, ea.m AS expected_matched, coalesce(oa.m, 0) AS observed_matched, """ + PCT.format(a="ea.m", b="ea.n") + " AS expected_pct, " + PCT.format(a="oa.m", b="oa.n") + """ AS observed_pct, coalesce(miss, '') AS missing,
+    SELECT ea.package, ea.n AS expected_styles, coalesce(oa.n, 0) AS observed_styles, coalesce(sa.n, 0) AS sheet_styles, ea.m AS expected_matched, coalesce(oa.m, 0) AS observed_matched, """ + PCT.format(a="ea.m", b="ea.n") + " AS expected_pct, " + PCT.format(a="oa.m", b="oa.n") + """ AS observed_pct, coalesce(miss, '') AS missing,
       CASE WHEN sa.n IS NULL THEN 'fail' WHEN ea.n > ea.m THEN 'warn' ELSE 'pass' END AS status FROM ea LEFT JOIN oa ON oa.package = ea.package LEFT JOIN sa ON sa.package = ea.package""",
 )
 def _(spark, sf):
@@ -286,10 +286,12 @@ def _(spark, sf):
 
     profiles = fixture(spark, sf, "profiles")
     # the packages are numbered only to pair them with document numbers here
-    pkgs = profiles.groupBy("package").agg(F.lit(1).alias("one")).select("package", (F.row_number().over(Window.orderBy("package")) - 1).alias("n"))
-    texts = seeded_documents(spark, sf).withColumn("n", C("doc_id") % 40).join(pkgs, "n")
-    specimen = texts.select("package", C("doc_id").alias("pos"), F.explode(style_candidates(C("text"))).alias("label"))
+    pkgs = profiles.select("package").distinct().select("package", (F.row_number().over(Window.orderBy("package")) - 1).alias("n"))
+    # every document belongs to a package: ids modulo the number of packages
+    count = max(1, profiles.select("package").distinct().count())
+    texts = seeded_documents(spark, sf).withColumn("n", C("doc_id") % count).join(pkgs, "n")
+    sheet = texts.select("package", C("doc_id").alias("pos"), F.explode(style_candidates(C("text"))).alias("label"))
     expected = profiles.select("package", "pos", C("style_label").alias("label"))
     observed = full_fonts(spark, sf).select("package", "pos", C("subfamily_name").alias("label"))
-    out = cv.specimen_coverage(expected, observed, specimen)
-    return out.select("package", "expected_styles", "observed_styles", "specimen_styles", "expected_matched", "observed_matched", "expected_pct", "observed_pct", F.array_join("expected_missing", ",").alias("missing"), "status")
+    out = cv.sample_coverage(expected, observed, sheet)
+    return out.select("package", "expected_styles", "observed_styles", "sheet_styles", "expected_matched", "observed_matched", "expected_pct", "observed_pct", F.array_join("expected_missing", ",").alias("missing"), "status")

@@ -204,5 +204,5 @@ def _(spark, sf):
     tokens = pages.select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
     documents = page_docs(spark, sf)
     faces = cut_lineage(fc.extract_faces(documents).unionByName(fc.inferred_faces(documents)))
-    candidates = docs.top_resources(docs.best_resources(docs.score_resources(docs.resource_candidates(pages))))
+    candidates = docs.best_resources(docs.score_resources(docs.resource_candidates(pages)))
     return fc.scan_summary(documents, faces, fc.scan_pages(documents, tokens), candidates)

@@ -55,9 +55,9 @@ SELECT p.page_id AS page_id, p.url AS url, concat(p.html,
   '<style>@font-face{{font-family:"Page Face ', CAST(p.page_id%13 AS VARCHAR(20)), '";font-weight:700;src:url(/f/page-face-', CAST(p.page_id%13 AS VARCHAR(20)), '.woff2)}}</style>',
   '<script>var theme={{fontFamily:"Page Face"}};load("https://cdn.example.net/f/extra-', CAST(p.page_id%4 AS VARCHAR(20)), '.zip");</script>',
   '<script id="__NEXT_DATA__" type="application/json">{{"props":{{"styles":[{{"name":"Style ', CAST(p.page_id%6 AS VARCHAR(20)), '","weight":', CAST(100*(1+p.page_id%9) AS VARCHAR(20)), '}},{{"name":"Italic","weight":400}}]}}', CASE WHEN p.page_id%19=0 THEN '' ELSE '}}' END, '</script>',
-  CASE WHEN p.page_id%3=0 THEN '<a href="/files/specimen-guide.pdf">Specimen <b>PDF</b></a>' WHEN p.page_id%3=1 THEN '<a href="/files/eula-license.pdf">Licence</a>' ELSE '<a href="/files/family-trial.zip">Trial fonts</a>' END,
+  CASE WHEN p.page_id%3=0 THEN '<a href="/files/technical-guide.pdf">Technical <b>PDF</b></a>' WHEN p.page_id%3=1 THEN '<a href="/files/eula-license.pdf">Licence</a>' ELSE '<a href="/files/family-trial.zip">Trial fonts</a>' END,
   '<a href="https://firebasestorage.googleapis.com/v0/demo.woff2?alt=media">Preview</a><a href="/files/Full-Family.zip">All</a><a href="/files/desktop.otf">Desktop</a>',
-  '<a href="/docs/pdfs/', CASE WHEN p.page_id%2=0 THEN 'small-ring' ELSE 'other-face' END, '-specimen">Sheet</a>',
+  '<a href="/docs/pdfs/', CASE WHEN p.page_id%2=0 THEN 'small-ring' ELSE 'other-face' END, '-sheet">Sheet</a>',
   '<a href="/fonts/face-', CAST(p.page_id%8 AS VARCHAR(20)), '">Face <i>', CAST(p.page_id%8 AS VARCHAR(20)), '</i></a>',
   '<form data-features="ss01 liga KERN"></form><div data-characters="A B C  D" ></div><div data-characters="x y"></div>',
   CASE WHEN p.page_id%17=0 THEN '<p>Just a moment... verify you are human</p>' WHEN p.page_id%23=0 THEN '<p>Ray ID 1234</p>' ELSE '' END) AS html

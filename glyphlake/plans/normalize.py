@@ -179,7 +179,7 @@ def quality_token_sql(x: str) -> str:
     )
 
 
-def specimen_token_sql(x: str) -> str:
+def sheet_token_sql(x: str) -> str:
     t = d.token(x)
     return f"CASE WHEN {t} IN ('italic','oblique','regularoblique') THEN 'regularitalic' WHEN ends_with({t}, 'oblique') THEN {t}[:-8] || 'italic' ELSE {t} END"
 
@@ -191,7 +191,7 @@ def target_token_sql(x: str) -> str:
 @query(
     "style_token",
     with_fixtures("profiles", "file_metrics") + f""", labels AS (SELECT package, style_label AS label FROM profiles UNION SELECT package, {d.rep('filename', '[.][^.]*$')} FROM file_metrics UNION SELECT package, p_label FROM (SELECT package, 'Sans ' || style_label || ' VF' AS p_label FROM profiles) AS q)
-    SELECT package, label, {quality_token_sql('label')} AS quality, {specimen_token_sql('label')} AS specimen, {target_token_sql('label')} AS target FROM labels""",
+    SELECT package, label, {quality_token_sql('label')} AS quality, {sheet_token_sql('label')} AS sheet, {target_token_sql('label')} AS target FROM labels""",
 )
 def _(spark, sf):
     profiles = fixture(spark, sf, "profiles")
@@ -204,7 +204,7 @@ def _(spark, sf):
     return labels.select(
         "package", "label",
         styles.quality_style_token(C("label")).alias("quality"),
-        styles.specimen_style_token(C("label")).alias("specimen"),
+        styles.sheet_style_token(C("label")).alias("sheet"),
         styles.target_style_token(C("label")).alias("target"),
     )
 

@@ -131,23 +131,24 @@ def _(spark, sf):
     return spark.read.schema("event string").json(path).groupBy("event").agg(F.count("*").alias("n"))
 
 
-@query("lru_cap", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 512")
+@query("newest_signups", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 512")
 def _(spark, sf):
+    """A top-k report: the limit is the question."""
     puts = table(spark, sf, "events").filter("event_type = 'signup'").select(C("event_id").alias("token"), "user_id", C("ts").alias("created"))
-    return ops.lru_cap(puts).select(C("token").alias("event_id"), "user_id")
+    return ops.newest(puts, 512).select(C("token").alias("event_id"), "user_id")
 
 
 @query(
-    "ttl_cache",
-    """WITH e AS (SELECT event_id, user_id, ts, event_type, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('signup', 'view')),
-    j AS (SELECT g.event_id AS get_id, g.user_id AS token, g.n AS gn, g.ts AS gts, arg_max({'id': p.event_id, 'n': p.n, 'ts': p.ts}, {'t': p.ts, 'i': p.event_id}) AS p FROM e AS g LEFT JOIN e AS p ON p.event_type = 'signup' AND p.user_id = g.user_id AND (p.ts < g.ts OR (p.ts = g.ts AND p.event_id < g.event_id)) WHERE g.event_type = 'view' GROUP BY ALL),
-    k AS (SELECT *, p IS NOT NULL AND p.ts + INTERVAL 12 HOUR > gts AND gn - p.n < 20 AS hit FROM j)
-    SELECT get_id, token, CASE WHEN hit THEN p.id END AS put_id, coalesce(hit, false) AS hit FROM k""",
+    "latest_within",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('signup', 'view')),
+    j AS (SELECT g.event_id AS get_id, g.user_id AS token, g.ts AS gts, arg_max({'id': p.event_id, 'ts': p.ts}, {'t': p.ts, 'i': p.event_id}) AS p FROM e AS g LEFT JOIN e AS p ON p.event_type = 'signup' AND p.user_id = g.user_id AND (p.ts < g.ts OR (p.ts = g.ts AND p.event_id < g.event_id)) WHERE g.event_type = 'view' GROUP BY ALL),
+    k AS (SELECT *, p IS NOT NULL AND p.ts + INTERVAL 12 HOUR > gts AS hit FROM j)
+    SELECT get_id, token, CASE WHEN hit THEN p.id END AS put_id, coalesce(hit, false) AS found FROM k""",
 )
 def _(spark, sf):
     events = table(spark, sf, "events")
     side = lambda kind, name: events.filter(C("event_type") == kind).select(C("event_id").alias(name), C("user_id").alias("token"), "ts")
-    return ops.ttl_cache(side("signup", "put_id"), side("view", "get_id"), ttl_seconds=12 * 3600, cap=20)
+    return ops.latest_within(side("signup", "put_id"), side("view", "get_id"), seconds=12 * 3600)
 
 
 def _rate_sql(limit: int, seconds: int) -> str:
@@ -190,14 +191,14 @@ def crawl_inputs(spark, sf):
 def _(spark, sf):
     """Seeds are every fiftieth page; the whole corpus may be reached."""
     seeds, edges, stored = crawl_inputs(spark, sf)
-    out = cr.expand_link_graph(seeds, edges, stored, max_depth=4, max_pages=1_000_000)
+    out = cr.expand_link_graph(seeds, edges, stored, max_depth=4)
     return out.select("url", "depth", "ok", "discovered", "matched")
 
 
 @query("crawl_summary")
 def _(spark, sf):
     seeds, edges, stored = crawl_inputs(spark, sf)
-    return cr.crawl_summary(cr.expand_link_graph(seeds, edges, stored, max_depth=3, max_pages=120))
+    return cr.crawl_summary(cr.expand_link_graph(seeds, edges, stored, max_depth=3))
 
 
 @query(

@@ -87,7 +87,7 @@ def _(spark, sf):
 @query(
     "feature_histogram",
     FX + STATE_CTE + """, t AS (SELECT package, unnest(tags) AS tag FROM state WHERE is_valid), c AS (SELECT package, tag, count(*) AS count FROM t GROUP BY package, tag)
-    SELECT package, tag, count FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY count DESC, tag) AS rn FROM c) AS q WHERE rn <= 24""",
+    SELECT package, tag, count FROM c""",
 )
 def _(spark, sf):
     return pk.feature_histogram(state(spark, sf))
@@ -107,12 +107,12 @@ def _(spark, sf):
 
 
 CANDIDATES_CTE = """, cs AS (SELECT package, filename, pos, CASE WHEN contains(lower(filename), 'variable') THEN 100 ELSE 0 END + CASE ext WHEN 'woff2' THEN 40 WHEN 'woff' THEN 25 WHEN 'ttf' THEN 20 WHEN 'otf' THEN 15 ELSE 0 END - CASE WHEN contains(lower(filename), 'italic') THEN 1 ELSE 0 END AS score FROM file_metrics),
-  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY score DESC, pos) AS rn FROM cs) AS q WHERE rn <= 24)"""
+  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY score DESC, pos) AS rn FROM cs) AS q WHERE rn <= 5)"""
 
 
 @query("rank_candidates", FX + CANDIDATES_CTE + " SELECT package, filename, pos, score FROM top")
 def _(spark, sf):
-    return pk.rank_candidates(metrics(spark, sf)).select("package", "filename", "pos", "score")
+    return pk.rank_candidates(metrics(spark, sf), k=5).select("package", "filename", "pos", "score")
 
 
 @query(
@@ -120,7 +120,7 @@ def _(spark, sf):
     FX + """, fine AS (SELECT package || '/' || coalesce(full_name, '?') AS package, filename, ext, pos FROM file_metrics),
     mi AS (SELECT package, list_filter([CASE WHEN count(*) FILTER (WHERE ext = 'woff') = 0 THEN 'woff' END, CASE WHEN count(*) FILTER (WHERE ext = 'woff2') = 0 THEN 'woff2' END, CASE WHEN count(*) FILTER (WHERE ext = 'otf') = 0 THEN 'otf' END], lambda x: x IS NOT NULL) AS missing FROM fine GROUP BY package),
     sc AS (SELECT package, filename, pos, CASE WHEN contains(lower(filename), 'variable') THEN 100 ELSE 0 END + CASE ext WHEN 'woff2' THEN 40 WHEN 'woff' THEN 25 WHEN 'ttf' THEN 20 WHEN 'otf' THEN 15 ELSE 0 END - CASE WHEN contains(lower(filename), 'italic') THEN 1 ELSE 0 END AS score FROM fine),
-    rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY score DESC, pos) AS rn FROM sc) AS q WHERE rn <= 24)
+    rk AS (SELECT * FROM sc)
     SELECT m.package, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN 'noop' ELSE 'needed' END AS status, r.filename, r.score FROM mi AS m LEFT JOIN rk AS r ON r.package = m.package AND len(missing) > 0""",
 )
 def _(spark, sf):
@@ -157,17 +157,26 @@ def _(spark, sf):
 @query(
     "unique_names",
     with_fixtures("download_log") + r""", n AS (SELECT job_id, idx, package, filename, row_number() OVER (PARTITION BY package, filename ORDER BY job_id * 10 + idx) - 1 AS k FROM download_log)
-    SELECT job_id, idx, package, filename, CASE WHEN k = 0 THEN filename ELSE regexp_replace(filename, '[.][^.]*$', '') || '-' || least(k, 999) || regexp_extract(filename, '([.][^.]*)$', 1) END AS unique_name FROM n""",
+    SELECT job_id, idx, package, filename, CASE WHEN k = 0 THEN filename ELSE regexp_replace(filename, '[.][^.]*$', '') || '-' || k || regexp_extract(filename, '([.][^.]*)$', 1) END AS unique_name FROM n""",
 )
 def _(spark, sf):
     log = fixture(spark, sf, "download_log").withColumn("o", C("job_id") * 10 + C("idx"))
     return pk.unique_names(log, "package", "filename", "o").select("job_id", "idx", "package", "filename", "unique_name")
 
 
+@query(
+    "unique_document_names",
+    """WITH n AS (SELECT doc_id, source, lang || '-sheet.pdf' AS name FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS k FROM n)
+    SELECT doc_id, source, CASE WHEN k = 1 THEN name ELSE replace(name, '.pdf', '') || '-' || k || '.pdf' END AS unique_name FROM k""",
+)
+def _(spark, sf):
+    named = table(spark, sf, "documents").select("doc_id", "source", F.concat("lang", F.lit("-sheet.pdf")).alias("name"))
+    return pk.unique_names(named, "source", "name", "doc_id", first=2).select("doc_id", "source", "unique_name")
+
+
 @query("contamination_filter", FX + STATE_CTE + " SELECT package, path, CASE WHEN target = false THEN 'contaminated' ELSE 'clean' END AS side FROM state")
 def _(spark, sf):
-    clean, dirty = pk.contamination_split(state(spark, sf))
-    return clean.select("package", "path", F.lit("clean").alias("side")).union(dirty.select("package", "path", F.lit("contaminated")))
+    return pk.contamination_side(state(spark, sf)).select("package", "path", "side")
 
 
 @query("trial_assets", with_fixtures("download_log") + r" SELECT job_id, idx, filename FROM download_log WHERE regexp_matches(source_url, '(?i)\btrial\b') OR regexp_matches(filename, '(?i)\btrial\b') OR regexp_matches(name, '(?i)\btrial\b')")

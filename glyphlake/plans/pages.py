@@ -23,9 +23,9 @@ def attr_sql(tag: str, name: str) -> str:
 
 INLINE_CTE = rf""", st AS (SELECT page_id, url, 'css' AS kind, {d.trim_all('t')} AS text, CAST(pos AS BIGINT) AS pos FROM (SELECT page_id, url, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS pos FROM
       (SELECT page_id, url, regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1) AS x FROM html) AS a) AS b),
-  sc AS (SELECT page_id, url, {d.ext('t', '(?is)^(<script[^>]*>)')} AS head, {d.trim_all(d.ext('t', '(?is)^<script[^>]*>(.*)</script>$'))} AS text, pos + 100000 AS pos FROM (SELECT page_id, url, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS pos FROM
+  sc AS (SELECT page_id, url, {d.ext('t', '(?is)^(<script[^>]*>)')} AS head, {d.trim_all(d.ext('t', '(?is)^<script[^>]*>(.*)</script>$'))} AS text, pos + 4294967296 AS pos FROM (SELECT page_id, url, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS pos FROM
       (SELECT page_id, url, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>', 0) AS x FROM html) AS a) AS b),
-  sk AS (SELECT *, {attr_sql('head', 'id')} AS id, CASE WHEN contains(lower({attr_sql('head', 'type')}), 'json') OR {attr_sql('head', 'id')} = '__NEXT_DATA__' THEN 'inline-json' WHEN length(text) <= 250000 AND regexp_matches(text, {d.lit(fv.FONT_HINT)}) THEN 'inline-script' END AS kind
+  sk AS (SELECT *, {attr_sql('head', 'id')} AS id, CASE WHEN contains(lower({attr_sql('head', 'type')}), 'json') OR {attr_sql('head', 'id')} = '__NEXT_DATA__' THEN 'inline-json' WHEN regexp_matches(text, {d.lit(fv.FONT_HINT)}) THEN 'inline-script' END AS kind
       FROM sc WHERE NOT regexp_matches(head, '(?i)\bsrc\s*=')),
   inline_docs AS (SELECT * FROM st WHERE text <> '' UNION ALL SELECT page_id, url || '#' || CASE WHEN kind = 'inline-script' THEN kind ELSE coalesce(nullif(id, ''), kind) END, kind, text, pos FROM sk WHERE kind IS NOT NULL AND text <> '')"""
 
@@ -145,7 +145,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     best = docs.best_resources(docs.score_resources(_boosted(spark, sf)))
-    return docs.top_resources(best).select("page_id", "url", "kind", C("score").cast("long").alias("score"))
+    return docs.top_resources(best, k=18).select("page_id", "url", "kind", C("score").cast("long").alias("score"))
 
 
 SIGNAL_CTE = INLINE_CTE + """, alldocs AS (SELECT page_id, url, 'html' AS kind, html AS text, CAST(-1 AS BIGINT) AS pos FROM html UNION ALL SELECT page_id, url, kind, text, pos FROM inline_docs)""" + font_urls_cte(
@@ -216,7 +216,7 @@ _ANCHOR_SQL = rf""", a AS (SELECT page_id, url, generate_subscripts(x, 1) - 1 AS
 
 @query(
     "extract_anchor_assets",
-    with_fixtures("html") + _ANCHOR_SQL + f""" SELECT page_id, CAST(pos AS BIGINT) AS pos, u AS asset_url, label, CASE WHEN ext = 'pdf' AND regexp_matches(said, {d.lit(fv.LEGAL_DOCUMENT)}) THEN 'legal-pdf' WHEN ext = 'pdf' AND regexp_matches(said, {d.lit(fv.SPECIMEN_DOCUMENT)}) THEN 'specimen-pdf' WHEN ext = 'pdf' THEN 'pdf'
+    with_fixtures("html") + _ANCHOR_SQL + f""" SELECT page_id, CAST(pos AS BIGINT) AS pos, u AS asset_url, label, CASE WHEN ext = 'pdf' AND regexp_matches(said, {d.lit(fv.LEGAL_DOCUMENT)}) THEN 'legal-pdf' WHEN ext = 'pdf' AND regexp_matches(said, {d.lit(fv.SHEET_DOCUMENT)}) THEN 'sheet-pdf' WHEN ext = 'pdf' THEN 'pdf'
       WHEN ext = 'zip' AND regexp_matches(said, {d.lit(fv.TRIAL_ASSET)}) THEN 'trial-zip' WHEN ext = 'zip' THEN 'zip' WHEN contains(lower(u), 'firebasestorage.googleapis.com') THEN 'preview-firebase-font' WHEN ext IN ('otf', 'ttf') THEN 'desktop-file' ELSE 'preview-font' END AS asset_class
       FROM e WHERE ext IN ('woff', 'woff2', 'ttf', 'otf', 'zip', 'pdf')""",
 )
@@ -244,7 +244,7 @@ def spelled_sql(x: str) -> str:
 
 def candidates_sql(t: str) -> str:
     """Sorted list of style candidates of a flattened text."""
-    phrase = rf"(?i)\b(?:(?:{fv.SPECIMEN_WIDTH_WORDS})\s+)?(?:{fv.SPECIMEN_STYLE_WORDS})(?:\s+(?:italic|oblique))?\b"
+    phrase = rf"(?i)\b(?:(?:{fv.SHEET_WIDTH_WORDS})\s+)?(?:{fv.SHEET_STYLE_WORDS})(?:\s+(?:italic|oblique))?\b"
     base = (
         f"list_distinct(list_concat(list_transform(regexp_extract_all({t}, {d.lit(phrase)}), lambda s: {spelled_sql('s')}),"
         f" list_transform(regexp_extract_all({t}, {d.lit(fv.COMPACT_STYLE)}), lambda s: {spelled_sql(d.rep('s', '([a-z])([A-Z])', chr(92) + '1 ' + chr(92) + '2'))})))"
@@ -275,7 +275,7 @@ _STRONG_SQL = "list_filter([" + ", ".join(f"CASE WHEN contains(t, {d.lit(p)}) TH
 
 @query(
     "classify_blocked_page",
-    with_fixtures("html") + f""", s AS (SELECT page_id, CASE page_id%29 WHEN 0 THEN 403 WHEN 1 THEN 429 ELSE 200 END AS status, lower({d.ext('html', '(?is)<title[^>]*>(.*?)</title>')} || chr(10) || html[1:30000]) AS t FROM html),
+    with_fixtures("html") + f""", s AS (SELECT page_id, CASE page_id%29 WHEN 0 THEN 403 WHEN 1 THEN 429 ELSE 200 END AS status, lower({d.ext('html', '(?is)<title[^>]*>(.*?)</title>')} || chr(10) || html) AS t FROM html),
     g AS (SELECT page_id, status, {_SOFT_SQL} AS soft, {_STRONG_SQL} AS strong FROM s), v AS (SELECT *, status IN (403, 429) OR len(strong) > 0 OR len(soft) >= 2 AS blocked FROM g)
     SELECT page_id, blocked, concat_ws(',', CASE WHEN status IN (403, 429) THEN 'status:' || status END, nullif(array_to_string(soft, ','), ''), nullif(array_to_string(strong, ','), '')) AS signals,
       CASE WHEN blocked THEN 'Blocked page detected (' || concat_ws(', ', CASE WHEN status IN (403, 429) THEN 'status ' || status END, CASE WHEN len(strong) > 0 THEN 'strong-signals ' || len(strong) END, CASE WHEN len(soft) > 0 THEN 'signals ' || len(soft) END) || ').' END AS reason FROM v""",

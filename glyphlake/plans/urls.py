@@ -10,7 +10,7 @@ from glyphlake.operators import links
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.registry import query, table
-from glyphlake.sources.pages import read_pages, with_body_cap
+from glyphlake.sources.pages import read_pages
 
 
 @query(
@@ -19,7 +19,7 @@ from glyphlake.sources.pages import read_pages, with_body_cap
        FROM pages WHERE trim(html) <> ''""",
 )
 def _(spark, sf):
-    pages = with_body_cap(read_pages(spark, f"{sf}/pages.parquet"))
+    pages = read_pages(spark, f"{sf}/pages.parquet")
     return pages.select(
         "page_id", "url", F.length("html").cast("long").alias("html_length"), F.col("html").startswith("<!DOCTYPE").alias("has_doctype")
     )

@@ -30,24 +30,21 @@ def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input whose rows cost much CPU.
-
-    A table smaller than one full scan split per core may sit in a single
-    file and would then keep one core busy; only such a table is shuffled.
-    Anything larger already has splits enough and passes through untouched.
+    """Give every core a share of an input that is read as fewer splits than
+    there are cores, as a table in one small file is.  Rows and results stay
+    the same; an input with splits enough passes through untouched.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only if unset."""
+    """The shared folder the cluster names; a fresh one in a local session only."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     chosen = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_KEY, chosen)
     return chosen

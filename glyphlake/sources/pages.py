@@ -13,11 +13,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html").filter(F.trim("html") != "")
 
 
-def with_body_cap(pages: DataFrame, limit: int = fv.MAX_RESOURCE_CHARS) -> DataFrame:
-    """Bodies of fetched side resources are read up to a fixed size."""
-    return pages.withColumn("html", F.substring("html", 1, limit))
-
-
 def textual_only(resources: DataFrame) -> DataFrame:
     """Rows whose content type or extension says text."""
     kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))

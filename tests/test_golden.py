@@ -71,10 +71,10 @@ def test_quality_style_tokens(spark):
     assert values(spark, [(k,) for k in cases], styles.quality_style_token) == list(cases.values())
 
 
-def test_target_and_specimen_tokens(spark):
+def test_target_and_sheet_tokens(spark):
     assert values(spark, [("Foo-LgtItalic",), ("Med Ital",), ("Semi_Bld",), ("SemiBd",)], styles.target_style_token) == [
         "foolightitalic", "mediumitalic", "semibold", "semibold"]
-    assert values(spark, [("Oblique",), ("Bold Oblique",)], styles.specimen_style_token) == ["regularitalic", "bolditalic"]
+    assert values(spark, [("Oblique",), ("Bold Oblique",)], styles.sheet_style_token) == ["regularitalic", "bolditalic"]
 
 
 def test_weights(spark):

@@ -132,7 +132,7 @@ def test_unique_names_step_over_taken_numbers(spark):
 
 def test_numbering_in_chunks_is_plain_numbering(spark):
     df = spark.range(50).select((C("id") % 3).alias("k"), (C("id") * 7).alias("pos"))
-    got = packages.number_rows(df, ["k"], "pos", chunk=20)
+    got = packages.number_rows(df, ["k"], "pos", "n", chunk=20)
     assert all(n == i + 1 for k in range(3) for i, (n,) in enumerate(rows(got.filter(C("k") == k).orderBy("pos").select("n"))))
 
 
