@@ -357,3 +357,51 @@ SUITE_CASES = [
 LONG_SUITE_CASES = ["blazetype", "grillitype"]
 LONG_CASE_TIMEOUT_MS = 900_000
 SOFT_PASS_SUITE_CASES = ["sourcetype"]
+
+# How a label is turned into words, in this order.
+LABEL_REWRITES = [
+    ("[?#].*$", ""),
+    (r"\.[^.]+$", ""),
+    (r"(?i)\.p\b", " "),
+    ("[_-]+", " "),
+    ("([A-Z]+)([A-Z][a-z])", "$1 $2"),
+    ("([a-z0-9])([A-Z])", "$1 $2"),
+    (r"(?i)\b[0-9a-f]{8,}\b", " "),
+]
+
+# A family loses the ending if its label matches.
+FAMILY_ENDINGS = [
+    (r"(?i)^(Regular|Italic|Regular Italic)$", r"(?i)\s+Normal$"),
+    (r"(?i)(Bold|Black|Heavy|Extra)", r"(?i)\s+Extra$"),
+]
+
+# Points of a spelling, per word and per pattern.
+SPELLING_POINTS_PER_WORD = 6
+SPELLING_POINTS = [
+    (r"^[^ ]*$", -5),
+    (r"[A-Z]{2,}", 4),
+    (r"[A-Z][a-z]+\s+[A-Z][a-z]+", 2),
+    (r"^[a-z0-9 ]+$", -3),
+]
+
+# Points of a catalogue family for a request.
+FAMILY_MATCH_POINTS = {
+    "same_reference": 140,
+    "alias_is_slug": 130,
+    "same_reference_token": 120,
+    "alias_token_is_slug_token": 110,
+    "name_is_title": 120,
+    "reference_is_title": 90,
+    "slug_holds_reference": 70,
+    "name_and_title_overlap": 50,
+}
+
+# Points of a face for a wanted style.
+FACE_MATCH_POINTS = {
+    "same_slope": 45,
+    "other_slope": -25,
+    "same_weight": 40,
+    "same_hundred": 20,
+    "other_weight": -8,
+}
+FACE_WORD_FOUND, FACE_WORD_MISSING = 8, -4

@@ -66,11 +66,21 @@ def expand_link_graph(
     )
 
 
-def crawl_summary(results: DataFrame) -> DataFrame:
-    return results.agg(
+def crawl_summary(
+    results: DataFrame, links: DataFrame, include: list[str] = fv.CRAWL_INCLUDE, exclude: list[str] = fv.CRAWL_EXCLUDE
+) -> DataFrame:
+    """One row about a crawl: what was visited, what its pages link to beyond
+    that (``queued``), and the catalogue URLs among both."""
+    visited = results.agg(
         F.count("*").alias("visited"),
-        F.count_if("matched").alias("catalog_urls"),
+        F.count_if("matched").alias("_visited_matches"),
         F.count_if("ok").alias("ok_count"),
         F.count_if(~C("ok")).alias("fail_count"),
         F.max("depth").alias("deepest"),
     )
+    seen = results.select("url")
+    open_ = links.select("url", "link").join(seen, "url", "left_semi").select(C("link").alias("url")).distinct().join(seen, "url", "left_anti")
+    waiting = open_.agg(F.count("*").alias("queued"), F.count_if(urls.matches_patterns(C("url"), include, exclude)).alias("_open_matches"))
+    # one row each
+    both = visited.withColumn("_one", F.lit(1)).join(waiting.withColumn("_one", F.lit(1)), "_one")
+    return both.select("visited", "queued", (C("_visited_matches") + C("_open_matches")).alias("catalog_urls"), "ok_count", "fail_count", "deepest")

@@ -44,28 +44,28 @@ def case_gate(results: DataFrame, cases: DataFrame, strict: bool, phase: bool) -
     quality = F.lower(F.coalesce("quality_status", F.lit("")))
     on, tough = F.lit(phase), F.lit(phase and strict)
 
-    def count(name: str, text: str, end: str = ").") -> Column:
-        return F.when(on & (C(name) > 0), F.concat(F.lit(text), C(name), F.lit(end)))
+    def count(name: str, text: str) -> Column:
+        return F.when(on & (C(name) > 0), F.concat(F.lit(text), C(name)))
 
     reasons = F.array_compact(
         F.array(
             F.when(
                 C("downloaded") < C("min_downloaded"),
-                F.concat(F.lit("Downloaded only "), C("downloaded"), F.lit(" files (< "), C("min_downloaded"), F.lit(").")),
+                F.concat(F.lit("files: "), C("downloaded"), F.lit(" of at least "), C("min_downloaded")),
             ),
-            F.when(F.lower("validation_status") == "fail", F.lit("validation-log status=fail.")),
-            F.when(tough & (quality == ""), F.lit("quality-log missing (phase 1.3 strict gate).")),
-            F.when(on & (quality == "fail"), F.lit("quality-log status=fail.")).otherwise(
-                F.when(tough & (quality == "warn"), F.lit("quality-log status=warn (phase 1.3 strict gate)."))
+            F.when(F.lower("validation_status") == "fail", F.lit("validation failed")),
+            F.when(tough & (quality == ""), F.lit("quality report missing")),
+            F.when(on & (quality == "fail"), F.lit("quality failed")).otherwise(
+                F.when(tough & (quality == "warn"), F.lit("quality warns"))
             ),
             F.when(
                 on & (C("coverage_pct") < 90),
-                F.concat(F.lit("style coverage too low ("), F.regexp_replace(C("coverage_pct").cast("string"), r"\.0$", ""), F.lit("%).")),
+                F.concat(F.lit("style coverage: "), F.regexp_replace(C("coverage_pct").cast("string"), r"\.0$", ""), F.lit("%")),
             ),
-            count("invalid_fonts", "invalid fonts detected ("),
-            count("italic_mismatches", "italic mismatches detected ("),
-            F.when(tough, count("contamination", "contamination fonts detected (", ") in strict phase 1.3 gate.")),
-            F.when((C("downloaded") == 0) & (C("skipped") > 0), F.concat(F.lit("First skip reason: "), C("first_skip"))),
+            count("invalid_fonts", "invalid files: "),
+            count("italic_mismatches", "slope mismatches: "),
+            F.when(tough, count("contamination", "foreign files: ")),
+            F.when((C("downloaded") == 0) & (C("skipped") > 0), F.concat(F.lit("first skip: "), C("first_skip"))),
         )
     )
     gated = r.withColumn("reasons", reasons)
@@ -75,7 +75,7 @@ def case_gate(results: DataFrame, cases: DataFrame, strict: bool, phase: bool) -
         & (C("downloaded") == 0)
         & F.exists("reasons", lambda x: x.rlike(fv.NETWORK_TIMEOUT))
     )
-    note = F.lit("network timeout soft-pass enabled for this foundry.")
+    note = F.lit("passed softly: network timeout")
     return gated.withColumn("status", F.when((F.size("reasons") == 0) | soft, "pass").otherwise("fail")).withColumn(
         "reasons", F.when(soft, F.array_append("reasons", note)).otherwise(C("reasons"))
     )

@@ -184,12 +184,12 @@ def technical_qa(metrics: DataFrame, limited: DataFrame, strict_groups: bool = F
     joined = inventory.join(invalid, "package").join(groups, "package")
     reasons = F.array_compact(
         F.array(
-            F.when(C("invalid_files") > 0, F.concat(F.lit("invalid_fonts="), C("invalid_files"))),
-            F.when(F.size("missing") > 0, F.concat(F.lit("missing_global_formats="), F.array_join("missing", ","))),
-            F.when(F.lit(strict_groups) & (C("groups_incomplete") > 0), F.lit("incomplete_format_groups")),
+            F.when(C("invalid_files") > 0, F.concat(F.lit("invalid_files="), C("invalid_files"))),
+            F.when(F.size("missing") > 0, F.concat(F.lit("formats_missing="), F.array_join("missing", ","))),
+            F.when(F.lit(strict_groups) & (C("groups_incomplete") > 0), F.lit("groups_incomplete")),
             F.when(
                 C("group_name_mismatch_count") > 0,
-                F.concat(F.lit("group_name_mismatch="), C("group_name_mismatch_count")),
+                F.concat(F.lit("groups_with_other_names="), C("group_name_mismatch_count")),
             ),
         )
     )

@@ -34,22 +34,33 @@ def directory_rollup(nodes: DataFrame) -> DataFrame:
     """Direct and total file counts, folder counts and sizes per folder.
 
     Sums climb one level at a time and are combined per folder before each
-    climb, so the root never receives more than one row per child.
+    climb, so the root never receives more than one row per child.  In a tree
+    every climb reaches fewer folders than the one before; where one does not,
+    the folders still reached have a cycle below them, and no totals.
     """
     folder = C("kind") == "folder"
     direct = nodes.filter("parent_id is not null").groupBy(C("parent_id").alias("id")).agg(
         F.count_if(~folder).alias("files"), F.count_if(folder).alias("dirs"), F.sum("size").alias("size")
     )
     parents = nodes.filter("parent_id is not null").select("id", "parent_id")
-    carry, totals = direct, direct
-    while True:
+    carry, totals, reached, endless = direct, direct, None, None
+    while endless is None:
         climbed = carry.join(parents, "id").groupBy(C("parent_id").alias("id")).agg(
             *[F.sum(c).alias(c) for c in ("files", "dirs", "size")]
         )
         carry = cut_lineage(climbed)
-        if carry.isEmpty():
+        before, reached = reached, carry.count()
+        if reached == 0:
             break
+        if reached == before:
+            endless = carry.select("id")
         totals = totals.unionByName(carry)
+    if endless is not None:
+        totals = totals.join(endless, "id", "left_anti")
     summed = totals.groupBy("id").agg(*[F.sum(c).alias(f"total_{c}") for c in ("files", "dirs", "size")])
     folders = nodes.filter(folder).select("id", "name")
-    return folders.join(direct, "id", "left").join(summed, "id", "left").na.fill(0)
+    full = folders.join(direct, "id", "left").join(summed, "id", "left").na.fill(0)
+    if endless is None:
+        return full
+    flagged = full.join(endless.withColumn("_endless", F.lit(True)), "id", "left")
+    return flagged.select("id", "name", "files", "dirs", "size", *[F.when(C("_endless").isNull(), C(f"total_{c}")).alias(f"total_{c}") for c in ("files", "dirs", "size")])

@@ -324,8 +324,8 @@ def _(spark, sf):
 def issues_sql(prefix: str = "") -> str:
     bad = lambda c: f"coalesce({d.trim_all(c)} IN ('', '.'), true)"
     return (
-        f"list_filter([CASE WHEN {bad('family_name')} THEN 'family name missing/invalid (nameID 16/1)' END, CASE WHEN {bad('subfamily_name')} THEN 'subfamily name missing/invalid (nameID 17/2)' END,"
-        f" CASE WHEN {bad('full_name')} THEN 'full name missing/invalid (nameID 4)' END, CASE WHEN {bad('postscript_name')} THEN 'postscript name missing/invalid (nameID 6)' END], lambda i: i IS NOT NULL)"
+        f"list_filter([CASE WHEN {bad('family_name')} THEN 'no usable family name (ids 16, 1)' END, CASE WHEN {bad('subfamily_name')} THEN 'no usable style name (ids 17, 2)' END,"
+        f" CASE WHEN {bad('full_name')} THEN 'no usable full name (id 4)' END, CASE WHEN {bad('postscript_name')} THEN 'no usable PostScript name (id 6)' END], lambda i: i IS NOT NULL)"
     )
 
 

@@ -42,12 +42,12 @@ def _(spark, sf):
 def gate_sql(strict: bool) -> str:
     tough = str(strict).lower()
     return LATEST_CTE + f""", g0 AS (SELECT l.*, c.min_downloaded, c.soft_pass, lower(coalesce(quality_status, '')) AS q FROM last AS l JOIN cases AS c ON c.id = l.id),
-    g1 AS (SELECT *, concat_ws(' | ', CASE WHEN downloaded < min_downloaded THEN 'Downloaded only ' || downloaded || ' files (< ' || min_downloaded || ').' END, CASE WHEN validation_status = 'fail' THEN 'validation-log status=fail.' END,
-      CASE WHEN {tough} AND q = '' THEN 'quality-log missing (phase 1.3 strict gate).' END, CASE WHEN q = 'fail' THEN 'quality-log status=fail.' WHEN {tough} AND q = 'warn' THEN 'quality-log status=warn (phase 1.3 strict gate).' END,
-      CASE WHEN coverage_pct < 90 THEN 'style coverage too low (' || CAST(coverage_pct AS BIGINT) || '%).' END, CASE WHEN invalid_fonts > 0 THEN 'invalid fonts detected (' || invalid_fonts || ').' END, CASE WHEN italic_mismatches > 0 THEN 'italic mismatches detected (' || italic_mismatches || ').' END,
-      CASE WHEN {tough} AND contamination > 0 THEN 'contamination fonts detected (' || contamination || ') in strict phase 1.3 gate.' END, CASE WHEN downloaded = 0 AND skipped > 0 THEN 'First skip reason: ' || first_skip END) AS rs FROM g0),
+    g1 AS (SELECT *, concat_ws(' | ', CASE WHEN downloaded < min_downloaded THEN 'files: ' || downloaded || ' of at least ' || min_downloaded END, CASE WHEN validation_status = 'fail' THEN 'validation failed' END,
+      CASE WHEN {tough} AND q = '' THEN 'quality report missing' END, CASE WHEN q = 'fail' THEN 'quality failed' WHEN {tough} AND q = 'warn' THEN 'quality warns' END,
+      CASE WHEN coverage_pct < 90 THEN 'style coverage: ' || CAST(coverage_pct AS BIGINT) || '%' END, CASE WHEN invalid_fonts > 0 THEN 'invalid files: ' || invalid_fonts END, CASE WHEN italic_mismatches > 0 THEN 'slope mismatches: ' || italic_mismatches END,
+      CASE WHEN {tough} AND contamination > 0 THEN 'foreign files: ' || contamination END, CASE WHEN downloaded = 0 AND skipped > 0 THEN 'first skip: ' || first_skip END) AS rs FROM g0),
     g2 AS (SELECT *, soft_pass AND rs <> '' AND downloaded = 0 AND regexp_matches(rs, {d.lit(fv.NETWORK_TIMEOUT)}) AS soft FROM g1),
-    gated AS (SELECT id, CASE WHEN rs = '' OR soft THEN 'pass' ELSE 'fail' END AS status, CASE WHEN soft THEN rs || ' | network timeout soft-pass enabled for this foundry.' ELSE rs END AS reasons FROM g2)"""
+    gated AS (SELECT id, CASE WHEN rs = '' OR soft THEN 'pass' ELSE 'fail' END AS status, CASE WHEN soft THEN rs || ' | passed softly: network timeout' ELSE rs END AS reasons FROM g2)"""
 
 
 def gated(spark, sf, strict=True):
@@ -195,10 +195,20 @@ def _(spark, sf):
     return out.select("url", "depth", "ok", "discovered", "matched")
 
 
-@query("crawl_summary")
+_CATALOGUE_SQL = "regexp_matches({u}, '(?i)/typefaces/|/fonts/|/font/|/family/') AND NOT regexp_matches({u}, '(?i)/cart|/checkout|/login|/account|/privacy|/terms|/cdn-cgi/')"
+
+
+@query(
+    "crawl_summary",
+    with_fixtures("html").replace("WITH ", "WITH RECURSIVE ", 1) + _ADMITTED_CTE + f""", edges AS (SELECT DISTINCT {d.crawl_url("url")} AS url, link FROM admitted), stored AS (SELECT page_id, {d.crawl_url("url")} AS url FROM html),
+    walk AS (SELECT url, 0 AS depth FROM stored WHERE page_id%50 = 0 UNION SELECT e.link, w.depth + 1 FROM walk AS w JOIN edges AS e ON e.url = w.url WHERE w.depth < 3), seen AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
+    waiting AS (SELECT DISTINCT link AS url FROM edges WHERE url IN (SELECT url FROM seen) AND link NOT IN (SELECT url FROM seen))
+    SELECT count(*) AS visited, (SELECT count(*) FROM waiting) AS queued, count(*) FILTER (WHERE {_CATALOGUE_SQL.format(u="url")}) + (SELECT count(*) FROM waiting WHERE {_CATALOGUE_SQL.format(u="url")}) AS catalog_urls,
+      count(*) FILTER (WHERE url IN (SELECT url FROM stored)) AS ok_count, count(*) FILTER (WHERE url NOT IN (SELECT url FROM stored)) AS fail_count, max(depth) AS deepest FROM seen""",
+)
 def _(spark, sf):
     seeds, edges, stored = crawl_inputs(spark, sf)
-    return cr.crawl_summary(cr.expand_link_graph(seeds, edges, stored, max_depth=3))
+    return cr.crawl_summary(cr.expand_link_graph(seeds, edges, stored, max_depth=3), edges)
 
 
 @query(

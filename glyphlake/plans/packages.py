@@ -97,7 +97,7 @@ def _(spark, sf):
     "technical_qa",
     FX + INVENTORY_CTE + GROUPS_CTE + """, iv AS (SELECT package, count(*) FILTER (WHERE NOT is_valid) AS n FROM file_metrics GROUP BY package),
     gr AS (SELECT package, count(*) AS total, count(*) FILTER (WHERE len(missing) > 0) AS inc, count(*) FILTER (WHERE fams > 1 OR subs > 1) AS nm FROM grp2 GROUP BY package),
-    j AS (SELECT i.package, total, inc, nm, concat_ws('; ', CASE WHEN n > 0 THEN 'invalid_fonts=' || n END, CASE WHEN len(missing) > 0 THEN 'missing_global_formats=' || array_to_string(missing, ',') END, CASE WHEN inc > 0 THEN 'incomplete_format_groups' END, CASE WHEN nm > 0 THEN 'group_name_mismatch=' || nm END) AS reasons
+    j AS (SELECT i.package, total, inc, nm, concat_ws('; ', CASE WHEN n > 0 THEN 'invalid_files=' || n END, CASE WHEN len(missing) > 0 THEN 'formats_missing=' || array_to_string(missing, ',') END, CASE WHEN inc > 0 THEN 'groups_incomplete' END, CASE WHEN nm > 0 THEN 'groups_with_other_names=' || nm END) AS reasons
       FROM inv AS i JOIN iv ON iv.package = i.package JOIN gr ON gr.package = i.package)
     SELECT package, total AS groups_total, inc AS groups_incomplete, nm AS group_name_mismatch_count, reasons, CASE WHEN reasons = '' THEN 'pass' ELSE 'warn' END AS status FROM j""",
 )

@@ -12,6 +12,7 @@ from glyphlake.operators import faces as fc
 from glyphlake.operators import products as pr
 from glyphlake.operators.tree import directory_rollup, tree_listing
 from glyphlake.plans import sql_text as d
+from glyphlake.plans.faces import FACES_CTE
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.registry import query, table
 from glyphlake.sources import catalog_dumps as dumps
@@ -321,7 +322,17 @@ def _(spark, sf):
     return pr.mentions_family(docs, families.union(spoken))
 
 
-@query("assign_best")
+@query(
+    "assign_best",
+    with_fixtures("css", "profiles").replace("WITH ", "WITH RECURSIVE ", 1) + FACES_CTE + f""", fa AS (SELECT regexp_extract(page, '//(brand[0-9]+)[.]', 1) AS brand, regexp_extract(page, '/css/([0-9]+)', 1) AS blk, {d.token('family')} AS fam, u AS face, style = 'Italic' AS it, TRY_CAST(weight AS DOUBLE) AS w, pos AS face_pos, {d.token(d.stem('u'))} AS stem FROM faces),
+    wa AS (SELECT lower(replace(regexp_extract(package, '^(.*)-[0-9]+$', 1), '#', '')) AS brand, regexp_extract(package, '-([0-9]+)$', 1) AS blk, pos AS style_pos, style_label AS style, regexp_matches(style_label, '(?i)italic|oblique') AS it, CASE WHEN contains(lower(style_label), 'bold') THEN 700.0 ELSE 400.0 END AS w, list_filter(string_split(lower(style_label), ' '), lambda t: t <> '') AS tokens FROM profiles),
+    sc AS (SELECT fa.brand || '/' || fa.blk || '/' || fam AS family, style_pos, style, face, face_pos, CASE WHEN wa.it = fa.it THEN 45 ELSE -25 END + CASE WHEN fa.w IS NULL THEN 0 WHEN fa.w = wa.w THEN 40 WHEN floor(fa.w / 100) = floor(wa.w / 100) THEN 20 ELSE -8 END
+       + coalesce(list_sum(list_transform(tokens, lambda t: CASE WHEN contains(stem, t) THEN 8 ELSE -4 END)), 0) AS score FROM fa JOIN wa ON wa.brand = fa.brand AND wa.blk = fa.blk),
+    st AS (SELECT family, style_pos, style, row_number() OVER (PARTITION BY family ORDER BY style_pos, style) AS k, list({{'face': face, 'score': score}} ORDER BY score DESC, face_pos, face) AS opts FROM sc WHERE score > 0 GROUP BY family, style_pos, style),
+    g AS (SELECT family, k, style_pos, style, opts[1] AS pick, [opts[1].face] AS taken FROM st WHERE k = 1
+      UNION ALL SELECT family, k, style_pos, style, pick, list_append(taken, pick.face) FROM (SELECT st.family, st.k, st.style_pos, st.style, g.taken, coalesce(list_filter(st.opts, lambda o: NOT list_contains(g.taken, o.face))[1], st.opts[1]) AS pick FROM g JOIN st ON st.family = g.family AND st.k = g.k + 1) AS q)
+    SELECT family, style_pos, style, pick.face AS face, CAST(pick.score AS BIGINT) AS score FROM g""",
+)
 def _(spark, sf):
     """Styles of the profiles against the faces of the style sheets, per brand block."""
     from glyphlake.plans.faces import css_docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,28 @@ def read_run_reports(spark: SparkSession, path: str, suite: str) -> DataFrame:
     return named.join(newest, "file", "left_semi").select("file", "suite", F.explode("results").alias("r")).select("file", "suite", "r.*")
 
 
+def _bytes(b: Column, at: Column, size: Column) -> Column:
+    """Bytes of a file; NULL where a damaged offset or size leads outside it."""
+    inside = (at >= 0) & (size >= 0) & (at + size <= F.octet_length(b))
+    return F.when(inside, F.substring(b, (at + 1).cast("int"), size.cast("int")))
+
+
+def _number(b: Column, at: Column, size: int) -> Column:
+    return F.conv(F.hex(_bytes(b, at, F.lit(size))), 16, 10).cast("long")
+
+
 def _u16(b: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(b, at + 1, F.lit(2))), 16, 10).cast("int")
+    return _number(b, at, 2).cast("int")
 
 
 def _u32(b: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(b, at + 1, F.lit(4))), 16, 10).cast("int")
+    return _number(b, at, 4)
+
+
+def _each(count: Column, record: Callable[[Column], Column]) -> Column:
+    """``record(i)`` for i below ``count``; no records if there is no count."""
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, record)
 
 
 def _i16(b: Column, at: Column) -> Column:
@@ -49,22 +67,25 @@ def _i16(b: Column, at: Column) -> Column:
 def sfnt_metrics(content: Column) -> Column:
     """Struct of the fixed-offset fields audits need; NULL for other formats.
 
-    Reads the table directory, then single fields: no font is decoded.
+    Reads the table directory, then single fields: no font is decoded.  Of
+    tables with one tag the first counts; fields that a damaged file does not
+    have are NULL.
     """
 
     def parse(b: Column) -> Column:
-        directory = F.map_from_entries(
-            F.transform(
-                F.sequence(F.lit(0), _u16(b, F.lit(4)) - 1),
-                lambda i: F.struct(
-                    F.decode(F.substring(b, i * 16 + 13, F.lit(4)), "US-ASCII"), _u32(b, i * 16 + 20)
-                ),
-            )
+        directory = _each(
+            _u16(b, F.lit(4)),
+            lambda i: F.struct(
+                F.decode(F.coalesce(_bytes(b, i * 16 + 12, F.lit(4)), F.lit(b"")), "ISO-8859-1").alias("tag"), _u32(b, i * 16 + 20).alias("offset")
+            ),
         )
         return let(F.struct(b.alias("b"), directory.alias("d")), fields)
 
     def fields(x: Column) -> Column:
-        b, at = x["b"], lambda tag, offset: F.try_element_at(x["d"], F.lit(tag)) + offset
+        b = x["b"]
+
+        def at(tag: str, offset: int) -> Column:
+            return F.get(F.filter(x["d"], lambda t: t["tag"] == tag), F.lit(0))["offset"] + offset
 
         def name(nid: int) -> Column:
             return F.get(
@@ -101,14 +122,11 @@ def _names(b: Column, start: Column) -> Column:
 
     def record(i: Column) -> Column:
         at = start + 6 + i * 12
-        raw = F.substring(b, start + _u16(b, start + 4) + _u16(b, at + 10) + 1, _u16(b, at + 8))
+        raw = _bytes(b, start + _u16(b, start + 4) + _u16(b, at + 10), _u16(b, at + 8))
         wide = _u16(b, at).isin(0, 3)
         return F.struct(
             _u16(b, at + 6).alias("id"),
             F.trim(F.when(wide, F.decode(raw, "UTF-16BE")).otherwise(F.decode(raw, "ISO-8859-1"))).alias("text"),
         )
 
-    count = F.coalesce(_u16(b, start + 2), F.lit(0))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), record)).otherwise(
-        F.array().cast("array<struct<id:int,text:string>>")
-    )
+    return _each(F.coalesce(_u16(b, start + 2), F.lit(0)), record)
