@@ -405,3 +405,23 @@ FACE_MATCH_POINTS = {
     "other_weight": -8,
 }
 FACE_WORD_FOUND, FACE_WORD_MISSING = 8, -4
+
+# What may follow a family in a document's name.
+DOCUMENT_VERSION = r"^(?:v(?:er(?:sion)?)?\d+|\d+)$"
+DOCUMENT_VERSION_START = r"^(?:v(?:er(?:sion)?)?\d+|\d)"
+
+# Feature tags and control names of sample-sheet forms.
+FORM_FEATURE_TAGS = [
+    "liga", "dlig", "clig", "hlig", "rlig", "calt", "ccmp", "locl", "salt", "swsh", "frac", "ordn", "case",
+    "zero", "tnum", "onum", "lnum", "pnum", "sups", "subs", "sinf", "smcp", "c2sc", "aalt", "kern", "mark", "mkmk",
+]
+FORM_FEATURE_CONTROLS = [
+    "alternate", "ligature", "swashes", "fractions", "ordinals", "case-sensitive", "open-type-figure", "circle-numbers",
+]
+FORM_FEATURE_ATTRIBUTES = ["name", "id", "value", "data-feature", "data-tag", "data-opentype-feature"]
+
+# Points of an asset's style token for a wanted style; the
+# distance in length is taken off where one token lies in the other.
+TOKEN_MATCH_POINTS = {"equal": 140, "inside": 98, "around": 88}
+TOKEN_SLANT_POINTS = {"wanted_and_found": 10, "wanted_not_found": -20, "found_not_wanted": -8}
+TOKEN_MATCH_LEAST = 60

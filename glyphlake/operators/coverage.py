@@ -170,54 +170,17 @@ def style_from_filename(files: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.withColumn("file_token", best).drop("_names", "wanted")
 
 
-def lookup_source(files: DataFrame, log: DataFrame, root: str) -> DataFrame:
-    """Source URL of each file: the first log row that matches on any rung.
+def lookup_source(files: DataFrame, log: DataFrame) -> DataFrame:
+    """Source URL of each file (package, path): that of the first log row of
+    its package whose file has the same base name, whatever its case.
 
-    Rungs: absolute path, path below the package folder, base name, relative
-    path.  Each rung is an equi-join; the log is first reduced to its first
-    row per key, so popular names do not multiply.
+    Equal paths imply equal base names, and the first row wins on any ground,
+    so one equi-join decides; the log is first reduced to its first row per
+    name, so popular names do not multiply.
     """
-
-    def rungs(path: Column, base: Column) -> Column:
-        return F.array(
-            F.struct(F.lit("path").alias("rung"), path.alias("key")),
-            F.struct(F.lit("name").alias("rung"), F.lower(base).alias("key")),
-        )
-
-    full = F.concat_ws("/", F.lit(root), C("path"))
-    file_keys = files.select(
-        "package",
-        "path",
-        F.explode(
-            F.concat(
-                rungs(full, F.element_at(F.split("path", "/"), -1)),
-                F.array(
-                    F.struct(F.lit("inside").alias("rung"), F.lower(F.substring_index("path", "/", -1)).alias("key")),
-                    F.struct(F.lit("relative").alias("rung"), F.lower("path").alias("key")),
-                ),
-            )
-        ).alias("r"),
-    ).select("package", "path", "r.rung", "r.key")
-    log_keys = log.select(
-        "package",
-        "pos",
-        "source_url",
-        F.explode(
-            F.concat(
-                rungs(C("file_path"), F.element_at(F.split("file_path", "/"), -1)),
-                F.array(
-                    F.struct(F.lit("inside").alias("rung"), F.lower("file_path").alias("key")),
-                    F.struct(F.lit("relative").alias("rung"), F.lower("file_path").alias("key")),
-                ),
-            )
-        ).alias("r"),
-    ).select("package", "pos", "source_url", "r.rung", "r.key")
-    firsts = first_by(log_keys, ["package", "rung", "key"], [C("pos")])
-    return (
-        file_keys.join(firsts, ["package", "rung", "key"])
-        .groupBy("package", "path")
-        .agg(F.min_by("source_url", "pos").alias("source_url"))
-    )
+    name = lambda path: F.lower(F.element_at(F.split(path, "/"), -1))
+    firsts = log.groupBy("package", name(C("file_path")).alias("_name")).agg(F.min_by("source_url", "pos").alias("source_url"))
+    return files.withColumn("_name", name(C("path"))).join(firsts, ["package", "_name"]).select("package", "path", "source_url")
 
 
 def asset_style_lookup(assets: DataFrame, style_map: DataFrame) -> DataFrame:
@@ -248,6 +211,17 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(ratio, digits).cast("double")
 
 
+def with_fallback_styles(merged: DataFrame, rows: DataFrame) -> DataFrame:
+    """Merged profiles; one without any signal expects the styles of the
+    package's own rows (package, pos, label), once each, in order."""
+    own = label_entries(rows, "label").groupBy("package").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]).alias("_own")
+    )
+    silent = (F.size("expected_styles") == 0) & (F.size("required_tags") == 0) & (C("min_cmap") == 0) & (C("min_features") == 0)
+    styles = F.when(silent, F.coalesce("_own", F.array().cast("array<string>"))).otherwise(C("expected_styles"))
+    return merged.join(own, "package", "left").withColumn("expected_styles", styles).drop("_own")
+
+
 def merge_profiles(parts: DataFrame) -> DataFrame:
     """Fold ordered profile parts (package, pos, ...) into one per package.
 

@@ -313,6 +313,23 @@ def feature_tags(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(all_matches(text, ascii_bounds(fv.FEATURE_TAG), 1), F.lower)))
 
 
+def form_feature_tags(html: Column) -> Column:
+    """Feature tags that a page's form controls name, sorted: in the attributes
+    of inputs, selects and options, or as values of known feature switches."""
+    numbered = r"ss\d{2}|cv\d{2}"
+    named = ascii_bounds(rf"(?i)\b({numbered}|{'|'.join(fv.FORM_FEATURE_TAGS)})\b")
+
+    def of_control(tag: Column) -> Column:
+        said = F.concat_ws(" ", *[normalize_space(attribute(tag, a)) for a in fv.FORM_FEATURE_ATTRIBUTES])
+        value = F.lower(normalize_space(attribute(tag, "value")))
+        is_switch = tag.rlike("(?i)^<input") & attribute(tag, "name").rlike("(?i)" + "|".join(fv.FORM_FEATURE_CONTROLS))
+        own = F.when(is_switch & value.rlike(rf"^(?:{numbered}|[a-z]{{3,5}})$"), F.array(value)).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.transform(all_matches(said, named, 1), F.lower), own)
+
+    controls = all_matches(html, r"(?is)<(?:input|select|option)\b[^>]*>", 0)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(controls, of_control))))
+
+
 def spelled_style(c: Column) -> Column:
     """Sample-sheet spelling of a style phrase: folded compounds, capitalised words."""
     folded = reduce(
@@ -402,20 +419,28 @@ def blocked_page(status: Column, title: Column, html: Column, blocked_status: li
 
 
 def catalog_entries(pages: DataFrame, prefix: str = "/fonts/") -> DataFrame:
-    """(page_id, slug, title): catalogue links of a page, first title per slug."""
+    """(page_id, slug, title): catalogue links of a page, first title per slug.
+
+    A slug may have several parts; keys of the page's font table in scripts
+    are entries too, after the links and without a title.
+    """
     anchors = pages.select(
         "page_id",
         F.posexplode(
-            all_matches(C("html"), rf"(?is)<a\b[^>]*href=[\"']{prefix}[^\"'/?#]+[\"'][^>]*>.*?</a>", 0)
+            all_matches(C("html"), rf"(?is)<a\b[^>]*href=[\"']{prefix}[^\"'?#]+[^\"']*[\"'][^>]*>.*?</a>", 0)
         ).alias("pos", "tag"),
     )
     read = anchors.select(
         "page_id",
         "pos",
-        F.lower(F.regexp_extract("tag", rf"(?i)href=[\"']{prefix}([^\"'/?#]+)", 1)).alias("slug"),
+        F.lower(F.regexp_extract("tag", rf"(?i)href=[\"']{prefix}([^\"'?#]+)", 1)).alias("slug"),
         normalize_space(decode_html_entities(F.regexp_replace("tag", "<[^>]+>", " "))).alias("title"),
     )
-    return first_by(read, ["page_id", "slug"], [C("pos")]).drop("pos")
+    keys = pages.select("page_id", F.posexplode(all_matches(C("html"), r"(?i)window\.FontMetadata\['([^']+)'\]", 1)).alias("pos", "key")).select(
+        "page_id", (C("pos") + SCRIPTS_AFTER).alias("pos"), F.lower(normalize_space(C("key"))).alias("slug"), F.lit(None).cast("string").alias("title")
+    )
+    every = read.unionByName(keys).filter("slug <> ''")
+    return first_by(every, ["page_id", "slug"], [C("pos")]).drop("pos")
 
 
 def glyph_payload_stats(html: Column) -> Column:

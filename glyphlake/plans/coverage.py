@@ -163,7 +163,7 @@ def download_rows(spark, sf):
 )
 def _(spark, sf):
     files = fixture(spark, sf, "file_metrics").select("package", "path").distinct()
-    return cv.lookup_source(files, download_rows(spark, sf), "/out")
+    return cv.lookup_source(files, download_rows(spark, sf))
 
 
 @query(
@@ -208,6 +208,25 @@ def _(spark, sf):
     return cv.merge_profiles(parts).select("package", "scope", "strict", F.array_join("required_tags", ",").alias("required_tags"), "min_cmap")
 
 
+@query(
+    "profile_fallback",
+    FX + f""", silent AS (SELECT package, max(min_cmap * (pos % 2)) AS any_cmap FROM profiles GROUP BY package),
+    own0 AS (SELECT package, {d.space('style_label')} AS label, pos FROM profiles), own1 AS (SELECT package, arg_min(label, pos) AS label, min(pos) AS pos FROM own0 WHERE label <> '' GROUP BY package, lower(label)),
+    own AS (SELECT package, string_agg(label, ',' ORDER BY pos) AS labels FROM own1 GROUP BY package)
+    SELECT s.package, CASE WHEN s.package LIKE '%1%' THEN 'Regular' WHEN s.any_cmap > 0 THEN '' ELSE o.labels END AS expected_styles FROM silent AS s LEFT JOIN own AS o ON o.package = s.package""",
+)
+def _(spark, sf):
+    p = fixture(spark, sf, "profiles")
+    none = F.array().cast("array<string>")
+    parts = p.select(
+        "package", "pos", F.lit("style").alias("scope"), F.lit(None).cast("boolean").alias("strict"), none.alias("required_tags"),
+        F.when(C("package").contains("1"), F.array(F.lit("Regular"))).otherwise(none).alias("expected_styles"),
+        (C("min_cmap") * (C("pos") % 2)).alias("min_cmap"), F.lit(0).alias("min_features"),
+    )
+    rows = p.select("package", "pos", C("style_label").alias("label"))
+    return cv.with_fallback_styles(cv.merge_profiles(parts), rows).select("package", F.array_join("expected_styles", ",").alias("expected_styles"))
+
+
 PROFILE_CTE = ", profile AS (SELECT package, any_value(strict) AS strict, any_value(required_tags) AS required_tags, any_value(min_cmap) AS min_cmap, any_value(min_features) AS min_features, any_value(pk2) AS fail_on_trial FROM (SELECT *, ends_with(package, '0') AS pk2 FROM profiles) AS q GROUP BY package)"
 PCT = "CAST(round(CAST(100 * {a} AS DECIMAL(20,6)) / nullif({b}, 0), 2) AS DOUBLE)"
 

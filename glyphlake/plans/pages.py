@@ -289,14 +289,50 @@ def _(spark, sf):
 
 @query(
     "extract_catalog",
-    with_fixtures("html") + rf""", a AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS tag FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href=["'']/fonts/[^"''/?#]+["''][^>]*>.*?</a>', 0) AS x FROM html) AS q),
-    r AS (SELECT page_id, pos, lower(regexp_extract(tag, '(?i)href=["'']/fonts/([^"''/?#]+)', 1)) AS slug, {d.space(d.entities(d.rep('tag', '<[^>]+>', ' ')))} AS title FROM a)
+    with_fixtures("html") + rf""", a AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS tag FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href=["'']/fonts/[^"''?#]+[^"'']*["''][^>]*>.*?</a>', 0) AS x FROM html) AS q),
+    r AS (SELECT page_id, pos, lower(regexp_extract(tag, '(?i)href=["'']/fonts/([^"''?#]+)', 1)) AS slug, {d.space(d.entities(d.rep('tag', '<[^>]+>', ' ')))} AS title FROM a)
     SELECT page_id, slug, arg_min(title, pos) AS title FROM r GROUP BY page_id, slug""",
 )
 def _(spark, sf):
     return docs.catalog_entries(fixture(spark, sf, "html"))
 
 
+_KEYED_SQL = """html || '<a href="/fonts/deep/' || CAST(page_id%4 AS VARCHAR) || '?x=1">Deep ' || CAST(page_id%4 AS VARCHAR) || '</a><script>window.FontMetadata[' || chr(39) || 'Key-' || CAST(page_id%5 AS VARCHAR) || chr(39) || '] = 1; window.FontMetadata[' || chr(39) || 'deep/' || CAST(page_id%8 AS VARCHAR) || chr(39) || '] = 2</script>'"""
+
+
+@query(
+    "catalog_script_keys",
+    with_fixtures("html") + rf""", h AS (SELECT page_id, {_KEYED_SQL} AS html FROM html), a AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS tag FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href=["'']/fonts/[^"''?#]+[^"'']*["''][^>]*>.*?</a>', 0) AS x FROM h) AS q),
+    r AS (SELECT page_id, pos, lower(regexp_extract(tag, '(?i)href=["'']/fonts/([^"''?#]+)', 1)) AS slug, {d.space(d.entities(d.rep('tag', '<[^>]+>', ' ')))} AS title FROM a),
+    k AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '(?i)window\.FontMetadata\[[^a-z]([^\]]+)[^a-z0-9]\]', 1))) AS slug FROM h),
+    t AS (SELECT page_id, slug, arg_min(title, pos) AS title FROM r GROUP BY page_id, slug)
+    SELECT page_id, slug, title FROM t UNION ALL SELECT DISTINCT page_id, slug, CAST(NULL AS VARCHAR) FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page_id = k.page_id AND t.slug = k.slug)""",
+)
+def _(spark, sf):
+    text = lambda n: (C("page_id") % n).cast("string")
+    more = F.concat(
+        F.lit('<a href="/fonts/deep/'), text(4), F.lit('?x=1">Deep '), text(4), F.lit("</a><script>window.FontMetadata['Key-"), text(5),
+        F.lit("'] = 1; window.FontMetadata['deep/"), text(8), F.lit("'] = 2</script>"),
+    )
+    return docs.catalog_entries(fixture(spark, sf, "html").withColumn("html", F.concat("html", more)))
+
+
+@query(
+    "form_feature_tags",
+    """SELECT page_id, CASE page_id%3 WHEN 0 THEN 'kern,liga,ss07' WHEN 1 THEN 'liga,swsh' ELSE 'liga' END AS tags FROM pages WHERE trim(html) <> ''""",
+)
+def _(spark, sf):
+    """The controls are added here; what they name follows from the page's id."""
+    page = C("page_id")
+    controls = F.concat(
+        F.lit('<select name="Feature liga"><option value="none" data-other="zero">x</option></select>'),
+        F.when(page % 3 == 0, '<option data-tag="SS07" id="kern-switch">').when(page % 3 == 1, '<input type="checkbox" name="Swashes-on" value=" SWSH ">').otherwise('<input name="size" value="tall">'),
+        F.lit("<p>onum tnum</p>"),
+    )
+    pages = table(spark, sf, "pages").filter(F.trim("html") != "")
+    return pages.select("page_id", F.array_join(docs.form_feature_tags(F.concat("html", controls)), ",").alias("tags"))
+
+
 @query(
     "glyph_payload_stats",
     with_fixtures("html") + r""", x AS (SELECT page_id, regexp_extract_all(html, '(?i)data-characters=["'']([^"'']*)["'']', 1) AS s FROM html)

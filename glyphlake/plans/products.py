@@ -10,6 +10,7 @@ from glyphlake.functions import urls
 from glyphlake.functions.text import normalize_token
 from glyphlake.operators import faces as fc
 from glyphlake.operators import products as pr
+from glyphlake.operators.relevance import document_relevance
 from glyphlake.operators.tree import directory_rollup, tree_listing
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.faces import FACES_CTE
@@ -352,6 +353,49 @@ def _(spark, sf):
     return pr.assign_best(pr.score_candidates(named, wanted, ["brand", "blk"]))
 
 
+@query(
+    "assign_longest_first",
+    with_fixtures("css", "profiles").replace("WITH ", "WITH RECURSIVE ", 1) + FACES_CTE + f""", fb AS (SELECT page, u, arg_min(label, pos) AS label, arg_min(style, pos) AS style, min(pos) AS pos FROM faces GROUP BY page, u),
+    fa AS (SELECT regexp_extract(page, '//(brand[0-9]+)[.]', 1) AS brand, regexp_extract(page, '/css/([0-9]+)', 1) AS blk, u AS url, {d.token('label')} AS token, style = 'Italic' AS sl, pos % 7 AS quality FROM fb),
+    wa AS (SELECT lower(replace(regexp_extract(package, '^(.*)-[0-9]+$', 1), '#', '')) AS brand, regexp_extract(package, '-([0-9]+)$', 1) AS blk, style_label AS style, regexp_matches(style_label, '(?i)italic|oblique') AS it, {d.token('style_label')} AS t FROM profiles),
+    wb AS (SELECT brand, blk, style, it, [t, replace(t, 'demi', 'semi')] AS tokens, length(t) AS len FROM wa GROUP BY ALL),
+    m AS (SELECT wb.brand, wb.blk, wb.style, url, list_max(list_transform(tokens, lambda t: CASE WHEN t = '' OR token = '' THEN NULL WHEN token = t THEN 140 WHEN contains(token, t) THEN 98 - (length(token) - length(t)) WHEN contains(t, token) THEN 88 - (length(t) - length(token)) END))
+       + CASE WHEN it AND sl THEN 10 WHEN it THEN -20 WHEN sl THEN -8 ELSE 0 END + quality AS score FROM wb JOIN fa ON fa.brand = wb.brand AND fa.blk = wb.blk),
+    o AS (SELECT brand, blk, style, list({{'url': url, 'score': score}} ORDER BY score DESC, url) AS opts FROM m WHERE score >= 60 GROUP BY brand, blk, style),
+    st AS (SELECT wb.brand, wb.blk, wb.style, coalesce(o.opts, []) AS opts, row_number() OVER (PARTITION BY wb.brand, wb.blk ORDER BY len DESC, wb.style) AS k FROM wb LEFT JOIN o ON o.brand = wb.brand AND o.blk = wb.blk AND o.style = wb.style),
+    g AS (SELECT brand, blk, k, style, opts[1] AS pick, CASE WHEN len(opts) > 0 THEN [opts[1].url] ELSE [] END AS taken FROM st WHERE k = 1
+      UNION ALL SELECT brand, blk, k, style, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.url) END FROM (SELECT st.brand, st.blk, st.k, st.style, g.taken, list_filter(st.opts, lambda o: NOT list_contains(g.taken, o.url))[1] AS pick FROM g JOIN st ON st.brand = g.brand AND st.blk = g.blk AND st.k = g.k + 1) AS q)
+    SELECT brand, blk, style, pick.url AS url, CAST(pick.score AS BIGINT) AS score FROM g""",
+)
+def _(spark, sf):
+    """Styles of the profiles and the assets of the style sheets, per brand block."""
+    from glyphlake.plans.faces import css_docs
+
+    assets = fc.extract_faces(css_docs(spark, sf)).groupBy("page", C("source.url").alias("url")).agg(
+        normalize_token(F.min_by("label", "pos")).alias("token"), (F.min_by("style", "pos") == "Italic").alias("slanted"), (F.min("pos") % 7).alias("quality")
+    )
+    named = assets.select(F.regexp_extract("page", r"//(brand\d+)\.", 1).alias("brand"), F.regexp_extract("page", r"/css/(\d+)", 1).alias("blk"), "url", "token", "slanted", "quality")
+    token = normalize_token(C("style_label"))
+    wanted = fixture(spark, sf, "profiles").select(
+        F.lower(F.replace(F.regexp_extract("package", r"^(.*)-\d+$", 1), F.lit("#"), F.lit(""))).alias("brand"), F.regexp_extract("package", r"-(\d+)$", 1).alias("blk"),
+        C("style_label").alias("style"), C("style_label").rlike("(?i)italic|oblique").alias("italic"), F.array(token, F.replace(token, F.lit("demi"), F.lit("semi"))).alias("tokens"),
+    ).distinct()
+    return pr.assign_longest_first(wanted, named, ["brand", "blk"])
+
+
+@query(
+    "document_relevance",
+    """WITH n AS (SELECT p_partkey AS key, p_name, replace(p_name, ' ', '-') || CASE p_partkey%6 WHEN 0 THEN '-Guide-v2' WHEN 1 THEN '-Bold' WHEN 2 THEN '2' WHEN 3 THEN 'TechDoc' WHEN 4 THEN '_v12' ELSE '-brochure_' || p_brand END || '.pdf' AS name, CASE WHEN p_partkey%7=0 THEN 'other face' ELSE p_name END AS family, p_partkey%5 AS none FROM part)
+    SELECT key, name, none = 0 OR (family = p_name AND key%6 <> 1) AS relevant FROM n""",
+)
+def _(spark, sf):
+    part, k = table(spark, sf, "part"), C("p_partkey")
+    ending = F.when(k % 6 == 0, "-Guide-v2").when(k % 6 == 1, "-Bold").when(k % 6 == 2, "2").when(k % 6 == 3, "TechDoc").when(k % 6 == 4, "_v12").otherwise(F.concat(F.lit("-brochure_"), C("p_brand")))
+    named = part.select(k.alias("key"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), ending, F.lit(".pdf")).alias("name"))
+    families = part.filter(k % 5 != 0).select(k.alias("key"), F.when(k % 7 == 0, "other face").otherwise(C("p_name")).alias("family"))
+    return document_relevance(named, families)
+
+
 @query(
     "directory_rollup",
     with_fixtures("tree").replace("WITH ", "WITH RECURSIVE ", 1) + """, up AS (SELECT id, parent_id AS anc, kind, size FROM tree WHERE parent_id IS NOT NULL UNION ALL SELECT u.id, t.parent_id, u.kind, u.size FROM up AS u JOIN tree AS t ON t.id = u.anc WHERE t.parent_id IS NOT NULL)
