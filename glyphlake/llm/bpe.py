@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from glyphlake.llm.common import sliced, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 TOKENS_AT_ONCE = 1 << 18
 
 # fixed values: letters and other characters of European texts whose classes
@@ -129,7 +129,7 @@ def _blocks(path: str, packs: int, block_bytes: int) -> Callable[[Iterator[pa.Re
             press = zstandard.ZstdCompressor(level=3).compress
             # places rise, so their differences are small
             sent = [{"pack": k, "places": pack_numbers(np.diff(s, prepend=0)), "lengths": pack_numbers(np.fromiter(map(len, w), np.int64, len(w))), "spelt": press(b"".join(w))} for k, (s, w) in owners.items()]
-            return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "counts": np.array(counts, "<u4").tobytes(), "codes": codes, "packs": sent}], schema=BLOCKS)
+            return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "counts": pack_numbers(np.array(counts)), "codes": codes, "packs": sent}], schema=BLOCKS)
 
         held = 0
         for batch in sliced(batches):
@@ -187,41 +187,49 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picked: np
     return flat[np.repeat(shift, each) + np.arange(total)], ends
 
 
-def _join_back(key: tuple, block: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of the documents of one block: those of its words, by position."""
-    places = [np.cumsum(unpack_numbers(x.as_py())) for x in words.column("places")]
-    lengths = [unpack_numbers(x.as_py()) for x in words.column("lengths")]
-    count = sum(map(len, places))
-    length, start = np.zeros(count, np.int64), np.zeros(count, np.int64)
-    flat, base = [], 0
-    for spot, size, ids in zip(places, lengths, words.column("ids").to_pylist(), strict=True):
-        part = unpack_numbers(ids).astype("<u4")
-        ends = np.cumsum(size)
-        length[spot], start[spot] = size, base + ends - size
-        flat.append(part)
-        base += len(part)
-    joined = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-    doc_ids = block.column("doc_ids")[0].as_py()
-    counts = np.frombuffer(block.column("counts")[0].as_py(), "<u4").astype(np.int64)
-    held, at, out, tokens = np.zeros(0, np.int64), 0, [], []
-    parts = iter(block.column("codes")[0])
-    while at < len(doc_ids):
-        until = int(np.searchsorted(np.cumsum(counts[at:]), len(held), side="right")) + at
-        if until > at:
-            used = int(counts[at:until].sum())
-            ids, ends = gather(joined, start, length, held[:used])
-            held = held[used:]
-            word_ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts[at:until])))]
-            for a, b in zip(word_ends[:-1].tolist(), word_ends[1:].tolist(), strict=True):
-                out.append(ids[a:b].tobytes())
-                tokens.append(b - a)
+def _join_back(path: str | None) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The ids of the documents of one block: those of its words, by position.
+    With ``path`` also the texts they spell, from the id-to-piece table."""
+
+    def run(key: tuple, block: pa.Table, words: pa.Table) -> pa.Table:
+        places = [np.cumsum(unpack_numbers(x.as_py())) for x in words.column("places")]
+        lengths = [unpack_numbers(x.as_py()) for x in words.column("lengths")]
+        count = sum(map(len, places))
+        length, start = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        flat, base = [], 0
+        for spot, size, ids in zip(places, lengths, words.column("ids").to_pylist(), strict=True):
+            part = unpack_numbers(ids).astype("<u4")
+            ends = np.cumsum(size)
+            length[spot], start[spot] = size, base + ends - size
+            flat.append(part)
+            base += len(part)
+        joined = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        del places, lengths, flat, words
+        doc_ids = block.column("doc_ids")[0].as_py()
+        counts = unpack_numbers(block.column("counts")[0].as_py())
+        parts = iter(block.column("codes")[0])
+        held, at, out, tokens, spelt = np.zeros(0, np.int64), 0, [], [], []
+        while at < len(doc_ids):
+            until = int(np.searchsorted(np.cumsum(counts[at:]), len(held), side="right")) + at
+            if until == at:
+                held = np.concatenate([held, unpack_numbers(next(parts).as_py())])
+                continue
+            ends = np.concatenate(([0], np.cumsum(counts[at:until])))
+            ids, word_ends = gather(joined, start, length, held[: ends[-1]])
+            held = held[ends[-1] :]
+            bounds = np.concatenate(([0], word_ends))[ends].tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            tokens += np.diff(bounds).tolist()
+            if path is not None:
+                spelt += spell(ids, bounds, path)
             at = until
-        else:
-            held = np.concatenate([held, unpack_numbers(next(parts).as_py())])
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns if path is None else columns | {"decoded": pa.array(spelt, pa.string())})
+
+    return run
 
 
-def encoded(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, spelt: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens and ids, the latter as
     little-endian unsigned 32-bit numbers in a binary.
 
@@ -238,7 +246,8 @@ def encoded(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataF
     owned = blocks.select("block", F.explode("packs").alias("p")).select("block", "p.*").repartitionById(packs, F.col("pack"))
     words = owned.select("block", "places", "lengths", "spelt").mapInArrow(_encode_packs(path), "block long, places binary, lengths binary, ids binary")
     bodies = blocks.select("block", "doc_ids", "counts", "codes")
-    return bodies.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded string" * spelt
+    return bodies.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back(path if spelt else None), schema)
 
 
 @cache
@@ -260,14 +269,24 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+def spell(ids: np.ndarray, bounds: list[int], path: str) -> list[str]:
+    """The texts of the slices of ``ids`` between ``bounds``: every id joined
+    with its piece.  Works through slices of bounded size."""
+    flat, starts, lengths = pieces(path)
+    out = []
+    for first in range(0, len(bounds) - 1, 256):
+        some = bounds[first : first + 257]
+        part, ends = gather(flat, starts, lengths, ids[some[0] : some[-1]])
+        cuts = np.concatenate(([0], ends))[np.array(some) - some[0]].tolist()
+        out += [part[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
 def _decode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lengths = pieces(path)
         for part in sliced(batches):
-            texts = []
-            for ids in part.column("ids"):
-                spelt, _ = gather(flat, starts, lengths, np.frombuffer(ids.as_py() or b"", "<u4"))
-                texts.append(spelt.tobytes().decode("utf-8", "replace"))
+            ids = [np.frombuffer(x.as_py() or b"", "<u4") for x in part.column("ids")]
+            texts = spell(np.concatenate(ids), np.cumsum([0, *map(len, ids)]).tolist(), path)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return run
@@ -283,4 +302,4 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids, decoded."""
-    return decoded(encoded(docs, path), path)
+    return encoded(docs, path, spelt=True)

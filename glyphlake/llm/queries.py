@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, quality, quality_rules, sharding, simhash, token_files
+from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, oracles, quality, quality_rules, sharding, simhash, token_files
 from glyphlake.llm.common import documents, held_out, new_folder
 
 SHARDS = 40
@@ -79,4 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_anchors": op10_simhash_anchors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_digest_tree": oracles.EXACT,
+    "op7_quality_rules": oracles.RULES,
+    "op8_interleaved_shards": oracles.shards(SHARDS, SHARD_SEED),
+}
