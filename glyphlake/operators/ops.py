@@ -194,98 +194,3 @@ def latest_within(entries: DataFrame, reads: DataFrame, seconds: int) -> DataFra
     found = rows.withColumn("e", entry).filter(~C("is_put"))
     fresh = C("e").isNotNull() & (C("t") < C("e.t") + width)
     return found.select(C("id").alias("get_id"), "token", F.when(fresh, C("e.id")).alias("put_id"), F.coalesce(fresh, F.lit(False)).alias("found"))
-
-
-# --- rate windows --------------------------------------------------------
-
-
-def rate_limit(
-    events: DataFrame,
-    limit: int = fv.RATE_LIMIT_EVENTS,
-    seconds: int = fv.RATE_LIMIT_SECONDS,
-    hot_rows: int = 5_000_000,
-    slice_windows: int = 1440,
-) -> DataFrame:
-    """Mark events (event_id, key, ts) beyond ``limit`` in windows that open at
-    a key's first event and reopen at the first event after they close.
-
-    Most keys are walked in time order as their partition streams by.  A key
-    with more than ``hot_rows`` events would keep one task busy: its windows
-    are found in three steps that never hold the whole key.  Every (key, time
-    slice) works out where each possible entry leads, one short list per key
-    is followed slice by slice, and each slice then names the window of its
-    events.  At most rows / hot_rows keys are hot.
-    """
-    import numpy as np
-    import pandas as pd
-
-    width = seconds * 1_000_000
-    span = width * slice_windows
-    rows = events.select("event_id", "key", wall_micros(C("ts")).alias("t")).withColumn("slice", F.floor(C("t") / span))
-
-    def exits(_, part):
-        t = np.unique(part["t"].to_numpy())
-        n = len(t)
-        step = np.searchsorted(t, t + width, side="right")
-        last = np.where(step < n, step, np.arange(n))
-        while True:
-            further = last[last]
-            if (further == last).all():
-                break
-            last = further
-        reach = int(np.searchsorted(t, part["slice"].iloc[0] * span + width, side="right")) + 1
-        entry, out = t[: min(reach, n)], t[last[: min(reach, n)]]
-        # a run of entries with the same exit needs its last entry only
-        keep = np.append(out[1:] != out[:-1], True)
-        return pd.DataFrame({"key": part["key"].iloc[0], "slice": part["slice"].iloc[0], "entry": entry[keep], "exit": out[keep]})
-
-    def follow(_, part):
-        part = part.sort_values(["slice", "entry"])
-        opened, out = None, []
-        for number, group in part.groupby("slice", sort=True):
-            out.append((group["key"].iloc[0], number, opened))
-            entry = group["entry"].to_numpy()
-            at = 0 if opened is None else int(np.searchsorted(entry, opened + width, side="right"))
-            if at < len(entry):
-                opened = int(group["exit"].to_numpy()[at])
-        frame = pd.DataFrame(out, columns=["key", "slice", "opened"])
-        return frame.astype({"opened": "Int64"})
-
-    def windows(_, part):
-        part = part.sort_values("t")
-        t = part["t"].to_numpy()
-        carried = part["opened"].iloc[0]
-        anchor = np.empty(len(t), dtype="int64")
-        at = 0
-        if not pd.isna(carried):
-            at = int(np.searchsorted(t, int(carried) + width, side="right"))
-            anchor[:at] = int(carried)
-        while at < len(t):
-            end = int(np.searchsorted(t, t[at] + width, side="right"))
-            anchor[at:end] = t[at]
-            at = end
-        return pd.DataFrame({"event_id": part["event_id"], "key": part["key"], "t": part["t"], "anchor": anchor})
-
-    def walk(batches):
-        key = opened = None
-        for part in batches:
-            anchors = []
-            for k, t in zip(part["key"].tolist(), part["t"].tolist()):
-                if k != key or t > opened + width:
-                    key, opened = k, t
-                anchors.append(opened)
-            yield part[["event_id", "key", "t"]].assign(anchor=anchors)
-
-    schema = "event_id long, key long, t long, anchor long"
-    hot_keys = rows.groupBy("key").count().filter(C("count") > hot_rows).select("key")
-    calm = rows.join(hot_keys, "key", "left_anti").select("event_id", "key", "t")
-    walked = calm.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(walk, schema)
-    hot = rows.join(hot_keys, "key", "left_semi")
-    steps = hot.groupBy("key", "slice").applyInPandas(exits, "key long, slice long, entry long, exit long")
-    opened = steps.groupBy("key").applyInPandas(follow, "key long, slice long, opened long")
-    sliced = hot.join(opened, ["key", "slice"]).groupBy("key", "slice").applyInPandas(windows, schema)
-    named = walked.unionAll(sliced)
-    number = F.row_number().over(Window.partitionBy("key", "anchor").orderBy("t", "event_id"))
-    return named.withColumn("n", number).select(
-        "event_id", "key", C("anchor").alias("opened_us"), "n", (C("n") > limit).alias("limited")
-    )

@@ -14,6 +14,7 @@ from glyphlake.operators import links as lk
 from glyphlake.operators import ops
 from glyphlake.operators.documents import anchor_assets, catalog_entries
 from glyphlake.operators.rules import ExtractorRule, apply_rules
+from glyphlake.operators.windows import anchored_windows
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import REASON_CASE
@@ -161,13 +162,13 @@ def _rate_sql(limit: int, seconds: int) -> str:
 @query("rate_limit", _rate_sql(10, 60))
 def _(spark, sf):
     events = table(spark, sf, "events").select("event_id", C("user_id").alias("key"), "ts")
-    return ops.rate_limit(events).drop("opened_us")
+    return anchored_windows(events).drop("opened_us")
 
 
 @query("rate_limit_weekly", _rate_sql(10, 7 * 86400))
 def _(spark, sf):
     events = table(spark, sf, "events").select("event_id", C("user_id").alias("key"), "ts")
-    return ops.rate_limit(events, limit=10, seconds=7 * 86400, hot_rows=70, slice_windows=1).drop("opened_us")
+    return anchored_windows(events, limit=10, seconds=7 * 86400, slice_windows=1).drop("opened_us")
 
 
 def crawl_inputs(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphlake.operators import crawl, ops, packages, products
+from glyphlake.operators import crawl, ops, packages, products, windows
 from glyphlake.operators import links as lk
 from glyphlake.operators.containment import contained_tokens
 from glyphlake.plans.fixtures import fixture
@@ -62,16 +62,16 @@ def test_rate_stream_equals_batch(spark, sf, work):
     stream = jobs.rate_limit_stream(jobs.read_event_stream(spark, src, events.schema), 10, week)
     q = stream.writeStream.format("memory").queryName("rates").option("checkpointLocation", work("ck")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    want = ops.rate_limit(events, 10, week).select("event_id", "key", "n", "limited")
+    want = windows.anchored_windows(events, 10, week).select("event_id", "key", "n", "limited")
     assert rows(spark.table("rates")) == rows(want)
 
 
-@pytest.mark.parametrize("hot_rows, slices", [(0, 1), (0, 3), (5, 2), (10**9, 1)])
-def test_rate_windows_do_not_depend_on_how_keys_are_cut(spark, hot_rows, slices):
+@pytest.mark.parametrize("slices", [1, 2, 3, 1440])
+def test_rate_windows_do_not_depend_on_how_keys_are_cut(spark, slices):
     import random
 
     rnd = random.Random(7)
-    data = [(i, rnd.choice([1, 1, 1, 2]), rnd.randrange(0, 900)) for i in range(400)]
+    data = [(i, rnd.choice([1, 1, 1, 2]), rnd.randrange(0, 900)) for i in range(400)] + [(1000 + i, 3, 700 * i) for i in range(30)]
     df = spark.createDataFrame(data, "event_id long, key long, s long").select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
     want, state = [], {}
     for event_id, key, s in sorted(data, key=lambda r: (r[1], r[2], r[0])):
@@ -80,7 +80,7 @@ def test_rate_windows_do_not_depend_on_how_keys_are_cut(spark, hot_rows, slices)
             opened, n = s, 0
         state[key] = (opened, n + 1)
         want.append((event_id, key, n + 1, n + 1 > 10))
-    got = ops.rate_limit(df, 10, 60, hot_rows=hot_rows, slice_windows=slices).select("event_id", "key", "n", "limited")
+    got = windows.anchored_windows(df, 10, 60, slice_windows=slices).select("event_id", "key", "n", "limited")
     assert rows(got) == sorted(want)
 
 
@@ -178,3 +178,68 @@ def test_partition_count_does_not_change_results(spark, sf):
 def test_flagship_plan_prunes_and_has_no_python(spark, sf):
     plan = lk.crawl_admission(lk.extract_links(fixture(spark, sf, "html")), None)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_whole_pages_and_scripts_are_read(spark, work):
+    from glyphlake.operators.documents import blocked_page, extract_inline_docs
+    from glyphlake.sources.pages import read_pages
+
+    filler = "x" * 1_200_000
+    html = f"<html><script>/* {filler} */ @font-face</script>{filler}captcha forbidden</html>"
+    path = work("long")
+    spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string").write.parquet(path)
+    pages = read_pages(spark, path)
+    assert pages.select(F.length("html")).first()[0] == len(html)
+    assert [r.kind for r in extract_inline_docs(pages).collect()] == ["inline-script"]
+    assert pages.select(blocked_page(F.lit(200), F.lit(""), C("html"), [403]).alias("v")).first().v.blocked
+
+
+def test_names_stay_unique_beyond_any_number_of_digits(spark):
+    taken = [(1, "a-1000.ttf", -2), (1, "a-7.ttf", -1)]
+    df = spark.createDataFrame(taken + [(1, "a.ttf", i) for i in range(1500)], "g long, name string, pos long")
+    got = [r.unique_name for r in packages.unique_names(df, "g", "name", "pos").collect()]
+    assert len(set(got)) == 1502 and "a-1501.ttf" in got
+    second = spark.createDataFrame([(1, "n.pdf", 5), (1, "n.pdf", 900_000_000_000), (1, "n.pdf", 7)], "g long, name string, n long")
+    assert sorted(r.unique_name for r in packages.unique_names(second, "g", "name", "n", first=2).collect()) == ["n-2.pdf", "n-3.pdf", "n.pdf"]
+
+
+def test_a_crawl_without_a_cap_reaches_every_page(spark):
+    links = spark.range(300).select(F.lit("hub").alias("url"), F.concat(F.lit("p"), C("id")).alias("link"), C("id").cast("int").alias("pos"))
+    seeds = spark.createDataFrame([("hub", 0)], "url string, pos int")
+    out = crawl.expand_link_graph(seeds, links, seeds.select("url"))
+    assert out.count() == 301
+    summary = crawl.crawl_summary(crawl.expand_link_graph(seeds, links, seeds.select("url"), max_depth=0), links).first()
+    assert (summary.visited, summary.queued) == (1, 300)
+
+
+def test_damaged_font_files_give_nulls(spark):
+    from glyphlake.sources.asset_files import sfnt_metrics
+
+    head = bytes.fromhex("00010000")
+    entry = lambda tag, offset: tag + b"\0" * 4 + offset.to_bytes(4, "big") + b"\0" * 4
+    table = lambda *entries: head + len(entries).to_bytes(2, "big") + b"\0" * 6 + b"".join(entries)
+    files = [
+        (1, table(entry(b"maxp", 44), entry(b"maxp", 9)) + b"\0\0\0\0\0\x05"),
+        (2, table(entry(b"maxp", 2**31 + 5), entry(b"name", 2**32 - 1))),
+        (3, table()),
+        (4, head),
+        (5, head + b"\xff\xff"),
+    ]
+    got = {r.id: r.m for r in spark.createDataFrame(files, "id long, content binary").select("id", sfnt_metrics(C("content")).alias("m")).collect()}
+    assert got[1].num_glyphs == 5
+    assert all(got[k].num_glyphs is None and got[k].family_name is None for k in (2, 3, 4, 5))
+
+
+def test_a_cycle_of_folders_ends(spark):
+    from glyphlake.operators.tree import directory_rollup
+
+    nodes = [(1, None, "root", "folder", 0), (2, 1, "in", "folder", 0), (3, 2, "f", "file", 5), (10, 11, "a", "folder", 0), (11, 10, "b", "folder", 0), (12, 11, "g", "file", 7)]
+    got = {r.id: r for r in directory_rollup(spark.createDataFrame(nodes, "id long, parent_id long, name string, kind string, size long")).collect()}
+    assert got[1].total_files == 1 and got[1].total_size == 5 and got[10].total_files is None and got[11].files == 1
+
+
+def test_second_assignment_gives_every_url_once(spark):
+    styles_ = spark.createDataFrame([("f", "Bold", False, ["bold"]), ("f", "Bold Italic", True, ["bolditalic"]), ("f", "Thin", False, ["thin"])], "k string, style string, italic boolean, tokens array<string>")
+    assets = spark.createDataFrame([("f", "u1", "bolditalic", True, 0), ("f", "u2", "boldx", False, 0)], "k string, url string, token string, slanted boolean, quality int")
+    got = rows(products.assign_longest_first(styles_, assets, ["k"]).select("style", F.coalesce("url", F.lit("-"))))
+    assert got == [("Bold", "u2"), ("Bold Italic", "u1"), ("Thin", "-")]
