@@ -58,21 +58,25 @@ def all_matches(text: Column, pattern: str, group: int) -> Column:
 SCRIPTS_AFTER, FETCHED_AFTER = 1 << 32, 1 << 33
 
 
-def extract_inline_docs(pages: DataFrame) -> DataFrame:
-    """(page_id, url, kind, text, pos): style sheets, JSON and font scripts in a page."""
+def extract_inline_docs(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, kind, text, pos): style sheets, JSON and font scripts in a
+    page; ``keep`` names columns of the page that its documents carry on."""
     html = C("html")
     styles = pages.select(
         "page_id",
         "url",
+        *keep,
         F.posexplode(all_matches(html, r"(?is)<style\b[^>]*>(.*?)</style>", 1)).alias("pos", "text"),
-    ).select("page_id", "url", F.lit("css").alias("kind"), trim_all(C("text")).alias("text"), "pos")
+    ).select("page_id", "url", *keep, F.lit("css").alias("kind"), trim_all(C("text")).alias("text"), "pos")
     scripts = pages.select(
         "page_id",
         "url",
+        *keep,
         F.posexplode(all_matches(html, r"(?is)<script\b[^>]*>.*?</script>", 0)).alias("pos", "tag"),
     ).select(
         "page_id",
         "url",
+        *keep,
         F.regexp_extract("tag", r"(?is)^(<script\b[^>]*>)", 1).alias("head"),
         trim_all(F.regexp_extract("tag", r"(?is)^<script\b[^>]*>(.*)</script>$", 1)).alias("text"),
         (C("pos") + SCRIPTS_AFTER).alias("pos"),
@@ -81,6 +85,7 @@ def extract_inline_docs(pages: DataFrame) -> DataFrame:
     is_json = F.contains(F.lower(attribute(C("head"), "type")), F.lit("json")) | (C("id") == "__NEXT_DATA__")
     is_script = C("text").rlike(fv.FONT_HINT)
     named = inline.select(
+        *keep,
         "page_id",
         F.concat(
             "url",
@@ -94,14 +99,15 @@ def extract_inline_docs(pages: DataFrame) -> DataFrame:
     return styles.unionByName(named.filter(C("kind").isNotNull())).filter("text <> ''")
 
 
-def union_documents(pages: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
-    """Page, inline and stored side documents as one typed relation in order."""
+def union_documents(pages: DataFrame, fetched: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Page, inline and stored side documents as one typed relation in order;
+    ``keep`` as in ``extract_inline_docs`` (side documents must have these)."""
     own = pages.select(
-        "page_id", "url", F.lit("html").alias("kind"), C("html").alias("text"), F.lit(-1).alias("pos")
+        "page_id", "url", *keep, F.lit("html").alias("kind"), C("html").alias("text"), F.lit(-1).alias("pos")
     )
-    out = own.unionByName(extract_inline_docs(pages))
+    out = own.unionByName(extract_inline_docs(pages, keep))
     if fetched is not None:
-        out = out.unionByName(fetched.select("page_id", "url", "kind", "text", (C("pos") + FETCHED_AFTER).alias("pos")))
+        out = out.unionByName(fetched.select("page_id", "url", *keep, "kind", "text", (C("pos") + FETCHED_AFTER).alias("pos")))
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from glyphlake import fixed_values as fv
 from glyphlake.functions import urls
+from glyphlake.functions.text import let
 
 ANCHOR_HREF = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']"
 
@@ -19,18 +20,20 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     References become links inside the array, before the explode: each is
     resolved once, however many filters follow, and ``html`` goes no further.
+    A link that a page repeats is dropped there too, by sorting the page's own
+    links, so nothing is shuffled.
     """
     found = F.transform(
         F.regexp_extract_all("html", F.lit(ANCHOR_HREF), F.lit(1)),
-        lambda h: urls.normalize_crawl_url(urls.resolve_url(h, F.col("url"))),
-    )
-    exploded = pages.select("page_id", "url", F.posexplode(found).alias("pos", "link"))
-    return (
-        exploded.filter(F.col("link").isNotNull())
-        .groupBy("page_id", "url", "link")
-        .agg(F.min("pos").alias("pos"))
+        lambda h, i: F.struct(urls.normalize_crawl_url(urls.resolve_url(h, F.col("url"))).alias("link"), i.alias("pos")),
     )
 
+    def once(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: ~(x["link"] == F.coalesce(F.get(ordered, i - 1)["link"], F.lit(""))))
+
+    links = let(F.array_sort(F.filter(found, lambda x: x["link"].isNotNull())), once)
+    return pages.select("page_id", "url", F.inline(links)).select("page_id", "url", "link", "pos")
+
 
 def seed_hosts(pages: DataFrame) -> DataFrame:
     return pages.select(urls.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()

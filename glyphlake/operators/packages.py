@@ -12,6 +12,7 @@ from glyphlake.functions import files
 from glyphlake.functions.styles import quality_style_token
 from glyphlake.functions.text import let, normalize_token
 from glyphlake.operators.picking import computed, dedupe_first, first_by, top_k
+from glyphlake.session import cut_lineage
 
 C = F.col
 
@@ -246,11 +247,11 @@ def best_metrics(state: DataFrame) -> DataFrame:
 def dedupe_content(docs: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped) by content hash.
 
-    Only (key, hash) is shuffled, combined before the shuffle; the skipped
+    Payloads are hashed once.  Only (key, hash) is shuffled, combined before the shuffle; the skipped
     rows come from an anti-join on the unique key, so a payload copied a
     million times makes no hot partition.
     """
-    hashed = docs.select(key, F.sha2(payload, 256).alias("digest"))
+    hashed = cut_lineage(docs.select(key, F.sha2(payload, 256).alias("digest")))
     kept = hashed.groupBy("digest").agg(F.min(key).alias(key))
     skipped = hashed.join(kept.select(key), key, "left_anti").withColumn("reason", F.lit("Duplicate payload hash"))
     return kept, skipped

@@ -8,6 +8,7 @@ from glyphlake import fixed_values as fv
 from glyphlake.functions import styles, urls
 from glyphlake.operators import documents as docs
 from glyphlake.operators import faces as fc
+from glyphlake.operators.picking import computed
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import SUFFIX_RULES, alias_sql, css_label_sql, humanize_sql, score_sql, suffix_sql, weight_sql
@@ -185,9 +186,9 @@ def _(spark, sf):
 
 def page_docs(spark, sf):
     """Documents of the page corpus in the shape the face operators read."""
-    pages = fixture(spark, sf, "html")
-    preload = pages.select("page_id", docs.font_urls(C("html"), C("url")).alias("preload"))
-    every = docs.union_documents(pages).join(preload, "page_id")
+    # what all documents of a page share is worked out in the page's row: no text is shuffled for it
+    pages = computed(fixture(spark, sf, "html"), preload=docs.font_urls(C("html"), C("url")))
+    every = docs.union_documents(pages, keep=("preload",))
     return every.select(C("page_id").alias("page"), "url", "kind", "text", C("pos").alias("doc_pos"), "preload")
 
 
