@@ -216,7 +216,7 @@ def stem_sql(x: str) -> str:
 @query(
     "safe_name",
     rf"""WITH x AS (SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN '123456789-' || p_name || ' & Co.' WHEN 1 THEN repeat(p_name || '! ', 20) WHEN 2 THEN '***' WHEN 3 THEN p_name || '-web' ELSE p_name END AS raw FROM part)
-    SELECT p_partkey, coalesce(nullif(trim({d.space(d.rep('raw', '[^a-zA-Z0-9 _-]+'))}[1:140]), ''), 'font-file') AS safe, {stem_sql('raw')} AS stem,
+    SELECT p_partkey, coalesce(nullif(trim({d.space(d.rep('raw', '[^a-zA-Z0-9 _-]+'))}), ''), 'font-file') AS safe, {stem_sql('raw')} AS stem,
       CASE WHEN {stem_sql('raw')} <> '' THEN {stem_sql('raw')} || '-semi-bold' END AS hint, {d.rep('raw', '^[0-9]{8,}-')} AS unprefixed, coalesce(nullif({d.trim_all(d.rep(d.trim_all('raw'), '(?i)[-_ ]+web$'))}, ''), raw) AS desktop FROM x""",
 )
 def _(spark, sf):

@@ -104,7 +104,7 @@ RESOURCE_CTE = rf""", tags AS (SELECT page_id, url AS page_url, html, generate_s
   res0 AS (SELECT *, {d.resolve('ref', 'page_url')} AS url FROM attrs),
   res1 AS (SELECT *, CASE WHEN NOT is_link THEN 'js' WHEN contains(rel, 'stylesheet') OR a = 'style' OR contains(lower(url), '.css') THEN 'css' WHEN contains(rel, 'manifest') OR contains(lower(url), 'manifest') THEN 'manifest'
       WHEN contains(ty, 'json') OR contains(lower(url), '.json') OR a = 'fetch' THEN 'json' WHEN a = 'script' OR contains(lower(url), '.js') OR contains(lower(url), '.mjs') OR contains(rel, 'modulepreload') THEN 'js' END AS kind FROM res0),
-  cand AS (SELECT page_id, page_url, pos, url, kind, rel, kind || '|' || coalesce(nullif({d.token('rel')}[1:24], ''), 'none') || '|' || ({d.signature('url')}) AS memory_key FROM res1 WHERE url IS NOT NULL AND kind IS NOT NULL
+  cand AS (SELECT page_id, page_url, pos, url, kind, rel, kind || '|' || coalesce(nullif({d.token('rel')}, ''), 'none') || '|' || ({d.signature('url')}) AS memory_key FROM res1 WHERE url IS NOT NULL AND kind IS NOT NULL
       AND (regexp_matches(url, {d.lit(fv.TEXT_RESOURCE)}) OR kind = 'manifest') AND NOT regexp_matches({d.host('url')}, {d.lit(fv.NOISE_HOST)}) AND NOT regexp_matches({d.path('url')}, {d.lit(fv.NOISE_PATH)})),
   toks AS (SELECT page_id, {target_tokens_sql('url', 'html')} AS tokens FROM html),
   cand2 AS (SELECT c.*, k.tokens, {d.host('c.page_url')} AS host, lower({d.host('c.url')} || {d.path('c.url')}) AS hp FROM cand AS c JOIN toks AS k ON k.page_id = c.page_id),

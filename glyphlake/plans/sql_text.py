@@ -149,7 +149,7 @@ def crawl_url(u: str) -> str:
 def signature(u: str) -> str:
     p = rep_all(f"lower({path(u)})", [("[0-9a-f]{8,}", ":hash"), ("[0-9]+", ":num"), ("/{2,}", "/"), ("/$", "")])
     q = rep_all(query(u), [("[0-9a-f]{8,}", ":hash"), ("[0-9]+", ":num")])
-    return f"CASE WHEN {is_web(u)} THEN {p} || {q}[1:48] ELSE {space(f'lower({u})')} END"
+    return f"CASE WHEN {is_web(u)} THEN {p} || {q} ELSE {space(f'lower({u})')} END"
 
 
 def stem(u: str) -> str:

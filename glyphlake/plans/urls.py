@@ -256,7 +256,7 @@ def _(spark, sf):
 @query(
     "resource_signature",
     f"""WITH x AS (SELECT page_id, CASE page_id%3 WHEN 0 THEN replace(url, '/en/', '/deadbeef01/') || '/' ELSE url END AS u FROM pages)
-        SELECT page_id, {d.signature("u")} AS signature, 'css|' || coalesce(nullif({d.token("'Style Sheet'")}[1:24], ''), 'none') || '|' || ({d.signature("u")}) AS memory_key FROM x""",
+        SELECT page_id, {d.signature("u")} AS signature, 'css|' || coalesce(nullif({d.token("'Style Sheet'")}, ''), 'none') || '|' || ({d.signature("u")}) AS memory_key FROM x""",
 )
 def _(spark, sf):
     u = F.when(F.col("page_id") % 3 == 0, F.concat(F.replace("url", F.lit("/en/"), F.lit("/deadbeef01/")), F.lit("/"))).otherwise(F.col("url"))
