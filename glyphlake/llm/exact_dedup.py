@@ -106,7 +106,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns, whole and unchanged.
 
     Only the ids to drop travel; a document without a copy is never touched.
+    Of rows that repeat an id, all stay if one of them does; rows without an
+    id cannot be named and stay.
     """
     (gone,) = fresh(docs, "_gone")
-    copies = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    copies = exact_groups(docs).groupBy(F.col("doc_id").alias(gone)).agg(F.bool_or("kept").alias("kept")).filter("not kept").select(gone)
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")

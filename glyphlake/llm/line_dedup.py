@@ -28,7 +28,7 @@ from glyphlake.llm.common import sliced, written
 #: shorter common blocks are left where they are
 BLOCK_WORDS = 8
 
-LINES = "doc_id long, _line binary, _words int, _places array<int>"
+LINES = "doc_id long, _version long, _line binary, _words int, _places array<int>"
 
 
 def filled_lines(text: str | None) -> list[bytes]:
@@ -40,17 +40,18 @@ def filled_lines(text: str | None) -> list[bytes]:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document and different line: hash, words, and places."""
     for part in sliced(batches):
-        ids, hashes, words, places = [], [], [], []
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        ids, versions, hashes, words, places = [], [], [], [], []
+        for doc_id, version, text in zip(*(part.column(n).to_pylist() for n in ("doc_id", "_version", "text")), strict=True):
             found: dict[bytes, list[int]] = {}
             for place, line in enumerate(filled_lines(text)):
                 found.setdefault(line, []).append(place)
             for line, where in found.items():
                 ids.append(doc_id)
+                versions.append(version)
                 hashes.append(xxhash.xxh3_128_digest(line))
                 words.append(line.count(b" ") + 1)
                 places.append(where)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "_line", "_words", "_places"])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "_version", "_line", "_words", "_places"])
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,21 +120,22 @@ def common_blocks(shared: list[tuple[int, list[int], list[int]]], block_words: i
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         places = [common_blocks([(s["words"], s["later"], s["earlier"]) for s in shared]) for shared in batch.column("_shared").to_pylist()]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("_first"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "earlier_id", "places"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("_version"), batch.column("_first"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "version", "earlier_id", "places"])
 
 
 def aligned_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs with something to delete: doc_id (later), earlier_id, places (of
-    the lines with a word, counted from 0 among these)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    """Pairs with something to delete: doc_id (later), version (a hash of its
+    text), earlier_id, places (of the lines with a word, counted from 0 among
+    these)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_version")).filter(F.col("doc_id").isNotNull())
     lines = written(source.mapInArrow(_lines, LINES), "lines")
     # the first holder with its places; partial minima go through the shuffle
-    first = lines.groupBy("_line").agg(F.min(F.struct("doc_id", "_places")).alias("_holder"), F.max("doc_id").alias("_last")).filter(F.col("_holder.doc_id") < F.col("_last"))
+    first = lines.groupBy("_line").agg(F.min(F.struct("doc_id", "_version", "_places")).alias("_holder"), F.max("doc_id").alias("_last")).filter(F.col("_holder.doc_id") < F.col("_last"))
     first = first.select("_line", F.col("_holder.doc_id").alias("_first"), F.col("_holder._places").alias("_there"))
     met = lines.join(first, "_line").filter(F.col("doc_id") > F.col("_first"))
     shared = F.struct(F.col("_words").alias("words"), F.col("_places").alias("later"), F.col("_there").alias("earlier"))
-    pairs = met.groupBy("doc_id", "_first").agg(F.collect_list(shared).alias("_shared"))
-    return pairs.mapInArrow(_aligned, "doc_id long, earlier_id long, places array<int>").filter(F.size("places") > 0)
+    pairs = met.groupBy("doc_id", "_version", "_first").agg(F.collect_list(shared).alias("_shared"))
+    return pairs.mapInArrow(_aligned, "doc_id long, version long, earlier_id long, places array<int>").filter(F.size("places") > 0)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +167,14 @@ def without_common_blocks(docs: DataFrame) -> DataFrame:
     earlier_ids, the documents that hold the deleted blocks, in order.
 
     Lines are equal when equal after white space is single spaces; lines
-    without a word stay.  Rows that repeat an id are one document: they are
-    never compared with each other and lose the same lines.  A null id has no
+    without a word stay.  Rows that repeat an id are never compared with each
+    other; each loses the lines of its own text.  A null id has no
     place in the order, so its text stays as it is.  Columns beyond doc_id and
     text are not read; an empty table gives no rows.
     """
-    found = aligned_pairs(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"), F.sort_array(F.collect_set("earlier_id")).alias("earlier_ids"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")).join(found, F.col("doc_id") == F.col("_id"), "left")
+    found = aligned_pairs(docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"), F.sort_array(F.collect_set("earlier_id")).alias("earlier_ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    rows = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left")
     cut = rows.select("doc_id", F.coalesce("earlier_ids", F.array().cast("array<long>")).alias("earlier_ids"), "_places", "_text").mapInArrow(
         _without, "doc_id long, earlier_ids array<long>, _kept_text string, _lines long, _gone long, _words_gone long"
     )

@@ -293,8 +293,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """Of each group the document with the smallest id, whole and unchanged.
 
-    Only the ids of documents that go are joined with the table.
+    Only the ids of documents that go are joined with the table.  Of rows that
+    repeat an id, all stay if one of them does; rows without an id stay.
     """
     (name,) = fresh(docs, "_gone")
-    gone = near_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")
+    gone = near_groups(docs).groupBy(F.col("doc_id").alias(name)).agg(stays).filter("not stays").select(name)
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

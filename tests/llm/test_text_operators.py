@@ -83,8 +83,18 @@ def test_exact_groups_of_nothing(nothing):
 def test_dropping_copies_keeps_columns_and_rows(awkward):
     kept = exact_dedup.drop_exact_copies(awkward)
     assert kept.columns == awkward.columns
-    # 3 and null: "" ; 4: " " is another text; 2 and 9 are equal; 8 ends in a space
+    # 3 and 5: "" ; 4: " " is another text; 2 and 9 are equal; 8 ends in a space; rows without an id stay
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == [2, 3, 4, 7, 7, 8, 11, 12, 13, 14]
+    assert kept.filter("doc_id is null").count() == 2
+
+
+def test_rows_of_one_id_with_different_texts_are_not_lost(spark):
+    passage = "\n".join(f"passage line {k} with a handful of words in it" for k in range(4))
+    docs = rows_of(spark, [(1, passage), (7, passage), (7, f"own\n{'other words ' * 9}\n{passage}"), (None, "a text without any id")])
+    assert sorted(r.doc_id or 0 for r in exact_dedup.drop_exact_copies(docs).collect()) == [0, 1, 7, 7]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one_per_group(docs).collect()) == [0, 1, 7, 7]
+    left = sorted((r.doc_id or 0, r.text) for r in line_dedup.without_common_blocks(docs).collect())
+    assert left == [(0, "a text without any id"), (1, passage), (7, ""), (7, f"own\n{'other words ' * 9}")]
 
 
 def mark_of(text):
