@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from glyphlake.operators import links as lk
 from glyphlake.functions import urls
+from glyphlake.operators.picking import first_by
 
 C = F.col
 
@@ -28,7 +29,8 @@ def handle_pages(batch: DataFrame, domains: DataFrame | None, path: str, batch_i
     or a restart never doubles a page.
     """
     spark = batch.sparkSession
-    pages = batch.withColumn("page", urls.normalize_crawl_url(C("url"))).dropDuplicates(["page"])
+    # of pages with one address the smallest id counts, so a retry sees the same
+    pages = first_by(batch.withColumn("page", urls.normalize_crawl_url(C("url"))), ["page"], [C("page_id")])
     before = visited(spark, path)
     if before is not None:
         done = before.filter(C("batch") != batch_id).select("page")

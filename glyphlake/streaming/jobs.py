@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,36 +23,51 @@ def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, file
     return reader.parquet(path)
 
 
+def changes_to(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes the rows a batch changed to a folder of its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def job_status_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the state of every job in a table that each batch adds changes to.
 
     A batch writes the jobs it touched to its own folder (rewritten if the
     batch is retried); ``read_job_states`` takes the latest row per job.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
     return (
         job_state(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(write).trigger(availableNow=True).start()
+        .foreachBatch(changes_to(path)).trigger(availableNow=True).start()
     )
 
 
-def read_job_states(spark: SparkSession, path: str) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The latest row per key of a table of changes."""
     rows = spark.read.parquet(path).drop("batch")
     row = F.struct(*rows.columns)
-    return rows.groupBy("job_id").agg(F.max_by(row, "version").alias("r")).select("r.*").drop("version")
+    return rows.groupBy(key).agg(F.max_by(row, "version").alias("r")).select("r.*").drop("version")
+
+
+def read_job_states(spark: SparkSession, path: str) -> DataFrame:
+    return read_latest(spark, path, "job_id")
 
 
-def progress_stream(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running suite summary in memory, for dashboards."""
+def progress_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running suite summary as a table of changes, one folder per batch, for
+    ``read_progress``; nothing is gathered in the driver."""
     return (
-        suite_progress(events).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        suite_progress(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(changes_to(path)).trigger(availableNow=True).start()
     )
 
 
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    return read_latest(spark, path, "run_id")
+
+
 def throughput_stream(events: DataFrame, width: str, delay: str) -> DataFrame:
     """Finished cases per window; the watermark bounds the state."""
     windowed = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"))

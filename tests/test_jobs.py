@@ -38,10 +38,10 @@ def test_job_stream_ends_in_the_batch_state(spark, sf, work):
 
 def test_progress_stream_ends_in_the_batch_summary(spark, sf, work):
     events = telemetry(spark, sf)
-    src = work("telemetry")
+    src, out = work("telemetry"), work("progress")
     events.repartition(2).write.parquet(src)
-    jobs.progress_stream(jobs.read_event_stream(spark, src, events.schema, 1), "progress", work("ck")).awaitTermination()
-    assert rows(spark.table("progress")) == rows(ops.suite_progress(events))
+    jobs.progress_stream(jobs.read_event_stream(spark, src, events.schema, 1), out, work("ck")).awaitTermination()
+    assert rows(jobs.read_progress(spark, out)) == rows(ops.suite_progress(events))
 
 
 def test_throughput_stream_has_a_bounded_state(spark, sf, work):
