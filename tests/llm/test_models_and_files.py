@@ -228,6 +228,14 @@ def test_shards_hold_the_mixture(corpus, awkward, nothing):
     assert sharding.interleaved(nothing, 4).count() == 0
 
 
+def test_written_shards_hold_the_documents(spark, corpus, tmp_path):
+    sharding.write_shards(corpus, str(tmp_path / "shards"), 6, seed=1)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    plan = {r.doc_id: (r.shard, r.slot) for r in sharding.interleaved(corpus, 6, 1).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in back.select("doc_id", "shard", "slot").collect()} == plan
+    assert set(back.columns) == {*corpus.columns, "shard", "slot"}
+
+
 # token files
 
 
