@@ -15,11 +15,13 @@ def contained_tokens(texts: DataFrame, tokens: DataFrame, min_length: int = 1) -
     shorter).  A text's distinct pieces of those sizes are equi-joined with
     them and the survivors verified, so work grows with text length and hits.
     """
-    sizes = [n for n in (1, 2, 3, 4, 8) if n >= min_length or n in (4, 8)]
     filed_size = F.when(F.length("token") >= 8, 8).otherwise(F.least(F.length("token"), F.lit(4)))
-    filed = tokens.filter(F.length("token") >= min_length).distinct().select(
-        "token", F.left("token", filed_size).alias("anchor")
-    )
+    sized = tokens.filter(F.length("token") >= F.lit(max(1, min_length))).distinct().select("token", filed_size.alias("_size"))
+    # five sizes at most: texts are cut into pieces of those that occur only
+    sizes = sorted(r[0] for r in sized.select("_size").distinct().collect())
+    if not sizes:
+        return texts.select("id", F.lit("").alias("token")).limit(0)
+    filed = sized.select("token", F.left("token", C("_size")).alias("anchor"))
     pieces = F.array_distinct(
         F.concat(*[F.regexp_extract_all("text", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
     )
