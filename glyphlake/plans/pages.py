@@ -47,12 +47,13 @@ def _(spark, sf):
 
 # the bare-URL pattern has a look-behind; here the character before is captured instead
 _CSS_FONT = r"(?i)url\(\s*['\"]?([^\"')]+?\.(?:woff2|woff|otf|ttf)(?:\?[^\"')\s]+)?)['\"]?\s*\)"
+_ATTR_FONT = r"""(?i)\b(?:href|src)=["']([^"']+?[.](?:woff2|woff|otf|ttf)(?:[?][^"'\s]+)?)["']"""
 _RAW_FONT = r"(?i)(?:^|[^A-Za-z0-9._-])((?:https?://|/|\.\./|\./)[^\s\"'()<>]+?\.(?:woff2|woff|otf|ttf)(?:\?[^\s\"'()<>]+)?)"
 
 
 def font_refs_sql(text: str) -> str:
     return (
-        f"list_concat(regexp_extract_all({text}, {d.lit(_CSS_FONT)}, 1), regexp_extract_all({text}, {d.lit(docs.ATTR_FONT_URL)}, 1), regexp_extract_all({text}, {d.lit(_RAW_FONT)}, 1))"
+        f"list_concat(regexp_extract_all({text}, {d.lit(_CSS_FONT)}, 1), regexp_extract_all({text}, {d.lit(_ATTR_FONT)}, 1), regexp_extract_all({text}, {d.lit(_RAW_FONT)}, 1))"
     )
 
 
@@ -68,7 +69,12 @@ def _(spark, sf):
     return docs.explode_urls(both, docs.font_urls(C("t"), C("url")), ["url"]).select("url", "asset_url").distinct()
 
 
-_PAYLOAD_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(html, {d.lit(p)}, {g})" for p, g in docs.PAYLOAD_URLS) + ")"
+_PAYLOAD = [
+    r"""https?://[^\s"'<>]+?[.](?:woff2|woff|ttf|otf|zip)(?:[?][^\s"'<>]*)?""",
+    r""""url"\s*:\s*"([^"]+?[.](?:woff2|woff|ttf|otf|zip)(?:[?][^"]*)?)"""+chr(34),
+    r"""["'](/[^"'<>\\]+?[.](?:woff2|woff|ttf|otf|zip)(?:[?][^"'<>\\]*)?)["']""",
+]
+_PAYLOAD_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(html, {d.lit('(?i)' + p)}, {min(k, 1)})" for k, p in enumerate(_PAYLOAD)) + ")"
 
 
 @query("extract_payload_urls", with_fixtures("html") + f""", r AS (SELECT DISTINCT page_id, url, unnest({_PAYLOAD_SQL}) AS ref FROM html) SELECT DISTINCT page_id, {d.resolve('ref', 'url')} AS asset_url FROM r""")
@@ -85,7 +91,11 @@ def _(spark, sf):
     return docs.explode_urls(fixture(spark, sf, "css"), docs.css_urls(C("css"), C("url")), ["url"]).select("url", "asset_url")
 
 
-_DOC_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(html, {d.lit(p)}, {g})" for p, g in docs.DOCUMENT_LINKS) + ")"
+_DOCUMENTS = [
+    r"""https?://[^\s"'<>]+?(?:[.]pdf|/pdfs/[a-z0-9-]+)(?:[?][^\s"'<>]*)?""",
+    r"""["'](/[^"'<>]+?(?:[.]pdf|/pdfs/[a-z0-9-]+)(?:[?][^"'<>]*)?)["']""",
+]
+_DOC_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(html, {d.lit('(?i)' + p)}, {k})" for k, p in enumerate(_DOCUMENTS)) + ")"
 
 
 @query(

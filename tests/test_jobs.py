@@ -5,7 +5,6 @@ import uuid
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glyphlake.operators import crawl, ops, packages, products, windows
 from glyphlake.operators import links as lk
