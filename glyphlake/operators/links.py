@@ -70,18 +70,7 @@ def preset_dim(spark: SparkSession) -> DataFrame:
 
 
 def case_dim(spark: SparkSession) -> DataFrame:
-    rows = [
-        (
-            i,
-            case,
-            url,
-            case,
-            1,
-            fv.LONG_CASE_TIMEOUT_MS if case in fv.LONG_SUITE_CASES else None,
-            case in fv.SOFT_PASS_SUITE_CASES,
-        )
-        for i, (case, url) in enumerate(fv.SUITE_CASES, 1)
-    ]
+    rows = [(i, case, url, case, 1, timeout, soft) for i, (case, url, timeout, soft) in enumerate(fv.SUITE_CASES, 1)]
     return spark.createDataFrame(
         rows,
         "pos int, id string, url string, expected_rule string, min_downloaded int, timeout_ms int, soft_pass boolean",

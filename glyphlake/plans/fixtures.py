@@ -221,7 +221,7 @@ ROUTED = (
 SELECT page_id, CASE WHEN h.host IS NULL THEN p.url ELSE concat('https://', h.host, '/fonts/', CAST(page_id AS VARCHAR(20))) END AS url
 FROM pages AS p LEFT JOIN ("""
     + " UNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS k, '{url.split('/')[2]}' AS host" for i, (_, url) in enumerate(fv.SUITE_CASES)
+        f"SELECT CAST({i} AS BIGINT) AS k, '{url.split('/')[2]}' AS host" for i, (_, url, _, _) in enumerate(fv.SUITE_CASES)
     )
     + f") AS h ON h.k = p.page_id % {len(fv.SUITE_CASES) + 4}"
 )

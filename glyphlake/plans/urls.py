@@ -192,8 +192,8 @@ def _(spark, sf):
 @query(
     "case_dim_coverage",
     with_fixtures("routed") + _RULES_CTE + ", cases AS (" + " UNION ALL ".join(
-        f"SELECT {i} AS pos, {d.lit(c)} AS id, {'900000' if c in fv.LONG_SUITE_CASES else 'CAST(NULL AS INT)'} AS timeout_ms, {str(c in fv.SOFT_PASS_SUITE_CASES).lower()} AS soft_pass"
-        for i, (c, _u) in enumerate(fv.SUITE_CASES, 1)
+        f"SELECT {i} AS pos, {d.lit(c)} AS id, {timeout or 'CAST(NULL AS INT)'} AS timeout_ms, {str(soft).lower()} AS soft_pass"
+        for i, (c, _u, timeout, soft) in enumerate(fv.SUITE_CASES, 1)
     ) + f""") SELECT c.pos, c.id, c.timeout_ms, c.soft_pass, count(x.page_id) AS pages FROM cases AS c LEFT JOIN {_route_sql('routed', 'page_id, url', 'url')} AS x ON x.rule = c.id GROUP BY ALL""",
 )
 def _(spark, sf):
