@@ -6,11 +6,14 @@ up by patience diff, and common blocks are deleted from the later document
 from rarity: a line that occurs once in both documents is an anchor; repeated
 ones are matched only next to an anchor.
 
-Every holder of a line is compared with the line's first holder, not with all
-others.  So a line that a third of all documents hold costs one comparison per
-holder, and nothing is left out for being frequent; nor is anything lost, as
-the first holder of a line keeps it.  What meets in a comparison are the lines
-the two documents have in common, so its size is bounded by the later document.
+Which documents are compared follows from windows: the shortest runs of lines
+that make a block, from each line on and up to each line.  Any common block
+consists of windows that both documents hold, however short its lines are, so
+every holder of a window is compared with the window's first holder, and with
+no other.  A window that a third of all documents hold costs one comparison per
+holder; nothing is left out for being frequent, and the first holder of a
+window keeps it.  A comparison sees all lines of both documents, whoever else
+holds them.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from glyphlake.llm.common import sliced, written
 BLOCK_WORDS = 8
 
 LINES = "doc_id long, _version long, _line binary, _words int, _places array<int>"
+#: bytes of the hash of a line
+KEY = 16
 
 
 def filled_lines(text: str | None) -> list[bytes]:
@@ -126,7 +131,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def aligned_pairs(docs: DataFrame) -> DataFrame:
     """Pairs with something to delete: doc_id (later), version (a hash of its
     text), earlier_id, places (of the lines with a word, counted from 0 among
-    these)."""
+    these).
+
+    The plain form: one comparison per line with the line's first holder, on
+    the lines first held there alone.  ``without_common_blocks`` takes
+    ``compared_pairs``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_version")).filter(F.col("doc_id").isNotNull())
     lines = written(source.mapInArrow(_lines, LINES), "lines")
     # the first holder with its places; partial minima go through the shuffle
@@ -138,6 +147,98 @@ def aligned_pairs(docs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_aligned, "doc_id long, version long, earlier_id long, places array<int>").filter(F.size("places") > 0)
 
 
+def windows(words: list[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """The shortest runs (start, end) of ``block_words`` words or more, from
+    each line on and up to each line.  Those inside a block cover all of it."""
+    out, end, total = set(), 0, 0
+    for start, count in enumerate(words):
+        while end < len(words) and total < block_words:
+            total += words[end]
+            end += 1
+        if total < block_words:
+            break
+        out.add((start, end))
+        total -= count
+    start, total = 0, 0
+    for end, count in enumerate(words, 1):
+        total += count
+        while total - words[start] >= block_words:
+            total -= words[start]
+            start += 1
+        if total >= block_words:
+            out.add((start, end))
+    return sorted(out)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document that holds a block: hashes and words of its lines."""
+    for part in sliced(batches):
+        ids, versions, keys, words = [], [], [], []
+        for doc_id, version, text in zip(*(part.column(n).to_pylist() for n in ("doc_id", "_version", "text")), strict=True):
+            lines = filled_lines(text)
+            counts = [line.count(b" ") + 1 for line in lines]
+            if sum(counts) >= BLOCK_WORDS:
+                ids.append(doc_id)
+                versions.append(version)
+                keys.append(b"".join(map(xxhash.xxh3_128_digest, lines)))
+                words.append(counts)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "_version", "_keys", "_words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and different window."""
+    for part in sliced(batches):
+        at, found = [], []
+        for number, (keys, words) in enumerate(zip(part.column("_keys").to_pylist(), part.column("_words").to_pylist(), strict=True)):
+            some = {xxhash.xxh3_128_digest(keys[KEY * start : KEY * end]) for start, end in windows(words)}
+            at.extend([number] * len(some))
+            found.extend(some)
+        whose = part.select(["doc_id", "_version", "_row"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*whose.columns, pa.array(found, pa.binary())], names=[*whose.schema.names, "_window"])
+
+
+def places_held(later: list[bytes], words: list[int], earlier: list[bytes], block_words: int = BLOCK_WORDS) -> list[int]:
+    """Places in the later document of the lines to delete, from the whole
+    line lists of both."""
+    if later == earlier:
+        return list(range(len(later))) if sum(words) >= block_words else []
+    here: dict[bytes, list[int]] = {}
+    there: dict[bytes, list[int]] = {}
+    for lines, places in ((later, here), (earlier, there)):
+        for place, line in enumerate(lines):
+            places.setdefault(line, []).append(place)
+    return common_blocks([(words[p[0]], p, there[line]) for line, p in here.items() if line in there], block_words)
+
+
+def _split(keys: bytes) -> list[bytes]:
+    return [keys[at : at + KEY] for at in range(0, len(keys), KEY)]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        columns = (batch.column(n).to_pylist() for n in ("_keys", "_words", "_there"))
+        places = [places_held(_split(keys), words, _split(there)) for keys, words, there in zip(*columns, strict=True)]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("_version"), batch.column("_first"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "version", "earlier_id", "places"])
+
+
+def compared_pairs(docs: DataFrame) -> DataFrame:
+    """As ``aligned_pairs``, from the whole line lists of both documents, for
+    each document and the first holders of its windows."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_version")).filter(F.col("doc_id").isNotNull())
+    keyed = source.mapInArrow(_keyed, "doc_id long, _version long, _keys binary, _words array<int>")
+    # rows that repeat id and text are told apart by a number, kept with the table
+    keyed = written(keyed.withColumn("_row", F.monotonically_increasing_id()), "lines")
+    held = keyed.mapInArrow(_windows, "doc_id long, _version long, _row long, _window binary")
+    # partial minima go through the shuffle
+    first = held.groupBy("_window").agg(F.min(F.struct("doc_id", "_version", "_row")).alias("_holder"), F.max("doc_id").alias("_last")).filter(F.col("_holder.doc_id") < F.col("_last"))
+    first = first.select("_window", F.col("_holder.doc_id").alias("_first"), F.col("_holder._row").alias("_first_row"))
+    met = held.join(first, "_window").filter(F.col("doc_id") > F.col("_first"))
+    # one row of those that repeat id and text
+    pairs = met.groupBy("doc_id", "_version", "_first", "_first_row").agg(F.min("_row").alias("_row"))
+    both = pairs.join(keyed.select("_row", "_keys", "_words"), "_row").join(keyed.select(F.col("_row").alias("_first_row"), F.col("_keys").alias("_there")), "_first_row")
+    return both.select("doc_id", "_version", "_first", "_keys", "_words", "_there").mapInArrow(_compared, "doc_id long, version long, earlier_id long, places array<int>").filter(F.size("places") > 0)
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sliced(batches):
         texts, lines, gone, words = [], [], [], []
@@ -172,7 +273,7 @@ def without_common_blocks(docs: DataFrame) -> DataFrame:
     place in the order, so its text stays as it is.  Columns beyond doc_id and
     text are not read; an empty table gives no rows.
     """
-    found = aligned_pairs(docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"), F.sort_array(F.collect_set("earlier_id")).alias("earlier_ids"))
+    found = compared_pairs(docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"), F.sort_array(F.collect_set("earlier_id")).alias("earlier_ids"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
     rows = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left")
     cut = rows.select("doc_id", F.coalesce("earlier_ids", F.array().cast("array<long>")).alias("earlier_ids"), "_places", "_text").mapInArrow(
