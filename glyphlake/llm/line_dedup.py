@@ -3,8 +3,10 @@
 Documents that share a line are found through the hashes of their lines, lined
 up by patience diff, and common blocks are deleted from the later document
 (the larger id).  Which lines mark a pair and which only ride along follows
-from rarity: a line that occurs once in both documents is an anchor; repeated
-ones are matched only next to an anchor.
+from rarity: a line that occurs once in both documents is an anchor, the gaps
+between anchors have anchors of their own, and where none is left the longest
+common runs are matched.  A block goes at every place where the later document
+has it, in whatever order.
 
 Which documents are compared follows from windows: the shortest runs of lines
 that make a block, from each line on and up to each line.  Any common block
@@ -134,7 +136,7 @@ def aligned_pairs(docs: DataFrame) -> DataFrame:
     these).
 
     The plain form: one comparison per line with the line's first holder, on
-    the lines first held there alone.  ``without_common_blocks`` takes
+    the lines first held there alone, by ``common_blocks`` in one pass.  ``without_common_blocks`` takes
     ``compared_pairs``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_version")).filter(F.col("doc_id").isNotNull())
     lines = written(source.mapInArrow(_lines, LINES), "lines")
@@ -197,17 +199,146 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*whose.columns, pa.array(found, pa.binary())], names=[*whose.schema.names, "_window"])
 
 
+def _longest_run(later: list[bytes], before: list[int], earlier: list[bytes], gap: tuple[int, int, int, int]) -> tuple[int, int, int]:
+    """The common run with most words within a gap: its starts and length.
+
+    A suffix automaton of the earlier lines, so time is linear however often a
+    line is repeated."""
+    a0, a1, b0, b1 = gap
+    steps: list[dict[bytes, int]] = [{}]
+    link, length, ends = [-1], [0], [0]
+    last = 0
+    for q in range(b0, b1):
+        line, at = earlier[q], last
+        last = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[at] + 1)
+        ends.append(q + 1)
+        while at >= 0 and line not in steps[at]:
+            steps[at][line] = last
+            at = link[at]
+        if at >= 0:
+            to = steps[at][line]
+            if length[to] != length[at] + 1:
+                steps.append(dict(steps[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                ends.append(ends[to])
+                copy = link[to] = len(steps) - 1
+                while at >= 0 and steps[at].get(line) == to:
+                    steps[at][line] = copy
+                    at = link[at]
+                to = copy
+            link[last] = to
+    best, at, n = (0, 0, 0, 0), 0, 0
+    for p in range(a0, a1):
+        while at and later[p] not in steps[at]:
+            at = link[at]
+            n = length[at]
+        if later[p] in steps[at]:
+            at, n = steps[at][later[p]], n + 1
+            count = before[p + 1] - before[p + 1 - n]
+            if count > best[0]:
+                best = (count, p + 1 - n, ends[at] - n, n)
+    return best[1:]
+
+
+def _where(lines: list[bytes], start: int, end: int) -> dict[bytes, list[int]]:
+    found: dict[bytes, list[int]] = {}
+    for place in range(start, end):
+        found.setdefault(lines[place], []).append(place)
+    return found
+
+
+def alignment(later: list[bytes], before: list[int], earlier: list[bytes], start: int, end: int, block_words: int) -> list[tuple[int, int]]:
+    """Matched places of the later lines from ``start`` to ``end`` with the
+    earlier ones, in the order of both.  ``before``: running sums of words.
+
+    Lines that occur once in both parts of a gap are its anchors, the longest
+    rising run of them counts; from each, equal lines match up and down as far
+    as the neighbouring anchors, and the gaps between are treated alike.  In a
+    gap without an anchor, the common run with most words is taken."""
+    matched: list[tuple[int, int]] = []
+    gaps = [(start, end, 0, len(earlier))]
+    while gaps:
+        a0, a1, b0, b1 = gaps.pop()
+        if before[a1] - before[a0] < block_words:
+            continue  # what touches a match has been matched; a block needs more
+        here, there = _where(later, a0, a1), _where(earlier, b0, b1)
+        both = here.keys() & there.keys()
+        chain = _rising(sorted((here[x][0], there[x][0]) for x in both if len(here[x]) == len(there[x]) == 1))
+        if both and not chain:
+            p, q, n = _longest_run(later, before, earlier, (a0, a1, b0, b1))
+            if before[p + n] - before[p] >= block_words:
+                chain = [(p, q)]
+        for number, (p, q) in enumerate(chain):
+            if p < a0 or q < b0:
+                continue
+            top, over = p, q
+            while top > a0 and over > b0 and later[top - 1] == earlier[over - 1]:
+                top, over = top - 1, over - 1
+            gaps.append((a0, top, b0, over))
+            limit = chain[number + 1] if number + 1 < len(chain) else (a1, b1)
+            a0, b0 = p + 1, q + 1
+            while a0 < limit[0] and b0 < limit[1] and later[a0] == earlier[b0]:
+                a0, b0 = a0 + 1, b0 + 1
+            matched.extend(zip(range(top, a0), range(over, b0), strict=True))
+        if chain:
+            gaps.append((a0, a1, b0, b1))
+    return sorted(matched)
+
+
+def _blocks(matched: list[tuple[int, int]], before: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Runs (start, end) in the later document that are runs in both."""
+    out, start = [], 0
+    for number, (p, q) in enumerate(matched):
+        if number + 1 == len(matched) or matched[number + 1] != (p + 1, q + 1):
+            if before[p + 1] - before[matched[start][0]] >= block_words:
+                out.append((matched[start][0], p + 1))
+            start = number + 1
+    return out
+
+
 def places_held(later: list[bytes], words: list[int], earlier: list[bytes], block_words: int = BLOCK_WORDS) -> list[int]:
     """Places in the later document of the lines to delete, from the whole
-    line lists of both."""
+    line lists of both.
+
+    Blocks of an alignment go, with every other place where a window of
+    theirs stands in the later document.  What is left between them is
+    aligned with the whole earlier document again, for blocks in another
+    order, until nothing more is found."""
     if later == earlier:
         return list(range(len(later))) if sum(words) >= block_words else []
-    here: dict[bytes, list[int]] = {}
-    there: dict[bytes, list[int]] = {}
-    for lines, places in ((later, here), (earlier, there)):
-        for place, line in enumerate(lines):
-            places.setdefault(line, []).append(place)
-    return common_blocks([(words[p[0]], p, there[line]) for line, p in here.items() if line in there], block_words)
+    before = [0]
+    for count in words:
+        before.append(before[-1] + count)
+    own = [(s, e, b"".join(later[s:e])) for s, e in windows(words, block_words)]
+    held = set(earlier)
+    gone: set[int] = set()
+    left = [(0, len(later))]
+    while left:
+        blocks: list[tuple[int, int]] = []
+        for start, end in left:
+            if before[end] - before[start] < block_words or held.isdisjoint(later[start:end]):
+                continue
+            found = _blocks(alignment(later, before, earlier, start, end, block_words), before, block_words)
+            if not found:
+                # short anchors in the way of a longer run
+                p, _, n = _longest_run(later, before, earlier, (start, end, 0, len(earlier)))
+                found = [(p, p + n)] if before[p + n] - before[p] >= block_words else []
+            blocks.extend(found)
+        if not blocks:
+            break
+        inside = {p: n for n, block in enumerate(blocks) for p in range(*block)}
+        keys = {key for s, e, key in own if s in inside and inside[s] == inside.get(e - 1)}
+        gone.update(inside)
+        for s, e, key in own:
+            if key in keys:
+                gone.update(range(s, e))
+        edges = [-1, *sorted(gone), len(later)]
+        left = [(x + 1, y) for x, y in zip(edges, edges[1:], strict=False) if y > x + 1]
+    return sorted(gone)
 
 
 def _split(keys: bytes) -> list[bytes]:
