@@ -258,6 +258,13 @@ def _scores(model: Broadcast, name: str) -> Callable:
     return run
 
 
+def learning_rows(known: DataFrame, total: int, sample: int) -> DataFrame:
+    """At most ``sample`` of the ``total`` rows, those first by a hash of the
+    id: the same ones whatever order rows arrive in."""
+    place = F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30))
+    return known.filter(place < min(1.0, sample / max(total, 1)) * (1 << 30)).orderBy(place, "_id").limit(sample)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors of all documents, and the network for ``labels.quality``.
 
@@ -270,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     known = known.filter(~held_out(F.col("_id")))
     total = known.count()
-    some = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30)) < min(1.0, sample / max(total, 1)) * (1 << 30)).limit(sample)
+    some = learning_rows(known, total, sample)
     # at most ``sample`` rows of two numbers each
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
