@@ -48,3 +48,40 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key % buckets, k
 p AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / of, source IS NULL, source, rank) - 1 AS place, count(*) OVER () AS total FROM r),
 s AS (SELECT *, CAST(place * {count} // total AS INT) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(place - ceil(CAST(shard AS BIGINT) * total / {count}.0) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
+
+
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({text})) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _levels(name: str, start: str) -> str:
+    """All levels of trees of threes: t, l, i, h, n."""
+    return f"""{name} AS ({start} UNION ALL
+  SELECT t, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY t, l, i // 3, n)"""
+
+
+def _ways(name: str, levels: str, start: str) -> str:
+    """From each k up: siblings so far and the folded digest."""
+    return f"""{name}_runs AS (SELECT t, l, i // 3 AS r, list(h ORDER BY i) AS hs FROM {levels} WHERE n > 1 GROUP BY t, l, i // 3),
+{name} AS ({start} UNION ALL
+  SELECT k, w.t, w.l + 1, i // 3, (n + 2) // 3, proof || array_to_string(hs[1:i % 3], '') || array_to_string(hs[i % 3 + 2:], ''),
+    sha256(array_to_string(hs[1:i % 3], '') || folded || array_to_string(hs[i % 3 + 2:], '')) FROM {name} w JOIN {name}_runs g ON g.t = w.t AND g.l = w.l AND g.r = w.i // 3 WHERE n > 1)"""
+
+
+MERKLE = f"""WITH RECURSIVE bytes AS (SELECT *, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bs FROM documents),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, bs), lambda c, v: xor(c >> 8, list_extract({_crc_steps()!r}, (xor(c, v) & 255) + 1))), 4294967295) AS crc FROM bytes),
+found AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen FROM crc),
+digests AS (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("seen")} AS now FROM found),
+leaves AS (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM digests),
+{_levels("low", "SELECT t, 0 AS l, i, leaf AS h, n FROM leaves")},
+subroots AS (SELECT t AS q, h AS subroot FROM low WHERE n = 1),
+{_levels("high", "SELECT 0 AS t, 0 AS l, q AS i, subroot AS h, (SELECT count(*) FROM subroots) AS n FROM subroots")},
+{_ways("up", "low", "SELECT k, t, 0 AS l, i, n, '' AS proof, now AS folded FROM leaves")},
+{_ways("top", "high", "SELECT k, 0 AS t, 0 AS l, t AS i, (SELECT count(*) FROM subroots) AS n, proof, folded FROM up WHERE n = 1")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM leaves JOIN subroots ON q = leaves.t JOIN top ON top.k = leaves.k AND top.n = 1 JOIN high ON high.n = 1"""

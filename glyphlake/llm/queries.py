@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, oracles, quality, quality_rules, sharding, simhash, token_files
+from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, merkle, mixing, oracles, quality, quality_rules, sharding, simhash, token_files
 from glyphlake.llm.common import documents, held_out, new_folder
 
 SHARDS = 40
@@ -66,6 +66,14 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    ways = merkle.proved(merkle.build(docs, present=found))
+    return ways.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_aligned_blocks": op1_aligned_blocks,
     "op2_gated_byte_network": op2_gated_byte_network,
@@ -77,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_interleaved_shards": op8_interleaved_shards,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_simhash_anchors": op10_simhash_anchors,
+    "op13_merkle_climb": op13_merkle_climb,
 }
 
 ORACLES: dict[str, str] = {
     "op5_digest_tree": oracles.EXACT,
     "op7_quality_rules": oracles.RULES,
     "op8_interleaved_shards": oracles.shards(SHARDS, SHARD_SEED),
+    "op13_merkle_climb": oracles.MERKLE,
 }
