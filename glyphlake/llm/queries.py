@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, merkle, mixing, oracles, quality, quality_rules, sharding, simhash, token_files
+from glyphlake.llm import bpe, exact_dedup, lang_id, line_dedup, merkle, mixing, oracles, quality, quality_rules, sharding, simhash, token_files, vector_dedup, whitening
 from glyphlake.llm.common import documents, held_out, new_folder
 
 SHARDS = 40
@@ -66,6 +66,15 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -85,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_interleaved_shards": op8_interleaved_shards,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_simhash_anchors": op10_simhash_anchors,
+    "op11_rotated_codes": op11_rotated_codes,
+    "op12_lanczos_whitening": op12_lanczos_whitening,
     "op13_merkle_climb": op13_merkle_climb,
 }
 
