@@ -10,7 +10,7 @@ Stored nodes.  A stored row spans ``SPAN`` levels: it holds the digests of up
 to 81 neighbours, of the runs they form, and so on up to the row's own digest,
 and its place in its parent row.  Rows above the lowest are stored once for
 each lowest row below them, so that no row, not even the root's, is asked for
-by more than 81 leaves: there is no hot key however large a source is.
+by more than 729 leaves: there is no hot key however large a source is.
 
 Proofs.  A recursive query starts from every leaf, with the digest that the
 leaf has now, and climbs from row to row: it appends the siblings it passes and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import staged, written
 
-SPAN = 4
+SPAN = 6
 WIDTH = 3**SPAN
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROOT_TREE = -1
@@ -229,13 +229,16 @@ def _stored(spark: SparkSession, levels: list[DataFrame], top_levels: list[DataF
     return written(stored, "nodes")
 
 
+def _siblings(level: int) -> str:
+    """The digests before and after a slot's own on one level of a row."""
+    at, of = f"int(c.slot div {3**level})", f"n.{LEVELS[level]}"
+    return f"named_struct('b', substring({of}, 96 * int({at} div 3) + 1, 32 * ({at} % 3)), 'a', substring({of}, 32 * {at} + 33, 32 * (2 - {at} % 3)))"
+
+
 #: one step: climb the levels of a row, appending siblings and folding
-_STEP = """aggregate(sequence(0, n.height - 1), named_struct('at', c.slot, 'proof', c.proof, 'folded', c.folded), (s, i) -> named_struct(
-  'at', int(s.at div 3),
-  'proof', concat(s.proof, {before}, {after}),
-  'folded', unhex(sha2(lower(hex(concat({before}, s.folded, {after}))), 256))))""".format(
-    before="substring({level}, 96 * int(s.at div 3) + 1, 32 * (s.at % 3))", after="substring({level}, 32 * s.at + 33, 32 * (2 - s.at % 3))"
-).replace("{level}", f"element_at(array({', '.join('n.' + c for c in LEVELS)}), i + 1)")
+_STEP = f"""aggregate(slice(array({", ".join(map(_siblings, range(SPAN)))}), 1, n.height), named_struct('proof', c.proof, 'folded', c.folded), (s, x) -> named_struct(
+  'proof', concat(s.proof, x.b, x.a),
+  'folded', unhex(sha2(lower(hex(concat(x.b, s.folded, x.a))), 256))))"""
 
 _CLIMB = f"""WITH RECURSIVE climb (doc_id, tree, leaf, spot, step, slot, proof, folded, done) AS (
   SELECT doc_id, tree, leaf, spot, 1, slot, X'', now, done FROM {{starts}}

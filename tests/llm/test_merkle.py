@@ -82,7 +82,7 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("sizes", [[1], [2], [3], [4], [81], [82], [1, 1], [1, 30, 1], [244, 1, 5, 1, 1]])
+@pytest.mark.parametrize("sizes", [[1], [2], [3], [4], [9], [10], [729], [730], [1, 1], [1, 30, 1], [244, 1, 5, 1, 1]])
 def test_trees_of_many_shapes_match_brute_force(spark, monkeypatch, sizes):
     rows = [(1000 * s + i, f"s{s}", "en", i, f"text {i}\nline") for s, n in enumerate(sizes) for i in range(n)]
     df = table(spark, rows).repartition(3)
@@ -90,7 +90,7 @@ def test_trees_of_many_shapes_match_brute_force(spark, monkeypatch, sizes):
 
 
 def test_many_sources_and_a_large_one_match_brute_force(spark, monkeypatch):
-    rows = [(i, f"s{i}" if i % 3 else "hot", "en", i, f"text {i}\nline") for i in range(0, 2_001)]
+    rows = [(i, f"s{i}" if i % 3 else "hot", "en", i, f"text {i}\nline") for i in range(0, 2_401)]
     rows += [(-i, "hot", "en", i, f"more {i}\nline") for i in range(1, 300)]
     df = table(spark, rows)
     assert run(spark, df, monkeypatch) == brute([r.asDict() for r in df.collect()])
