@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +14,55 @@ from glyphlake.session import cut_lineage
 C = F.col
 
 
+#: links of a page from which on they are dealt over several partitions
+HUB_LINKS = 100_000
+#: hubs that are few enough to be sent to every task
+FEW_HUBS = 10_000
+
+
+def laid_out(links: DataFrame, hub_links: int = HUB_LINKS) -> tuple[DataFrame, DataFrame | None]:
+    """The links (url, link, pos, part), partitioned by page and part, once;
+    joins by page and part leave them where they are.  A page with more than
+    ``hub_links`` links has several parts: (url, parts), or None without hubs."""
+    edges = links.select("url", "link", "pos")
+    counts = edges.groupBy("url").agg(F.count("*").alias("_n")).filter(C("_n") > hub_links)
+    hubs = cut_lineage(counts.select("url", F.ceil(C("_n") / hub_links).cast("int").alias("parts")))
+    many = hubs.count()
+    if many:
+        known = F.broadcast(hubs) if many <= FEW_HUBS else hubs
+        part = F.pmod(F.xxhash64("link"), F.coalesce("parts", F.lit(1))).cast("int")
+        edges = edges.join(known, "url", "left").select("url", "link", "pos", part.alias("part"))
+    else:
+        edges = edges.withColumn("part", F.lit(0))
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(edges.repartition(width, "url", "part")), hubs if many else None
+
+
+def linked_from(pages: DataFrame, edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``pages`` with the links of ``laid_out`` that lead away from them."""
+    if hubs is None:
+        asked = pages.withColumn("part", F.lit(0))
+    else:
+        parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        asked = pages.join(hubs, "url", "left").withColumn("part", F.explode(parts)).drop("parts")
+    return asked.join(edges, ["url", "part"]).drop("part")
+
+
 def expand_link_graph(
-    seeds: DataFrame, links: DataFrame, stored: DataFrame, max_depth: int = 3, max_pages: int | None = None,
-    include: list[str] = fv.CRAWL_INCLUDE, exclude: list[str] = fv.CRAWL_EXCLUDE,
+    seeds: DataFrame, links: DataFrame, stored: DataFrame, max_depth: int | None = None, max_pages: int | None = None,
+    include: list[str] = fv.CRAWL_INCLUDE, exclude: list[str] = fv.CRAWL_EXCLUDE, hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """Visit ``seeds`` (url, pos) and what they link to, breadth first.
 
     ``links``: admitted (url, link, pos) of stored pages; ``stored``: (url).
-    All pages within ``max_depth`` links are reached; a caller who asks for the
-    first ``max_pages`` of them in crawl order gets these.  A page's place in the order
-    is the list of link positions that led to it, so no global numbering is
-    needed; each level is checkpointed, and pages seen before are removed by
-    an anti-join.
+    All pages that links lead to are reached; a caller may ask for those within
+    ``max_depth`` links, or for the first ``max_pages`` in crawl order.  A
+    page's place in the order is the list of link positions that led to it, so
+    no global numbering is needed; each level is checkpointed, and pages seen
+    before are removed by an anti-join.  Links are shuffled once, before the
+    first level; then only pages move.
     """
-    # edges are read once per level: written out, their extraction runs once
-    links = cut_lineage(links.select("url", "link", "pos"))
+    edges, hubs = laid_out(links, hub_links)
     matched = urls.matches_patterns(C("url"), include, exclude)
     queued = cut_lineage(
         seeds.groupBy("url").agg(F.min("pos").alias("pos"))
@@ -36,10 +72,10 @@ def expand_link_graph(
         queued = cut_lineage(queued.orderBy("place").limit(max_pages))
     seen, total = queued, queued.count()
     frontier = queued
-    for depth in range(1, max_depth + 1):
-        if max_pages is not None and total >= max_pages:
+    for depth in itertools.count(1):
+        if max_depth is not None and depth > max_depth or max_pages is not None and total >= max_pages:
             break
-        reached = frontier.select("url", "place").join(links, "url").select(
+        reached = linked_from(frontier.select("url", "place"), edges, hubs).select(
             C("link").alias("url"), F.concat("place", F.array(C("pos").cast("long"))).alias("place"), C("url").alias("parent")
         )
         first = reached.groupBy("url").agg(F.min(F.struct("place", "parent")).alias("f")).select(
@@ -52,7 +88,8 @@ def expand_link_graph(
         if max_pages is not None and total + found > max_pages:
             fresh, found = cut_lineage(fresh.orderBy("place").limit(max_pages - total)), max_pages - total
         frontier, seen, total = fresh, seen.unionByName(fresh), total + found
-    discovered = links.groupBy("url").agg(F.count_distinct("link").alias("discovered"))
+    per_part = edges.groupBy("url", "part").agg(F.count_distinct("link").alias("_links"))
+    discovered = per_part.groupBy("url").agg(F.sum("_links").alias("discovered"))
     enqueued = seen.filter("parent is not null").groupBy(C("parent").alias("url")).agg(F.count("*").alias("enqueued"))
     return (
         seen.join(stored.select("url", F.lit(True).alias("ok")).distinct(), "url", "left")

@@ -143,7 +143,7 @@ def job_state(events: DataFrame) -> DataFrame:
     )
 
 
-def tail_log(events: DataFrame, n: int = 200) -> DataFrame:
+def tail_log(events: DataFrame, n: int) -> DataFrame:
     return top_k(events.filter("line is not null").select("job_id", "seq", "line"), ["job_id"], [C("seq").desc()], n)
 
 

@@ -168,14 +168,15 @@ def _(spark, sf):
 
 @query(
     "asset_style_lookup",
-    with_fixtures("download_log") + r""", m AS (SELECT lower(source_url || '/' || filename) AS key, arg_max(name || ' mapped', job_id * 10 + idx) AS style_name FROM download_log WHERE job_id%2=0 GROUP BY 1),
+    with_fixtures("download_log") + r""", m AS (SELECT lower(CASE WHEN job_id%2=0 THEN source_url ELSE 'https://archive.example.net' END || '/' || filename) AS key, arg_max(name || ' mapped', job_id * 10 + idx) AS style_name FROM download_log GROUP BY 1),
     a AS (SELECT job_id, idx, CASE WHEN job_id%3=0 THEN source_url ELSE 'https://mirror.example.net' END || '/' || filename || '?v=1' AS asset_url FROM download_log),
     k AS (SELECT *, lower(regexp_replace(asset_url, '[?#].*$', '')) AS key FROM a), b AS (SELECT string_split(key, '/')[-1] AS file, arg_min(style_name, key) AS style_name FROM m GROUP BY 1)
     SELECT job_id, idx, asset_url, coalesce(m.style_name, b.style_name) AS style_name FROM k LEFT JOIN m ON m.key = k.key LEFT JOIN b ON b.file = string_split(k.key, '/')[-1]""",
 )
 def _(spark, sf):
     log = fixture(spark, sf, "download_log")
-    style_map = log.filter("job_id%2=0").select(F.lower(F.concat_ws("/", "source_url", "filename")).alias("key"), F.concat("name", F.lit(" mapped")).alias("style_name"), (C("job_id") * 10 + C("idx")).alias("pos"))
+    kept_at = F.when(C("job_id") % 2 == 0, C("source_url")).otherwise("https://archive.example.net")
+    style_map = log.select(F.lower(F.concat_ws("/", kept_at, "filename")).alias("key"), F.concat("name", F.lit(" mapped")).alias("style_name"), (C("job_id") * 10 + C("idx")).alias("pos"))
     home = F.when(C("job_id") % 3 == 0, C("source_url")).otherwise("https://mirror.example.net")
     assets = log.select("job_id", "idx", F.concat(home, F.lit("/"), C("filename"), F.lit("?v=1")).alias("asset_url"))
     return cv.asset_style_lookup(assets, style_map)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphlake import fixed_values as fv
 from glyphlake.functions import files
+from glyphlake.functions.urls import normalize_crawl_url
 from glyphlake.functions.sql import register_sql_functions
 from glyphlake.operators import crawl as cr
 from glyphlake.operators import links as lk
@@ -20,9 +21,11 @@ from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import REASON_CASE
 from glyphlake.plans.registry import query, table
 from glyphlake.plans.urls import _ADMITTED_CTE
-from glyphlake.session import checkpoint_root
+from glyphlake.session import checkpoint_root, cut_lineage
 from glyphlake.sources import sinks
 from glyphlake.sources.asset_files import sfnt_metrics
+from glyphlake.streaming import crawl as stream_crawl
+from glyphlake.streaming import jobs
 
 C = F.col
 
@@ -172,8 +175,6 @@ def _(spark, sf):
 
 
 def crawl_inputs(spark, sf):
-    from glyphlake.functions.urls import normalize_crawl_url
-
     pages = fixture(spark, sf, "html")
     admitted = lk.crawl_admission(lk.extract_links(pages), lk.seed_hosts(pages))
     edges = admitted.select(normalize_crawl_url(C("url")).alias("url"), "link", "pos")
@@ -182,18 +183,45 @@ def crawl_inputs(spark, sf):
     return seeds, edges, stored
 
 
-@query(
-    "expand_link_graph",
-    with_fixtures("html").replace("WITH ", "WITH RECURSIVE ", 1) + _ADMITTED_CTE + f""", edges AS (SELECT DISTINCT {d.crawl_url("url")} AS url, link FROM admitted), stored AS (SELECT page_id, {d.crawl_url("url")} AS url FROM html),
-    walk AS (SELECT url, 0 AS depth FROM stored WHERE page_id%50 = 0 UNION SELECT e.link, w.depth + 1 FROM walk AS w JOIN edges AS e ON e.url = w.url WHERE w.depth < 4), seen AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
-    SELECT s.url, s.depth, s.url IN (SELECT url FROM stored) AS ok, (SELECT count(*) FROM edges AS e WHERE e.url = s.url) AS discovered,
-      regexp_matches(s.url, '(?i)/typefaces/|/fonts/|/font/|/family/') AND NOT regexp_matches(s.url, '(?i)/cart|/checkout|/login|/account|/privacy|/terms|/cdn-cgi/') AS matched FROM seen AS s""",
-)
+_WALK_SQL = """, edges AS (SELECT {crawl} AS url, link, min(pos) AS pos FROM admitted GROUP BY 1, 2), stored AS (SELECT page_id, {crawl} AS url FROM html),
+    walk AS (SELECT url, 0 AS depth, [CAST(page_id AS BIGINT)] AS place, CAST(NULL AS VARCHAR) AS parent FROM stored WHERE page_id%50 = 0
+      UNION ALL SELECT link, depth, place, parent FROM (
+        SELECT *, row_number() OVER (PARTITION BY link ORDER BY place, parent) AS nth FROM (
+          SELECT e.link, w.depth + 1 AS depth, list_append(w.place, CAST(e.pos AS BIGINT)) AS place, w.url AS parent FROM walk AS w JOIN edges AS e ON e.url = w.url WHERE w.depth < {depth})) WHERE nth = 1),
+    seen AS (SELECT url, depth, place, parent FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY depth, place, parent) AS nth FROM walk) WHERE nth = 1)
+    SELECT s.url, s.depth, array_to_string(s.place, '/') AS place, s.url IN (SELECT url FROM stored) AS ok, (SELECT count(*) FROM edges AS e WHERE e.url = s.url) AS discovered, (SELECT count(*) FROM seen AS e WHERE e.parent = s.url) AS enqueued,
+      regexp_matches(s.url, '(?i)/typefaces/|/fonts/|/font/|/family/') AND NOT regexp_matches(s.url, '(?i)/cart|/checkout|/login|/account|/privacy|/terms|/cdn-cgi/') AS matched FROM seen AS s"""
+
+
+def _walk_sql(depth: int) -> str:
+    start = with_fixtures("html").replace("WITH ", "WITH RECURSIVE ", 1) + _ADMITTED_CTE
+    return start + _WALK_SQL.format(crawl=d.crawl_url("url"), depth=depth)
+
+
+def _as_listed(found):
+    columns = ["url", "depth", F.array_join(C("place").cast("array<string>"), "/").alias("place"), "ok", "discovered", "enqueued", "matched"]
+    return found.select(*columns)
+
+
+@query("expand_link_graph", _walk_sql(4))
 def _(spark, sf):
     """Seeds are every fiftieth page; the whole corpus may be reached."""
     seeds, edges, stored = crawl_inputs(spark, sf)
-    out = cr.expand_link_graph(seeds, edges, stored, max_depth=4)
-    return out.select("url", "depth", "ok", "discovered", "matched")
+    return _as_listed(cr.expand_link_graph(seeds, edges, stored, max_depth=4))
+
+
+@query("resumed_crawl", _walk_sql(3))
+def _(spark, sf):
+    """The pages arrive in four files and two runs; the second goes on from the first."""
+    state = f"{checkpoint_root(spark)}/crawl_{uuid.uuid4().hex}"
+    pages = fixture(spark, sf, "html").select("page_id", "url", "html")
+    seeds = pages.filter("page_id % 50 = 0").select(normalize_crawl_url(C("url")).alias("url"), C("page_id").alias("pos"))
+    domains = cut_lineage(lk.seed_hosts(pages))
+    for run in range(2):
+        pages.filter(F.floor(C("page_id") / 2) % 2 == run).repartition(2, "page_id").write.mode("append").parquet(f"{state}/arrived")
+        stream = jobs.read_event_stream(spark, f"{state}/arrived", pages.schema, 1)
+        stream_crawl.incremental_crawl(stream, seeds, domains, f"{state}/tables", f"{state}/progress", max_depth=3).awaitTermination()
+    return _as_listed(stream_crawl.results(spark, f"{state}/tables"))
 
 
 _CATALOGUE_SQL = "regexp_matches({u}, '(?i)/typefaces/|/fonts/|/font/|/family/') AND NOT regexp_matches({u}, '(?i)/cart|/checkout|/login|/account|/privacy|/terms|/cdn-cgi/')"

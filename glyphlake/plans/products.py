@@ -86,19 +86,21 @@ def _(spark, sf):
 
 
 def axis_rows(spark, sf):
-    """(owner, axis, label, pos): two axes named per part of a brand, in mixed case."""
+    """(owner, axis, label, pos): an axis named per part, in mixed case; brands
+    that end in 3 have an optical size instead of a weight."""
     k = C("p_partkey")
+    weight = F.when(C("p_brand").endswith("3"), "opsz").otherwise("wght")
     return table(spark, sf, "part").select(
         C("p_brand").alias("owner"),
-        F.when(k % 4 == 0, "wght").when(k % 4 == 1, "WDTH").when(k % 4 == 2, "slnt").otherwise("Wdth").alias("axis"),
+        F.when(k % 4 == 0, weight).when(k % 4 == 1, "WDTH").when(k % 4 == 2, "slnt").otherwise("Wdth").alias("axis"),
         F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("Axis "), (k % 5).cast("string"))).alias("label"),
         k.alias("pos"),
-    ).filter(~C("owner").endswith("3") | (k % 4 != 0))
+    )
 
 
 @query(
     "variable_axes",
-    """WITH a AS (SELECT p_brand AS owner, CASE p_partkey%4 WHEN 0 THEN 'wght' WHEN 1 THEN 'WDTH' WHEN 2 THEN 'slnt' ELSE 'Wdth' END AS axis, CASE WHEN p_partkey%3=0 THEN NULL ELSE 'Axis ' || p_partkey%5 END AS label, p_partkey AS pos FROM part WHERE NOT (ends_with(p_brand, '3') AND p_partkey%4=0))
+    """WITH a AS (SELECT p_brand AS owner, CASE p_partkey%4 WHEN 0 THEN CASE WHEN ends_with(p_brand, '3') THEN 'opsz' ELSE 'wght' END WHEN 1 THEN 'WDTH' WHEN 2 THEN 'slnt' ELSE 'Wdth' END AS axis, CASE WHEN p_partkey%3=0 THEN NULL ELSE 'Axis ' || p_partkey%5 END AS label, p_partkey AS pos FROM part)
     SELECT owner, lower(axis) AS tag, arg_min(axis, pos) AS axis, arg_min(label, pos) FILTER (WHERE label IS NOT NULL) AS label, CASE WHEN lower(axis) = 'wght' THEN '100 900' END AS weight_range FROM a GROUP BY owner, lower(axis)""",
 )
 def _(spark, sf):
@@ -108,7 +110,7 @@ def _(spark, sf):
 @query(
     "merge_catalogs",
     """WITH s AS (SELECT p_partkey AS id, p_brand AS item, p_name AS face, ['basic', lower(p_type)] AS sets, CASE WHEN p_size%3=0 THEN p_size%2=0 END AS hidden FROM part WHERE p_partkey%3<>0),
-    v AS (SELECT p_partkey AS id, CASE WHEN p_size%2=0 THEN p_name END AS item, p_name || ' VF' AS face, ['kern', 'liga'] AS feats, [lower(p_type), 'plus'] AS sets, CASE WHEN p_size%4=0 THEN true END AS hidden FROM part WHERE p_partkey%2=0)
+    v AS (SELECT p_partkey AS id, CASE WHEN p_size%2=0 THEN p_name END AS item, p_name || ' VF' AS face, ['kern', 'liga'] AS feats, [lower(p_type), 'plus'] AS sets, CASE WHEN p_size%4=0 THEN true END AS hidden FROM part WHERE p_partkey%2=0 OR p_partkey%3=0)
     SELECT coalesce(s.id, v.id) AS asset_id, coalesce(v.item, s.item) AS item_name, coalesce(v.face, s.face) AS face_name, array_to_string(coalesce(feats, []), ',') AS feature_tags, array_to_string(list_sort(list_distinct(list_concat(coalesce(s.sets, []), coalesce(v.sets, [])))), ',') AS set_tags,
       coalesce(v.hidden, s.hidden) AS hidden, CASE WHEN s.id IS NULL THEN 'variable-list' WHEN v.id IS NULL THEN 'static-list' ELSE 'merged' END AS source FROM s FULL JOIN v ON s.id = v.id""",
 )
@@ -119,7 +121,7 @@ def _(spark, sf):
         C("p_partkey").alias("asset_id"), C("p_brand").alias("item_name"), C("p_name").alias("face_name"), none.alias("feature_tags"),
         F.array(F.lit("basic"), F.lower("p_type")).alias("set_tags"), F.when(size % 3 == 0, size % 2 == 0).alias("hidden"),
     )
-    variable = part.filter("p_partkey%2=0").select(
+    variable = part.filter("p_partkey%2=0 OR p_partkey%3=0").select(
         C("p_partkey").alias("asset_id"), F.when(size % 2 == 0, C("p_name")).alias("item_name"), F.concat("p_name", F.lit(" VF")).alias("face_name"),
         F.array(F.lit("kern"), F.lit("liga")).alias("feature_tags"), F.array(F.lower("p_type"), F.lit("plus")).alias("set_tags"), F.when(size % 4 == 0, True).alias("hidden"),
     )

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from glyphlake.functions.urls import normalize_crawl_url
 from glyphlake.operators import crawl, ops, packages, products, windows
 from glyphlake.operators import links as lk
 from glyphlake.operators.containment import contained_tokens
@@ -83,19 +84,52 @@ def test_rate_windows_do_not_depend_on_how_keys_are_cut(spark, slices):
     assert rows(got) == sorted(want)
 
 
-def test_incremental_crawl_visits_each_page_once(spark, sf, work):
-    corpus = spark.read.parquet(f"{sf}/pages.parquet")
-    src, out = work("pages"), work("visited")
-    corpus.filter("page_id % 2 = 0").coalesce(1).write.parquet(src)
-    ck = work("ck")
-    stream_crawl.incremental_crawl(jobs.read_event_stream(spark, src, corpus.schema, 1), None, out, ck).awaitTermination()
-    corpus.coalesce(1).write.mode("append").parquet(src)
-    stream_crawl.incremental_crawl(jobs.read_event_stream(spark, src, corpus.schema, 1), None, out, ck).awaitTermination()
+def crawled(spark, sf, work, cuts):
+    """The state folder of a crawl whose pages came in ``cuts`` rounds, each stopped after."""
+    corpus = fixture(spark, sf, "html").select("page_id", "url", "html")
+    seeds = corpus.filter("page_id % 10 = 3").select(normalize_crawl_url(C("url")).alias("url"), C("page_id").alias("pos"))
+    domains = lk.seed_hosts(corpus)
+    src, out, ck = work("pages"), work("crawl"), work("ck")
+    for cut in range(cuts):
+        # later pages first, so that ways found early are improved on
+        corpus.filter(f"{cuts - 1 - cut} = page_id % {cuts}").coalesce(1).write.mode("append").parquet(src)
+        stream_crawl.incremental_crawl(jobs.read_event_stream(spark, src, corpus.schema, 1), seeds, domains, out, ck).awaitTermination()
+    return corpus, seeds, domains, out
+
+
+def test_a_resumed_crawl_ends_where_one_expansion_does(spark, sf, work):
+    corpus, seeds, domains, out = crawled(spark, sf, work, 3)
+    admitted = lk.crawl_admission(lk.extract_links(corpus), domains).select(normalize_crawl_url(C("url")).alias("url"), "link", "pos")
+    stored = corpus.select(normalize_crawl_url(C("url")).alias("url"))
+    want = crawl.expand_link_graph(seeds, admitted, stored)
+    got = stream_crawl.results(spark, out)
+    assert rows(got.select(want.columns)) == rows(want)
+    assert got.agg(F.max("depth")).first()[0] >= 2
     seen = stream_crawl.visited(spark, out)
-    assert seen.count() == seen.select("page").distinct().count()
-    from glyphlake.functions.urls import normalize_crawl_url
+    assert rows(seen.select("page").distinct()) == rows(stored.distinct()) and seen.count() == corpus.count()
+    done = {r[0] for r in rows(seen.select("page"))}
+    assert {r[0] for r in rows(stream_crawl.queue(spark, out).select("url"))} == {r["url"] for r in want.collect()} - done
+    assert rows(stream_crawl.catalog_urls(spark, out).select("url")) == rows(want.filter("matched").select("url"))
 
-    assert rows(seen.select("page")) == rows(corpus.select(normalize_crawl_url(C("url"))).distinct())
+
+def test_a_batch_run_again_leaves_the_same_tables(spark, sf, work):
+    corpus, seeds, domains, out = crawled(spark, sf, work, 2)
+    before = rows(stream_crawl.results(spark, out)), rows(stream_crawl.visited(spark, out))
+    for batch in (0, 1):
+        stream_crawl.handle_pages(corpus.filter(f"page_id % 2 = {1 - batch}"), seeds, domains, out, batch)
+    assert before == (rows(stream_crawl.results(spark, out)), rows(stream_crawl.visited(spark, out)))
+
+
+def test_hub_pages_are_split_and_links_stay_where_they_are(spark):
+    edges = [("hub", f"p{i}", i) for i in range(500)] + [(f"p{i}", "end", 0) for i in range(500)]
+    table = spark.createDataFrame(edges, "url string, link string, pos int")
+    seeds = spark.createDataFrame([("hub", 0)], "url string, pos int")
+    whole = rows(crawl.expand_link_graph(seeds, table, seeds.select("url")))
+    laid, hubs = crawl.laid_out(table, 100)
+    assert rows(hubs) == [("hub", 5)] and laid.filter("url = 'hub'").select("part").distinct().count() == 5
+    plan = crawl.linked_from(seeds.select("url"), laid, hubs)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and plan.count("hashpartitioning(link") == 0
+    assert rows(crawl.expand_link_graph(seeds, table, seeds.select("url"), hub_links=100)) == whole and len(whole) == 502
 
 
 def test_crawl_caps_depth_and_pages(spark):
