@@ -152,7 +152,7 @@ VALIDATION_STOPWORDS = [
 
 # Words that describe a sample sheet rather than a family.
 SHEET_DESCRIPTORS = [
-    "font", "fonts", "guide", "fontguide", "specimen", "brochure", "catalog", "catalogue", "trial",
+    "font", "fonts", "guide", "fontguide", "brochure", "catalog", "catalogue", "trial",
     "manual", "technical", "tech", "doc", "techdoc", "documentation", "character", "characters",
     "charset", "set", "glyph", "glyphs", "preview", "booklet", "sheet", "pdf", "download", "file",
 ]
@@ -188,7 +188,7 @@ WEIGHT_WORDS = (
 
 # Classes of files that anchors lead to.
 LEGAL_DOCUMENT = r"(?:eula|license|licen[cs]e|terms|agreement|privacy)"
-SHEET_DOCUMENT = r"(?:specimen|technical|glyph|character\s*set|brochure|catalog(?:ue)?|type\s*specimen)"
+SHEET_DOCUMENT = r"(?:technical|glyph|character\s*set|brochure|catalog(?:ue)?)"
 TRIAL_ASSET = r"(?:trial|demo|test|free)"
 PREVIEW_HOST = "firebasestorage.googleapis.com"
 
@@ -335,7 +335,7 @@ SUITE_CASES = [
     ("julytype", "https://www.julytype.com/typefaces/jt-javel", None, False),
     ("khtype", "https://khtype.com/typeface/kh-interference/", None, False),
     ("massdriver", "https://mass-driver.com/typefaces/md-nichrome", None, False),
-    ("monolisa", "https://www.monolisa.dev/specimen?scope=full", None, False),
+    ("monolisa", "https://www.monolisa.dev/", None, False),
     ("thedesignersfoundry", "https://www.thedesignersfoundry.com/typeface/tocapu", None, False),
     ("narrowtype", "https://narrowtype.com/fonts/neolit/", None, False),
     ("nuformtype", "https://nuformtype.com/rotina", None, False),

@@ -22,42 +22,68 @@ from glyphlake.operators.picking import computed, first_by, top_k
 
 C = F.col
 
-# A reference ends in a known suffix and perhaps a query; where it may stand
-# decides which characters cannot be part of it.
-_FONTS = [*fv.CORE_FORMATS]
-_ASSETS = [*fv.CORE_FORMATS, "zip"]
-
-
-def _ending(suffixes: list[str], outside: str, least: str) -> str:
-    """``.suffix`` of any of the formats, the longer names first, and a query
-    of characters that are not ``outside``."""
-    names = "|".join(sorted(suffixes, key=lambda f: (-len(f), f)))
-    return rf"\.(?:{names})(?:\?[^{outside}]{least})?"
-
-
-_QUOTES = "\"'"
-_BARE = r"\s\"'<>"  # ends a reference that stands by itself
-CSS_FONT_URL = rf"(?i)url\(\s*([{_QUOTES}]?)([^{_QUOTES})]+?{_ending(_FONTS, _QUOTES + ')' + chr(92) + 's', '+')})\1\s*\)"
-ATTR_FONT_URL = rf"(?i)\b(?:href|src)=[{_QUOTES}]([^{_QUOTES}]+?{_ending(_FONTS, _QUOTES + chr(92) + 's', '+')})[{_QUOTES}]"
-RAW_FONT_URL = rf"(?i)(?<![A-Za-z0-9._-])(?:https?://|\.{{0,2}}/)[^{_BARE}()]+?{_ending(_FONTS, _BARE + '()', '+')}"
-
-
-def _references(suffixes: list[str], slug: str | None = None) -> list[tuple[str, int]]:
-    """(pattern, group) of all ways in which payloads and pages write a link:
-    absolute by itself; quoted from the root; in JSON text, escaped or not.
-    With ``slug`` links that end in that path and a name count as well."""
-    out = []
-    for tail in (lambda outside: _ending(suffixes, outside, "*"), *([lambda outside: rf"{slug}[a-z0-9-]+(?:\?[^{outside}]*)?"] if slug else [])):
-        out.append((rf"(?i)https?://[^{_BARE}]+?{tail(_BARE)}", 0))
-        out.append((rf"(?i)[{_QUOTES}](/[^{_QUOTES}<>]+?{tail(_QUOTES + '<>')})[{_QUOTES}]", 1))
-        out.append((rf"(?i)\\\"((?:https?:/)?/[^\"\\]+?{tail(chr(34) + chr(92) * 2)})\\\"", 1))
-        out.append((rf"(?i)\"((?:https?:/)?/[^\"]+?{tail(chr(34))})\"", 1))
-    return out
+ARCHIVES = ["zip"]
+
+
+# --- pieces of a text ----------------------------------------------------
+
+
+def words(text: Column) -> Column:
+    """What stands between white space, quotes, angle brackets and parentheses."""
+    return F.split(text, r"[\s\"'<>()]+")
+
+
+def strings(text: Column, quote: str) -> Column:
+    """Array of struct(value, lead, name): what stands between two marks of one
+    kind, what stands before the first of them, and the string before that.
+    Marks that are escaped, as in JSON within a script, count as well."""
+
+    def between(pieces: Column) -> Column:
+        inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+        return F.transform(
+            inner,
+            lambda piece, i: F.struct(
+                F.rtrim(piece, F.lit("\\")).alias("value"),
+                F.get(pieces, i).alias("lead"),
+                F.rtrim(F.get(pieces, i - 1), F.lit("\\")).alias("name"),
+            ),
+        )
+
+    return let(F.split(text, quote), between)
+
+
+def values(text: Column) -> Column:
+    """All strings of a text in marks of either kind, without markup in them."""
+    both = F.concat(strings(text, '"'), strings(text, "'"))
+    return F.filter(F.transform(both, lambda s: s["value"]), lambda v: ~v.rlike("[<>]"))
+
+
+def suffix_of(ref: Column) -> Column:
+    """The lower-case file extension of a reference, its query aside."""
+    return F.lower(F.element_at(F.split(F.substring_index(ref, "?", 1), "[.]"), -1))
+
 
+def up_to_end(word: Column, end: str) -> Column:
+    """A bare word up to the first ``end`` in its path, with the query behind
+    that; null if there is none.  What follows, such as a comma, is no part."""
+    path = F.substring_index(word, "?", 1)
+    head = F.regexp_extract(path, f"(?i)^.+?(?:{end})", 0)
+    return F.when(head == path, word).when(head != "", head)
 
-# a bare value of a "url" field needs no slash in front
-PAYLOAD_URLS = [*_references(_ASSETS), (rf"(?i)\"url\"\s*:\s*\"([^\"]+?{_ending(_ASSETS, chr(34), '*')})\"", 1)]
-DOCUMENT_LINKS = _references(["pdf"], slug="/pdfs/")
+
+def any_of(suffixes: list[str]) -> str:
+    return "[.](?:" + "|".join(sorted(suffixes, reverse=True)) + ")"
+
+
+def addresses(text: Column, end: str) -> Column:
+    """Absolute addresses that stand by themselves, up to ``end``."""
+    starts = F.flatten(F.transform(words(text), lambda w: F.split(w, "(?i)(?=https?://)")))
+    found = F.filter(starts, lambda w: w.rlike("(?i)^https?://"))
+    return F.array_compact(F.transform(found, lambda w: up_to_end(w, end)))
+
+
+def rooted(ref: Column) -> Column:
+    return ref.rlike("(?i)^(?:https?:/)?/")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -131,13 +157,36 @@ def union_documents(pages: DataFrame, fetched: DataFrame | None = None, keep: tu
 # --- asset URLs ----------------------------------------------------------
 
 
+def css_references(css: Column) -> Column:
+    """What stands in each url(...), without its quotes."""
+    inside = F.transform(all_matches(css, r"(?i)url\(([^)]*)\)", 1), trim_all)
+    bare = F.transform(inside, lambda r: F.when(r.rlike("^(\"[^\"]*\"|'[^']*')$"), r.substr(F.lit(2), F.length(r) - 2)).otherwise(r))
+    return F.filter(bare, lambda r: ~r.rlike("[\"']"))
+
+
+def css_font_references(css: Column) -> Column:
+    return F.filter(css_references(css), lambda r: suffix_of(r).isin(fv.CORE_FORMATS))
+
+
+def attribute_references(text: Column) -> Column:
+    """Values of href and src."""
+    both = F.concat(strings(text, '"'), strings(text, "'"))
+    return F.transform(F.filter(both, lambda s: s["lead"].rlike(r"(?i)\b(?:href|src)=$")), lambda s: s["value"])
+
+
+def bare_references(text: Column) -> Column:
+    """Font addresses in running text: absolute, from the root, or from here;
+    they begin where no name goes on."""
+    fonts = F.filter(words(text), lambda w: w.rlike("(?i)[.](?:woff|otf|ttf)"))
+    begun = F.transform(fonts, lambda w: F.regexp_extract(w, r"(?i)(?:^|[^\w.-])((?:https?:/|[.]{0,2})/.+)", 1))
+    return F.array_compact(F.transform(begun, lambda w: up_to_end(w, any_of(fv.CORE_FORMATS))))
+
+
 def font_url_refs(text: Column) -> Column:
-    """Raw font references of a text: css url(), attributes, then bare URLs."""
-    refs = F.concat(
-        all_matches(text, CSS_FONT_URL, 2), all_matches(text, ATTR_FONT_URL, 1), all_matches(text, RAW_FONT_URL, 0)
-    )
+    """Raw font references of a text: css url(), attributes, then bare ones."""
+    refs = F.concat(css_font_references(text), attribute_references(text), bare_references(text))
     return F.array_distinct(
-        F.filter(F.transform(refs, lambda r: trim_all(F.regexp_replace(r, r"\\/", "/"))), lambda r: r.rlike("(?i)" + fv.FONT_URL))
+        F.filter(F.transform(refs, lambda r: trim_all(F.replace(r, F.lit("\\/"), F.lit("/")))), lambda r: r.rlike("(?i)" + fv.FONT_URL))
     )
 
 
@@ -147,8 +196,12 @@ def font_urls(text: Column, base: Column) -> Column:
 
 
 def payload_urls(text: Column, base: Column) -> Column:
-    """Second dialect: archives and escaped JSON strings count too."""
-    refs = F.concat(*[all_matches(text, p, g) for p, g in PAYLOAD_URLS])
+    """Second dialect: archives and strings of data count too; the value of a
+    "url" field needs no slash in front."""
+    wanted = [*fv.CORE_FORMATS, *ARCHIVES]
+    fields = F.filter(strings(text, '"'), lambda s: (F.lower(s["name"]) == "url") & s["lead"].rlike(r"^\s*:\s*$"))
+    data = F.concat(F.filter(values(text), rooted), F.transform(fields, lambda s: s["value"]))
+    refs = F.concat(addresses(text, any_of(wanted)), F.filter(data, lambda r: suffix_of(r).isin(wanted)))
     return F.array_distinct(
         F.array_compact(F.transform(F.array_distinct(refs), lambda r: urls.resolve_url(r, base)))
     )
@@ -165,7 +218,8 @@ def css_urls(text: Column, base: Column) -> Column:
 
 def document_links(text: Column, base: Column) -> Column:
     """PDF and ``/pdfs/<slug>`` links, quoted, bare or escaped."""
-    refs = F.concat(*[all_matches(text, p, g) for p, g in DOCUMENT_LINKS])
+    sheet = f"{any_of(['pdf'])}|/pdfs/[a-z0-9-]+"
+    refs = F.concat(addresses(text, sheet), F.filter(values(text), lambda r: rooted(r) & r.rlike(f"(?i)(?:{sheet})(?:[?]|$)")))
     cleaned = F.array_distinct(
         F.transform(refs, lambda r: decode_html_entities(F.regexp_replace(trim_all(r), r"\\/", "/")))
     )

@@ -17,7 +17,7 @@ from glyphlake.functions.text import (
     normalize_token,
     strip_quotes,
 )
-from glyphlake.operators.documents import CSS_FONT_URL, all_matches, font_urls
+from glyphlake.operators.documents import all_matches, css_font_references, font_urls
 from glyphlake.operators.picking import computed, first_by
 from glyphlake.session import cut_lineage
 
@@ -40,7 +40,7 @@ def declaration(block: Column, name: str) -> Column:
 
 def face_sources(block: Column, base: Column, preload: Column) -> Column:
     """Array of struct(url, format, preload, variable, i) of a face block."""
-    resolved = F.transform(all_matches(block, CSS_FONT_URL, 2), lambda r: urls.resolve_url(r, base))
+    resolved = F.transform(css_font_references(block), lambda r: urls.resolve_url(r, base))
     return F.transform(
         F.array_compact(resolved),
         lambda u, i: F.struct(
