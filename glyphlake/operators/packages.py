@@ -262,60 +262,102 @@ def dedupe_labels(labels: DataFrame) -> DataFrame:
     return dedupe_first(keyed, ["package", "token"])
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = 100_000) -> DataFrame:
-    """Add ``name``: 1, 2, ... per key by a whole-number order column.
+#: rows of a key from which on it is numbered in ranges instead of one window
+ROWS_IN_A_WINDOW = 500_000
 
-    A key may hold a large share of the rows, so rows are numbered inside
-    chunks of the order column and the chunk counts, few per key, are summed
-    up ahead of them.  Chunks are as wide as to hold about ``chunk`` rows of
-    the table, however sparse the order column is.
-    """
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * chunk // max(rows, 1))
-    chunked = df.withColumn("_chunk", F.floor((C(order) - F.lit(low or 0)) / F.lit(width)))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    return (
-        chunked.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(name, C("_inside") + C("_offset"))
-        .drop("_chunk", "_inside", "_offset")
-    )
+
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """Equal in all keys, where nulls are equal to each other."""
+    return reduce(lambda a, b: a & b, (C(f"{left}.{k}").eqNullSafe(C(f"{right}.{k}")) for k in keys))
+
+
+def _kept(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    return rows.alias("_l").join(other.alias("_r"), _same("_l", "_r", keys), how)
 
 
-def unique_names(rows: DataFrame, group: str, name: str, order: str, first: int = 1) -> DataFrame:
+def number_ranges(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... per key by the order column, nulls first.
+
+    Rows are sorted by range, whatever a key's share of them is, counted range
+    by range, and numbered on from the ranges before.  Equal order values are
+    spread over ranges as well.  The sorted rows are written out, so that the
+    counts and the numbers are of one and the same order.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, C(order).asc_nulls_first(), C("_spread")]
+    ranges = df.withColumn("_spread", F.rand(3)).repartitionByRange(width, *by).sortWithinPartitions(*by).drop("_spread")
+    at = cut_lineage(ranges.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = at.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    starts = counts.select(*keys, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - C("_first") + 1).alias("_shift"))
+    numbered = _kept(at, starts, [*keys, "_range"], "inner")
+    return numbered.select(*(C(f"_l.{c}") for c in df.columns), (C("_at") + C("_shift")).alias(name))
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str, most: int = ROWS_IN_A_WINDOW) -> DataFrame:
+    """Add ``name``: 1, 2, ... per key by the order column, nulls first; null
+    keys are keys.  Keys of more than ``most`` rows are numbered in ranges."""
+    window = F.row_number().over(Window.partitionBy(*keys).orderBy(C(order).asc_nulls_first()))
+    large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(C("_n") > most).select(*keys))
+    if large.isEmpty():
+        return df.withColumn(name, window.cast("long"))
+    small = _kept(df, large, keys, "left_anti").withColumn(name, window.cast("long"))
+    return small.unionByName(number_ranges(_kept(df, large, keys, "left_semi"), keys, order, name))
+
+
+def _free_numbers(places: DataFrame, gaps: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``places`` with ``_shift``, the shift of the last gap whose ``_from`` is
+    not above their ``_j``; both sides are merged in one order.
+
+    A key's line is cut into stretches of ``most`` numbers; the largest shift
+    before a stretch, one row per stretch, is carried into it.
+    """
+    stretch = F.floor(C("_at") / most)
+    both = places.withColumns({"_at": C("_j"), "_gap": F.lit(None).cast("long"), "_is_row": F.lit(True)}).unionByName(
+        gaps.select(*keys, C("_from").alias("_at"), C("_shift").alias("_gap"), F.lit(False).alias("_is_row")), allowMissingColumns=True
+    ).withColumn("_stretch", stretch)
+    inside = Window.partitionBy(*keys, "_stretch").orderBy("_at", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "_stretch").agg(F.max("_gap").alias("_most")).select(*keys, "_stretch", F.max("_most").over(before).alias("_carried"))
+    merged = _kept(both.withColumn("_here", F.max("_gap").over(inside)).filter("_is_row"), carried, [*keys, "_stretch"], "inner")
+    return merged.select(*(C(f"_l.{c}") for c in places.columns), F.coalesce("_here", "_carried", F.lit(0)).alias("_shift"))
+
+
+def unique_names(rows: DataFrame, group: str, name: str, order: str, first: int = 1, most: int = ROWS_IN_A_WINDOW) -> DataFrame:
     """Add ``unique_name``: the second row of a name gets ``-first`` before the
     extension, the next one the next number, stepping over numbers that names
     of the group already use.
 
-    Only names that repeat are numbered; all others pass through.
+    Every row is kept.  Rows without a group are a group; rows without an
+    order value come first; a null name stays null, however often.
+
+    The numbers in use, sorted, leave gaps; the k-th free number is k and the
+    count of used ones below it.  That count is constant from one used number
+    to the next, so it is taken from merging the two sorted lists.
     """
+    keys = [group, name]
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     ext = F.regexp_extract(name, r".(\.[^.]*)$", 1)
-    taken = (
-        rows.select(
+    placed = number_rows(rows, keys, order, "_place", most).withColumn("_j", C("_place") - 1)
+    used = (
+        rows.filter(F.coalesce(stem.rlike(r"-\d+$"), F.lit(False)))
+        .select(
             group,
             F.concat(F.regexp_extract(stem, r"^(.*)-(\d+)$", 1), ext).alias(name),
             F.regexp_extract(stem, r"^(.*)-(\d+)$", 2).try_cast("long").alias("_number"),
         )
         .filter(C("_number") >= first)
-        .groupBy(group, name)
-        .agg(F.array_sort(F.collect_set("_number")).alias("_taken"))
-    )
-    repeated = rows.groupBy(group, name).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(group, name)
-    again = number_rows(rows.join(repeated, [group, name]), [group, name], order, "_place").join(taken, [group, name], "left")
-    free = F.aggregate(
-        F.coalesce("_taken", F.array().cast("array<long>")),
-        C("_place") - 2 + first,
-        lambda k, t: F.when(t <= k, k + 1).otherwise(k),
+        .distinct()
     )
-    renamed = F.concat(stem, F.lit("-"), free, ext)
-    numbered = again.withColumn("unique_name", F.when(C("_place") == 1, C(name)).otherwise(renamed)).drop("_taken", "_place")
-    single = rows.join(repeated, [group, name], "left_anti").withColumn("unique_name", C(name))
-    return numbered.unionByName(single)
+    used = cut_lineage(used)
+    if used.isEmpty():
+        shifted = placed.withColumn("_shift", F.lit(0).cast("long"))
+    else:
+        ranked = number_rows(used, keys, "_number", "_rank", most).withColumn("_below", C("_number") - (first - 1) - C("_rank"))
+        gaps = cut_lineage(ranked.groupBy(*keys, "_below").agg(F.max("_rank").alias("_shift")).withColumn("_from", C("_below") + 1))
+        touched = gaps.select(*keys).distinct()
+        shifted = _free_numbers(_kept(placed, touched, keys, "left_semi"), gaps, keys, most).unionByName(
+            _kept(placed, touched, keys, "left_anti").withColumn("_shift", F.lit(0).cast("long"))
+        )
+    renamed = F.concat(stem, F.lit("-"), C("_j") + (first - 1) + C("_shift"), ext)
+    return shifted.withColumn("unique_name", F.when(C("_j") == 0, C(name)).otherwise(renamed)).drop("_place", "_j", "_shift")

@@ -163,9 +163,9 @@ def test_unique_names_step_over_taken_numbers(spark):
         "a.ttf", "a-2.ttf", "a-1.ttf", "a-3.ttf", "b.ttf"]
 
 
-def test_numbering_in_chunks_is_plain_numbering(spark):
+def test_numbering_in_ranges_is_plain_numbering(spark):
     df = spark.range(50).select((C("id") % 3).alias("k"), (C("id") * 7).alias("pos"))
-    got = packages.number_rows(df, ["k"], "pos", "n", chunk=20)
+    got = packages.number_rows(df, ["k"], "pos", "n", most=10)
     assert all(n == i + 1 for k in range(3) for i, (n,) in enumerate(rows(got.filter(C("k") == k).orderBy("pos").select("n"))))
 
 
@@ -236,6 +236,44 @@ def test_names_stay_unique_beyond_any_number_of_digits(spark):
     assert sorted(r.unique_name for r in packages.unique_names(second, "g", "name", "n", first=2).collect()) == ["n-2.pdf", "n-3.pdf", "n.pdf"]
 
 
+def named_in_order(data, first):
+    """Unique names of (group, name, order), one after another."""
+    used = {(g, n) for g, n, _ in data}
+    seen, out = {}, []
+    for g, n, _ in sorted(data, key=lambda r: (r[2] is not None, r[2] or 0)):
+        if n is None or (g, n) not in seen:
+            seen[g, n] = first
+            out.append((g, n))
+            continue
+        stem, dot, ext = n.rpartition(".") if "." in n[1:] else (n, "", "")
+        while (g, f"{stem}-{seen[g, n]}{dot}{ext}") in used:
+            seen[g, n] += 1
+        out.append((g, f"{stem}-{seen[g, n]}{dot}{ext}"))
+        seen[g, n] += 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("first,most", [(1, 1_000), (2, 1_000), (1, 7)])
+def test_unique_names_keep_every_row_and_match_naming_one_by_one(spark, first, most):
+    import random
+
+    pick = random.Random(first + most)
+    data = [(pick.choice(["g", "h", None]), pick.choice(["a.ttf", "b.ttf", "c", None]), i) for i in range(400)]
+    data += [("g", f"a-{n}.ttf", 1000 + n) for n in [1, 2, 3, 5, 7, 8, 20, 21, 60, 10**12] + list(range(70, 130, 2))]
+    data += [(None, "b-4.ttf", 1), (None, "b-4.ttf", 2), ("h", "c-1", 0), ("h", "c-0", 9)]
+    data = [(g, n, None if i == 0 else i) for g, n, i in data]
+    df = spark.createDataFrame(data, "g string, name string, pos long").repartition(3)
+    got = packages.unique_names(df, "g", "name", "pos", first=first, most=most)
+    assert got.columns == ["g", "name", "pos", "unique_name"] and got.count() == len(data)
+    assert sorted(((r.g, r.unique_name) for r in got.collect()), key=repr) == named_in_order(data, first)
+
+
+def test_six_rows_without_an_order_are_six_names(spark):
+    df = spark.createDataFrame([("g", "a.ttf", None)] * 4 + [(None, "a.ttf", 1)] * 2, "g string, name string, pos long")
+    got = packages.unique_names(df, "g", "name", "pos").select("g", "unique_name").distinct().collect()
+    assert len(got) == 6
+
+
 def test_a_crawl_without_a_cap_reaches_every_page(spark):
     links = spark.range(300).select(F.lit("hub").alias("url"), F.concat(F.lit("p"), C("id")).alias("link"), C("id").cast("int").alias("pos"))
     seeds = spark.createDataFrame([("hub", 0)], "url string, pos int")
