@@ -24,18 +24,18 @@ def laid_out(links: DataFrame, hub_links: int = HUB_LINKS) -> tuple[DataFrame, D
     """The links (url, link, pos, part), partitioned by page and part, once;
     joins by page and part leave them where they are.  A page with more than
     ``hub_links`` links has several parts: (url, parts), or None without hubs."""
-    edges = links.select("url", "link", "pos")
+    # written first, so that the links are extracted once
+    edges = cut_lineage(links.select("url", "link", "pos"))
     counts = edges.groupBy("url").agg(F.count("*").alias("_n")).filter(C("_n") > hub_links)
-    hubs = cut_lineage(counts.select("url", F.ceil(C("_n") / hub_links).cast("int").alias("parts")))
-    many = hubs.count()
-    if many:
-        known = F.broadcast(hubs) if many <= FEW_HUBS else hubs
+    hubs = None if counts.isEmpty() else cut_lineage(counts.select("url", F.ceil(C("_n") / hub_links).cast("int").alias("parts")))
+    if hubs is None:
+        edges = edges.withColumn("part", F.lit(0))
+    else:
+        known = F.broadcast(hubs) if hubs.count() <= FEW_HUBS else hubs
         part = F.pmod(F.xxhash64("link"), F.coalesce("parts", F.lit(1))).cast("int")
         edges = edges.join(known, "url", "left").select("url", "link", "pos", part.alias("part"))
-    else:
-        edges = edges.withColumn("part", F.lit(0))
     width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(edges.repartition(width, "url", "part")), hubs if many else None
+    return cut_lineage(edges.repartition(width, "url", "part")), hubs
 
 
 def linked_from(pages: DataFrame, edges: DataFrame, hubs: DataFrame | None) -> DataFrame:

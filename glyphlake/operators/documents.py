@@ -60,7 +60,7 @@ def values(text: Column) -> Column:
 
 def suffix_of(ref: Column) -> Column:
     """The lower-case file extension of a reference, its query aside."""
-    return F.lower(F.element_at(F.split(F.substring_index(ref, "?", 1), "[.]"), -1))
+    return F.lower(F.substring_index(F.substring_index(ref, "?", 1), ".", -1))
 
 
 def up_to_end(word: Column, end: str) -> Column:
@@ -159,9 +159,7 @@ def union_documents(pages: DataFrame, fetched: DataFrame | None = None, keep: tu
 
 def css_references(css: Column) -> Column:
     """What stands in each url(...), without its quotes."""
-    inside = F.transform(all_matches(css, r"(?i)url\(([^)]*)\)", 1), trim_all)
-    bare = F.transform(inside, lambda r: F.when(r.rlike("^(\"[^\"]*\"|'[^']*')$"), r.substr(F.lit(2), F.length(r) - 2)).otherwise(r))
-    return F.filter(bare, lambda r: ~r.rlike("[\"']"))
+    return all_matches(css, r"(?i)url\(\s*([\"']?)([^\"')]+)\1\s*\)", 2)
 
 
 def css_font_references(css: Column) -> Column:
