@@ -101,45 +101,50 @@ def all_matches(text: Column, pattern: str, group: int) -> Column:
 SCRIPTS_AFTER, FETCHED_AFTER = 1 << 32, 1 << 33
 
 
+def inline_documents(html: Column, url: Column) -> Column:
+    """Array of struct(url, kind, text, pos): style sheets, JSON and font
+    scripts in a page, none of them empty."""
+    sheets = F.transform(
+        all_matches(html, r"(?is)<style\b[^>]*>(.*?)</style>", 1),
+        lambda t, i: F.struct(url.alias("url"), F.lit("css").alias("kind"), trim_all(t).alias("text"), i.cast("long").alias("pos")),
+    )
+
+    def read(tag: Column, i: Column) -> Column:
+        head = F.regexp_extract(tag, r"(?is)^(<script\b[^>]*>)", 1)
+        parts = F.struct(
+            attribute(head, "id").alias("id"), F.lower(attribute(head, "type")).alias("type"), head.rlike(r"(?i)\bsrc\s*=").alias("elsewhere"),
+            trim_all(F.regexp_extract(tag, r"(?is)^<script\b[^>]*>(.*)</script>$", 1)).alias("text"),
+        )
+
+        def kept(s: Column) -> Column:
+            is_json = F.contains(s["type"], F.lit("json")) | (s["id"] == "__NEXT_DATA__")
+            name = F.when(is_json, F.coalesce(blank_to_null(s["id"]), F.lit("inline-json"))).otherwise("inline-script")
+            kind = F.when(is_json, "inline-json").when(s["text"].rlike(fv.FONT_HINT), "inline-script")
+            found = F.struct(F.concat(url, F.lit("#"), name).alias("url"), kind.alias("kind"), s["text"].alias("text"), (i + F.lit(SCRIPTS_AFTER)).alias("pos"))
+            return F.when(~s["elsewhere"] & kind.isNotNull(), found)
+
+        return let(parts, kept)
+
+    scripts = F.transform(all_matches(html, r"(?is)<script\b[^>]*>.*?</script>", 0), read)
+    return F.filter(F.concat(sheets, F.array_compact(scripts)), lambda d: d["text"] != "")
+
+
 def extract_inline_docs(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, url, kind, text, pos): style sheets, JSON and font scripts in a
     page; ``keep`` names columns of the page that its documents carry on."""
-    html = C("html")
-    styles = pages.select(
-        "page_id",
-        "url",
-        *keep,
-        F.posexplode(all_matches(html, r"(?is)<style\b[^>]*>(.*?)</style>", 1)).alias("pos", "text"),
-    ).select("page_id", "url", *keep, F.lit("css").alias("kind"), trim_all(C("text")).alias("text"), "pos")
-    scripts = pages.select(
-        "page_id",
-        "url",
-        *keep,
-        F.posexplode(all_matches(html, r"(?is)<script\b[^>]*>.*?</script>", 0)).alias("pos", "tag"),
-    ).select(
-        "page_id",
-        "url",
-        *keep,
-        F.regexp_extract("tag", r"(?is)^(<script\b[^>]*>)", 1).alias("head"),
-        trim_all(F.regexp_extract("tag", r"(?is)^<script\b[^>]*>(.*)</script>$", 1)).alias("text"),
-        (C("pos") + SCRIPTS_AFTER).alias("pos"),
-    )
-    inline = scripts.filter(~C("head").rlike(r"(?i)\bsrc\s*=")).withColumn("id", attribute(C("head"), "id"))
-    is_json = F.contains(F.lower(attribute(C("head"), "type")), F.lit("json")) | (C("id") == "__NEXT_DATA__")
-    is_script = C("text").rlike(fv.FONT_HINT)
-    named = inline.select(
-        *keep,
-        "page_id",
-        F.concat(
-            "url",
-            F.lit("#"),
-            F.when(is_json, F.coalesce(blank_to_null(C("id")), F.lit("inline-json"))).otherwise("inline-script"),
-        ).alias("url"),
-        F.when(is_json, "inline-json").when(is_script, "inline-script").alias("kind"),
-        "text",
-        "pos",
+    inside = F.inline(inline_documents(C("html"), C("url")))
+    named = pages.select("page_id", *keep, "url", "html").select("page_id", *keep, inside)
+    return named.select("page_id", "url", *keep, "kind", "text", "pos")
+
+
+def page_documents(html: Column, url: Column) -> Column:
+    """The page itself and what is inline in it, as an array in the order of
+    ``union_documents``: struct(url, kind, text, doc_pos)."""
+    own = F.struct(url.alias("url"), F.lit("html").alias("kind"), html.alias("text"), F.lit(-1).cast("long").alias("doc_pos"))
+    inside = F.transform(
+        inline_documents(html, url), lambda d: F.struct(d["url"].alias("url"), d["kind"].alias("kind"), d["text"].alias("text"), d["pos"].alias("doc_pos"))
     )
-    return styles.unionByName(named.filter(C("kind").isNotNull())).filter("text <> ''")
+    return F.concat(F.array(own), inside)
 
 
 def union_documents(pages: DataFrame, fetched: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -67,33 +67,41 @@ def pick_face_source(sources: Column, variable_face: Column) -> Column:
     return F.array_min(keyed)["source"].dropFields("i")
 
 
+def read_block(block: Column, doc_url: Column, preload: Column) -> Column:
+    """What a face block declares, as a struct; NULL without a family or a source."""
+    declared = F.struct(
+        strip_quotes(declaration(block, "font-family")).alias("css_family"),
+        F.coalesce(blank_to_null(declaration(block, "font-weight")), F.lit("400")).alias("raw_weight"),
+        F.coalesce(blank_to_null(declaration(block, "font-style")), F.lit("normal")).alias("raw_style"),
+        F.contains(block, F.lit("U+0000-00FF")).alias("core_range"),
+        face_sources(block, doc_url, preload).alias("sources"),
+    )
+
+    def with_variable(r: Column) -> Column:
+        variable = (
+            F.contains(normalize_token(r["css_family"]), F.lit("variable"))
+            | r["raw_weight"].rlike(styles.RANGE)
+            | F.forall(r["sources"], lambda s: s["variable"])
+        )
+        return F.when((r["css_family"] != "") & (F.size(r["sources"]) > 0), F.struct(r.alias("r"), variable.alias("variable")))
+
+    def with_source(x: Column) -> Column:
+        r = x["r"]
+        kept = [r[c].alias(c) for c in ("css_family", "raw_weight", "raw_style", "core_range")]
+        source = pick_face_source(r["sources"], x["variable"])
+        return F.when(x.isNotNull(), F.struct(*kept, x["variable"].alias("variable_face"), source.alias("source")))
+
+    return let(let(declared, with_variable), with_source)
+
+
 def raw_faces(docs: DataFrame) -> DataFrame:
     """Face blocks with a family and a source.  ``docs``: page, url, text,
     doc_pos and preload (array of the page's own font URLs)."""
     blocks = docs.select(
-        "page",
-        "url",
-        "doc_pos",
-        "preload",
-        F.posexplode(all_matches(C("text"), FACE_BLOCK, 1)).alias("pos", "block"),
-    )
-    block = C("block")
-    read = computed(
-        blocks.withColumnRenamed("url", "doc_url"),
-        css_family=strip_quotes(declaration(block, "font-family")),
-        raw_weight=F.coalesce(blank_to_null(declaration(block, "font-weight")), F.lit("400")),
-        raw_style=F.coalesce(blank_to_null(declaration(block, "font-style")), F.lit("normal")),
-        core_range=F.contains(block, F.lit("U+0000-00FF")),
-        sources=face_sources(block, C("doc_url"), C("preload")),
-    ).drop("block", "preload").filter((C("css_family") != "") & (F.size("sources") > 0))
-    variable = (
-        F.contains(normalize_token(C("css_family")), F.lit("variable"))
-        | C("raw_weight").rlike(styles.RANGE)
-        | F.forall("sources", lambda s: s["variable"])
-    )
-    return read.withColumn("variable_face", variable).withColumn(
-        "source", pick_face_source(C("sources"), C("variable_face"))
+        "page", C("url").alias("doc_url"), "doc_pos", "preload", F.posexplode(all_matches(C("text"), FACE_BLOCK, 1)).alias("pos", "block"),
     )
+    read = computed(blocks, read=read_block(C("block"), C("doc_url"), C("preload"))).filter(C("read").isNotNull())
+    return read.select("page", "doc_url", "doc_pos", "pos", "read.*")
 
 
 def _face_struct(family: Column, label: Column, weight: Column, style: Column) -> Column:
@@ -112,15 +120,15 @@ def url_label(url: Column) -> Column:
     )
 
 
-def extract_faces(docs: DataFrame) -> DataFrame:
-    """(page, doc_url, doc_pos, pos, family, label, weight, style, discovery, source)."""
-    faces = raw_faces(docs)
-    weight = C("raw_weight")
+def declared_face(raw: Column) -> Column:
+    """Family, label, weight and style of a block that ``read_block`` has read,
+    corrected by what its family and file names say."""
+    weight = raw["raw_weight"]
     declared = _face_struct(
-        C("css_family"),
-        styles.css_style_label(weight, C("raw_style"), C("variable_face")),
+        raw["css_family"],
+        styles.css_style_label(weight, raw["raw_style"], raw["variable_face"]),
         F.coalesce(styles.number_text(F.nullif(styles.weight_value(weight), F.lit(0.0))), weight),
-        F.when(styles.is_italic_css(C("raw_style")), "Italic").otherwise("Normal"),
+        F.when(styles.is_italic_css(raw["raw_style"]), "Italic").otherwise("Normal"),
     )
 
     def by_family_name(x: Column) -> Column:
@@ -139,17 +147,22 @@ def extract_faces(docs: DataFrame) -> DataFrame:
         )
         return F.when(hint.isNotNull() & same & (_score(hint) >= _score(face)), hint).otherwise(face)
 
-    human = styles.humanize_label(C("css_family"))
+    human = styles.humanize_label(raw["css_family"])
     first = let(F.struct(declared.alias("face"), styles.style_suffix(human).alias("hint")), by_family_name)
-    second = let(
+    return let(
         F.struct(
             first.alias("face"),
-            styles.style_suffix(url_label(C("source.url"))).alias("hint"),
+            styles.style_suffix(url_label(raw["source"]["url"])).alias("hint"),
             normalize_token(human).alias("css_token"),
         ),
         by_file_name,
     )
-    return computed(faces, face=second).select(
+
+
+def extract_faces(docs: DataFrame) -> DataFrame:
+    """(page, doc_url, doc_pos, pos, family, label, weight, style, discovery, source)."""
+    raw = F.struct("css_family", "raw_weight", "raw_style", "variable_face", "source")
+    return computed(raw_faces(docs), face=declared_face(raw)).select(
         "page",
         "doc_url",
         "doc_pos",
@@ -218,30 +231,81 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, (gone / F.length(needle)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def family_usage(faces: DataFrame, docs: DataFrame) -> DataFrame:
-    """(page, family, usage): mentions of each family in its page's documents.
+def mentions(texts: Column, families: Column) -> Column:
+    """Array of struct(family, usage): how often the texts, already in lower
+    case, name each family; by its token where its spelling is never found."""
+
+    def total(needle: Column) -> Column:
+        return F.aggregate(texts, F.lit(0).cast("long"), lambda n, text: n + occurrences(text, needle))
+
+    def used(family: Column) -> Column:
+        names = F.struct(F.lower(family).alias("name"), normalize_token(family).alias("token"))
+        by_token = lambda x: F.when(F.length(x["token"]) >= 3, total(x["token"])).otherwise(F.lit(0).cast("long"))
+        return let(names, lambda x: let(total(x["name"]), lambda n: F.when(n > 0, n).otherwise(by_token(x))))
+
+    return F.transform(families, lambda f: F.struct(f.alias("family"), used(f).alias("usage")))
+
+
+def in_page_rows(pages: DataFrame) -> DataFrame:
+    """All faces of a page and all mentions of their families, in the page's
+    row: ``page``, ``faces`` (array) and ``usage`` (array of family, usage).
 
-    The small list of a page's families travels to the documents, so that no
-    text is copied per face; counts are summed per page afterwards.
+    ``pages``: page, preload (the font URLs of the page itself), and
+    ``documents``, an array of struct(url, kind, text, doc_pos), where the page
+    itself has place -1.  Texts are read where they lie; nothing of them moves.
+    Families count as declared or inferred, and as they are ``shown``.
     """
+
+    def face(told: Column, doc: Column, pos: Column, family: Column, source: Column, discovery: str, core_range: Column) -> Column:
+        return F.struct(
+            doc["url"].alias("doc_url"), doc["doc_pos"].alias("doc_pos"), pos.cast("long").alias("pos"),
+            family.alias("family"), told["label"].alias("label"), told["weight"].alias("weight"), told["style"].alias("style"),
+            F.lit(discovery).alias("discovery"), source.alias("source"), core_range.alias("core_range"),
+        )
+
+    def declared(doc: Column) -> Column:
+        def read(block: Column, i: Column) -> Column:
+            def named(raw: Column) -> Column:
+                told = lambda t: face(t, doc, i, styles.family_alias(t["family"], t["label"]), raw["source"], "font-face", raw["core_range"])
+                return F.when(raw.isNotNull(), let(declared_face(raw), told))
+
+            return let(read_block(block, doc["url"], C("preload")), named)
+
+        return F.array_compact(F.transform(all_matches(doc["text"], FACE_BLOCK, 1), read))
+
+    def inferred(doc: Column) -> Column:
+        def read(url: Column, i: Column) -> Column:
+            told = lambda t: F.when(t.isNotNull(), face(t, doc, i + F.lit(1 << 32), t["family"], t["source"], "inferred-url", F.lit(False)))
+            return let(infer_face(url, C("preload")), told)
+
+        own = F.when(doc["doc_pos"] == -1, C("preload")).otherwise(font_urls(doc["text"], doc["url"]))
+        return F.array_compact(F.transform(own, read))
+
+    faces = F.flatten(F.transform("documents", lambda d: F.concat(declared(d), inferred(d))))
+    shown = F.transform(faces, lambda f: f.withField("shown", styles.display_label(f["family"], f["label"], f["source"]["url"])))
+    families = F.array_distinct(F.flatten(F.transform("faces", lambda f: F.array(f["family"], f["shown"]))))
+    texts = F.transform("documents", lambda d: F.lower(d["text"]))
+    found = computed(computed(pages, faces=shown), families=families, texts=texts)
+    return found.select("page", "faces", mentions(C("texts"), C("families")).alias("usage"))
+
+
+def page_faces(rows: DataFrame) -> DataFrame:
+    """The faces of ``in_page_rows``; of inferred ones the first per URL."""
+    faces = rows.select("page", F.inline("faces"))
+    by_file = first_by(faces.filter("discovery = 'inferred-url'"), ["page", C("source.url")], document_order())
+    return faces.filter("discovery <> 'inferred-url'").unionByName(by_file)
+
+
+def page_usage(rows: DataFrame) -> DataFrame:
+    return rows.select("page", F.inline("usage"))
+
+
+def family_usage(faces: DataFrame, docs: DataFrame) -> DataFrame:
+    """(page, family, usage) for documents that are a page each: the families
+    of a page travel to it as one short list."""
     lists = faces.groupBy("page").agg(F.collect_set("family").alias("families"))
-    counted = docs.select("page", F.lower("text").alias("text")).join(lists, "page").select(
-        "page",
-        F.inline(
-            F.transform(
-                "families",
-                lambda f: F.struct(
-                    f.alias("family"),
-                    occurrences(C("text"), F.lower(f)).alias("direct"),
-                    F.when(
-                        F.length(normalize_token(f)) >= 3, occurrences(C("text"), normalize_token(f))
-                    ).otherwise(F.lit(0).cast("long")).alias("by_token"),
-                ),
-            )
-        ),
-    )
-    total = counted.groupBy("page", "family").agg(F.sum("direct").alias("direct"), F.sum("by_token").alias("by_token"))
-    return total.select("page", "family", F.when(C("direct") > 0, C("direct")).otherwise(C("by_token")).alias("usage"))
+    named = docs.select("page", F.array(F.lower("text")).alias("texts")).join(lists, "page")
+    return named.select("page", F.inline(mentions(C("texts"), C("families"))))
 
 
 def document_order() -> list[Column]:
@@ -262,10 +326,6 @@ def dedupe_faces(faces: DataFrame) -> DataFrame:
     return first_by(faces, ["page", "family", "label", C("source.url")], document_order())
 
 
-def with_display_family(faces: DataFrame) -> DataFrame:
-    return faces.withColumn("family", styles.display_label(C("family"), C("label"), C("source.url")))
-
-
 def pick_style_source(faces: DataFrame) -> DataFrame:
     """Best file per (page, family, label, style)."""
     order = [
@@ -329,24 +389,21 @@ def family_rank(faces: DataFrame, usage: DataFrame, tokens: DataFrame) -> DataFr
     ).select("page", "family", "faces", "declared", "inferred", "usage", "preload", "boost", "score", "selected")
 
 
-def scan_pages(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The whole passive scan: declared and inferred faces of every page,
-    cleaned, one file per style, families selected.
-
-    Faces feed several later steps and are tiny next to the texts they come
-    from, so they are written out twice rather than extracted again each time.
-    """
-    both = cut_lineage(extract_faces(docs).unionByName(inferred_faces(docs)))
-    usage = family_usage(both, docs)
-    named = dedupe_faces(with_display_family(dedupe_faces(collapse_aliases(both, usage))))
+def scan_pages(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The whole passive scan of ``in_page_rows``: declared and inferred faces
+    of every page, cleaned, one file per style, families selected."""
+    usage = page_usage(rows)
+    shown = dedupe_faces(collapse_aliases(page_faces(rows), usage)).withColumn("family", C("shown")).drop("shown")
+    named = dedupe_faces(shown)
     kept = cut_lineage(pick_style_source(named).filter(F.length(normalize_token(C("family"))) >= 3))
-    families = family_rank(kept, family_usage(kept, docs), tokens).filter("selected")
+    families = family_rank(kept, usage, tokens).filter("selected")
     selected = kept.join(families.select("page", "family", "score"), ["page", "family"])
     return selected.withColumn("file_name_hint", file_name_hint(C("family"), C("label")))
 
 
-def scan_summary(docs: DataFrame, faces: DataFrame, selected: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per page: families found and selected, resources, asset hosts, sources."""
+def scan_summary(pages: DataFrame, faces: DataFrame, selected: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per page: families found and selected, resources, asset hosts, sources.
+    ``pages``: page, documents, as ``in_page_rows`` reads them."""
     host = urls.host_of(C("source.url"))
     found = faces.groupBy("page").agg(F.count_distinct("family").alias("families_found"))
     chosen = selected.groupBy("page").agg(
@@ -357,12 +414,9 @@ def scan_summary(docs: DataFrame, faces: DataFrame, selected: DataFrame, candida
     probes = candidates.groupBy(C("page_id").alias("page")).agg(
         F.count("*").alias("candidates"), F.count_if(C("kind") == "css").alias("css_links")
     )
-    sources = docs.groupBy("page").agg(
-        F.count_if(C("kind") != "html").alias("documents"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("doc_pos", "kind"))), lambda x: x["kind"]),
-            ",",
-        ).alias("sources"),
+    sources = pages.select(
+        "page", F.size(F.filter("documents", lambda d: d["kind"] != "html")).cast("long").alias("documents"),
+        F.array_join(F.transform("documents", lambda d: d["kind"]), ",").alias("sources"),
     )
     out = sources.join(probes, "page", "left").join(found, "page", "left").join(chosen, "page", "left")
     return out.na.fill(0, ["candidates", "css_links", "families_found", "families_selected", "asset_hosts", "faces_selected"])

@@ -184,26 +184,24 @@ def _(spark, sf):
     return fc.family_rank(faces, fc.family_usage(faces, docs_), tokens).drop("inferred")
 
 
-def page_docs(spark, sf):
-    """Documents of the page corpus in the shape the face operators read."""
-    # what all documents of a page share is worked out in the page's row: no text is shuffled for it
-    pages = computed(fixture(spark, sf, "html"), preload=docs.font_urls(C("html"), C("url")))
-    every = docs.union_documents(pages, keep=("preload",))
-    return every.select(C("page_id").alias("page"), "url", "kind", "text", C("pos").alias("doc_pos"), "preload")
+def scanned(spark, sf):
+    """Pages with their documents, and their faces and usage, read in the row."""
+    pages = fixture(spark, sf, "html")
+    whole = pages.select(C("page_id").alias("page"), docs.page_documents(C("html"), C("url")).alias("documents"))
+    told = computed(pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")))
+    tokens = pages.select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
+    return pages, whole, cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"))), tokens
 
 
 @query("scan_pages")
 def _(spark, sf):
-    tokens = fixture(spark, sf, "html").select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
-    out = fc.scan_pages(page_docs(spark, sf), tokens)
+    _, _, rows, tokens = scanned(spark, sf)
+    out = fc.scan_pages(rows, tokens)
     return out.select("page", "family", "label", "weight", "style", "discovery", C("source.url").alias("asset_url"), C("source.format").alias("format"), "file_name_hint", "score")
 
 
 @query("scan_summary")
 def _(spark, sf):
-    pages = fixture(spark, sf, "html")
-    tokens = pages.select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
-    documents = page_docs(spark, sf)
-    faces = cut_lineage(fc.extract_faces(documents).unionByName(fc.inferred_faces(documents)))
+    pages, whole, rows, tokens = scanned(spark, sf)
     candidates = docs.best_resources(docs.score_resources(docs.resource_candidates(pages)))
-    return fc.scan_summary(documents, faces, fc.scan_pages(documents, tokens), candidates)
+    return fc.scan_summary(whole, fc.page_faces(rows), fc.scan_pages(rows, tokens), candidates)
