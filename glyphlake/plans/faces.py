@@ -11,8 +11,8 @@ from glyphlake.operators import faces as fc
 from glyphlake.operators.picking import computed
 from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
-from glyphlake.plans.normalize import SUFFIX_RULES, alias_sql, css_label_sql, humanize_sql, score_sql, suffix_sql, weight_sql
-from glyphlake.plans.pages import font_urls_cte
+from glyphlake.plans.normalize import SUFFIX_RULES, alias_sql, css_label_sql, humanize_sql, score_sql, stem_sql, suffix_sql, weight_sql
+from glyphlake.plans.pages import INLINE_CTE, RESOURCE_CTE, font_urls_cte
 from glyphlake.plans.registry import query
 from glyphlake.plans.urls import target_tokens_sql
 from glyphlake.session import cut_lineage
@@ -184,6 +184,37 @@ def _(spark, sf):
     return fc.family_rank(faces, fc.family_usage(faces, docs_), tokens).drop("inferred")
 
 
+# The style sheet queries read a table ``css`` whose URL is key and base in one;
+# for the whole scan it holds every document of every page, with page and place
+# in the fragment of its URL, which does not take part in resolving.
+_PG, _DP = "CAST(regexp_extract(page, '~p([0-9]+)~', 1) AS BIGINT)", "CAST(regexp_extract(page, '~(-?[0-9]+)$', 1) AS BIGINT)"
+_PRELOADED = "(regexp_extract(page, '~p([0-9]+)~', 1) || ' ' || u) IN (SELECT page_id || ' ' || asset_url FROM own)"
+_ALL_DOCS = INLINE_CTE + """, alldocs AS (SELECT page_id, url, 'html' AS kind, html AS text, CAST(-1 AS BIGINT) AS pos FROM html UNION ALL SELECT page_id, url, kind, text, pos FROM inline_docs)""" + font_urls_cte(
+    "html", "page_id", "html", "url", name="own"
+) + """, css AS MATERIALIZED (SELECT url || CASE WHEN contains(url, '#') THEN '' ELSE '#' END || '~p' || page_id || '~' || pos AS url, text AS css FROM alldocs)"""
+_SCAN_FACES = (FACES_CTE + INFERRED_CTE).replace("contains(u, 'cold')", _PRELOADED).replace("faces AS (", "faces AS MATERIALIZED (") + f""",
+  af AS MATERIALIZED (SELECT {_PG} AS pg, {_DP} AS dp, pos, family, label, weight, style, 'font-face' AS disc, u, fmt, preload, var FROM faces
+    UNION ALL SELECT pg, dp, 4294967296, family, label, weight, style, 'inferred-url', u, fmt, preload, var FROM (SELECT *, {_PG} AS pg, {_DP} AS dp, row_number() OVER (PARTITION BY {_PG}, u ORDER BY {_DP}) AS rn FROM inferred) WHERE rn = 1)"""
+_SCAN_SHOWN = DISPLAY_CTE.replace("FROM faces)", "FROM (SELECT DISTINCT 0 AS page, 0 AS pos, family, label, u FROM af))").replace("display AS (", "display AS MATERIALIZED (") + f""",
+  names AS (SELECT pg, family FROM af UNION SELECT pg, display FROM af JOIN display USING (family, label, u)),
+  said AS (SELECT pg, family, sum({count_sql('lower(text)', 'lower(family)')}) AS n, sum(CASE WHEN length({d.token('family')}) >= 3 THEN {count_sql('lower(text)', d.token('family'))} ELSE 0 END) AS t FROM names JOIN alldocs ON page_id = pg GROUP BY pg, family),
+  used AS MATERIALIZED (SELECT pg, family, CASE WHEN n > 0 THEN n ELSE t END AS usage FROM said),
+  c1 AS (SELECT af.*, row_number() OVER (PARTITION BY pg, u, label, weight, style ORDER BY usage DESC, disc <> 'font-face', length(family) DESC, dp, pos) AS rn FROM af JOIN used USING (pg, family)),
+  c2 AS (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY pg, family, label, u ORDER BY dp, pos) AS rn FROM c1 WHERE rn = 1),
+  c3 AS (SELECT c2.* EXCLUDE (rn), display AS shown FROM c2 JOIN display USING (family, label, u) WHERE rn = 1),
+  c4 AS (SELECT *, row_number() OVER (PARTITION BY pg, shown, label, u ORDER BY dp, pos) AS rn FROM c3),
+  c5 AS (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY pg, {d.token('shown')}, {d.token('label')}, style ORDER BY {RANK}, NOT preload, disc <> 'font-face', var, u, dp, pos) AS rn FROM c4 WHERE rn = 1),
+  kept AS MATERIALIZED (SELECT pg, shown AS family, label, weight, style, disc, u, fmt, preload FROM c5 WHERE rn = 1 AND length({d.token('shown')}) >= 3),
+  stats AS (SELECT pg, family, count(*) AS faces, count(*) FILTER (WHERE disc = 'font-face') AS declared, count(*) FILTER (WHERE disc <> 'font-face') AS inferred, count(*) FILTER (WHERE preload) AS preload FROM kept GROUP BY pg, family),
+  wanted AS MATERIALIZED (SELECT page_id AS pg, {target_tokens_sql('url', 'html')} AS tokens FROM html),
+  points AS (SELECT s.pg, s.family, s.faces, {d.token('s.family')} AS tok, s.declared * 6 + s.inferred * 2 + greatest(0, usage - s.faces) * 3 + s.preload * 2 + CASE WHEN len(list_filter(tokens, lambda t: contains({d.token('s.family')}, t) OR contains(t, {d.token('s.family')}))) > 0 THEN 6 ELSE 0 END AS score
+    FROM stats AS s JOIN used AS x ON x.pg = s.pg AND x.family = s.family JOIN wanted AS w ON w.pg = s.pg),
+  tops AS (SELECT *, first_value(score) OVER w AS ts, first_value(tok) OVER w AS tt FROM points WHERE NOT list_contains({d.words(fv.FAMILY_STOPWORDS)}, tok) WINDOW w AS (PARTITION BY pg ORDER BY score DESC, faces DESC, family)),
+  chosen AS (SELECT pg, family, score FROM tops WHERE score >= greatest(4, ts * 0.6) OR starts_with(tok, tt) OR starts_with(tt, tok) OR (contains(tok, tt) AND length(tt) >= 4)),
+  scan AS MATERIALIZED (SELECT pg AS page, family, label, weight, style, disc AS discovery, u AS asset_url, fmt AS format, CASE WHEN {stem_sql('family')} <> '' AND {stem_sql('label')} <> '' THEN {stem_sql('family')} || '-' || {stem_sql('label')} END AS file_name_hint, CAST(score AS BIGINT) AS score FROM kept JOIN chosen USING (pg, family))"""
+SCAN_CTE = _ALL_DOCS + _SCAN_FACES + _SCAN_SHOWN
+
+
 def scanned(spark, sf):
     """Pages with their documents, and their faces and usage, read in the row."""
     pages = fixture(spark, sf, "html")
@@ -193,14 +224,20 @@ def scanned(spark, sf):
     return pages, whole, cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"))), tokens
 
 
-@query("scan_pages")
+@query("scan_pages", with_fixtures("html") + SCAN_CTE + " SELECT * FROM scan")
 def _(spark, sf):
     _, _, rows, tokens = scanned(spark, sf)
     out = fc.scan_pages(rows, tokens)
-    return out.select("page", "family", "label", "weight", "style", "discovery", C("source.url").alias("asset_url"), C("source.format").alias("format"), "file_name_hint", "score")
+    return out.select("page", "family", "label", "weight", "style", "discovery", C("source.url").alias("asset_url"), C("source.format").alias("format"), "file_name_hint", C("score").cast("long").alias("score"))
 
 
-@query("scan_summary")
+@query(
+    "scan_summary",
+    with_fixtures("html") + SCAN_CTE + RESOURCE_CTE.split(",\n  toks AS")[0] + f""", probed AS (SELECT page_id, count(DISTINCT url) AS candidates, count(DISTINCT url) FILTER (WHERE kind = 'css') AS css_links FROM cand GROUP BY page_id)
+    SELECT h.page_id AS page, (SELECT count(*) FROM alldocs AS a WHERE a.page_id = h.page_id AND a.kind <> 'html') AS documents, (SELECT string_agg(kind, ',' ORDER BY pos) FROM alldocs AS a WHERE a.page_id = h.page_id) AS sources,
+      coalesce(p.candidates, 0) AS candidates, coalesce(p.css_links, 0) AS css_links, (SELECT count(DISTINCT family) FROM af WHERE af.pg = h.page_id) AS families_found, (SELECT count(DISTINCT family) FROM scan AS s WHERE s.page = h.page_id) AS families_selected,
+      (SELECT count(DISTINCT nullif({d.host("asset_url")}, '')) FROM scan AS s WHERE s.page = h.page_id) AS asset_hosts, (SELECT count(*) FROM scan AS s WHERE s.page = h.page_id) AS faces_selected FROM html AS h LEFT JOIN probed AS p ON p.page_id = h.page_id""",
+)
 def _(spark, sf):
     pages, whole, rows, tokens = scanned(spark, sf)
     candidates = docs.best_resources(docs.score_resources(docs.resource_candidates(pages)))
