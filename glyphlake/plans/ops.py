@@ -314,3 +314,32 @@ def _(spark, sf):
         "p_partkey", "m.num_glyphs", "m.units_per_em", "m.weight_class", "m.fs_selection", "m.hhea.ascender", "m.hhea.descender", "m.hhea.line_gap",
         "m.os2.typo_ascender", "m.os2.typo_descender", "m.os2.win_descent", "m.family_name", "m.subfamily_name", "m.full_name", "m.postscript_name",
     )
+
+
+TAIL_SQL = " SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM job_events WHERE line IS NOT NULL) AS q WHERE rn <= 5"
+
+
+def _arrived(spark, rows, order, name):
+    """The rows as a stream of three files, in order; with a folder for state."""
+    folder = f"{checkpoint_root(spark)}/{name}_{uuid.uuid4().hex}"
+    rows.repartitionByRange(3, order).write.parquet(f"{folder}/arrived")
+    return jobs.read_event_stream(spark, f"{folder}/arrived", rows.schema, 1), folder
+
+
+@query("streamed_tail_log", with_fixtures("job_events") + TAIL_SQL)
+def _(spark, sf):
+    events, folder = _arrived(spark, fixture(spark, sf, "job_events"), "seq", "lines")
+    jobs.job_lines_stream(events, f"{folder}/lines", f"{folder}/progress").awaitTermination()
+    return ops.tail_log(jobs.read_job_lines(spark, f"{folder}/lines"), n=5)
+
+
+@query("streamed_rate_limit", _rate_sql(10, 7 * 86400))
+def _(spark, sf):
+    """Time is cut into stretches, a batch each, in the middle of open windows."""
+    rows = table(spark, sf, "events").select("event_id", C("user_id").alias("key"), "ts")
+    folder = f"{checkpoint_root(spark)}/rates_{uuid.uuid4().hex}"
+    for stretch, batch in enumerate((C("ts") < "2024-01-10", (C("ts") >= "2024-01-10") & (C("ts") < "2024-01-20"), C("ts") >= "2024-01-20")):
+        rows.filter(batch).coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+        stream = jobs.read_event_stream(spark, f"{folder}/arrived", rows.schema)
+        jobs.rate_limit_stream(stream, 10, 7 * 86400, f"{folder}/tables", f"{folder}/progress").awaitTermination()
+    return jobs.read_rates(spark, f"{folder}/tables").drop("opened_us")

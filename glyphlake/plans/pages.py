@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from glyphlake import fixed_values as fv
@@ -13,6 +15,9 @@ from glyphlake.plans import sql_text as d
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.registry import query, table
 from glyphlake.plans.urls import target_tokens_sql
+from glyphlake.session import checkpoint_root
+from glyphlake.sources import sinks
+from glyphlake.sources.pages import read_sitemap
 
 C = F.col
 
@@ -367,3 +372,18 @@ def _(spark, sf):
     )
     hit = any_contains(normalize_token(base_name(urls.path_of(C("asset_url")))), C("tokens"))
     return prefer_matching(found, ["page_id"], hit).select("page_id", "asset_url")
+
+
+@query(
+    "read_sitemap",
+    """WITH l AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'https://shop.example.com/about/' ELSE 'https://shop.example.com/fonts/' END || 'Face-' || page_id // 2 || CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '?from=map' ELSE '' END AS loc FROM pages)
+    SELECT DISTINCT lower(regexp_extract(loc, '/fonts/([^/?#]+)', 1)) AS slug FROM l WHERE contains(loc, '/fonts/')""",
+)
+def _(spark, sf):
+    """Addresses of the stored pages as sitemaps under an index, read back."""
+    k = C("page_id")
+    shelf = F.when(k % 5 == 0, "https://shop.example.com/about/").otherwise("https://shop.example.com/fonts/")
+    ending = F.when(k % 3 == 0, "/").when(k % 3 == 1, "?from=map").otherwise("")
+    locations = table(spark, sf, "pages").select(F.concat(shelf, F.lit("Face-"), F.expr("page_id div 2"), ending).alias("loc"))
+    index = sinks.write_sitemaps(locations, f"{checkpoint_root(spark)}/sitemap_{uuid.uuid4().hex}", 3)
+    return read_sitemap(spark, index, "https://shop.example.com/fonts/")

@@ -25,15 +25,22 @@ def read_asset_files(spark: SparkSession, path: str, extensions=EXTENSIONS, with
     return files.select(*columns, *(["content"] if with_content else []))
 
 
-def read_run_reports(spark: SparkSession, path: str, suite: str) -> DataFrame:
-    """Result rows of the newest report of a suite (files named suite-<stamp>.json)."""
-    named = (
-        spark.read.option("multiLine", "true").json(path)
-        .withColumn("file", C("_metadata.file_name"))
-        .filter(C("file").startswith(f"{suite}-") & C("file").endswith(".json"))
-    )
-    newest = named.agg(F.max("file").alias("file"))
-    return named.join(newest, "file", "left_semi").select("file", "suite", F.explode("results").alias("r")).select("file", "suite", "r.*")
+def newest_report(spark: SparkSession, path: str, suite: str) -> str | None:
+    """Path of the newest report of a suite, from the names alone: no file is
+    opened for it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{suite}-*.json").load(path)
+    return files.agg(F.max_by("path", base_name(C("path")))).first()[0]
+
+
+def read_run_reports(spark: SparkSession, path: str, suite: str) -> DataFrame | None:
+    """Result rows of the newest report of a suite (files named
+    suite-<stamp>.json); older ones, damaged or not, are not read.  None if
+    there is no report."""
+    newest = newest_report(spark, path, suite)
+    if newest is None:
+        return None
+    report = spark.read.option("multiLine", "true").json(newest)
+    return report.select(F.lit(newest.rsplit("/", 1)[-1]).alias("file"), "suite", F.explode("results").alias("r")).select("file", "suite", "r.*")
 
 
 def _bytes(b: Column, at: Column, size: Column) -> Column:

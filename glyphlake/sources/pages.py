@@ -21,13 +21,28 @@ def textual_only(resources: DataFrame) -> DataFrame:
     )
 
 
-def read_sitemap(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
-    """Slugs of the ``<loc>`` entries below a prefix, lower-cased and distinct.
+def sitemap_locations(spark: SparkSession, path: str) -> DataFrame:
+    """``loc`` of all pages of a sitemap and of those it is an index of.
 
-    The XML source splits files by row tag, so one large sitemap is read in
-    parallel.
+    Sitemaps that list sitemaps are followed level by level, each file once;
+    what the driver holds are the addresses of files, one for up to 50,000
+    pages, never the pages.  The XML source splits files by row tag, so one
+    large sitemap is read in parallel.
     """
-    locations = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
+    read = lambda tag, files: spark.read.format("xml").option("rowTag", tag).schema("loc string").load(files)
+    seen, level, out = set(), [path], None
+    while level:
+        seen.update(level)
+        found = read("url", level)
+        out = found if out is None else out.union(found)
+        nested = [r["loc"] for r in read("sitemap", level).distinct().collect() if r["loc"]]
+        level = sorted(set(nested) - seen)
+    return out
+
+
+def read_sitemap(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
+    """Slugs of the entries below a prefix, lower-cased and distinct."""
+    locations = sitemap_locations(spark, path)
     slug = F.lower(F.regexp_extract(F.substring_index("loc", url_prefix, -1), r"^([^/?#]+)", 1))
     return (
         locations.filter(F.col("loc").startswith(url_prefix))

@@ -29,3 +29,15 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def append_telemetry(events: DataFrame, path: str) -> None:
     """Append (ts, run_id, event, payload) rows to a JSON-lines log."""
     events.select("ts", "run_id", "event", "payload").write.mode("append").json(path)
+
+
+def write_sitemaps(pages: DataFrame, path: str, files: int) -> str:
+    """Write (loc) rows as ``files`` sitemaps and an index of them; its path."""
+    spark = pages.sparkSession
+    dealt = pages.withColumn("_file", F.pmod(F.xxhash64("loc"), F.lit(files)))
+    places = [f"{path}/part-{n}.xml" for n in range(files)]
+    for n, place in enumerate(places):
+        dealt.filter(F.col("_file") == n).select("loc").write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(place)
+    index = spark.createDataFrame([(p,) for p in places], "loc string")
+    index.coalesce(1).write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").save(f"{path}/index.xml")
+    return f"{path}/index.xml"

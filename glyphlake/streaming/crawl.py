@@ -17,7 +17,6 @@ the frontier is that of a breadth-first expansion of all pages at once.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +25,7 @@ from glyphlake import fixed_values as fv
 from glyphlake.functions import urls
 from glyphlake.operators import links as lk
 from glyphlake.session import cut_lineage
+from glyphlake.streaming.jobs import read_batches
 
 C = F.col
 PAGES, LINKS, FRONTIER = (
@@ -37,12 +37,7 @@ PAGES, LINKS, FRONTIER = (
 
 def _table(spark: SparkSession, path: str, name: str, schema: str, before: int | None = None) -> DataFrame:
     """All batches of a table, or those before a batch; without any, no rows."""
-    try:
-        rows = spark.read.schema(f"{schema}, batch int").option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/batch=*")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = spark.createDataFrame([], f"{schema}, batch int")
+    rows = read_batches(spark, f"{path}/{name}", schema)
     return (rows if before is None else rows.filter(C("batch") < before)).drop("batch")
 
 

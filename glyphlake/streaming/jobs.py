@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from glyphlake.operators.ops import job_state, suite_progress, wall_micros
+from glyphlake.operators.packages import number_rows
+from glyphlake.operators.windows import anchored_windows
+from glyphlake.session import cut_lineage
 
 C = F.col
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -82,42 +84,69 @@ def append_telemetry_stream(events: DataFrame, path: str, checkpoint: str) -> St
     )
 
 
-class RateWindow(StatefulProcessor):
-    """Count and closing time of a key's open window.
+def lines_of(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Append a batch's log lines, with their time, as a folder of its own."""
+    lines = batch.filter("line is not null").select("job_id", "seq", "ts", "line")
+    lines.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    Rows of a key arrive in batches; only two numbers are kept between them.
-    """
 
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.width = limit, seconds * 1_000_000
+def job_lines_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the log lines of all jobs, once each, next to their states; a
+    batch that is run again rewrites its own folder.  ``read_job_lines`` and
+    ``ops.tail_log`` read them in order."""
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, batch_id: lines_of(batch, batch_id, path)).trigger(availableNow=True).start()
+    )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "opened long, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened, n = self.window.get() if self.window.exists() else (None, 0)
-        # the engine hands over a key's rows of one micro-batch in no set order
-        frame = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        out = []
-        for event_id, t in zip(frame["event_id"], frame["t"]):
-            if opened is None or t > opened + self.width:
-                opened, n = int(t), 0
-            n += 1
-            out.append((int(event_id), key[0], n, n > self.limit))
-        self.window.update((opened, n))
-        yield pd.DataFrame(out, columns=["event_id", "key", "n", "limited"])
+def read_job_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
 
-    def close(self) -> None:
-        pass
 
+RATES = "event_id long, key long, opened_us long, n long, limited boolean"
+OPEN = "key long, opened long, seen long"
 
-def rate_limit_stream(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(event_id, key, n, limited) of a stream of (event_id, key, ts).
 
-    Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
+def limit_batch(batch: DataFrame, batch_id: int, limit: int, seconds: int, path: str) -> None:
+    """Label the events of a batch, going on from the windows that earlier
+    batches left open: events within a key's open window are numbered on, all
+    later ones are windows of the batch alone, cut by time slice.
     """
-    rows = events.select("event_id", "key", wall_micros(C("ts")).alias("t"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        RateWindow(limit, seconds), outputStructType="event_id long, key long, n long, limited boolean",
-        outputMode="append", timeMode="none",
+    spark = batch.sparkSession
+    before = read_batches(spark, f"{path}/open", OPEN).filter(C("batch") < batch_id)
+    last = before.groupBy("key").agg(F.max_by(F.struct("opened", "seen"), "batch").alias("o")).select("key", "o.*")
+    rows = cut_lineage(batch.select("event_id", "key", "ts", wall_micros(C("ts")).alias("t")).join(last, "key", "left"))
+    goes_on = F.coalesce(C("t") <= C("opened") + seconds * 1_000_000, F.lit(False))
+    inside = number_rows(rows.filter(goes_on).withColumn("at", F.struct("t", "event_id")), ["key"], "at", "place")
+    inside = inside.select("event_id", "key", C("opened").alias("opened_us"), (C("seen") + C("place")).alias("n"))
+    fresh = anchored_windows(rows.filter(~goes_on).select("event_id", "key", "ts"), limit, seconds).drop("limited")
+    out = inside.unionByName(fresh).withColumn("limited", C("n") > limit)
+    out.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
+    told = spark.read.schema(RATES).parquet(f"{path}/events/batch={batch_id}")
+    left = told.groupBy("key").agg(F.max(F.struct("opened_us", "n")).alias("o"))
+    left.select("key", C("o.opened_us").alias("opened"), C("o.n").alias("seen")).write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of a table with their numbers; none yet: no rows."""
+    try:
+        return spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(f"{path}/batch=*")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], f"{schema}, batch int")
+
+
+def rate_limit_stream(events: DataFrame, limit: int, seconds: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Label a stream of (event_id, key, ts) as ``anchored_windows`` does, for
+    events that arrive in the order of time, however they are cut into batches.
+    ``read_rates`` has the labels."""
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, batch_id: limit_batch(batch, batch_id, limit, seconds, path)).trigger(availableNow=True).start()
     )
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, f"{path}/events", RATES).drop("batch")

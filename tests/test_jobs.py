@@ -4,6 +4,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.urls import normalize_crawl_url
@@ -54,16 +55,31 @@ def test_throughput_stream_has_a_bounded_state(spark, sf, work):
     assert spark.table("throughput").agg(F.sum("finished")).first()[0] == events.filter("event = 'case_result'").count()
 
 
-def test_rate_stream_equals_batch(spark, sf, work):
+@pytest.mark.parametrize("batches", [1, 4])
+def test_rate_stream_equals_batch(spark, sf, work, batches):
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", C("user_id").alias("key"), "ts")
-    src = work("rate")
-    events.coalesce(1).sortWithinPartitions("ts").write.parquet(src)
+    src, out, ck = work("rate"), work("rates"), work("ck")
     week = 7 * 86400
-    stream = jobs.rate_limit_stream(jobs.read_event_stream(spark, src, events.schema), 10, week)
-    q = stream.writeStream.format("memory").queryName("rates").option("checkpointLocation", work("ck")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = windows.anchored_windows(events, 10, week).select("event_id", "key", "n", "limited")
-    assert rows(spark.table("rates")) == rows(want)
+    cut = F.ntile(batches).over(Window.orderBy("ts", "event_id"))
+    for n in range(batches):
+        events.withColumn("cut", cut).filter(C("cut") == n + 1).drop("cut").coalesce(1).write.mode("append").parquet(src)
+        jobs.rate_limit_stream(jobs.read_event_stream(spark, src, events.schema), 10, week, out, ck).awaitTermination()
+    want = windows.anchored_windows(events, 10, week).select("event_id", "key", "opened_us", "n", "limited")
+    assert rows(jobs.read_rates(spark, out)) == rows(want)
+    # the last batch, run again, leaves the same labels
+    jobs.limit_batch(events.withColumn("cut", cut).filter(C("cut") == batches).drop("cut"), batches - 1, 10, week, out)
+    assert rows(jobs.read_rates(spark, out)) == rows(want)
+
+
+def test_log_lines_are_appended_once_and_in_order(spark, sf, work):
+    events = fixture(spark, sf, "job_events")
+    src, out = work("events"), work("lines")
+    events.repartition(3).write.parquet(src)
+    jobs.job_lines_stream(jobs.read_event_stream(spark, src, events.schema, 1), out, work("ck")).awaitTermination()
+    # a batch that is run again
+    first = spark.read.parquet(f"{out}/batch=1")
+    jobs.lines_of(spark.createDataFrame(first.collect(), first.schema), 1, out)
+    assert rows(ops.tail_log(jobs.read_job_lines(spark, out), 7)) == rows(ops.tail_log(events, 7))
 
 
 @pytest.mark.parametrize("slices", [1, 2, 3, 1440])
@@ -174,10 +190,14 @@ def test_reports_newest_only(spark, work):
 
     folder = work("reports")
     os.makedirs(folder)
-    for name, results in (("smoke-1.json", ["old"]), ("smoke-2.json", ["new", "er"]), ("other-9.json", ["no"])):
+    for name, results in (("smoke-1.json", ["old"]), ("smoke-2.json", ["new", "er"]), ("smoke-0.json", None), ("other-9.json", ["no"])):
         with open(f"{folder}/{name}", "w") as f:
-            json.dump({"suite": "s", "results": [{"id": r} for r in results]}, f, indent=1)
+            if results is None:
+                f.write('{"suite": "s", "results": [{"id": ')
+            else:
+                json.dump({"suite": "s", "results": [{"id": r} for r in results]}, f, indent=1)
     assert rows(asset_files.read_run_reports(spark, folder, "smoke").select("file", "id")) == [("smoke-2.json", "er"), ("smoke-2.json", "new")]
+    assert asset_files.read_run_reports(spark, folder, "none") is None
 
 
 def test_sitemap(spark, work):
