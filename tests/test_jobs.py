@@ -169,7 +169,21 @@ def test_containment_finds_exactly_the_contained_tokens(spark):
     texts = [(1, "abcdefghijkl"), (2, "xyz"), (3, "aaaa"), (4, "")]
     tokens = ["a", "aa", "abc", "cdef", "efghijkl", "defghijklm", "xyz", "zz", "ghijk"]
     got = contained_tokens(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in tokens], "token string"))
-    assert rows(got) == sorted((i, t) for i, s in texts for t in tokens if t in s)
+    want = sorted((i, t) for i, s in texts for t in tokens if t in s)
+    assert rows(got) == want
+    # tokens longer than what travels with a piece
+    short = contained_tokens(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in tokens], "token string"), window=9)
+    assert rows(short) == want
+    assert contained_tokens(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([], "token string")).count() == 0
+
+
+def test_containment_moves_neither_texts_nor_all_pieces(spark):
+    texts = spark.range(200).select("id", F.concat(F.lit("x" * 500), F.when(C("id") % 50 == 0, "needle42").otherwise("")).alias("text"))
+    plan = contained_tokens(texts, spark.createDataFrame([("needle42",)], "token string"))
+    assert rows(plan) == [(i, "needle42") for i in range(0, 200, 50)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in text.splitlines() if "Exchange" in line]
+    assert shuffled and not any("text#" in line for line in shuffled)
 
 
 def test_unique_names_step_over_taken_numbers(spark):
