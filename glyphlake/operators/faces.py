@@ -120,9 +120,9 @@ def url_label(url: Column) -> Column:
     )
 
 
-def declared_face(raw: Column) -> Column:
-    """Family, label, weight and style of a block that ``read_block`` has read,
-    corrected by what its family and file names say."""
+def declared_face(raw: Column | dict[str, Column]) -> Column:
+    """Family, label, weight and style of a block that ``read_block`` has read
+    (a struct, or its fields by name), corrected by its family and file names."""
     weight = raw["raw_weight"]
     declared = _face_struct(
         raw["css_family"],
@@ -161,7 +161,7 @@ def declared_face(raw: Column) -> Column:
 
 def extract_faces(docs: DataFrame) -> DataFrame:
     """(page, doc_url, doc_pos, pos, family, label, weight, style, discovery, source)."""
-    raw = F.struct("css_family", "raw_weight", "raw_style", "variable_face", "source")
+    raw = {c: C(c) for c in ("css_family", "raw_weight", "raw_style", "variable_face", "source")}
     return computed(raw_faces(docs), face=declared_face(raw)).select(
         "page",
         "doc_url",
