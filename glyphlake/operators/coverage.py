@@ -17,6 +17,9 @@ from glyphlake.operators.picking import computed, dedupe_first, first_by
 
 C = F.col
 
+#: an expected style of more characters is looked up by its first ones
+FILED = 8
+
 
 def styles_of(rows: DataFrame, label: str, token: Column, *extra: str) -> DataFrame:
     """(package, token, label, pos, ...): first label per style key."""
@@ -24,31 +27,64 @@ def styles_of(rows: DataFrame, label: str, token: Column, *extra: str) -> DataFr
     return dedupe_first(keyed.filter(C("token") != ""), ["package", "token"])
 
 
+def _piece(kind: str, piece: Column, whole: Column | None = None) -> Column:
+    parts = [F.lit(kind).alias("kind"), piece.alias("piece")]
+    return F.struct(*parts, *([] if whole is None else [whole.alias("whole")]))
+
+
+def _numbers(last: Column) -> Column:
+    return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _offered(token: Column, sizes: Column) -> Column:
+    """What an observed token can be found by: itself, its pieces of up to
+    ``FILED`` characters, and with those of that length the whole token.
+    ``sizes`` names the lengths asked for, more than ``FILED`` as one."""
+
+    def of_size(size: int, kind: str, whole: Column) -> Column:
+        asked = F.array_contains(sizes, size if kind == "part" else FILED + 1)
+        starts = _numbers(F.when(asked, F.length(token) - (size - 1)).otherwise(F.lit(0)))
+        return F.transform(starts, lambda i: _piece(kind, F.substring(token, i, F.lit(size)), whole))
+
+    parts = [of_size(size, "part", F.lit("")) for size in range(1, FILED + 1)]
+    return F.concat(F.array(_piece("whole", token, F.lit(""))), *parts, of_size(FILED, "long", token))
+
+
+def _asked(token: Column) -> Column:
+    """Where an expected token is looked for: in a token that it starts with,
+    and in one that contains it, by its first characters if it is long."""
+    starts = F.transform(_numbers(F.length(token) - 1), lambda n: _piece("whole", F.left(token, n)))
+    kind = F.when(F.length(token) > FILED, "long").otherwise("part")
+    inside = F.struct(kind.alias("kind"), F.left(token, F.lit(FILED)).alias("piece"))
+    return F.concat(starts, F.array(inside))
+
+
 def style_coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Add ``observed_token`` to every expected style, NULL when missing.
 
     An equal token wins; in family-style scope the first observed token that
-    contains the expected one, or that it starts with, is taken next.
+    contains the expected one, or that it starts with, is taken next.  Both are
+    equi-joins of a package's pieces: no list grows with a package, and a
+    package with very many styles is spread over its pieces.
     """
     seen = observed.select("package", "token", "pos")
     exact = expected.join(
         seen.select("package", "token", C("token").alias("exact_token")), ["package", "token"], "left"
     )
-    open_styles = (
-        exact.filter(C("exact_token").isNull() & (C("scope") == "family-style"))
-        .groupBy("package")
-        .agg(F.collect_set("token").alias("wanted"))
+    missing = exact.filter(C("exact_token").isNull() & (C("scope") == "family-style")).select("package", "token")
+    # at most FILED + 1 lengths a package; packages that miss nothing go here
+    sizes = missing.groupBy("package").agg(F.collect_set(F.least(F.length("token"), F.lit(FILED + 1))).alias("sizes"))
+    # equal pieces of a package's observed tokens are one row before they move
+    offered = (
+        seen.join(sizes, "package")
+        .select("package", "pos", "token", F.inline(_offered(C("token"), C("sizes"))))
+        .groupBy("package", "kind", "piece", "whole")
+        .agg(F.min_by("token", "pos").alias("near_token"), F.min("pos").alias("pos"))
     )
     near = (
-        seen.join(open_styles, "package")
-        .select(
-            "package",
-            "pos",
-            C("token").alias("near_token"),
-            F.explode(
-                F.filter("wanted", lambda e: F.contains(C("token"), e) | e.startswith(C("token")))
-            ).alias("token"),
-        )
+        missing.select("package", "token", F.inline(_asked(C("token"))))
+        .join(offered, ["package", "kind", "piece"])
+        .filter((C("kind") != "long") | F.contains("whole", C("token")))
         .groupBy("package", "token")
         .agg(F.min_by("near_token", "pos").alias("near_token"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,11 @@ from glyphlake import fixed_values as fv
 from glyphlake.functions import urls
 from glyphlake.functions.text import let
 
+#: what a rule's pattern may consist of for its literals to be told: characters
+#: that stand for themselves, and flags, groups, anchors and alternatives
+LITERAL_PART = r"(?:[A-Za-z0-9/-]|\\\.)(?![?*+{])"
+PATTERN_PART = LITERAL_PART + r"|\(\?-?i\)|\((?!\?)(?:[^()\\]|\\.)*\)\??(?![?*+{])|[\^$|]"
+
 ANCHOR_HREF = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']"
 
 
@@ -81,25 +87,78 @@ def rule_test(url: Column, part: str, pattern: str) -> Column:
     return (urls.hostname_of(url) if part == "host" else url).rlike(pattern) if pattern else F.lit(True)
 
 
+def needed_literals(pattern: str) -> list[str]:
+    """Lower-cased literals, one per alternative of a pattern, one of which is
+    in every text the pattern accepts.  Empty where that cannot be told from
+    the pattern: it has other syntax than the rules use, or asks for no text.
+    """
+    if not re.fullmatch(f"(?:{PATTERN_PART})*", pattern):
+        return []
+    longest = [""]
+    for part in re.findall(f"(?:{LITERAL_PART})+|{PATTERN_PART}", pattern):
+        if part == "|":
+            longest.append("")
+        elif re.match(LITERAL_PART, part):
+            longest[-1] = max(longest[-1], part.replace("\\.", ".").lower(), key=len)
+    return longest if all(longest) else []
+
+
+def dotted_key(literal: str) -> str | None:
+    """The last three characters before a dot, the dot and the two after it."""
+    found = re.search(r"[^.]{3}\.[^.]{2}", literal)
+    return found and found[0]
+
+
+def _has_literal(literals: list[str], url: Column, keys: Column) -> Column:
+    """Whether the URL may hold one of the literals; ``keys`` of its dots decide
+    for literals that have a key, the whole URL for the others."""
+    filed = [k for k in map(dotted_key, literals) if k]
+    plain = [text for text in literals if not dotted_key(text)]
+    tests = [F.contains(url, F.lit(text)) for text in plain]
+    if filed:
+        tests.append(F.exists(keys, lambda k: k.isin(sorted(set(filed)))))
+    return reduce(lambda x, y: x | y, tests)
+
+
 def first_rule(url: Column, rules=None) -> Column:
     """Id of the first rule, in registry order, that accepts the URL.
 
     The registry is a fixed list, so it becomes one CASE expression: no join,
-    no shuffle, and evaluation stops at the first hit.
+    no shuffle, and evaluation stops at the first hit.  A pattern is tested
+    only on a URL that has one of its literals; literals are domain names, so
+    they are found by the characters around the few dots of the URL.  A URL
+    with no literal of any rule, as most links of a crawl, meets only the rules
+    that need none.
     """
     rules = fv.ROUTING_RULES if rules is None else rules
-    chosen = reduce(
-        lambda acc, r: F.when(rule_test(url, r[1], r[2]), r[0])
-        if acc is None
-        else acc.when(rule_test(url, r[1], r[2]), r[0]),
-        rules,
-        None,
-    )
-    return chosen
+    literals = [needed_literals(pattern) for _, _, pattern in rules]
+
+    def cases(chosen: list[tuple], seen: Column | None) -> Column:
+        out = F
+        for (rule, part, pattern), needed in chosen:
+            test = rule_test(url, part, pattern)
+            out = out.when(_has_literal(needed, seen["url"], seen["keys"]) & test if needed else test, F.lit(rule))
+        return F.lit(None).cast("string") if out is F else out
+
+    always = cases([(r, []) for r, needed in zip(rules, literals) if not needed], None)
+    wanted = sorted({text for needed in literals for text in needed})
+    if not wanted:
+        return always
+    lower = F.lower(url)
+
+    def keyed(parts: Column) -> Column:
+        around = F.transform(parts, lambda p, i: F.concat(F.right(p, F.lit(3)), F.lit("."), F.left(F.get(parts, i + 1), F.lit(2))))
+        return F.struct(lower.alias("url"), F.filter(around, lambda k: k.isNotNull()).alias("keys"))
+
+    def chosen(seen: Column) -> Column:
+        every = cases(list(zip(rules, literals)), seen)
+        return F.when(_has_literal(wanted, seen["url"], seen["keys"]), every).otherwise(always)
+
+    return let(let(F.split(lower, r"\."), keyed), chosen)
 
 
 def route(df: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``rule``.  Hosts are far fewer than URLs, but the test is per row."""
+    """Add ``rule``, in the link's row."""
     return df.withColumn("rule", first_rule(F.col(url)))
 
 

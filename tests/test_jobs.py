@@ -348,3 +348,54 @@ def test_second_assignment_gives_every_url_once(spark):
     assets = spark.createDataFrame([("f", "u1", "bolditalic", True, 0), ("f", "u2", "boldx", False, 0)], "k string, url string, token string, slanted boolean, quality int")
     got = rows(products.assign_longest_first(styles_, assets, ["k"]).select("style", F.coalesce("url", F.lit("-"))))
     assert got == [("Bold", "u2"), ("Bold Italic", "u1"), ("Thin", "-")]
+
+
+def test_rules_are_told_by_literals_as_by_patterns(spark):
+    from glyphlake import fixed_values as fv
+
+    assert lk.needed_literals(r"(?i)(^|//)(www\.)?ab-c\.com") == ["ab-c.com"]
+    assert lk.needed_literals(r"ab\.com|cde\.org") == ["ab.com", "cde.org"]
+    for odd in ("", "ab?c", "a[bc]d", "ab.c", "x(y)*z", "(?:ab)c", "a|", "ab+"):
+        assert lk.needed_literals(odd) == [], odd
+    names = sorted({t for _, _, p in fv.ROUTING_RULES for t in lk.needed_literals(p)})
+    shapes = ["https://{}/", "https://www.{}/a.b", "http://{}:81/x", "https://X{}", "https://a.b/?u=//{}.x", "https://a.b/{}", "https://{}.org/p"]
+    urls = [s.format(n) for n in names for s in shapes] + [s.format(n.upper()) for n in names for s in shapes]
+    urls += ["https://250.tf/", "https://www.205.tf", "https://x250.tf/", "https://a.b/c.d", "", "no url", "...", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    plain = F
+    for rule, part, pattern in fv.ROUTING_RULES:
+        plain = plain.when(lk.rule_test(C("url"), part, pattern), F.lit(rule))
+    got = lk.route(df).withColumn("want", plain).collect()
+    assert [r for r in got if r.rule != r.want] == []
+    assert len({r.rule for r in got}) > 40
+    own = [("none", "url", "x[yz]"), ("dot", "url", r"foo\.bar"), ("short", "host", r"q\.r")]
+    texts = ["http://a/xy", "http://foo.bar", "http://q.r/", "http://a/"]
+    found = spark.createDataFrame([(i, u) for i, u in enumerate(texts)], "i int, url string")
+    assert [r[0] for r in found.orderBy("i").select(lk.first_rule(C("url"), own)).collect()] == ["none", "dot", "short", None]
+
+
+def test_near_styles_match_brute_force(spark):
+    import random
+
+    from glyphlake.operators.coverage import style_coverage
+
+    pick = random.Random(5)
+    words = ["bold", "semi", "extra", "condensed", "italic", "text", "w5", "x", "ultracondensed", "display"]
+    token = lambda: "".join(pick.choice(words) for _ in range(pick.randint(1, 4)))
+    expected = {(p, token()): pick.choice(["family-style", "style"]) for p in ("a", "b", "hot") for _ in range(60)}
+    observed = {(p, token()): 0 for p in ("a", "hot", "only") for _ in range(50)}
+    observed = {k: n for n, k in enumerate(pick.sample(sorted(observed), len(observed)))}
+
+    def want(package, e, scope):
+        near = [(pos, o) for (p, o), pos in observed.items() if p == package and (e in o or e.startswith(o))]
+        if (package, e) in observed:
+            return e
+        return min(near)[1] if near and scope == "family-style" else None
+
+    got = style_coverage(
+        spark.createDataFrame([(p, e, s) for (p, e), s in expected.items()], "package string, token string, scope string"),
+        spark.createDataFrame([(p, o, n) for (p, o), n in observed.items()], "package string, token string, pos int"),
+    )
+    found = {(r.package, r.token): r.observed_token for r in got.collect()}
+    assert found == {(p, e): want(p, e, s) for (p, e), s in expected.items()}
+    assert len({v for k, v in found.items() if v and v != k[1]}) > 5
