@@ -11,7 +11,8 @@ target by less than the size of the one document that is left open at the end.
 Documents of a source are dealt into bounded groups, each of which leaves at
 most one open document; those meet in groups of the next level, and so on: a
 reduction tree in which no task sees more than one group.  All randomness is a
-hash of seed, level and id, so a rerun gives the same rows.
+hash of seed, level, id, text and, for rows equal in all of these, a number,
+so a rerun gives the same rows and rows without an id are dealt like others.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     """Round one group; all rows but one at most come out with 0 or 1."""
-    rows = rows.sort_values(["_draw", "doc_id", "size"], kind="stable", ignore_index=True)
+    rows = rows.sort_values(["_draw", "doc_id", "size", "_text", "_nth"], kind="stable", ignore_index=True)
     share = rows["_share"].to_numpy(np.float64).copy()
     size = rows["size"].to_numpy(np.float64)
     draw = rows["_draw"].to_numpy(np.float64)
@@ -91,6 +92,22 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def _named_apart(sized: DataFrame, group_rows: int) -> DataFrame:
+    """Add ``_nth``, which tells rows of one id, source and text apart.
+
+    Such rows are equal in all that is used of them, so they are counted, not
+    ranked: one row per kind is written out ``count`` times by tasks that each
+    write ``group_rows`` of them.  No kind is ever gathered in one place.
+    """
+    kind = ["doc_id", "source", "size", "_text"]
+    counted = sized.groupBy(*kind).agg(F.count("*").alias("_count"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(group_rows).cast("long")))
+    once = counted.filter("_count = 1").select(*kind, F.lit(0).cast("long").alias("_nth"))
+    parts = counted.filter("_count > 1").select(*kind, "_count", first.alias("_from")).repartition(*kind, "_from")
+    last = F.least(F.col("_from") + group_rows, F.col("_count")) - 1
+    return once.unionByName(parts.select(*kind, F.explode(F.sequence(F.col("_from"), last)).alias("_nth")))
+
+
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per document: the words the mix takes of it, repeats counted.
 
@@ -101,7 +118,15 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
 
     Returns doc_id, size, source_size, target, taken, copies.
     """
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = staged(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            word_count(F.col("text")).alias("size"),
+            F.xxhash64("text").alias("_text"),
+        )
+    )
+    sized = staged(_named_apart(sized, group_rows))
     targets = staged(source_targets(sized, weights, budget, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     groups = F.greatest(F.lit(1), F.ceil(F.col("_docs") / F.lit(group_rows)))
@@ -110,14 +135,14 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
         sized.join(known, F.col("source").eqNullSafe(F.col("_of")))
         .withColumn("_whole", F.floor("_rate"))
         .withColumn("_share", F.when(F.col("size") > 0, F.col("_rate") - F.floor("_rate")).otherwise(F.lit(0.0)))
-        .withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "doc_id"), "_groups"))
-        .select("doc_id", "source", "size", "source_size", "target", "_whole", "_share", "_group")
+        .withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "doc_id", "_text", "_nth"), "_groups"))
+        .select("doc_id", "source", "size", "_text", "_nth", "source_size", "target", "_whole", "_share", "_group")
     )
     most_groups = targets.agg(F.max(groups)).first()[0] or 1
-    schema = "doc_id long, source string, size long, source_size long, target double, _whole long, _share double, _group long, _draw double"
+    schema = "doc_id long, source string, size long, _text long, _nth long, source_size long, target double, _whole long, _share double, _group long, _draw double"
     done, level = [], 0
     while True:
-        drawn = rows.withColumn("_draw", uniform(F.lit(seed), F.lit(level), F.col("doc_id"), F.col("size")))
+        drawn = rows.withColumn("_draw", uniform(F.lit(seed), F.lit(level), F.col("doc_id"), F.col("size"), F.col("_text"), F.col("_nth")))
         rows = staged(drawn.groupBy("source", "_group").applyInPandas(_settle, schema)).drop("_draw")
         is_open = (F.col("_share") > 0) & (F.col("_share") < 1)
         done.append(rows.filter(~is_open))
@@ -127,7 +152,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
         most_groups = -(-most_groups // fan_in)
         rows = rows.withColumn("_group", F.floor(F.col("_group") / fan_in))
         level += 1
-    last = uniform(F.lit(seed), F.lit("last"), F.col("doc_id")) < F.col("_share")
+    last = uniform(F.lit(seed), F.lit("last"), F.col("doc_id"), F.col("_text"), F.col("_nth")) < F.col("_share")
     everything = rows.withColumn("_share", last.cast("double"))
     for part in done:
         everything = everything.unionByName(part)

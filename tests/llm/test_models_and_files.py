@@ -4,8 +4,10 @@ import collections
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +188,60 @@ def test_mixture_meets_its_targets(corpus, awkward, nothing):
     assert mixing.mixture(nothing).count() == 0
 
 
+def pivotal(items):
+    """Rounding one after another, in exact fractions: (share, size, draw)."""
+    shares, held = [Fraction(s) for s, _, _ in items], None
+    for i, (_, size, draw) in enumerate(items):
+        if not 0 < shares[i] < 1:
+            continue
+        if held is None:
+            held = i
+            continue
+        other = items[held][1]
+        up = min((1 - shares[held]) * other, shares[i] * size)
+        down = min(shares[held] * other, (1 - shares[i]) * size)
+        moved = up if Fraction(draw) * (up + down) < down else -down
+        shares[held] += moved / other
+        shares[i] -= moved / size
+        held = i if 0 < shares[i] < 1 else held if 0 < shares[held] < 1 else None
+    return shares
+
+
+def test_a_group_is_rounded_as_one_after_another():
+    pick = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 17, 200):
+        size, draw = pick.integers(1, 40, n), np.sort(pick.random(n))
+        share = pick.choice([0.0, 0.25, 0.5, 0.75, 0.625, 1.0], n)
+        rows = pd.DataFrame({"doc_id": range(n), "size": size, "_text": 0, "_nth": 0, "_share": share, "_draw": draw})
+        want = pivotal([(share[i], int(size[i]), draw[i]) for i in range(n)])
+        got = mixing._settle(rows)["_share"].to_numpy()
+        assert np.allclose(got, [float(w) for w in want], atol=1e-9)
+        assert sum(0 < w < 1 for w in want) <= 1
+        assert sum(w * int(z) for w, z in zip(want, size)) == sum(Fraction(s) * int(z) for s, z in zip(share, size))
+
+
+def test_rows_without_an_id_or_equal_rows_are_dealt_into_bounded_groups(spark, monkeypatch, tmp_path):
+    same = [(None, "one two", "en", "a")] * 90 + [(5, "three", "en", "a")] * 90
+    rows = same + [(None, f"text {i} " * (1 + i % 3), "en", "a") for i in range(90)] + [(i, "w", "en", None) for i in range(30)]
+    docs, folder, settle = frame(spark, rows), str(tmp_path), mixing._settle
+
+    def seen(group):
+        with open(f"{folder}/sizes", "a") as out:
+            out.write(f"{len(group)}\n")
+        return settle(group)
+
+    monkeypatch.setattr(mixing, "_settle", seen)
+    found = mixing.mixture(docs, group_rows=16, fan_in=4).collect()
+    sizes = [int(n) for n in open(f"{folder}/sizes")]
+    assert max(sizes) <= 48 and sum(sizes) >= 300
+    assert len(found) == 300
+    words = lambda t: len(WORD.findall(t))
+    assert sorted((r.doc_id or -1, r.size) for r in found) == sorted((i or -1, words(t)) if i is not None else (-1, words(t)) for i, t, _, _ in rows)
+    again = mixing.mixture(docs.repartition(7), group_rows=16, fan_in=4).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, again), key=repr)
+    assert abs(sum(r.taken for r in found) - 1.5 * sum(words(t) for _, t, _, _ in rows)) <= 12
+
+
 def test_rounding_is_fair_in_the_mean(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "s") for i in range(40)], "doc_id long, text string, source string")
     mean = np.mean([[r.copies for r in mixing.mixture(docs, seed=s).orderBy("doc_id").collect()] for s in range(12)])
