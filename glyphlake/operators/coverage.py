@@ -14,6 +14,7 @@ from glyphlake.functions.styles import quality_style_token, sheet_style_token
 from glyphlake.functions.text import let, normalize_space, trim_all, without_extension
 from glyphlake.operators.documents import spelled_style, style_candidates
 from glyphlake.operators.picking import computed, dedupe_first, first_by
+from glyphlake.session import by_shuffle
 
 C = F.col
 
@@ -73,7 +74,7 @@ def style_coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
     )
     missing = exact.filter(C("exact_token").isNull() & (C("scope") == "family-style")).select("package", "token")
     # at most FILED + 1 lengths a package; packages that miss nothing go here
-    sizes = missing.groupBy("package").agg(F.collect_set(F.least(F.length("token"), F.lit(FILED + 1))).alias("sizes"))
+    sizes = by_shuffle(missing.groupBy("package").agg(F.collect_set(F.least(F.length("token"), F.lit(FILED + 1))).alias("sizes")))
     # equal pieces of a package's observed tokens are one row before they move
     offered = (
         seen.join(sizes, "package")
@@ -83,13 +84,13 @@ def style_coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
     )
     near = (
         missing.select("package", "token", F.inline(_asked(C("token"))))
-        .join(offered, ["package", "kind", "piece"])
+        .join(by_shuffle(offered), ["package", "kind", "piece"])
         .filter((C("kind") != "long") | F.contains("whole", C("token")))
         .groupBy("package", "token")
         .agg(F.min_by("near_token", "pos").alias("near_token"))
     )
     return (
-        exact.join(near, ["package", "token"], "left")
+        exact.join(by_shuffle(near), ["package", "token"], "left")
         .withColumn("observed_token", F.coalesce("exact_token", "near_token"))
         .drop("exact_token", "near_token")
     )
@@ -104,6 +105,7 @@ def unexpected(observed: DataFrame, expected: DataFrame, optional: DataFrame | N
     if optional is not None:
         asked = expected.join(optional, ["package", "token"], "left_anti")
         seen = observed.join(optional, ["package", "token"], "left_anti")
+    asked = by_shuffle(asked)
     return (
         seen.join(asked.select("package", "token"), ["package", "token"], "left_anti")
         .join(asked.select("package").distinct(), "package", "left_semi")
@@ -122,14 +124,14 @@ def without_prefix_match(left: DataFrame, right: DataFrame) -> DataFrame:
     Both directions are equi-joins on whole prefixes: work grows with the
     number of names, not with their pairs.
     """
-    grown = left.select("package", "token", F.explode(
+    grown = by_shuffle(left.select("package", "token", F.explode(
         F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.left(C("token"), i))
-    ).alias("_prefix"))
+    ).alias("_prefix")))
     continues = grown.join(
         right.select("package", C("token").alias("_prefix")), ["package", "_prefix"], "left_semi"
     ).select("package", "token").distinct()
-    return left.join(_prefixes(right), ["package", "token"], "left_anti").join(
-        continues, ["package", "token"], "left_anti"
+    return left.join(by_shuffle(_prefixes(right)), ["package", "token"], "left_anti").join(
+        by_shuffle(continues), ["package", "token"], "left_anti"
     )
 
 

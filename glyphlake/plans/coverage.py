@@ -14,7 +14,7 @@ from glyphlake.plans.normalize import quality_token_sql, sheet_token_sql, target
 from glyphlake.plans.packages import FX, STATE_CTE, SUMMARY_CTE, state
 from glyphlake.plans.pages import candidates_sql, flat_sql, seeded_documents, spelled_sql, _SEED
 from glyphlake.plans.registry import query
-from glyphlake.session import cut_lineage
+from glyphlake.session import by_shuffle, cut_lineage
 
 C = F.col
 
@@ -99,7 +99,7 @@ def observed_names(spark, sf):
     UNION ALL SELECT 'unexpected', package, token FROM obn AS o WHERE NOT EXISTS (SELECT 1 FROM exn AS e WHERE o.package = e.package AND (starts_with(o.token, e.token) OR starts_with(e.token, o.token)))""",
 )
 def _(spark, sf):
-    e, o = cut_lineage(expected_names(spark, sf)), cut_lineage(observed_names(spark, sf))
+    e, o = by_shuffle(cut_lineage(expected_names(spark, sf))), by_shuffle(cut_lineage(observed_names(spark, sf)))
     missing = cv.without_prefix_match(e, o).select(F.lit("missing").alias("side"), "package", "token")
     return missing.union(cv.without_prefix_match(o, e).select(F.lit("unexpected").alias("side"), "package", "token"))
 
@@ -250,7 +250,7 @@ PCT = "CAST(round(CAST(100 * {a} AS DECIMAL(20,6)) / nullif({b}, 0), 2) AS DOUBL
 )
 def _(spark, sf):
     # two joins and two aggregates read the best files: they are written out once
-    observed = cut_lineage(observed_metrics(spark, sf))
+    observed = by_shuffle(cut_lineage(observed_metrics(spark, sf)))
     summary = pk.validation_summary(state(spark, sf)).select("package", "invalid_fonts", "italic_mismatches", "status")
     trials = pk.trial_assets(fixture(spark, sf, "download_log")).groupBy("package").agg(F.count("*").alias("trial_assets"))
     profile = profile_rows(spark, sf).withColumn("fail_on_trial", C("package").endswith("0"))
@@ -273,9 +273,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     expected = expected_styles(spark, sf, target_style_token)
-    observed = cut_lineage(cv.styles_of(full_fonts(spark, sf), "subfamily_name", target_style_token(C("subfamily_name"))))
+    observed = by_shuffle(cut_lineage(cv.styles_of(full_fonts(spark, sf), "subfamily_name", target_style_token(C("subfamily_name")))))
     summary = pk.validation_summary(state(spark, sf))
-    names_ = cut_lineage(expected_names(spark, sf)), cut_lineage(observed_names(spark, sf))
+    names_ = by_shuffle(cut_lineage(expected_names(spark, sf))), by_shuffle(cut_lineage(observed_names(spark, sf)))
     return cv.target_audit(expected, observed, *names_, summary, profile_rows(spark, sf))
 
 

@@ -14,6 +14,7 @@ from glyphlake.operators import crawl as cr
 from glyphlake.operators import links as lk
 from glyphlake.operators import ops
 from glyphlake.operators.documents import anchor_assets, catalog_entries
+from glyphlake.operators.picking import computed
 from glyphlake.operators.rules import ExtractorRule, apply_rules
 from glyphlake.operators.windows import anchored_windows
 from glyphlake.plans import sql_text as d
@@ -21,7 +22,7 @@ from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.normalize import REASON_CASE
 from glyphlake.plans.registry import query, table
 from glyphlake.plans.urls import _ADMITTED_CTE
-from glyphlake.session import checkpoint_root, cut_lineage
+from glyphlake.session import checkpoint_root, cut_lineage, deal_out
 from glyphlake.sources import sinks
 from glyphlake.sources.asset_files import sfnt_metrics
 from glyphlake.streaming import crawl as stream_crawl
@@ -309,7 +310,9 @@ def sfnt_bytes():
 )
 def _(spark, sf):
     content = F.when(C("p_partkey") % 8 == 0, F.unhex(F.lit("774F463200010000"))).otherwise(sfnt_bytes())
-    df = table(spark, sf, "part").select("p_partkey", content.alias("content")).select("p_partkey", sfnt_metrics(C("content")).alias("m"))
+    # computed: sixteen fields are read from one struct, which is not built for each
+    files = deal_out(table(spark, sf, "part")).select("p_partkey", content.alias("content"))
+    df = computed(files, m=sfnt_metrics(C("content")))
     return df.select(
         "p_partkey", "m.num_glyphs", "m.units_per_em", "m.weight_class", "m.fs_selection", "m.hhea.ascender", "m.hhea.descender", "m.hhea.line_gap",
         "m.os2.typo_ascender", "m.os2.typo_descender", "m.os2.win_descent", "m.family_name", "m.subfamily_name", "m.full_name", "m.postscript_name",

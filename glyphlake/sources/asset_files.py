@@ -11,6 +11,9 @@ from glyphlake.functions.files import sniff_signature
 from glyphlake.functions.text import base_name, extension, let
 
 C = F.col
+#: tables read, by tag, and the ids of the names read
+TABLES = {"maxp": "maxp", "head": "head", "hhea": "hhea", "OS/2": "os2", "name": "name"}
+NAMED = (1, 2, 4, 6, 16, 17)
 EXTENSIONS = ("woff2", "woff", "ttf", "otf", "eot")
 
 
@@ -86,18 +89,26 @@ def sfnt_metrics(content: Column) -> Column:
                 F.decode(F.coalesce(_bytes(b, i * 16 + 12, F.lit(4)), F.lit(b"")), "ISO-8859-1").alias("tag"), _u32(b, i * 16 + 20).alias("offset")
             ),
         )
-        return let(F.struct(b.alias("b"), directory.alias("d")), fields)
+        return let(let(let(F.struct(b.alias("b"), directory.alias("d")), starts), named), fields)
+
+    # what several fields need is bound first: where the tables start, then the names
+    def starts(x: Column) -> Column:
+        first = lambda tag: F.get(F.filter(x["d"], lambda t: t["tag"] == tag), F.lit(0))["offset"]
+        return F.struct(x["b"].alias("b"), *[first(tag).alias(field) for tag, field in TABLES.items()])
+
+    def named(x: Column) -> Column:
+        kept = F.filter(_names(x["b"], x["name"]), lambda r: r["id"].isin(*NAMED) & (r["text"] != ""))
+        return F.struct(x.alias("t"), kept.alias("names"))
 
     def fields(x: Column) -> Column:
-        b = x["b"]
+        t = x["t"]
+        b = t["b"]
 
         def at(tag: str, offset: int) -> Column:
-            return F.get(F.filter(x["d"], lambda t: t["tag"] == tag), F.lit(0))["offset"] + offset
+            return t[TABLES[tag]] + offset
 
         def name(nid: int) -> Column:
-            return F.get(
-                F.filter(_names(b, at("name", 0)), lambda r: (r["id"] == nid) & (r["text"] != "")), F.lit(0)
-            )["text"]
+            return F.get(F.filter(x["names"], lambda r: r["id"] == nid), F.lit(0))["text"]
 
         return F.struct(
             _u16(b, at("maxp", 4)).alias("num_glyphs"),
@@ -127,13 +138,14 @@ def sfnt_metrics(content: Column) -> Column:
 def _names(b: Column, start: Column) -> Column:
     """Array of struct(id, text) of the name table at ``start``."""
 
-    def record(i: Column) -> Column:
-        at = start + 6 + i * 12
-        raw = _bytes(b, start + _u16(b, start + 4) + _u16(b, at + 10), _u16(b, at + 8))
-        wide = _u16(b, at).isin(0, 3)
-        return F.struct(
-            _u16(b, at + 6).alias("id"),
-            F.trim(F.when(wide, F.decode(raw, "UTF-16BE")).otherwise(F.decode(raw, "ISO-8859-1"))).alias("text"),
-        )
+    def record(entry: Column) -> Column:
+        raw = _bytes(b, entry["storage"] + _u16(b, entry["at"] + 10), _u16(b, entry["at"] + 8))
+        return F.struct(_u16(b, entry["at"]).isin(0, 3).alias("wide"), _u16(b, entry["at"] + 6).alias("id"), raw.alias("raw"))
+
+    def text(r: Column) -> Column:
+        decoded = F.when(r["wide"], F.decode(r["raw"], "UTF-16BE")).otherwise(F.decode(r["raw"], "ISO-8859-1"))
+        return F.struct(r["id"].alias("id"), F.trim(decoded).alias("text"))
 
-    return _each(F.coalesce(_u16(b, start + 2), F.lit(0)), record)
+    storage = start + _u16(b, start + 4)
+    entries = let(storage, lambda at: _each(F.coalesce(_u16(b, start + 2), F.lit(0)), lambda i: F.struct((start + 6 + i * 12).alias("at"), at.alias("storage"))))
+    return F.transform(F.transform(entries, record), text)

@@ -9,6 +9,7 @@ from glyphlake import fixed_values as fv
 from glyphlake.functions.files import license_class
 from glyphlake.functions.text import base_name, blank_to_null, trim_all, without_extension
 from glyphlake.functions.urls import path_of, resolve_url
+from glyphlake.operators.picking import computed
 
 C = F.col
 
@@ -72,9 +73,10 @@ def read_api_items(
 
 def read_products(payloads: DataFrame) -> DataFrame:
     """Products that carry id, handle and title; ``product`` is a struct."""
-    parsed = payloads.withColumn("product", F.from_json("payload", PRODUCT))
+    # parsed once per row: the filter must not take copies of the parser below
+    parsed = computed(payloads, product=F.from_json("payload", PRODUCT)).drop("payload")
     p = C("product")
-    return parsed.filter(p["id"].isNotNull() & (trim_all(p["handle"]) != "") & (trim_all(p["title"]) != "")).drop("payload")
+    return parsed.filter(p["id"].isNotNull() & (trim_all(p["handle"]) != "") & (trim_all(p["title"]) != ""))
 
 
 def product_variants(products: DataFrame) -> DataFrame:
