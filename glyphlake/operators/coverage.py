@@ -318,8 +318,8 @@ def quality_audit(
     )
     joined = (
         profile.drop("expected_styles").join(graded, "package", "left")
-        .join(summary, "package", "left")
-        .join(trials, "package", "left")
+        .join(by_shuffle(summary), "package", "left")
+        .join(by_shuffle(trials), "package", "left")
         .na.fill(0, ["expected_styles", "matched_styles", "below_cmap", "below_features", "trial_assets"])
         .withColumn("missing_styles", F.transform("_missing", lambda m: m["label"]))
         .withColumn("missing_tags", F.array_except("required_tags", F.coalesce("_tags", F.array().cast("array<string>"))))
@@ -396,7 +396,7 @@ def target_audit(
         ),
         profile.select("package", "strict"),
     ):
-        out = out.join(part, "package", "left")
+        out = out.join(by_shuffle(part), "package", "left")
     counts = ["expected_styles", "matched_styles", "observed_styles", "unexpected_styles", "missing_names", "unexpected_names"]
     ratio = C("contamination_fonts") / F.nullif(C("total_files"), F.lit(0))
     print_ready = (
