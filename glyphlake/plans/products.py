@@ -16,6 +16,7 @@ from glyphlake.plans import sql_text as d
 from glyphlake.plans.faces import FACES_CTE
 from glyphlake.plans.fixtures import fixture, with_fixtures
 from glyphlake.plans.registry import query, table
+from glyphlake.session import by_shuffle
 from glyphlake.sources import catalog_dumps as dumps
 
 C = F.col
@@ -298,7 +299,7 @@ _FAMILY_SQL = f"""fam AS (SELECT p_partkey AS family_id, replace(p_name, ' ', '-
 )
 def _(spark, sf):
     k, name, size = C("p_partkey"), C("p_name"), C("p_size")
-    part = table(spark, sf, "part")
+    part = by_shuffle(table(spark, sf, "part"))
     dash = F.replace(name, F.lit(" "), F.lit("-"))
     families = part.select(
         k.alias("family_id"), F.when(size % 3 == 0, dash).otherwise(F.concat_ws("-", dash, size.cast("string"))).alias("ref"),

@@ -13,6 +13,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def most_rows(plan):
+    """Most rows that any step of a plan that has run made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(plan.executedPlan())
+    below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+    return max([own, *map(most_rows, below)])
+
+
 @pytest.mark.parametrize("name", ["dominant_prefix", "lookup_source", "prefix_match", "style_coverage", "target_audit"])
 def test_derived_rows_are_not_broadcast(spark, sf, name):
     """The rows are unfolded from a small file, which tells nothing of their size."""
@@ -44,3 +54,25 @@ def test_products_are_parsed_once(spark, sf):
 def test_metrics_are_parsed_once_a_row(spark, sf):
     plan = plan_of(QUERIES["sfnt_metrics"](spark, sf))
     assert "Generate inline" in plan and "RoundRobinPartitioning" in plan
+
+
+def test_equal_families_make_no_pairs(spark):
+    """300 requests for one name and 300 families of it: pairs would be 90,000."""
+    from pyspark.sql import functions as F
+
+    from glyphlake.operators.products import match_family
+
+    n = F.col("id")
+    alias = F.concat(F.lit("x"), n)
+    families = spark.range(300).select(
+        n.alias("family_id"), F.lit("red-ring").alias("ref"), F.array(alias).alias("aliases"), F.lit("red ring").alias("name"), (-n).alias("pos")
+    )
+    slug = F.when(n % 100 == 7, F.upper(alias)).when(n % 100 == 8, alias).otherwise("red-ring")
+    requests = spark.range(300).select(n.alias("request_id"), slug.alias("slug"), F.when(n % 2 == 0, "red ring").alias("title"))
+    out = match_family(requests, families)
+    got = {r.request_id: (r.family_id, r.score) for r in out.collect()}
+    assert len(got) == 300
+    assert got[0] == (299, 590) and got[1] == (299, 140 + 120 + 70)
+    assert got[107] == (107, 110) and got[207] == (207, 110)
+    assert got[8] == (8, 130 + 110 + 120 + 90 + 50) and got[108] == (108, 500)
+    assert 300 <= most_rows(out._jdf.queryExecution().executedPlan()) <= 1200
