@@ -76,3 +76,25 @@ def test_equal_families_make_no_pairs(spark):
     assert got[107] == (107, 110) and got[207] == (207, 110)
     assert got[8] == (8, 130 + 110 + 120 + 90 + 50) and got[108] == (108, 500)
     assert 300 <= most_rows(out._jdf.queryExecution().executedPlan()) <= 1200
+
+
+def test_few_tokens_are_found_by_a_pattern_and_many_by_the_index(spark, monkeypatch):
+    import random
+
+    from glyphlake.operators import containment
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ab1") for _ in range(n))
+    texts = [(i, word(draw.randint(0, 60))) for i in range(60)] + [(60, None)]
+    tokens = [(word(draw.randint(1, 12)),) for _ in range(60)] + [("a" * 9,), ("a" * 10,), ("aaaa",)]
+    texts.append((61, "a" * 30))
+    wanted = {(i, t) for i, text in texts if text for (t,) in tokens if t in text}
+    for spelled in (1000, 0):
+        monkeypatch.setattr(containment, "SPELLED", spelled)
+        for window in (256, 9):
+            out = containment.contained_tokens(
+                spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(tokens, "token string"), window=window
+            )
+            assert {tuple(r) for r in out.collect()} == wanted
+            plan = plan_of(out)
+            assert ("xxhash64(" in plan) == (spelled == 0)
