@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from glyphlake import fixed_values as fv
 from glyphlake.functions import urls
 from glyphlake.operators import links as lk
-from glyphlake.session import cut_lineage
+from glyphlake.session import cut_lineage, deal_out
 from glyphlake.streaming.jobs import read_batches
 
 C = F.col
@@ -92,7 +92,9 @@ def handle_pages(batch: DataFrame, seeds: DataFrame, domains: DataFrame | None,
     (url, pos)."""
     spark = batch.sparkSession
     # a page that arrives again is not visited again; pages of one url all are
-    pages = batch.withColumn("page", urls.normalize_crawl_url(C("url"))).dropDuplicates(["page", "page_id"])
+    # texts are sorted to find equal keys: a task gets a fixed share of them
+    keyed = deal_out(batch.withColumn("page", urls.normalize_crawl_url(C("url"))), "page", "page_id")
+    pages = keyed.dropDuplicates(["page", "page_id"])
     pages = cut_lineage(pages.join(_table(spark, path, "pages", PAGES, batch_id), ["page", "page_id"], "left_anti"))
     found = cut_lineage(lk.crawl_admission(lk.extract_links(pages), domains).select("page_id", urls.normalize_crawl_url(C("url")).alias("url"), "link", C("pos").cast("int").alias("pos")))
     _keep(found.drop("page_id"), path, "links", batch_id)

@@ -98,3 +98,16 @@ def test_few_tokens_are_found_by_a_pattern_and_many_by_the_index(spark, monkeypa
             assert {tuple(r) for r in out.collect()} == wanted
             plan = plan_of(out)
             assert ("xxhash64(" in plan) == (spelled == 0)
+
+
+def test_crawled_pages_are_dealt_out_by_their_keys(spark, monkeypatch, tmp_path):
+    from glyphlake.streaming import crawl
+
+    plans = []
+    monkeypatch.setattr(crawl, "cut_lineage", lambda df: plans.append(plan_of(df)) or df)
+    rows = [(n % 3, "https://a.example.com/p", "<a href='/fonts/x'>x</a>") for n in range(6)]
+    batch = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("https://a.example.com/p", 0)], "url string, pos long")
+    crawl.handle_pages(batch, seeds, None, str(tmp_path), 0, max_depth=1)
+    assert "REPARTITION_BY_NUM" in plans[0] and "SinglePartition" not in plans[0]
+    assert crawl.visited(spark, str(tmp_path)).count() == 3
