@@ -309,8 +309,9 @@ def _(spark, sf):
     pkgs = profiles.select("package").distinct().select("package", (F.row_number().over(Window.orderBy("package")) - 1).alias("n"))
     # every document belongs to a package: ids modulo the number of packages
     count = max(1, profiles.select("package").distinct().count())
-    texts = seeded_documents(spark, sf).withColumn("n", C("doc_id") % count).join(pkgs, "n")
-    sheet = texts.select("package", C("doc_id").alias("pos"), F.explode(style_candidates(C("text"))).alias("label"))
+    # labels are read where the texts are: these do not move
+    spoken = seeded_documents(spark, sf).select((C("doc_id") % count).alias("n"), C("doc_id").alias("pos"), F.explode(style_candidates(C("text"))).alias("label"))
+    sheet = spoken.join(pkgs, "n").select("package", "pos", "label")
     expected = profiles.select("package", "pos", C("style_label").alias("label"))
     observed = full_fonts(spark, sf).select("package", "pos", C("subfamily_name").alias("label"))
     out = cv.sample_coverage(expected, observed, sheet)

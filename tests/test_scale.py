@@ -111,3 +111,11 @@ def test_crawled_pages_are_dealt_out_by_their_keys(spark, monkeypatch, tmp_path)
     crawl.handle_pages(batch, seeds, None, str(tmp_path), 0, max_depth=1)
     assert "REPARTITION_BY_NUM" in plans[0] and "SinglePartition" not in plans[0]
     assert crawl.visited(spark, str(tmp_path)).count() == 3
+
+
+def test_texts_do_not_move_to_their_packages(spark, sf):
+    """Labels are unfolded below the join with the packages, not above it."""
+    plan = plan_of(QUERIES["sample_coverage"](spark, sf))
+    moved = [part.split("documents.parquet")[0] for part in plan.split("Exchange hashpartitioning(n#")[1:] if "documents.parquet" in part]
+    moved = [part for part in moved if "part.parquet" not in part]
+    assert moved and all("Generate explode" in part for part in moved)
