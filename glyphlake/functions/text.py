@@ -28,7 +28,7 @@ def normalize_space(c: Column) -> Column:
 
 def trim_all(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_quotes(c: Column) -> Column:
@@ -36,7 +36,8 @@ def strip_quotes(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    # ``nullif`` inside a lambda reads its argument twice, and nested ones multiply
+    return let(c, lambda v: F.when(v != "", v))
 
 
 def title_words(c: Column) -> Column:

@@ -23,6 +23,9 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 # Characters a path or query may not carry unescaped.
 UNSAFE = r'[^\x21-\x7e]|["<>`{}]'
+# Spelt canonically as it is: a bare lower-case host, a path without dot
+# segments, and nothing that must be escaped.
+PLAIN = r'^https?://[a-z0-9.\-]+(?!\S*/\.{1,2}(?:[/?#]|$))/[\x21-\x7e&&[^"<>`{}]]*\z'
 
 
 def scheme_of(u: Column) -> Column:
@@ -105,7 +108,7 @@ def canonical_href(u: Column) -> Column:
             percent_encode(F.concat(remove_dot_segments(rooted), query_of(v), fragment_of(v))),
         )
 
-    return let(u, lambda v: F.when(is_web_url(v), spelled(v)))
+    return let(u, lambda v: F.when(v.rlike(PLAIN), v).when(is_web_url(v), spelled(v)))
 
 
 def normalize_input_url(c: Column) -> Column:

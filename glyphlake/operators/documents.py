@@ -174,7 +174,9 @@ def css_font_references(css: Column) -> Column:
 def attribute_references(text: Column) -> Column:
     """Values of href and src."""
     both = F.concat(strings(text, '"'), strings(text, "'"))
-    return F.transform(F.filter(both, lambda s: s["lead"].rlike(r"(?i)\b(?:href|src)=$")), lambda s: s["value"])
+    # most leads do not end so, and the pattern reads all of a lead
+    named = lambda lead: F.contains(F.right(lead, F.lit(3)), F.lit("=")) & lead.rlike(r"(?i)\b(?:href|src)=$")
+    return F.transform(F.filter(both, lambda s: named(s["lead"])), lambda s: s["value"])
 
 
 def bare_references(text: Column) -> Column:

@@ -127,7 +127,7 @@ def declared_face(raw: Column | dict[str, Column]) -> Column:
     declared = _face_struct(
         raw["css_family"],
         styles.css_style_label(weight, raw["raw_style"], raw["variable_face"]),
-        F.coalesce(styles.number_text(F.nullif(styles.weight_value(weight), F.lit(0.0))), weight),
+        let(styles.weight_value(weight), lambda w: F.coalesce(styles.number_text(F.when(w != 0.0, w)), weight)),
         F.when(styles.is_italic_css(raw["raw_style"]), "Italic").otherwise("Normal"),
     )
 
@@ -147,16 +147,15 @@ def declared_face(raw: Column | dict[str, Column]) -> Column:
         )
         return F.when(hint.isNotNull() & same & (_score(hint) >= _score(face)), hint).otherwise(face)
 
-    human = styles.humanize_label(raw["css_family"])
-    first = let(F.struct(declared.alias("face"), styles.style_suffix(human).alias("hint")), by_family_name)
-    return let(
-        F.struct(
+    def told(human: Column) -> Column:
+        first = let(F.struct(declared.alias("face"), styles.style_suffix(human).alias("hint")), by_family_name)
+        return F.struct(
             first.alias("face"),
             styles.style_suffix(url_label(raw["source"]["url"])).alias("hint"),
             normalize_token(human).alias("css_token"),
-        ),
-        by_file_name,
-    )
+        )
+
+    return let(let(styles.humanize_label(raw["css_family"]), told), by_file_name)
 
 
 def extract_faces(docs: DataFrame) -> DataFrame:

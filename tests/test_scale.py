@@ -119,3 +119,60 @@ def test_texts_do_not_move_to_their_packages(spark, sf):
     moved = [part.split("documents.parquet")[0] for part in plan.split("Exchange hashpartitioning(n#")[1:] if "documents.parquet" in part]
     moved = [part for part in moved if "part.parquet" not in part]
     assert moved and all("Generate explode" in part for part in moved)
+
+
+def test_a_family_is_spelt_once(spark):
+    """Nested steps each read the one before twice: a file's stem was taken from its URL many times a face."""
+    from pyspark.sql import functions as F
+
+    from glyphlake.functions import styles
+    from glyphlake.operators.picking import computed
+
+    rows = spark.createDataFrame([("red ring", "Bold", "https://a.example.com/f/red-ring-Bold.woff2")], "family string, label string, url string")
+    shown = computed(rows, shown=styles.display_label(F.col("family"), F.col("label"), F.col("url"))).select("shown")
+    assert plan_of(shown).count("decode(") == 1
+    assert [r.shown for r in shown.collect()] == ["red ring"]
+
+
+def test_endings_name_the_rules_that_can_hold(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from glyphlake import fixed_values as fv
+    from glyphlake.functions import styles
+
+    words = ["red", "ab1", "a", "extra", "ultra", "semi", "Semi", "bold", "BOLD", "Light", "thin", "normal", "regular", "medium", "black", "heavy", "book", "italic", "Italic"]
+    labels = [" ".join(w) for a in words for b in words for w in ((a, b), ("red", a, b), ("ring", a, b, "italic"))] + ["redBold", "red extrabold", "x semibold italic", ""]
+
+    def by_rules(label):
+        for rule, *told in fv.STYLE_SUFFIXES:
+            if re.search(r"(?is)^(?:[^a-z0-9]*[a-z0-9]){3}.*?" + rule.removeprefix("(?i)"), label):
+                return (re.sub(rule, "", label).strip(), *told)
+        return None
+
+    out = spark.createDataFrame([(x,) for x in labels], "label string").select("label", styles.style_suffix(F.col("label")).alias("s")).collect()
+    assert {r.label: r.s and tuple(r.s) for r in out} == {x: by_rules(x) for x in labels}
+
+
+def test_urls_that_are_canonical_stay_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from glyphlake.functions import urls
+
+    wanted = {
+        "https://a.example.com/f/x.woff2?v=3#t": "https://a.example.com/f/x.woff2?v=3#t",
+        "https://a.example.com": "https://a.example.com/",
+        "https://a.example.com/a/../b": "https://a.example.com/b",
+        "https://a.example.com/a/.": "https://a.example.com/a/",
+        "https://a.example.com/a/..?q": "https://a.example.com/?q",
+        "https://a.example.com/.hidden/a..b": "https://a.example.com/.hidden/a..b",
+        "HTTPS://A.example.com:443/x": "https://a.example.com/x",
+        "https://u@a.example.com/x": "https://a.example.com/x",
+        "https://a.example.com/a b": "https://a.example.com/a%20b",
+        "https://a.example.com/x\n": "https://a.example.com/x%0A",
+        "https://a.example.com/é": "https://a.example.com/%C3%A9",
+        "ftp://a.example.com/x": None,
+    }
+    out = spark.createDataFrame([(u,) for u in wanted], "u string").select("u", urls.canonical_href(F.col("u")).alias("c")).collect()
+    assert {r.u: r.c for r in out} == wanted
