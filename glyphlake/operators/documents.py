@@ -173,16 +173,21 @@ def css_font_references(css: Column) -> Column:
 
 def attribute_references(text: Column) -> Column:
     """Values of href and src."""
-    both = F.concat(strings(text, '"'), strings(text, "'"))
-    # most leads do not end so, and the pattern reads all of a lead
-    named = lambda lead: F.contains(F.right(lead, F.lit(3)), F.lit("=")) & lead.rlike(r"(?i)\b(?:href|src)=$")
-    return F.transform(F.filter(both, lambda s: named(s["lead"])), lambda s: s["value"])
+    # most strings have no such lead, and only a lead with its mark is worth the pattern
+    named = lambda lead: F.contains(lead, F.lit("=")) & lead.rlike(r"(?i)\b(?:href|src)=$")
+
+    def of(quote: str) -> Column:
+        inner = lambda pieces: F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+        value = lambda pieces: lambda piece, i: F.when(named(F.get(pieces, i)), F.rtrim(piece, F.lit("\\")))
+        return let(F.split(text, quote), lambda pieces: F.array_compact(F.transform(inner(pieces), value(pieces))))
+
+    return F.concat(of('"'), of("'"))
 
 
 def bare_references(text: Column) -> Column:
     """Font addresses in running text: absolute, from the root, or from here;
     they begin where no name goes on."""
-    fonts = F.filter(words(text), lambda w: w.rlike("(?i)[.](?:woff|otf|ttf)"))
+    fonts = F.filter(words(text), lambda w: F.contains(w, F.lit(".")) & w.rlike("(?i)[.](?:woff|otf|ttf)"))
     begun = F.transform(fonts, lambda w: F.regexp_extract(w, r"(?i)(?:^|[^\w.-])((?:https?:/|[.]{0,2})/.+)", 1))
     return F.array_compact(F.transform(begun, lambda w: up_to_end(w, any_of(fv.CORE_FORMATS))))
 

@@ -226,8 +226,9 @@ def inferred_faces(docs: DataFrame) -> DataFrame:
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences; both sides already lower case."""
-    gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.when(F.length(needle) > 0, (gone / F.length(needle)).cast("long")).otherwise(F.lit(0).cast("long"))
+    # bytes, as characters would be counted through the whole text for every needle
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    return F.when(F.length(needle) > 0, (gone / F.octet_length(needle)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def mentions(texts: Column, families: Column) -> Column:
@@ -245,14 +246,16 @@ def mentions(texts: Column, families: Column) -> Column:
     return F.transform(families, lambda f: F.struct(f.alias("family"), used(f).alias("usage")))
 
 
-def in_page_rows(pages: DataFrame) -> DataFrame:
+def in_page_rows(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All faces of a page and all mentions of their families, in the page's
     row: ``page``, ``faces`` (array) and ``usage`` (array of family, usage).
 
     ``pages``: page, preload (the font URLs of the page itself), and
     ``documents``, an array of struct(url, kind, text, doc_pos), where the page
     itself has place -1.  Texts are read where they lie; nothing of them moves.
-    Families count as declared or inferred, and as they are ``shown``.
+    Families count as declared or inferred, and as they are ``shown``.  ``keep``
+    names columns of a page that its row carries on, so that no later step has
+    to put the page together and read it again.
     """
 
     def face(told: Column, doc: Column, pos: Column, family: Column, source: Column, discovery: str, core_range: Column) -> Column:
@@ -285,7 +288,7 @@ def in_page_rows(pages: DataFrame) -> DataFrame:
     families = F.array_distinct(F.flatten(F.transform("faces", lambda f: F.array(f["family"], f["shown"]))))
     texts = F.transform("documents", lambda d: F.lower(d["text"]))
     found = computed(computed(pages, faces=shown), families=families, texts=texts)
-    return found.select("page", "faces", mentions(C("texts"), C("families")).alias("usage"))
+    return found.select("page", *keep, "faces", mentions(C("texts"), C("families")).alias("usage"))
 
 
 def page_faces(rows: DataFrame) -> DataFrame:
@@ -402,7 +405,7 @@ def scan_pages(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def scan_summary(pages: DataFrame, faces: DataFrame, selected: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per page: families found and selected, resources, asset hosts, sources.
-    ``pages``: page, documents, as ``in_page_rows`` reads them."""
+    ``pages``: page, documents, as ``in_page_rows`` reads them (kinds will do)."""
     host = urls.host_of(C("source.url"))
     found = faces.groupBy("page").agg(F.count_distinct("family").alias("families_found"))
     chosen = selected.groupBy("page").agg(

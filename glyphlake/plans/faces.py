@@ -216,12 +216,13 @@ SCAN_CTE = _ALL_DOCS + _SCAN_FACES + _SCAN_SHOWN
 
 
 def scanned(spark, sf):
-    """Pages with their documents, and their faces and usage, read in the row."""
+    """Pages, and all that the scan needs of each, read in the page's row."""
     pages = fixture(spark, sf, "html")
-    whole = pages.select(C("page_id").alias("page"), docs.page_documents(C("html"), C("url")).alias("documents"))
-    told = computed(pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")))
-    tokens = pages.select(C("page_id").alias("page"), urls.target_tokens(C("url"), C("html")).alias("tokens"))
-    return pages, whole, cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"))), tokens
+    told = computed(
+        pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")), tokens=urls.target_tokens(C("url"), C("html"))
+    ).withColumn("kinds", F.transform("documents", lambda d: F.struct(d["kind"].alias("kind"))))
+    rows = cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"), ("tokens", "kinds")))
+    return pages, rows.select("page", C("kinds").alias("documents")), rows, rows.select("page", "tokens")
 
 
 @query("scan_pages", with_fixtures("html") + SCAN_CTE + " SELECT * FROM scan")

@@ -176,3 +176,30 @@ def test_urls_that_are_canonical_stay_as_they_are(spark):
     }
     out = spark.createDataFrame([(u,) for u in wanted], "u string").select("u", urls.canonical_href(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in out} == wanted
+
+
+def test_a_scan_puts_pages_together_once(spark, sf):
+    """What a scan needs of a page stays in its row; only resources are read from pages again."""
+    assert "pages.parquet" not in plan_of(QUERIES["scan_pages"](spark, sf))
+    assert plan_of(QUERIES["scan_summary"](spark, sf)).count('<link rel="stylesheet"') == 1
+
+
+def test_occurrences_are_counted_in_texts_of_any_script(spark):
+    from pyspark.sql import functions as F
+
+    from glyphlake.operators.faces import occurrences
+
+    rows = [("é red é red ébred", "é", 3), ("ééééé", "éé", 2), ("abc", "", 0), ("", "a", 0), ("日本日本", "日本", 2), ("aaa", "b", 0)]
+    out = spark.createDataFrame(rows, "text string, needle string, n long").select("n", occurrences(F.col("text"), F.col("needle")).alias("got")).collect()
+    assert [r.got for r in out] == [r.n for r in out]
+
+
+def test_attributes_are_found_in_marks_of_either_kind(spark):
+    from pyspark.sql import functions as F
+
+    from glyphlake.operators.documents import attribute_references, bare_references
+
+    text = """<a href="/x">y</a><img src='/b.png' alt="=no"><a HREF="c\\\\"><p data-href="d" nohref="e" href="""
+    row = spark.createDataFrame([(text, "go to https://a.example.com/x.WOFF2?v=1, or ./y.ttf and woff")], "t string, b string").select(attribute_references(F.col("t")), bare_references(F.col("b"))).first()
+    assert list(row[0]) == ["/x", "c", "d", "/b.png"]
+    assert list(row[1]) == ["https://a.example.com/x.WOFF2?v=1,", "./y.ttf"]
