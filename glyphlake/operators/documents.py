@@ -293,19 +293,23 @@ def resource_score(kind: Column, rel: Column, url: Column, page_url: Column, tok
     )
 
 
-def resource_candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, page_url, tokens, url, kind, rel, memory_key, pos) before scoring."""
-    html = C("html")
-    tags = F.concat(
+def resource_tags(html: Column) -> Column:
+    """The tags of a page that may name a resource, links first."""
+    return F.concat(
         F.filter(all_matches(html, r"(?is)<link\b[^>]*>", 0), lambda t: t.rlike(r"(?i)\bhref\s*=")),
         F.filter(all_matches(html, r"(?is)<script\b[^>]*>", 0), lambda t: t.rlike(r"(?i)\bsrc\s*=")),
     )
-    rows = pages.select(
-        "page_id",
-        C("url").alias("page_url"),
-        urls.target_tokens(C("url"), html).alias("tokens"),
-        F.posexplode(tags).alias("pos", "tag"),
-    )
+
+
+def resource_candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, page_url, tokens, url, kind, rel, memory_key, pos) before scoring."""
+    tokens = urls.target_tokens(C("url"), C("html"))
+    return tag_candidates(pages.select("page_id", "url", tokens.alias("tokens"), resource_tags(C("html")).alias("tags")))
+
+
+def tag_candidates(pages: DataFrame) -> DataFrame:
+    """``resource_candidates`` of pages whose ``tokens`` and ``tags`` are read."""
+    rows = pages.select("page_id", C("url").alias("page_url"), "tokens", F.posexplode("tags").alias("pos", "tag"))
     is_link = C("tag").rlike("(?i)^<link")
     read = computed(
         rows,

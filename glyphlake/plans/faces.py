@@ -216,19 +216,18 @@ SCAN_CTE = _ALL_DOCS + _SCAN_FACES + _SCAN_SHOWN
 
 
 def scanned(spark, sf):
-    """Pages, and all that the scan needs of each, read in the page's row."""
+    """All that a scan needs of each page, read in the page's row; the documents by their kinds."""
     pages = fixture(spark, sf, "html")
     told = computed(
-        pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")), tokens=urls.target_tokens(C("url"), C("html"))
+        pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")), tokens=urls.target_tokens(C("url"), C("html")), tags=docs.resource_tags(C("html")),
     ).withColumn("kinds", F.transform("documents", lambda d: F.struct(d["kind"].alias("kind"))))
-    rows = cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"), ("tokens", "kinds")))
-    return pages, rows.select("page", C("kinds").alias("documents")), rows, rows.select("page", "tokens")
+    return cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"), ("url", "tokens", "tags", "kinds")))
 
 
 @query("scan_pages", with_fixtures("html") + SCAN_CTE + " SELECT * FROM scan")
 def _(spark, sf):
-    _, _, rows, tokens = scanned(spark, sf)
-    out = fc.scan_pages(rows, tokens)
+    rows = scanned(spark, sf)
+    out = fc.scan_pages(rows, rows.select("page", "tokens"))
     return out.select("page", "family", "label", "weight", "style", "discovery", C("source.url").alias("asset_url"), C("source.format").alias("format"), "file_name_hint", C("score").cast("long").alias("score"))
 
 
@@ -240,6 +239,7 @@ def _(spark, sf):
       (SELECT count(DISTINCT nullif({d.host("asset_url")}, '')) FROM scan AS s WHERE s.page = h.page_id) AS asset_hosts, (SELECT count(*) FROM scan AS s WHERE s.page = h.page_id) AS faces_selected FROM html AS h LEFT JOIN probed AS p ON p.page_id = h.page_id""",
 )
 def _(spark, sf):
-    pages, whole, rows, tokens = scanned(spark, sf)
-    candidates = docs.best_resources(docs.score_resources(docs.resource_candidates(pages)))
-    return fc.scan_summary(whole, fc.page_faces(rows), fc.scan_pages(rows, tokens), candidates)
+    rows = scanned(spark, sf)
+    candidates = docs.best_resources(docs.score_resources(docs.tag_candidates(rows.withColumnRenamed("page", "page_id"))))
+    whole = rows.select("page", C("kinds").alias("documents"))
+    return fc.scan_summary(whole, fc.page_faces(rows), fc.scan_pages(rows, rows.select("page", "tokens")), candidates)
