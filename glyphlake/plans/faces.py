@@ -215,13 +215,15 @@ _SCAN_SHOWN = DISPLAY_CTE.replace("FROM faces)", "FROM (SELECT DISTINCT 0 AS pag
 SCAN_CTE = _ALL_DOCS + _SCAN_FACES + _SCAN_SHOWN
 
 
-def scanned(spark, sf):
-    """All that a scan needs of each page, read in the page's row; the documents by their kinds."""
+def scanned(spark, sf, *keep):
+    """All that a scan needs of each page, read in the page's row; the documents by their kinds.
+    ``keep`` names more to carry on: url, tags (that may name resources)."""
     pages = fixture(spark, sf, "html")
     told = computed(
-        pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")), tokens=urls.target_tokens(C("url"), C("html")), tags=docs.resource_tags(C("html")),
+        pages, preload=docs.font_urls(C("html"), C("url")), documents=docs.page_documents(C("html"), C("url")), tokens=urls.target_tokens(C("url"), C("html")),
+        **({"tags": docs.resource_tags(C("html"))} if "tags" in keep else {}),
     ).withColumn("kinds", F.transform("documents", lambda d: F.struct(d["kind"].alias("kind"))))
-    return cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"), ("url", "tokens", "tags", "kinds")))
+    return cut_lineage(fc.in_page_rows(told.withColumnRenamed("page_id", "page"), ("tokens", "kinds", *keep)))
 
 
 @query("scan_pages", with_fixtures("html") + SCAN_CTE + " SELECT * FROM scan")
@@ -239,7 +241,7 @@ def _(spark, sf):
       (SELECT count(DISTINCT nullif({d.host("asset_url")}, '')) FROM scan AS s WHERE s.page = h.page_id) AS asset_hosts, (SELECT count(*) FROM scan AS s WHERE s.page = h.page_id) AS faces_selected FROM html AS h LEFT JOIN probed AS p ON p.page_id = h.page_id""",
 )
 def _(spark, sf):
-    rows = scanned(spark, sf)
+    rows = scanned(spark, sf, "url", "tags")
     candidates = docs.best_resources(docs.score_resources(docs.tag_candidates(rows.withColumnRenamed("page", "page_id"))))
     whole = rows.select("page", C("kinds").alias("documents"))
     return fc.scan_summary(whole, fc.page_faces(rows), fc.scan_pages(rows, rows.select("page", "tokens")), candidates)
