@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -302,6 +303,46 @@ def test_range_coder_round_trip():
         assert np.array_equal(range_coder.decode_blocks(range_coder.encode_blocks(grid), grid.shape[1]), grid)
 
 
+def test_range_coder_of_odd_blocks():
+    rng = np.random.default_rng(6)
+    shapes = [(1, 1), (3, 2), (2, 257), (1, 5000), (0, 256)]
+    grids = [rng.integers(0, 1 << 16, s) for s in shapes] + [np.full((2, 300), 65_535), np.arange(8192).reshape(1, -1), np.tile([7, 7, 65_535], (1, 3000))]
+    for ids in grids:
+        grid = ids.astype(np.uint16)
+        assert np.array_equal(range_coder.decode_blocks(range_coder.encode_blocks(grid), grid.shape[1]), grid)
+    with pytest.raises(ValueError):
+        range_coder.encode_blocks(np.zeros((1, range_coder.LONGEST_BLOCK + 1), np.uint16))
+
+
+def test_an_id_is_coded_and_read_within_a_microsecond():
+    grid = np.minimum(np.random.default_rng(7).zipf(1.2, (256, 4096)), 49_407).astype(np.uint16)
+
+    def seconds():
+        began = time.process_time()
+        assert np.array_equal(range_coder.decode_blocks(range_coder.encode_blocks(grid), 4096), grid)
+        return time.process_time() - began
+
+    assert min(seconds() for _ in range(3)) < 1e-6 * grid.size
+
+
+def test_known_words_do_not_change_the_ids(monkeypatch):
+    rng = np.random.default_rng(8)
+    signs = list("ab'sté \n\t9²_-!…İßſΣς\u0307\x00\x7f\xa0\x1c\x85ｆ½") + ["'ll", "  ", "<|endoftext|>", "日", "</w>", "<|", "e\u0301", "\U0001f600"]
+    texts = ["".join(rng.choice(signs, 12)) for _ in range(600)] + [None, "", " \n"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        encoder = Tokenizer.from_file(path)
+        want = [encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for most in (token_files.MOST_WORDS, 20):
+            monkeypatch.setattr(token_files, "MOST_WORDS", most)
+            words = token_files.WordIds(path)
+            asked = []
+            monkeypatch.setattr(words, "model", type("Asked", (), {"tokenize": lambda _, w, model=words.model, asked=asked: asked.append(w) or model.tokenize(w)})())
+            for _ in range(2):
+                assert [i.tolist() for at in range(0, len(texts), 50) for i in words.of(texts[at : at + 50])] == want
+            assert (len(asked) == len(set(asked))) == (most > 20)
+
+
 def test_blocks_are_independent_and_checked():
     rng = np.random.default_rng(4)
     ids = [rng.integers(0, 500, n).astype(np.uint16) for n in (300, 1, 0, 700)]
